@@ -39,3 +39,10 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, start: C
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
 
     return wanted.mapInArrow(run, out)
+
+
+def unused(columns: list[str], stem: str) -> str:
+    """A column name that none of the columns has."""
+    while stem in columns:
+        stem += "_"
+    return stem

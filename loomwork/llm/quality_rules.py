@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import map_texts
+from loomwork.llm.common import map_texts, unused
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -90,7 +90,8 @@ def kept_documents(docs: DataFrame, policy: str = "web-1", id_col: str = "doc_id
     def measure(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measurements(t or "") for t in texts], columns=list(names), dtype="int64")
 
-    rows = docs.withColumn("__measured", measure(F.col(text_col)))
+    held = unused(docs.columns, "__measured")
+    rows = docs.withColumn(held, measure(F.col(text_col)))
     for r in POLICIES[policy]:
-        rows = rows.where("not (" + re.sub(r"\b(n_\w+|word_chars)", r"__measured.\1", RULES[r]) + ")")
+        rows = rows.where("not (" + re.sub(r"\b(n_\w+|word_chars)", rf"`{held}`.\1", RULES[r]) + ")")
     return rows.select(docs.columns)

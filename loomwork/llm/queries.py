@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import license_scan, media, mixing, packing, quality_rules, secret_scan, sharding, simhash, url_filter
+from loomwork.llm import license_scan, media, mixing, packing, passage_dedup, quality_rules, secret_scan, sharding, simhash, url_filter
 from loomwork.session import table
 
 ARRIVAL_DOCS = 4096
@@ -39,6 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
 
 
+def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -173,7 +177,7 @@ from rows join tree using (host, raw) join pure using (host, template)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_best_fit_packing, op2_license_scan, op3_secret_scan, op4_quality_rules, op6_simhash, op7_media_columns, op8_size_tiered_shards, op9_url_filter, op10_mixing]
+    own = [op1_best_fit_packing, op2_license_scan, op3_secret_scan, op4_quality_rules, op5_passage_dedup, op6_simhash, op7_media_columns, op8_size_tiered_shards, op9_url_filter, op10_mixing]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.operators.running import running_sum
 from loomwork.session import shared_dir
@@ -102,7 +103,7 @@ def compact(spark: SparkSession, root: str, schema, target: int = TARGET_BYTES,
     folders = [r[0] for r in now.select("folder").distinct().collect()]  # one for each append since the last compaction
     plan = merge_plan(now, target, fanout, smallest).persist()
     by_shard = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    typed = type(schema)(schema.fields).add("__shard", "long")
+    typed = T.StructType([*schema.fields, T.StructField("__shard", T.LongType())])
     rows = None
     for folder in folders:
         part = read_folder(spark, root, folder, typed)
@@ -124,7 +125,7 @@ def compact(spark: SparkSession, root: str, schema, target: int = TARGET_BYTES,
 
 def current(spark: SparkSession, root: str, schema) -> DataFrame:
     """The rows of the newest version with __folder and __shard, the file that holds them."""
-    typed = type(schema)(schema.fields).add("__shard", "long")
+    typed = T.StructType([*schema.fields, T.StructField("__shard", T.LongType())])
     now = manifest(spark, root)
     out = None
     for (folder,) in now.select("folder").distinct().collect():

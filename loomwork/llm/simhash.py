@@ -160,6 +160,7 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; of rows that repeat this id, one."""
-    kept = near_duplicates(docs, radius, size, seed, id_col, text_col).where(F.col(id_col) == F.col("component_id"))
-    return docs.join(kept.select(id_col).distinct(), id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
+    """The rows of docs whose id is their component's smallest; of rows that repeat this id, one. A null id counts as the largest."""
+    kept = near_duplicates(docs, radius, size, seed, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.col(id_col).alias("__kept")).distinct()
+    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])

@@ -77,7 +77,7 @@ def template_purity(counted: DataFrame, strength: float = STRENGTH, z: float = Z
     Templates of a host and depth that have labels stand by their share of bad pages; neighbours whose shares differ by
     less than z standard errors are one branch. A template without labels has the share of all labelled pages.
     """
-    total = counted.agg((F.sum("bad") / F.sum("labelled")).alias("prior"))  # a single row
+    total = counted.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("prior"))  # a single row
     rate = F.col("bad") / F.col("labelled")
     order = Window.partitionBy("host", "parts").orderBy("rate", "template")
     rows = counted.where("labelled > 0").withColumn("rate", rate)
