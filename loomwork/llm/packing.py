@@ -24,7 +24,7 @@ from loomwork.operators.running import running_sum
 from loomwork.session import written
 
 #: Pieces of one length that one task ranks.
-RANKED_TOGETHER = 4000
+RANKED_TOGETHER = 1000
 
 
 def encoder(ranks_path: str, pattern: str):
@@ -160,13 +160,14 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     plan = plan_packing(counts, capacity)
     names = "__length long, __low long, __high long, __first long, __each long, __offset long"
     runs = F.broadcast(spark.createDataFrame(plan, names))
-    blocks = max(1, -(-max(counts.values(), default=0) // RANKED_TOGETHER))
-    ranked = running_sum(pieces, [length_col], F.pmod(F.xxhash64(*order), F.lit(blocks)), [F.col(c) for c in order], F.lit(1), "__rank")
+    salts = F.broadcast(spark.createDataFrame([(n, -(-c // RANKED_TOGETHER)) for n, c in counts.items()], "__length long, __blocks long"))
+    salted = pieces.join(salts, F.col(length_col) == F.col("__length")).drop("__length")
+    ranked = running_sum(salted, [length_col], F.pmod(F.xxhash64(*order), F.col("__blocks")), [F.col(c) for c in order], F.lit(1), "__rank")
     placed = ranked.join(runs, (F.col(length_col) == F.col("__length")) & (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__high")))
     nth = F.col("__rank") - F.col("__low")
     placed = placed.withColumn("sequence_id", F.col("__first") + F.expr("(__rank - __low) div __each"))
     placed = placed.withColumn("offset", F.col("__offset") + (nth % F.col("__each")) * F.col(length_col))
-    return placed.drop("__length", "__low", "__high", "__first", "__each", "__offset", "__rank")
+    return placed.drop("__length", "__low", "__high", "__first", "__each", "__offset", "__rank", "__blocks")
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
