@@ -120,11 +120,11 @@ POSITIVE = ["love", "like", "enjoy", "great", "good", "happy", "prefer", "best",
 NEGATIVE = ["hate", "dislike", "avoid", "bad", "terrible", "worst", "awful", "never", "annoying", "angry"]
 
 
-def polarity(text: Column) -> Column:
+def polarity(text: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> Column:
     """1, -1, or 0 without such words; a tie is positive."""
     tokens = F.split(F.lower(text), "[^a-z]+")
     count = lambda words: F.size(F.filter(tokens, lambda w: w.isin(words)))
-    p, n = count(POSITIVE), count(NEGATIVE)
+    p, n = count(positive), count(negative)
     return F.when(p + n == 0, 0).when(p >= n, 1).otherwise(-1)
 
 

@@ -18,8 +18,8 @@ NOW = "2024-01-31 00:00:00"
 NOW_SECONDS = 1706659200
 START_SECONDS = 1704067200
 
-_SPARK = {"ts": "timestamp_seconds({})", "list": "array({})", "div": "({})", "len": "length({})", "json": "cast(get_json_object({}, '$.k') as bigint)", "day": "cast({} as date)", "lasttwo": "{}"}
-_DUCK = {"ts": "make_timestamp(({}) * 1000000)", "list": "[{}]", "div": "({})", "len": "length({})", "json": "cast(json_extract_string({}, '$.k') as bigint)", "day": "cast({} as date)", "lasttwo": "{}"}
+_SPARK = {"ts": "timestamp_seconds({})", "list": "array({})", "json": "cast(get_json_object({}, '$.k') as bigint)"}
+_DUCK = {"ts": "make_timestamp(({}) * 1000000)", "list": "[{}]", "json": "cast(json_extract_string({}, '$.k') as bigint)"}
 
 VIEWS = {
     "memories": """
@@ -54,6 +54,10 @@ select o_orderkey as task_id, concat('agent', o_custkey % 40) as agent_id, o_ord
     "edges": """
 select distinct cast(l_suppkey as bigint) as source_id, cast(l_partkey as bigint) % 50 as target_id, case when l_linenumber % 2 = 0 then 'USES' else 'KNOWS' end as edge_type
 from lineitem where l_suppkey <> l_partkey % 50""",
+    "hits": """
+select query_id, variant, source, doc_id, score, cast(row_number() over (partition by query_id, variant order by score desc, doc_id) as int) as rank
+from (select user_id as query_id, concat('v', event_id % 4) as variant, case event_id % 4 when 0 then 'original' when 1 then 'rules' else 'llm' end as source,
+  <json:props> as doc_id, max(cast((event_id * 37) % 101 as double) / 100) as score from events group by 1, 2, 3, 4) as found""",
     "turns": "select conv_id, turn, role, text from conversations",
 }
 
@@ -64,7 +68,7 @@ def dialect(sql: str, spark: bool) -> str:
     def put(m: re.Match) -> str:
         return names[m[1]].format(m[2])
 
-    return re.sub(r"<(ts|list|div|len|json|day|lasttwo):((?:[^<>]|<[^<>]*>|[<>]=?(?= ))*?)>(?=[\s,)]|$)", put, sql)
+    return re.sub(r"<(ts|list|json):((?:[^<>]|<[^<>]*>|[<>]=?(?= ))*?)>(?=[\s,)]|$)", put, sql)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
