@@ -116,8 +116,18 @@ def usage_weight(score: Column, used: Column, days: Column, net_feedback: Column
 
 
 # Words that tell a text's polarity.
-POSITIVE = ["love", "like", "enjoy", "great", "good", "happy", "prefer", "best", "favorite", "excellent"]
-NEGATIVE = ["hate", "dislike", "avoid", "bad", "terrible", "worst", "awful", "never", "annoying", "angry"]
+POSITIVE = [
+    "happy", "happiness", "joy", "joyful", "joyfully", "proud", "pride", "proudest", "proudly", "excited", "excitement", "wonderful",
+    "amazing", "fantastic", "brilliant", "delighted", "delight", "thrilled", "cheerful", "cheerfully", "laughing", "laughter",
+    "celebrate", "celebration", "celebrated", "ecstatic", "elated", "elation", "overjoyed", "blissful", "bliss", "perfect", "calm",
+    "calmer", "calmly", "calmness",
+]
+NEGATIVE = [
+    "stress", "stressed", "stresses", "stressful", "overwhelm", "overwhelmed", "overwhelming", "anxious", "anxiety", "worried", "worry",
+    "worrying", "frustrated", "frustration", "frustrating", "grief", "grieving", "grieve", "depressed", "depression", "angry", "anger",
+    "exhausted", "exhaustion", "burnout", "dread", "dreading", "scared", "fearful", "terrible", "awful", "lonely", "loneliness",
+    "miserable", "miserably", "desperate", "despair", "hopeless", "hopelessness", "sad", "sadness", "missing",
+]
 
 
 def polarity(text: Column, positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> Column:
