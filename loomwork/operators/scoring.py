@@ -338,7 +338,7 @@ def effective_score(now: str) -> Column:
     for layer, half in HALF_LIVES.items():
         decay = F.when(F.col("layer") == layer, F.greatest(F.lit(0.1), F.pow(F.lit(0.5), anchor / half))).otherwise(decay)
     s = F.col("importance") * decay * (1 + 0.15 * F.log2(1.0 + F.col("used_count"))) * (0.5 + 0.5 * F.col("confidence"))
-    s = s + F.when(age < 7, 0.15 * (1 - age / 7)).otherwise(0.0) + F.least(F.lit(0.3), 0.02 * F.col("retrieval_count")) + F.when(F.col("user_pinned"), 0.5).otherwise(0.0)
+    s = s + F.when(age < 7, 0.15 * (1 - age / 7)).otherwise(0.0) + F.least(F.lit(0.3), 0.02 * (F.col("used_count") + F.col("retrieval_count"))) + F.when(F.col("user_pinned"), 0.5).otherwise(0.0)
     floor = F.when(F.col("safety_critical"), 0.6).when(F.col("memory_type") == "LESSON", 0.7).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(s, floor))
 

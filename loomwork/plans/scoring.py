@@ -203,7 +203,7 @@ _ANCHOR = f"(epoch(timestamp '{NOW}' - coalesce(last_retrieved_at, created_at))
 _DECAY = "case layer " + " ".join(f"when '{x}' then greatest(0.1::double, 0.5::double ** ({_ANCHOR} / {h}))" for x, h in S.HALF_LIVES.items()) + " else 1 end"
 
 
-@query(M + f", s as (select memory_id, safety_critical, memory_type, importance * ({_DECAY}) * (1 + 0.15::double * log2(1.0::double + used_count)) * (0.5::double + 0.5::double * confidence) + (case when {_AGE} < 7 then 0.15::double * (1 - {_AGE} / 7) else 0 end) + least(0.3::double, 0.02::double * retrieval_count) + (case when user_pinned then 0.5::double else 0 end) as s from memories) select memory_id, round(least(1.0::double, greatest(s, case when safety_critical then 0.6::double when memory_type = 'LESSON' then 0.7::double else 0 end)), 6) as score from s")
+@query(M + f", s as (select memory_id, safety_critical, memory_type, importance * ({_DECAY}) * (1 + 0.15::double * log2(1.0::double + used_count)) * (0.5::double + 0.5::double * confidence) + (case when {_AGE} < 7 then 0.15::double * (1 - {_AGE} / 7) else 0 end) + least(0.3::double, 0.02::double * (used_count + retrieval_count)) + (case when user_pinned then 0.5::double else 0 end) as s from memories) select memory_id, round(least(1.0::double, greatest(s, case when safety_critical then 0.6::double when memory_type = 'LESSON' then 0.7::double else 0 end)), 6) as score from s")
 def effective_score(spark, d):
     return view(spark, d, "memories").select("memory_id", F.round(S.effective_score(NOW), 6).alias("score"))
 
