@@ -19,15 +19,15 @@ def rescue_terms(text: Column) -> Column:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """(user_id, doc_id, token, tf, n): the inverted index, n being the document's length; docs(user_id, doc_id, raw)."""
-    one = docs.select("user_id", "doc_id", F.explode(F.filter(F.split(F.lower("raw"), "[^a-z0-9]+"), lambda w: w != "")).alias("token"))
-    tf = one.groupBy("user_id", "doc_id", "token").agg(F.count("*").alias("tf"))
-    return tf.join(one.groupBy("user_id", "doc_id").agg(F.count("*").alias("n")), ["user_id", "doc_id"])
+    words = docs.select("user_id", "doc_id", F.filter(F.split(F.lower("raw"), "[^a-z0-9]+"), lambda w: w != "").alias("ws"))
+    one = words.select("user_id", "doc_id", F.size("ws").cast("long").alias("n"), F.explode("ws").alias("token"))
+    return one.groupBy("user_id", "doc_id", "token", "n").agg(F.count("*").alias("tf"))
 
 
 def bm25(queries: DataFrame, index: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 of queries(query_id, user_id, term) in their user's documents, over the query's best score.
 
-    Frequencies and lengths are the user's own. Only the index rows of asked terms are joined.
+    Frequencies and lengths are the user's own. Only the index rows of asked terms are joined. index is read several times: give a written one.
     """
     lengths = index.select("user_id", "doc_id", "n").distinct().groupBy("user_id").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
     df = index.groupBy("user_id", "token").agg(F.count("*").alias("df"))
@@ -83,7 +83,8 @@ def lexical_rescue(queries: DataFrame, memories: DataFrame, k: int = 20) -> Data
 
     queries(query_id, user_id, terms): the stated queries against all rows of their user, by importance, newest, id.
     """
-    rows = queries.join(memories, "user_id").where(F.exists("terms", lambda t: F.contains(F.lower(F.col("raw")), t)))
+    low = memories.select("user_id", "memory_id", "importance", "created_at", F.lower("raw").alias("low"))  # once a row, not once a pair
+    rows = queries.join(low, "user_id").where(F.exists("terms", lambda t: F.contains(F.col("low"), t)))
     return ranked(rows, ["query_id"], [F.col("importance").desc(), F.col("created_at").desc(), F.col("memory_id")], k).select("query_id", "memory_id", "rank")
 
 

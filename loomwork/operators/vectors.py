@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.scoring import ranked
 
+#: Rows of a user that a task holds of either side of a search.
+BLOCK = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,38 +29,67 @@ def checked(df: DataFrame, column: str, dimensions: int) -> DataFrame:
     return df.withColumn(column, F.when(bad, F.raise_error(F.lit(f"{column} must have {dimensions} dimensions"))).otherwise(F.col(column)))
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, salts: int = 1, least: float | None = None) -> DataFrame:
-    """(query_id, vec_id, user_id, similarity) for all pairs of a user: the stated query set against all rows.
+def _sized(df: DataFrame, name: str, block: int) -> DataFrame:
+    return df.groupBy("user_id").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+
+
+def similarities(queries: DataFrame, vectors: DataFrame, least: float | None = None, k: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(query_id, vec_id, user_id, similarity, other columns of vectors): the stated query set against all rows of its user.
 
-    queries(query_id, user_id, q unit vector), vectors(vec_id, user_id, v unit vector). A user with very many vectors is dealt
-    over `salts` tasks: vectors go to one salt each, the queries to all.
+    queries(query_id, user_id, q), vectors(vec_id, user_id, v) with unit vectors. Both sides of a user are dealt into blocks of
+    about `block` rows, however many the user has; a task multiplies one block with one block and gives only the pairs that reach
+    `least`, or each query's k best (and what ties with the last to six decimals). A row is not paired with itself.
     """
-    q = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    v = vectors.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
-    rows = q.join(v, ["user_id", "salt"]).select("query_id", "vec_id", "user_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("similarity"), *[c for c in vectors.columns if c not in ("vec_id", "user_id", "v")])
+    extra = [c for c in vectors.columns if c not in ("vec_id", "user_id", "v")]
+    sizes = _sized(queries, "qs", block).join(_sized(vectors, "vs", block), "user_id")
+    deal = lambda df, key, own, other: df.join(sizes, "user_id").withColumns({f"{own}_": F.pmod(F.xxhash64(key), F.col(own)).cast("int"), f"{other}_": F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+    q = deal(queries, "query_id", "qs", "vs").select(F.col("user_id").alias("q_user"), F.col("qs_").alias("q_qs"), F.col("vs_").alias("q_vs"), "query_id", "q")
+    v = deal(vectors, "vec_id", "vs", "qs").select("user_id", "qs_", "vs_", "vec_id", "v", *extra)
+    types = dict(vectors.dtypes) | dict(queries.dtypes)
+    fields = ["query_id", "vec_id", "user_id", *extra]
+    schema = ", ".join(f"`{c}` {types[c]}" for c in fields) + ", raw double"
+
+    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in [*fields, "raw"]})
+        s = np.vstack(left["q"]) @ np.vstack(right["v"]).T
+        s[left["query_id"].to_numpy()[:, None] == right["vec_id"].to_numpy()[None, :]] = -np.inf
+        floor = np.full(len(s), -2.0 if least is None else least - 1e-6)
+        if k is not None and k < s.shape[1]:
+            floor = np.maximum(floor, -np.partition(-s, k - 1, axis=1)[:, k - 1] - 1e-6)
+        i, j = np.nonzero(s >= floor[:, None])
+        out = right[["vec_id", "user_id", *extra]].iloc[j].reset_index(drop=True)
+        out.insert(0, "query_id", left["query_id"].to_numpy()[i])
+        return out.assign(raw=s[i, j])[[*fields, "raw"]]
+
+    pairs = q.groupBy("q_user", "q_qs", "q_vs").cogroup(v.groupBy("user_id", "qs_", "vs_")).applyInPandas(multiply, schema)
+    rows = pairs.select("query_id", "vec_id", "user_id", F.round("raw", 6).alias("similarity"), *extra)
     return rows if least is None else rows.where(F.col("similarity") >= least)
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, salts: int = 1) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query in its user's vectors, itself left out; equal similarities by id."""
-    pairs = similarities(queries, vectors, salts).where("query_id <> vec_id")
+    pairs = similarities(queries, vectors, k=k)
     return ranked(pairs, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], k).select("query_id", "vec_id", "similarity", "rank")
 
 
-def sign_buckets(vector: Column, planes: list[list[float]]) -> Column:
-    """The bits of a vector's side of each random plane, as one integer."""
-    bits = [F.when(dot(vector, F.array(*map(F.lit, p))) >= 0, 1 << i).otherwise(0) for i, p in enumerate(planes)]
-    return sum(bits[1:], bits[0])
+def sign_buckets(vector: Column, dimensions: int, tables: int, bits: int, seed: int) -> Column:
+    """array<int>: for each table the sides of `bits` random planes on which the vector lies, as one number."""
+    planes = np.random.default_rng(seed).normal(size=(dimensions, tables, bits))
+
+    @F.pandas_udf("array<int>")
+    def buckets(vs):
+        sides = np.einsum("nd,dtb->ntb", np.vstack(vs), planes) >= 0
+        return pd.Series(list((sides * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)))
+
+    return buckets(vector)
 
 
 def ann_candidates(queries: DataFrame, vectors: DataFrame, dimensions: int, tables: int = 8, bits: int = 3, seed: int = 7) -> DataFrame:
     """(query_id, vec_id) pairs of a user that fall on the same side of all planes in one of `tables` sets of random planes."""
-    import numpy as np
-
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dimensions)).round(6).tolist()
-    keys = lambda c: F.explode(F.array(*[F.struct(F.lit(t).alias("t"), sign_buckets(F.col(c), p).alias("b")) for t, p in enumerate(planes)]))
-    q, v = queries.withColumn("key", keys("q")), vectors.withColumn("key", keys("v"))
-    return q.join(v.select("user_id", "key", "vec_id"), ["user_id", "key"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
+    keys = lambda df, c: df.select("*", F.posexplode(sign_buckets(F.col(c), dimensions, tables, bits, seed)).alias("t", "bucket"))
+    q, v = keys(queries, "q"), keys(vectors, "v").select("user_id", "t", "bucket", "vec_id")
+    return q.join(v, ["user_id", "t", "bucket"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
 
 
 def recall_at_k(exact: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from loomwork.operators import dedup as D
 from loomwork.operators import vectors as X
 from loomwork.operators.scoring import ranked
 from loomwork.plans.registry import query
+from loomwork.session import written
 from loomwork.sources.views import NOW, view, view_sql
 
 M, V = view_sql("memories"), view_sql("vectors")
@@ -24,7 +25,7 @@ def units(spark, d):
 def near_pairs(spark, d, least=LEAST):
     v = units(spark, d)
     q = v.select(F.col("vec_id").alias("query_id"), "user_id", F.col("v").alias("q"))
-    rows = X.similarities(q, v.select("vec_id", "user_id", "v"), salts=2, least=least).where("query_id < vec_id")
+    rows = X.similarities(q, v.select("vec_id", "user_id", "v"), least=least).where("query_id < vec_id")
     return rows.select("user_id", F.col("query_id").alias("left_id"), F.col("vec_id").alias("right_id"), "similarity")
 
 
@@ -47,7 +48,7 @@ def similar_pairs(spark, d):
 def knn(spark, d):
     v = units(spark, d)
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "user_id", F.col("v").alias("q"))
-    return X.knn(q, v.select("vec_id", "user_id", "v"), 10, salts=2)
+    return X.knn(q, v.select("vec_id", "user_id", "v"), 10)
 
 
 @query(V + f", p as (select a.vec_id as query_id, b.model_id, b.vec_id, {COS} as similarity from vectors a join vectors b on a.user_id = b.user_id and a.vec_id <> b.vec_id where a.vec_id % 20 = 0) select query_id, model_id, vec_id, similarity, rank::int as rank from (select *, row_number() over (partition by query_id, model_id order by similarity desc, vec_id) as rank from p) where rank <= 5")
@@ -97,7 +98,7 @@ reach as (select node, min(least(node, other)) as cluster from (with recursive r
 means as (select cluster, id, round(avg(similarity), 9) as mean from ends group by 1, 2)
 select n.cluster, (select count(*) from means m where m.cluster = n.cluster) as size, count(*) as links, round(avg(similarity), 6) as avg_similarity, min(similarity) as min_similarity, (select arg_max(id, (mean, -id)) from means m where m.cluster = n.cluster) as centroid from named n group by n.cluster""")
 def duplicate_clusters(spark, d):
-    return D.duplicate_clusters(near_pairs(spark, d))
+    return D.duplicate_clusters(written(near_pairs(spark, d), "pairs"))
 
 
 _WORD = " or ".join(f"contains(lower(coalesce(raw, '')), '{w}')" for w in [*D.PROTECTED_WORDS, "thing"])
@@ -132,7 +133,7 @@ def merge_duplicates(spark, d):
 
 @query(V + PAIRS + _CC + ", c as (select r.cluster, min(similarity) as m, bool_or(left_id % 7 = 0) as p, bool_and(left_id % 5 <> 0) as a, bool_or(left_id % 3 = 0) as v from near n join reach r on r.node = n.left_id group by 1) select cluster, case when p then 'skip' when m + 0.5::double >= 0.88 and a then 'merge' when m + 0.5::double >= 0.82 and not v then 'resolve' when m + 0.5::double >= 0.80 then 'merge' else 'review' end as decision from c")
 def cluster_decision(spark, d):
-    p = near_pairs(spark, d)
+    p = written(near_pairs(spark, d), "pairs")
     members = D.connected_components(p, "left_id", "right_id")
     c = p.join(members.withColumnRenamed("node", "left_id"), "left_id").groupBy(F.col("component").alias("cluster")).agg(
         F.min("similarity").alias("m"), F.max(F.col("left_id") % 7 == 0).alias("p"), F.min(F.col("left_id") % 5 != 0).alias("a"), F.max(F.col("left_id") % 3 == 0).alias("v"))

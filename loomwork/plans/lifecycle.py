@@ -8,6 +8,7 @@ from loomwork.operators import lifecycle as L
 from loomwork.operators.analytics import count_if
 from loomwork.plans.deduping import LEAST, PAIRS, near_pairs
 from loomwork.plans.registry import query
+from loomwork.session import written
 from loomwork.sources.views import NOW, view, view_sql
 
 M, V = view_sql("memories"), view_sql("vectors")
@@ -20,7 +21,7 @@ scan as (select v.vec_id as id, coalesce(r.cluster, b.cluster) as cluster, case
 
 
 def links(spark, d, least=EPS):
-    p = near_pairs(spark, d, least)
+    p = written(near_pairs(spark, d, least), "pairs")
     return p.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomwork.operators import searching as S
 from loomwork.operators.predicates import survivors
 from loomwork.plans.registry import query
+from loomwork.session import written
 from loomwork.sources.views import NOW, view, view_sql
 
 M, H = view_sql("memories"), view_sql("hits")
@@ -21,7 +22,7 @@ def asked(spark, d):
 
 
 def index(spark, d):
-    return S.tokens(view(spark, d, "memories").select("user_id", F.col("memory_id").alias("doc_id"), "raw"))
+    return written(S.tokens(view(spark, d, "memories").select("user_id", F.col("memory_id").alias("doc_id"), "raw")), "index")
 
 
 _BM = _Q + _IDX + """, us as (select user_id, count(*) as docs, avg(n) as mean from ln group by 1), df as (select user_id, token, count(*) as df from idx group by 1, 2),
