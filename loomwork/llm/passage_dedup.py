@@ -250,12 +250,13 @@ def verified(docs: DataFrame, candidates: DataFrame, threshold: float, id_col: s
     return dealt.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(compare, "u long, v long")
 
 
-def repeated_passages(docs: DataFrame, threshold: float = 0.8, min_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, threshold: float = 0.8, min_words: int = 20, min_run: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, start_word, n_words, cluster_id, kept): the paragraphs and passages that occur in several documents.
 
     Words are runs without ASCII white space, numbered from 0 in their text. kind is `paragraph` for a line of min_words or
     more whose cluster (similarity of threshold or more, by links) spans documents, `passage` for a run of repeated
-    segments of min_words or more. kept is true for a cluster's first paragraph, by id and place, and for a passage that has a
+    segments of min_run words or more: of a copied passage the run lacks what stands before its first and behind its last place
+    of a cut. kept is true for a cluster's first paragraph, by id and place, and for a passage that has a
     segment which no earlier document has; the others can be removed. Null and empty texts have none. Rows that repeat an id are one
     document. An empty table gives an empty one. The id is cast to long; rows with a null id are left out.
     """
@@ -278,7 +279,7 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, min_words: int =
     again = again.withColumn("run", F.sum("apart").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     run = Window.partitionBy("id", "run")
     again = again.withColumns({"first": F.min("start").over(run), "end": F.max(F.col("start") + F.col("words")).over(run)})
-    again = again.where(F.col("end") - F.col("first") >= min_words).withColumn("before", F.lag("hash").over(Window.partitionBy("id", "run").orderBy("start", "hash")))
+    again = again.where(F.col("end") - F.col("first") >= min_run).withColumn("before", F.lag("hash").over(Window.partitionBy("id", "run").orderBy("start", "hash")))
     again = written(again.select("id", "run", "start", "hash", "before", "first", "end", "holder"), "repeated")
     beside = again.where("before is not null").select(F.col("hash").alias("u"), F.col("before").alias("v"))
 
