@@ -255,3 +255,25 @@ def score_bands(df: DataFrame, score: str = "effective") -> DataFrame:
     """(user_id, low, middle, high): rows under 0.3, under 0.6, and the rest."""
     s = F.col(score)
     return df.groupBy("user_id").agg(count_if(s < 0.3).alias("low"), count_if((s >= 0.3) & (s < 0.6)).alias("middle"), count_if(s >= 0.6).alias("high"))
+
+
+def drift(old: DataFrame, new: DataFrame, flag: float = 0.15) -> DataFrame:
+    """(model_id, n, avg_drift, max_drift, flagged): 1 - cosine of each memory's two unit vectors of a model; old and new(vec_id, model_id, v)."""
+    from loomwork.operators.vectors import dot
+
+    rows = old.join(new.withColumnRenamed("v", "w"), ["vec_id", "model_id"]).withColumn("d", F.round(1 - dot(F.col("v"), F.col("w")), 6))
+    return rows.groupBy("model_id").agg(F.count("*").alias("n"), F.round(F.avg("d"), 5).alias("avg_drift"), F.max("d").alias("max_drift"), count_if(F.col("d") > flag).alias("flagged"))
+
+
+def completeness(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(user_id, field, share): how many of a user's rows have each field."""
+    per = df.groupBy("user_id").agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in fields])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.round(F.col(c) / F.col("n"), 6).alias("share")) for c in fields])).alias("f")
+    return per.select("user_id", each).select("user_id", "f.*")
+
+
+def user_detail(df: DataFrame, calls: DataFrame) -> DataFrame:
+    """(user_id, memories, layers, calls, last_call as epoch seconds) of two tables; users without calls stay."""
+    m = df.groupBy("user_id").agg(F.count("*").alias("memories"), F.countDistinct("layer").alias("layers"))
+    c = calls.groupBy("user_id").agg(F.count("*").alias("calls"), F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("last_call"))
+    return m.join(c, "user_id", "left").fillna(0, ["calls"])

@@ -248,3 +248,37 @@ def parse_time(text: Column, now: str) -> Column:
     for condition, value in reversed(rules):
         out = F.when(condition, value).otherwise(out)
     return out
+
+
+def observed_layer(text: Column, signs: Column) -> Column:
+    """IDENTITY for a preference or a statement about oneself, PROJECT for project words, else SESSION; signs as importance_signs gives them."""
+    about = matches(text, r"\bi (am|'m) a\b") | matches(text, r"\bmy (name|birthday|job|wife|husband|family)\b")
+    return F.when(F.array_contains(signs, "preference") | about, "IDENTITY").when(any_of(text, LAYER_PATTERNS["PROJECT"]), "PROJECT").otherwise("SESSION")
+
+
+def importance_band(score: Column) -> Column:
+    return F.when(score >= 0.9, "critical").when(score >= 0.7, "high").when(score >= 0.5, "medium").otherwise("low")
+
+
+def predict_topics(current: DataFrame, related: DataFrame, k: int = 3) -> DataFrame:
+    """(memory_id, topic, confidence, rank): topics related to the current ones at half their score, none of them current, the k best."""
+    rows = current.join(related, "topic").select("memory_id", F.col("related").alias("topic"), F.round(F.col("score") * 0.5, 6).alias("confidence"))
+    new = rows.join(current.select("memory_id", "topic"), ["memory_id", "topic"], "left_anti").groupBy("memory_id", "topic").agg(F.max("confidence").alias("confidence"))
+    rank = F.row_number().over(Window.partitionBy("memory_id").orderBy(F.col("confidence").desc(), "topic"))
+    return new.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def insight_salience(insights: DataFrame, terms: DataFrame, now: str, k: int = 3, least: float = 0.05) -> DataFrame:
+    """(query_id, memory_id, salience, rank): (.3 for each term in the text + .2 for each in the topics) * confidence * age and repetition factors.
+
+    insights(memory_id, user_id, raw, tags, confidence, created_at, shown), terms(query_id, user_id, term): the stated queries against their user's insights.
+    """
+    from loomwork.operators.analytics import hours_before
+
+    low = insights.withColumn("low", F.lower("raw"))
+    days = hours_before(now, F.col("created_at")) / 24
+    factor = F.col("confidence") * F.greatest(F.lit(0.1), 1 - days / 14) * F.greatest(F.lit(0.1), 1 - 0.2 * F.col("shown"))
+    hit = F.when(F.contains("low", F.col("term")), 0.3).otherwise(0.0) + F.when(F.array_contains("tags", F.col("term")), 0.2).otherwise(0.0)
+    rows = terms.join(low, "user_id").groupBy("query_id", "memory_id").agg(F.round(F.sum(hit * factor), 6).alias("salience")).where(F.col("salience") >= least)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("salience").desc(), "memory_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)

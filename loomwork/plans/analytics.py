@@ -170,3 +170,23 @@ def score_bands(spark, d):
 @query(C + " select agent_id, arg_max(event_id, (ts, event_id)) as event_id, arg_max(value, (ts, event_id)) as value from calls group by agent_id")
 def latest_snapshot(spark, d):
     return A.latest_by(view(spark, d, "calls").select("agent_id", "event_id", "value", "ts"), ["agent_id"], ["ts", "event_id"]).select("agent_id", "event_id", "value")
+
+
+@query(V + ", n as (select vec_id, model_id, embedding, list_transform(embedding::double[], lambda x, i: x + (case when i % 4 = 1 then 0.05::double * (vec_id % 5) else 0 end)) as moved from vectors), r as (select model_id, round(1 - list_cosine_similarity(embedding::double[], moved), 6) as d from n) select model_id, count(*) as n, round(avg(d), 5) as avg_drift, max(d) as max_drift, count(*) filter (d > 0.005::double) as flagged from r group by 1")
+def embedding_drift(spark, d):
+    from loomwork.operators.vectors import unit
+
+    v = view(spark, d, "vectors")
+    moved = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i % 4 == 0, 0.05 * (F.col("vec_id") % 5)).otherwise(0.0))
+    return A.drift(v.select("vec_id", "model_id", unit(F.col("embedding")).alias("v")), v.select("vec_id", "model_id", unit(moved).alias("v")), 0.005)
+
+
+@query(M + ", p as (select user_id, count(*) as n, count(memory_type) as memory_type, count(observed_at) as observed_at, count(last_used_at) as last_used_at from memories group by 1) select user_id, unnest(['memory_type', 'observed_at', 'last_used_at']) as field, unnest([round(memory_type / n, 6), round(observed_at / n, 6), round(last_used_at / n, 6)]) as share from p")
+def completeness(spark, d):
+    return A.completeness(view(spark, d, "memories"), ["memory_type", "observed_at", "last_used_at"])
+
+
+@query(M + ", m as (select cast(substr(user_id, 4) as bigint) as user_id, count(*) as memories, count(distinct layer) as layers from memories group by 1), c as (select user_id, count(*) as calls, floor(epoch(max(ts)))::bigint as last_call from events group by 1) select m.user_id, memories, layers, coalesce(calls, 0) as calls, last_call from m left join c on c.user_id = m.user_id")
+def user_detail(spark, d):
+    m = view(spark, d, "memories").withColumn("user_id", F.expr("try_cast(substring(user_id, 4) as bigint)"))
+    return A.user_detail(m, view(spark, d, "calls"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import texts as T
 from loomwork.plans.registry import query
+from loomwork.sources.views import NOW, view, view_sql
 
 
 def _sql(p: str) -> str:
@@ -125,3 +126,28 @@ def _time_sql() -> str:
 def parse_time(spark, d):
     rows = told(spark, d).withColumn("p", T.parse_time(F.col("t"), "2024-01-31 15:30:00"))
     return rows.select("conv_id", "turn", "p.start", "p.end", "p.soft")
+
+
+_ABOUT = "(" + _sql(r"\bi (am|'m) a\b") + " or " + _sql(r"\bmy (name|birthday|job|wife|husband|family)\b") + ")"
+
+
+@query(f"{TOLD} select conv_id, turn, case when {_any(T.PREFERENCE_SIGNS)} or {_ABOUT} then 'IDENTITY' when {_any(T.LAYER_PATTERNS['PROJECT'])} then 'PROJECT' else 'SESSION' end as layer, case when conv_id % 11 >= 9 then 'critical' when conv_id % 11 >= 7 then 'high' when conv_id % 11 >= 5 then 'medium' else 'low' end as band from told")
+def observed_layer(spark, d):
+    t = told(spark, d)
+    return t.select("conv_id", "turn", T.observed_layer(F.col("t"), T.importance_signs(F.col("t"))).alias("layer"), T.importance_band((F.col("conv_id") % 11) / 10).alias("band"))
+
+
+@query("with c as (select doc_id as memory_id, 't' || (doc_id % 7) as topic, cast((doc_id * 37) % 101 as double) / 100 as score from documents union select doc_id, 't' || (doc_id % 5), cast((doc_id * 53) % 101 as double) / 100 from documents where doc_id % 5 <> doc_id % 7), r(topic, related) as (select 't' || a, 't' || ((a + b) % 7) from range(7) x(a), range(1, 4) y(b)), n as (select memory_id, related as topic, max(round(score * 0.5::double, 6)) as confidence from c join r using (topic) where not exists (select 1 from c c2 where c2.memory_id = c.memory_id and c2.topic = related) group by 1, 2) select memory_id, topic, confidence, rank::int as rank from (select *, row_number() over (partition by memory_id order by confidence desc, topic) as rank from n) where rank <= 3")
+def predict_topics(spark, d):
+    i = F.col("doc_id")
+    one = docs(spark, d).select(i.alias("memory_id"), F.concat(F.lit("t"), i % 7).alias("topic"), ((i * 37 % 101).cast("double") / 100).alias("score"))
+    two = docs(spark, d).where("doc_id % 5 <> doc_id % 7").select(i.alias("memory_id"), F.concat(F.lit("t"), i % 5).alias("topic"), ((i * 53 % 101).cast("double") / 100).alias("score"))
+    related = spark.createDataFrame([(f"t{a}", f"t{(a + b) % 7}") for a in range(7) for b in range(1, 4)], "topic string, related string")
+    return T.predict_topics(one.unionAll(two).distinct(), related)
+
+
+@query(view_sql("memories") + f", t as (select memory_id as query_id, user_id, unnest(['tag' || (memory_id % 6), 'the', 'que']) as term from memories where memory_id % 20 = 0), h as (select query_id, m.memory_id, (case when contains(lower(raw), term) then 0.3::double else 0 end + case when list_contains(tags, term) then 0.2::double else 0 end) * confidence * greatest(0.1::double, 1 - epoch(timestamp '{NOW}' - created_at) / 86400 / 14) * greatest(0.1::double, 1 - 0.2::double * retrieval_count) as s from t join memories m using (user_id)), g as (select query_id, memory_id, round(sum(s), 6) as salience from h group by 1, 2 having round(sum(s), 6) >= 0.05::double) select query_id, memory_id, salience, rank::int as rank from (select *, row_number() over (partition by query_id order by salience desc, memory_id) as rank from g) where rank <= 3")
+def insight_salience(spark, d):
+    m = view(spark, d, "memories")
+    terms = m.where("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "user_id", F.explode(F.array(F.concat(F.lit("tag"), F.col("memory_id") % 6), F.lit("the"), F.lit("que"))).alias("term"))
+    return T.insight_salience(m.withColumn("shown", F.col("retrieval_count")), terms, NOW)
