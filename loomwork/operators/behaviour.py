@@ -195,3 +195,24 @@ def capability_check(tasks: DataFrame, profile: DataFrame, least: float = 0.3) -
     rows = words.join(profile, "agent_id").where(F.lower("domain").contains(F.col("w")) | F.col("w").contains(F.lower("domain")))
     low = rows.groupBy("task_id").agg(F.min("confidence").alias("lowest"))
     return low.withColumn("risky", F.col("lowest") < least)
+
+
+def team_capabilities(rows: DataFrame, keywords: DataFrame, k: int = 50, per_hit: float = 0.3) -> DataFrame:
+    """(capability, score, contributors): keyword hits of each agent's k most important rows(agent_id, memory_id, raw, importance), meaned over agents.
+
+    keywords(capability, word) meet the rows' words by equality.
+    """
+    top = ranked(rows, ["agent_id"], [F.col("importance").desc(), F.col("memory_id")], k)
+    words = top.select("agent_id", F.explode(F.array_distinct(F.split(F.lower("raw"), "[^a-z0-9]+"))).alias("word"))
+    hits = words.join(keywords, "word").groupBy("agent_id", "capability").agg(F.least(F.lit(1.0), F.count("*") * per_hit).alias("s"))
+    return hits.groupBy("capability").agg(F.round(F.avg("s"), 6).alias("score"), F.count("*").alias("contributors"))
+
+
+def similar_tasks(queries: DataFrame, tasks: DataFrame, k: int = 5, words: int = 3, similarity: float = 0.5) -> DataFrame:
+    """(query_id, task_id, similarity, rank): tasks of the query's domain whose reason has the query's first words, at a fixed similarity, newest first.
+
+    The fallback of a vector search on tasks: queries(query_id, domain, text), tasks(task_id, domain, reason, created_at).
+    """
+    phrase = F.lower(F.array_join(F.slice(F.split("text", " "), 1, words), " "))
+    rows = queries.select("query_id", "domain", phrase.alias("phrase")).join(tasks.withColumn("low", F.lower("reason")), "domain").where(F.contains("low", F.col("phrase")))
+    return ranked(rows, ["query_id"], [F.col("created_at").desc(), F.col("task_id")], k).select("query_id", "task_id", F.lit(similarity).alias("similarity"), "rank")

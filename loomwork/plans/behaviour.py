@@ -149,3 +149,17 @@ def capability_check(spark, d):
 @query(K + " select agent_id, domain, arg_max(outcome, (created_at, task_id)) as outcome, arg_max(task_id, (created_at, task_id)) as task_id from tasks group by 1, 2")
 def latest_by_area(spark, d):
     return B.latest_by(tasks(spark, d).select("agent_id", "domain", "outcome", "task_id", "created_at"), ["agent_id", "domain"], ["created_at", "task_id"]).drop("created_at")
+
+
+_KEYS = [("speech", "the"), ("speech", "and"), ("travel", "que"), ("travel", "der"), ("code", "of")]
+
+
+@query(M + ", k(capability, word) as (values " + ", ".join(f"('{c}', '{w}')" for c, w in _KEYS) + "), t as (select *, row_number() over (partition by agent_id order by importance desc, memory_id) as r from memories), w as (select agent_id, memory_id, unnest(list_distinct(regexp_split_to_array(lower(raw), '[^a-z0-9]+'))) as word from t where r <= 50), h as (select agent_id, capability, least(1.0::double, count(*) * 0.3::double) as s from w join k using (word) group by 1, 2) select capability, round(avg(s), 6) as score, count(*) as contributors from h group by 1")
+def team_capabilities(spark, d):
+    return B.team_capabilities(view(spark, d, "memories").select("agent_id", "memory_id", "raw", "importance"), spark.createDataFrame(_KEYS, "capability string, word string"))
+
+
+@query(K + ", q as (select task_id as query_id, domain, array_to_string(string_split(reason, ' ')[1:3], ' ') as phrase from tasks where task_id % 200 = 0), r as (select query_id, t.task_id, row_number() over (partition by query_id order by created_at desc, t.task_id) as rank from q join tasks t on t.domain = q.domain and contains(lower(reason), lower(phrase))) select query_id, task_id, 0.5::double as similarity, rank::int as rank from r where rank <= 5")
+def similar_tasks(spark, d):
+    t = tasks(spark, d)
+    return B.similar_tasks(t.where("task_id % 200 = 0").select(F.col("task_id").alias("query_id"), "domain", F.col("reason").alias("text")), t)

@@ -61,3 +61,11 @@ def test_aggregates(spark, calls, stream):
 def test_hashes(spark, calls, stream):
     texts = stream.select("ts", F.concat(F.lit(" T"), F.col("event_id") % 7).alias("raw"))
     assert run(spark, O.incremental_hashes(texts, "40 days"), "hashes").count() == 7
+
+
+def test_routes(spark, calls, stream):
+    from loomwork.operators.predicates import route_events
+
+    subs = spark.createDataFrame([(1, "view", None, None, 0.5), (2, "click", ["a"], None, None), (3, "error", None, ["t1"], None)], "subscription_id int, event_type string, filter_layers array<string>, filter_tags array<string>, min_importance double")
+    shape = lambda df: df.select("event_id", "event_type", F.when(F.col("k") % 2 == 0, "a").otherwise("b").alias("layer"), F.array(F.concat(F.lit("t"), F.col("k") % 3)).alias("tags"), (F.col("k") / 100).alias("importance"))
+    same(run(spark, route_events(shape(stream), subs), "routes"), route_events(shape(calls), subs), ["event_id", "subscription_id"])
