@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.analytics import count_if, hours_before, latest_by
+from loomwork.operators.vectors import knn
 from loomwork.operators.scoring import experience_weight, ranked
 
 # Weights of outcomes.
@@ -216,3 +217,14 @@ def similar_tasks(queries: DataFrame, tasks: DataFrame, k: int = 5, words: int =
     phrase = F.lower(F.array_join(F.slice(F.split("text", " "), 1, words), " "))
     rows = queries.select("query_id", "domain", phrase.alias("phrase")).join(tasks.withColumn("low", F.lower("reason")), "domain").where(F.contains("low", F.col("phrase")))
     return ranked(rows, ["query_id"], [F.col("created_at").desc(), F.col("task_id")], k).select("query_id", "task_id", F.lit(similarity).alias("similarity"), "rank")
+
+
+def similar_tasks_by_vector(queries: DataFrame, tasks: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, task_id, similarity, rank): the k tasks nearest to each query by cosine, over all tasks; queries without a vector fall back to text.
+
+    queries(query_id, domain, text, q), tasks(task_id, domain, reason, created_at, v) with unit vectors or null. Both sides are dealt into blocks.
+    """
+    whole = F.lit(0).alias("user_id")
+    known = tasks.where("v is not null").select(F.col("task_id").alias("vec_id"), whole, "v")
+    near = knn(queries.where("q is not null").select("query_id", whole, "q"), known, k).withColumnRenamed("vec_id", "task_id")
+    return near.unionByName(similar_tasks(queries.where("q is null"), tasks, k))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwork.operators import behaviour as B
+from loomwork.operators.vectors import unit
 from loomwork.plans.registry import query
 from loomwork.sources.views import NOW, view, view_sql
 
@@ -163,3 +164,13 @@ def team_capabilities(spark, d):
 def similar_tasks(spark, d):
     t = tasks(spark, d)
     return B.similar_tasks(t.where("task_id % 200 = 0").select(F.col("task_id").alias("query_id"), "domain", F.col("reason").alias("text")), t)
+
+
+_TV = ", t as (select task_id, domain, reason, created_at, embedding from tasks left join embeddings on vec_id = task_id), q as (select task_id as query_id, domain, array_to_string(string_split(reason, ' ')[1:3], ' ') as phrase, case when task_id % 40 <> 0 then embedding end as q from t where task_id % 20 = 0), n as (select query_id, task_id, round(list_cosine_similarity(q::double[], embedding::double[]), 6) as similarity from q join t on q is not null and embedding is not null and query_id <> task_id), a as (select *, row_number() over (partition by query_id order by similarity desc, task_id) as rank from n), b as (select query_id, task_id, 0.5::double as similarity, row_number() over (partition by query_id order by created_at desc, task_id) as rank from q join t on t.domain = q.domain and contains(lower(reason), lower(phrase)) where q is null)"
+
+
+@query(K + _TV + " select query_id, task_id, similarity, rank::int as rank from a where rank <= 5 union all select query_id, task_id, similarity, rank::int from b where rank <= 5")
+def similar_tasks_by_vector(spark, d):
+    t = tasks(spark, d).join(view(spark, d, "vectors").select(F.col("vec_id").alias("task_id"), unit(F.col("embedding")).alias("v")), "task_id", "left")
+    q = t.where("task_id % 20 = 0").select(F.col("task_id").alias("query_id"), "domain", F.col("reason").alias("text"), F.when(F.col("task_id") % 40 != 0, F.col("v")).alias("q"))
+    return B.similar_tasks_by_vector(q, t)

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("analytics", "timelines", "reconciling", "scoring", "deduping", "lifecycle", "graphs", "behaviour", "searching", "ingesting", "texts", "evaluating", "streams")
+_MODULES = ("analytics", "timelines", "reconciling", "scoring", "deduping", "lifecycle", "graphs", "behaviour", "searching", "ingesting", "texts", "extracting", "evaluating", "streams")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
