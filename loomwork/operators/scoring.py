@@ -375,3 +375,53 @@ def importance_after(events: DataFrame) -> DataFrame:
 
 def layer_decay(layer: Column, days: Column) -> Column:
     return F.coalesce(*[F.when(layer == x, F.exp(-r * days)) for x, r in DECAY_RATES.items()], F.lit(1.0))
+
+
+def bounded_first_fit(items: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """first_fit for groups of any size, without rows marked always; items cost a token or more.
+
+    What is left of a budget never grows, so once an item is passed over, all later ones of its size are. Of each size only the
+    first budget / size items can be taken: these, at most budget * (1 + ln budget) for a group, are all that the fold sees.
+    """
+    sized = items.where(F.col("tokens").between(1, budget))
+    first = ranked(sized, [*keys, "tokens"], [F.col("place"), F.col("item")], budget).where(F.col("rank") <= F.floor(F.lit(budget) / F.col("tokens")))
+    return first_fit(first.select(*keys, "place", "item", "tokens", F.lit(False).alias("always")), keys, budget)
+
+
+# Sections of a context with their tier and order, tiers with their share of the budget.
+SECTIONS = {"lessons": ("critical", 0), "identity": ("critical", 1), "recent": ("relevant", 2), "projects": ("background", 3)}
+TIER_SHARES = {"critical": 0.4, "relevant": 0.4, "background": 0.2}
+
+
+def context_sections(memories: DataFrame, accesses: DataFrame, near: DataFrame, now: str, budget: int, least: float = 0.3, stale_days: int = 14, recent_days: int = 7) -> DataFrame:
+    """(user_id, memory_id, section, tier, place): what goes into each user's context, tier by tier within its share of the token budget.
+
+    memories(user_id, memory_id, raw, effective, layer, memory_type, safety_critical, created_at, superseded_by, consolidated_into),
+    accesses(memory_id, ts), near(left_id, right_id): pairs of the same content, by vectors or by words. Weak, replaced and stale memories (old, and
+    not accessed since) are left out; of a near pair the one with the lower score goes, of equal ones the larger id. Within a tier,
+    sections stand in order, then higher scores; one that no longer fits is passed over. A token is four characters.
+    """
+    time = lambda days: F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")
+    live = memories.where((F.col("effective") >= least) & F.col("superseded_by").isNull() & F.col("consolidated_into").isNull())
+    touched = accesses.where(F.col("ts") >= time(stale_days)).select("memory_id").distinct().withColumn("touched", F.lit(True))
+    live = live.join(touched, "memory_id", "left").where((F.col("created_at") >= time(stale_days)) | F.col("touched"))
+    lesson = F.coalesce(F.col("memory_type").isin("LESSON", "CONSTRAINT"), F.lit(False)) | F.col("safety_critical")
+    project = (F.col("layer") == "PROJECT") | F.coalesce(F.col("memory_type") == "TASK", F.lit(False))
+    section = F.when(F.col("created_at") >= time(recent_days), "recent").when(lesson, "lessons").when(project, "projects").otherwise("identity")
+    rows = live.select("user_id", "memory_id", "effective", section.alias("section"), F.ceil(F.length("raw") / 4.0).alias("tokens"))
+    score = rows.select("memory_id", "effective")
+    pairs = near.join(score.withColumnsRenamed({"memory_id": "left_id", "effective": "le"}), "left_id").join(score.withColumnsRenamed({"memory_id": "right_id", "effective": "re"}), "right_id")
+    left_goes = (F.col("le") < F.col("re")) | ((F.col("le") == F.col("re")) & (F.col("left_id") > F.col("right_id")))
+    lost = pairs.where("left_id <> right_id").select(F.when(left_goes, F.col("left_id")).otherwise(F.col("right_id")).alias("memory_id")).distinct()
+    rows = rows.join(lost, "memory_id", "left_anti")
+    tier = F.create_map(*[F.lit(x) for name, (t, _) in SECTIONS.items() for x in (name, t)])
+    order = F.create_map(*[F.lit(x) for name, (_, n) in SECTIONS.items() for x in (name, n)])
+    rows = rows.withColumn("tier", tier[F.col("section")])
+    place = (order[F.col("section")] * 2_000_001 + F.round((1 - F.col("effective")) * 1_000_000)).cast("long")
+    items = rows.select("user_id", "tier", "section", place.alias("place"), F.col("memory_id").cast("long").alias("item"), "tokens")
+    kept = [bounded_first_fit(items.where(F.col("tier") == t), ["user_id", "tier"], int(budget * share)) for t, share in TIER_SHARES.items()]
+    kept = kept[0].unionByName(kept[1]).unionByName(kept[2]).withColumnRenamed("item", "memory_id")
+    named = F.create_map(*[F.lit(x) for name, (_, n) in SECTIONS.items() for x in (n, name)])
+    kept = kept.withColumn("section", named[F.floor(F.col("place") / 2_000_001).cast("int")])
+    at = F.row_number().over(Window.partitionBy("user_id", "tier").orderBy("place", "memory_id"))
+    return kept.select("user_id", "memory_id", "section", "tier", at.alias("place"))

@@ -149,3 +149,19 @@ def recall(vector_hits: DataFrame, text_hits: DataFrame, rescued: DataFrame, mem
     rows = rows.withColumn("score", F.round(blended, 6))
     order = [F.col("score").desc(), F.coalesce("vector_score", F.lit(-1.0)).desc(), F.col("importance").desc(), F.col("created_at").desc(), F.col("memory_id")]
     return ranked(rows, ["query_id"], order, limit).select("query_id", "memory_id", "score", "rank")
+
+
+def recall_multi(hits: DataFrame, memories: DataFrame, now: str, limit: int = 10) -> DataFrame:
+    """(query_id, memory_id, score, rank): the lists of a query's variants fused by their sources' weights, blended with importance, use and tier.
+
+    hits(query_id, variant, source, doc_id, rank), memories(memory_id, importance, user_pinned, created_at, last_retrieved_at, retrieval_count, used_count,
+    last_used_at). Score: usage_weight of (0.8 fused + 0.2 importance) * tier_weight.
+    """
+    from loomwork.operators.analytics import hours_before
+    from loomwork.operators.scoring import tier_weight, usage_weight, weighted_rrf
+
+    rows = weighted_rrf(hits).withColumnRenamed("doc_id", "memory_id").join(memories, "memory_id")
+    blended = (0.8 * F.col("fused") + 0.2 * F.coalesce("importance", F.lit(0.0))) * tier_weight(now)
+    score = usage_weight(blended, F.col("used_count"), hours_before(now, F.col("last_used_at")) / 24, F.lit(0))
+    rows = rows.select("query_id", "memory_id", F.round(score, 6).alias("score"))
+    return ranked(rows, ["query_id"], [F.col("score").desc(), F.col("memory_id")], limit)

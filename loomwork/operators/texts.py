@@ -282,3 +282,53 @@ def insight_salience(insights: DataFrame, terms: DataFrame, now: str, k: int = 3
     rows = terms.join(low, "user_id").groupBy("query_id", "memory_id").agg(F.round(F.sum(hit * factor), 6).alias("salience")).where(F.col("salience") >= least)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("salience").desc(), "memory_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+# Month names by their first three letters, week days from Sunday.
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+WEEK_DAYS = ["sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday"]
+_MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+_DAY = r"([0-9]{1,2})(?:st|nd|rd|th)?"
+DATE_FORMS = {
+    "ago": r"^(a|an|one|[0-9]{1,4})\s+(day|week|month|year)s?\s+ago$", "last": r"^last\s+(week|month|year)$", "this": r"^this\s+(week|month|year)$",
+    "last_day": "^last\\s+(" + "|".join(WEEK_DAYS) + ")$", "on_day": "^(?:on\\s+)?(" + "|".join(WEEK_DAYS) + ")$",
+    "month_first": rf"^{_MONTH}\s+{_DAY},?\s+([0-9]{{4}})$", "day_first": rf"^{_DAY}\s+{_MONTH},?\s+([0-9]{{4}})$", "month_only": rf"^{_MONTH}\s+([0-9]{{4}})$",
+    "numbers": r"^([0-9]{1,2})[/-]([0-9]{1,2})[/-]([0-9]{4})$",
+}
+
+
+def parse_date(text: Column, now: str) -> Column:
+    """The date that a whole text names: ISO, relative words, week days, month names or m/d/y; null for other texts.
+
+    Months and years ago end on the month's last day where it is shorter; days past a month's end run into the next. Weeks start on
+    Sunday. A year outside 1900 to 2100 behind a month's name gives null.
+    """
+    t, day = F.lower(F.trim(F.coalesce(text, F.lit("")))), F.lit(now).cast("date")
+    got = lambda form, i: F.regexp_extract(t, DATE_FORMS[form], i)
+    is_form = lambda form: t.rlike(DATE_FORMS[form])
+    months = F.array(*map(F.lit, MONTHS))
+    month = lambda c: F.array_position(months, F.substring(c, 1, 3))
+    number = lambda c: c.try_cast("int")
+
+    def back(n: Column, unit: Column) -> Column:
+        return F.when(unit == "day", F.date_sub(day, n)).when(unit == "week", F.date_sub(day, n * 7)).when(unit == "month", F.add_months(day, -n)).when(unit == "year", F.add_months(day, n * -12))
+
+    def made(y: Column, m: Column, d: Column, named: bool = True) -> Column:
+        ok = m.between(1, 12) & d.between(1, 31)
+        return F.when(ok & (y.between(1900, 2100) if named else F.lit(True)), F.date_add(F.make_date(y, F.when(ok, m).cast("int"), F.lit(1)), d - 1))
+
+    since = lambda form: (F.dayofweek(day) - F.array_position(F.array(*map(F.lit, WEEK_DAYS)), got(form, 1)) + 7) % 7
+    period = got("this", 1)
+    begun = F.when(period == "week", F.date_sub(day, F.dayofweek(day) - 1)).when(period == "month", F.trunc(day, "month")).when(period == "year", F.trunc(day, "year"))
+    n = F.when(got("ago", 1).isin("a", "an", "one"), 1).otherwise(number(got("ago", 1)))
+    return (
+        F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}($|[t ][0-9]{2}:[0-9]{2})"), F.substring(t, 1, 10).try_cast("date"))
+        .when(t.isin("today", "now"), day).when(t == "yesterday", F.date_sub(day, 1)).when(t == "tomorrow", F.date_add(day, 1))
+        .when(is_form("ago"), back(n, got("ago", 2))).when(is_form("last"), back(F.lit(1), got("last", 1))).when(is_form("this"), begun)
+        .when(is_form("last_day"), F.date_sub(day, F.when(since("last_day") == 0, 7).otherwise(since("last_day")).cast("int")))
+        .when(is_form("on_day"), F.date_sub(day, since("on_day").cast("int")))
+        .when(is_form("month_first"), made(number(got("month_first", 3)), month(got("month_first", 1)), number(got("month_first", 2))))
+        .when(is_form("day_first"), made(number(got("day_first", 3)), month(got("day_first", 2)), number(got("day_first", 1))))
+        .when(is_form("month_only"), made(number(got("month_only", 2)), month(got("month_only", 1)), F.lit(1)))
+        .when(is_form("numbers"), made(number(got("numbers", 3)), number(got("numbers", 1)), number(got("numbers", 2)), False))
+    )

@@ -237,3 +237,13 @@ def diversify(spark, d):
     h = view(spark, d, "hits").where("variant = 'v0' and rank <= 30")
     tokens = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), ((F.col("doc_id") % 12) + i).cast("string")))
     return S.diversify(h.select("query_id", "rank", "doc_id", tokens.alias("tokens")), 10)
+
+
+@query(None)
+def context_sections(spark, d):
+    from loomwork.operators.dedup import text_near_dup
+
+    m = view(spark, d, "memories")
+    accesses = view(spark, d, "calls").select(F.col("k").alias("memory_id"), "ts")
+    words = m.select("user_id", "memory_id", F.split(F.lower("raw"), r"\W+").alias("words"))
+    return S.context_sections(m, accesses, text_near_dup(words), NOW, 2000)

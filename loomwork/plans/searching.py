@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators import searching as S
 from loomwork.operators.predicates import survivors
+from loomwork.operators.vectors import knn, unit
 from loomwork.plans.registry import query
 from loomwork.session import written
 from loomwork.sources.views import NOW, view, view_sql
@@ -120,3 +121,25 @@ def recall(spark, d):
     days = (F.lit(1706659200) - F.unix_timestamp("last_used_at")) / 86400.0
     m = view(spark, d, "memories").withColumn("days_unused", days)
     return S.recall(h.where("variant = 'v0'"), h.where("variant = 'v1' and rank <= 10"), h.where("variant = 'v2' and rank <= 5"), m)
+
+
+_MULTI = (
+    view_sql("memories", "vectors") + ", q as (select a.vec_id as query_id, s.i, s.source, b.user_id, b.embedding as e from vectors a, (values (0, 'original'), (1, 'rules'), (2, 'llm')) s(i, source), vectors b where a.vec_id % 20 = 0 and b.vec_id = a.vec_id + s.i),"
+    " p as (select query_id, i, source, v.vec_id as memory_id, round(list_cosine_similarity(e::double[], v.embedding::double[]), 6) as c from q join vectors v using (user_id)), r as (select *, row_number() over (partition by query_id, i order by c desc, memory_id) as rank from p),"
+    " f as (select query_id, memory_id, sum(case source when 'original' then 2.0::double when 'rules' then 1.0::double else 0.8::double end / (60 + rank)) as s from r where rank <= 30 group by 1, 2), g as (select query_id, memory_id, round(s / max(s) over (partition by query_id), 6) as fused from f),"
+    f" m as (select *, epoch(timestamp '{NOW}' - last_retrieved_at) / 86400 as d, greatest(1, epoch(timestamp '{NOW}' - created_at) / 86400) as age, used_count * 2 * exp(-ln(2.0::double) / 14 * (epoch(timestamp '{NOW}' - last_used_at) / 86400)) as u from memories),"
+    " b as (select query_id, memory_id, round((0.8::double * fused + 0.2::double * importance) * case when user_pinned then 1 when d <= 7 then 1 when d <= 30 then 0.9::double when d <= 90 then 0.75::double when retrieval_count / age > 0.1::double then 0.8::double else 0.6::double end * 0.85::double + case when used_count > 0 and u is not null then least(1, u / (u + 10)) else 0 end * 0.15::double, 6) as score from g join m using (memory_id)),"
+    " o as (select *, row_number() over (partition by query_id order by score desc, memory_id) as rank from b) select query_id, memory_id, score, rank::int as rank from o where rank <= 10"
+)
+
+
+@query(_MULTI)
+def recall_multi(spark, d):
+    v = view(spark, d, "vectors").withColumn("v", unit(F.col("embedding"))).select("vec_id", "user_id", "v")
+    first = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("first"))
+    kinds = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("source")) for i, s in enumerate(("original", "rules", "llm"))])
+    wanted = first.select("first", F.inline(kinds)).withColumn("vec_id", F.col("first") + F.col("i"))
+    variants = wanted.join(v, "vec_id").withColumn("query_id", -(F.col("first") * 3 + F.col("i") + 1))
+    found = knn(variants.select("query_id", "user_id", F.col("v").alias("q")), v, 30).join(variants.select("query_id", "first", "i", "source"), "query_id")
+    hits = found.select(F.col("first").alias("query_id"), F.col("i").alias("variant"), "source", F.col("vec_id").alias("doc_id"), "rank")
+    return S.recall_multi(hits, view(spark, d, "memories"), NOW)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomwork.operators import segmenting
 from loomwork.operators import texts as T
 from loomwork.plans.registry import query
 from loomwork.sources.views import NOW, view, view_sql
@@ -151,3 +152,42 @@ def insight_salience(spark, d):
     m = view(spark, d, "memories")
     terms = m.where("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "user_id", F.explode(F.array(F.concat(F.lit("tag"), F.col("memory_id") % 6), F.lit("the"), F.lit("que"))).alias("term"))
     return T.insight_salience(m.withColumn("shown", F.col("retrieval_count")), terms, NOW)
+
+
+# Whole texts that name a day, and some that don't.
+DATED = [
+    "2024-02-29", "2024-02-30", "2023-11-05T10:30:00", "today", " Now ", "yesterday", "Tomorrow", "3 days ago", "a week ago", "2 months ago", "1 year ago", "last month", "last year",
+    "this week", "this month", "this year", "last Wednesday", "on friday", "Wednesday", "February 1st, 2026", "Feb 30 2026", "3rd of may", "1 Sept, 2025", "june 2025", "13/12/2024", "12/31/2024",
+    "2-3-2021", "May 4 1850", "", "no date at all",
+]
+
+
+def _date_sql() -> str:
+    day, form = "date '2024-01-31'", {k: "'" + p + "'" for k, p in T.DATE_FORMS.items()}
+    got = lambda k, i: f"regexp_extract(t, {form[k]}, {i})"
+    month = lambda c: f"nullif(coalesce(list_position({T.MONTHS!r}, ({c})[1:3]), 0), 0)"
+    n = f"case when {got('ago', 1)} in ('a', 'an', 'one') then 1 else try_cast({got('ago', 1)} as int) end"
+    back = lambda n, u: f"case {u} when 'day' then {day} - ({n}) when 'week' then {day} - ({n}) * 7 when 'month' then ({day} - to_months({n}))::date when 'year' then ({day} - to_months(12 * ({n})))::date end"
+    i = lambda c: f"try_cast({c} as int)"
+    made = lambda y, m, d, named=True: f"case when ({m}) between 1 and 12 and ({d}) between 1 and 31" + (f" and {y} between 1900 and 2100" if named else "") + f" then make_date({y}, ({m})::int, 1) + ({d} - 1) end"
+    since = lambda k: f"((dayofweek({day}) + 1 - list_position({T.WEEK_DAYS!r}, {got(k, 1)}) + 7) % 7)::int"
+    rules = [
+        ("regexp_matches(t, '^[0-9]{4}-[0-9]{2}-[0-9]{2}($|[t ][0-9]{2}:[0-9]{2})')", "try_cast(t[1:10] as date)"), ("t in ('today', 'now')", day), ("t = 'yesterday'", f"{day} - 1"), ("t = 'tomorrow'", f"{day} + 1"),
+        ("ago", back(n, got("ago", 2))), ("last", back("1", got("last", 1))), ("this", f"case {got('this', 1)} when 'week' then {day} - dayofweek({day})::int else date_trunc({got('this', 1)}, {day})::date end"),
+        ("last_day", f"{day} - case when {since('last_day')} = 0 then 7 else {since('last_day')} end"), ("on_day", f"{day} - {since('on_day')}"),
+        ("month_first", made(i(got("month_first", 3)), month(got("month_first", 1)), i(got("month_first", 2)))), ("day_first", made(i(got("day_first", 3)), month(got("day_first", 2)), i(got("day_first", 1)))),
+        ("month_only", made(i(got("month_only", 2)), month(got("month_only", 1)), "1")), ("numbers", made(i(got("numbers", 3)), i(got("numbers", 1)), i(got("numbers", 2)), False)),
+    ]
+    case = "case " + " ".join(f"when {f'regexp_matches(t, {form[c]})' if c in form else c} then {v}" for c, v in rules) + " end"
+    return f"with s as (select doc_id, lower(trim({DATED!r}[(doc_id % {len(DATED)}) + 1])) as t from documents) select doc_id, strftime(({case})::date, '%Y-%m-%d') as day from s"
+
+
+@query(_date_sql())
+def parse_date(spark, d):
+    said = F.element_at(F.array(*map(F.lit, DATED)), (F.col("doc_id") % len(DATED) + 1).cast("int"))
+    return docs(spark, d).select("doc_id", T.parse_date(said, "2024-01-31 15:30:00").cast("string").alias("day"))
+
+
+@query(None)
+def segments(spark, d):
+    return segmenting.segments(docs(spark, d))

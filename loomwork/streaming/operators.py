@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 WATERMARK = "10 minutes"
 
@@ -146,3 +147,29 @@ def incremental_hashes(texts: DataFrame, watermark: str = WATERMARK) -> DataFram
     from loomwork.operators.dedup import content_hash
 
     return texts.withColumn("hash", content_hash(F.col("raw"))).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["hash"])
+
+
+def dedup_stream(memories: DataFrame, folder: str, rejected: DataFrame, least: float = 0.8, watermark: str = WATERMARK) -> DataStreamWriter:
+    """Near-duplicates of a stream of memories(ts, memory_id, user_id, raw, v unit vector, auto) as they arrive; start() it with a checkpoint of its own.
+
+    Contents seen within the watermark are dropped; each other memory's nearest one, among all held before and those beside it, is
+    judged as in dedup.incremental_dedup. folder/held and folder/actions get one subfolder a micro-batch, overwritten when it is
+    run again, so that a restart neither loses nor doubles rows.
+    """
+    from loomwork.operators.dedup import incremental_dedup
+    from loomwork.operators.vectors import knn
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        columns = ["memory_id", "user_id", "v", "auto"]
+        batch.select(columns).write.mode("overwrite").parquet(f"{folder}/held/batch={n}")
+        held = spark.read.schema(batch.select(columns).schema.add("batch", "long")).option("basePath", f"{folder}/held").parquet(f"{folder}/held").where(F.col("batch") <= n)
+        new = held.where(F.col("batch") == n)
+        best = knn(new.select(F.col("memory_id").alias("query_id"), "user_id", F.col("v").alias("q")), held.select(F.col("memory_id").alias("vec_id"), "user_id", "v"), 1)
+        mate = new.select(F.col("memory_id").alias("vec_id"), F.lit(True).alias("beside"))
+        both = best.join(mate, "vec_id", "left")
+        swap = F.coalesce("beside", F.lit(False)) & (F.col("query_id") < F.col("vec_id"))
+        pairs = both.select(F.when(swap, F.col("vec_id")).otherwise(F.col("query_id")).alias("new_id"), F.when(swap, F.col("query_id")).otherwise(F.col("vec_id")).alias("old_id"), "similarity").distinct()
+        incremental_dedup(pairs, rejected, new.select("memory_id", "auto"), least).write.mode("overwrite").parquet(f"{folder}/actions/batch={n}")
+
+    return incremental_hashes(memories, watermark).writeStream.foreachBatch(step)

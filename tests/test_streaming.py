@@ -69,3 +69,22 @@ def test_routes(spark, calls, stream):
     subs = spark.createDataFrame([(1, "view", None, None, 0.5), (2, "click", ["a"], None, None), (3, "error", None, ["t1"], None)], "subscription_id int, event_type string, filter_layers array<string>, filter_tags array<string>, min_importance double")
     shape = lambda df: df.select("event_id", "event_type", F.when(F.col("k") % 2 == 0, "a").otherwise("b").alias("layer"), F.array(F.concat(F.lit("t"), F.col("k") % 3)).alias("tags"), (F.col("k") / 100).alias("importance"))
     same(run(spark, route_events(shape(stream), subs), "routes"), route_events(shape(calls), subs), ["event_id", "subscription_id"])
+
+
+def test_dedup_stream(spark, tmp_path):
+    import datetime
+
+    schema = "ts timestamp, memory_id long, user_id long, raw string, v array<double>, auto boolean"
+    at = lambda n: datetime.datetime(2024, 1, 1, 0, n)
+    one = [(at(0), 1, 7, "a", [1.0, 0.0], True), (at(0), 2, 7, "b", [0.0, 1.0], True), (at(1), 3, 7, " A", [1.0, 0.0], True)]
+    two = [(at(2), 4, 7, "c", [0.96, 0.28], True), (at(2), 5, 7, "d", [0.28, 0.96], False), (at(2), 6, 8, "e", [1.0, 0.0], True), (at(2), 7, 8, "f", [0.96, 0.28], True)]
+    for n, rows in enumerate((one, two)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        rejected = spark.createDataFrame([(2, 1)], "new_id long, old_id long")
+        q = O.dedup_stream(stream, f"{tmp_path}/out", rejected, watermark="1 hour").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+    found = sorted((r.new_id, r.old_id, r.similarity, r.action) for r in spark.read.parquet(f"{tmp_path}/out/actions").collect())
+    kept = {r.memory_id for r in spark.read.parquet(f"{tmp_path}/out/held").collect()}
+    assert len(kept & {1, 3}) == 1 and kept - {1, 3} == {2, 4, 5, 6, 7}
+    assert found == [(4, (kept & {1, 3}).pop(), 0.96, "merge"), (5, 2, 0.96, "queue"), (7, 6, 0.96, "merge")]
