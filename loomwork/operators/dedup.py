@@ -35,11 +35,13 @@ def edit_pairs(df: DataFrame, least: float = 0.9, keys: int = 12) -> DataFrame:
     the similarity; a pair at 0.9 that changes one word in ten keeps over a third of its shingles, and is missed with a chance
     below (2/3) ** keys. Spark's levenshtein stops at the threshold. Copies are one text: membership is text_members().
     """
-    texts = text_members(df).select("user_id", "text").distinct()
-    words = F.split("text", " ")
-    grams = F.when(F.size(words) < 3, F.array("text")).otherwise(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " ")))
-    hashes = F.array(*[F.struct(F.lit(k).alias("k"), F.array_min(F.transform(grams, lambda g: F.xxhash64(F.lit(k), g))).alias("h")) for k in range(keys)])
-    keyed = texts.select("user_id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("id"), F.explode(hashes).alias("key"))
+    texts = text_members(df).select("user_id", "text").distinct().withColumn("words", F.split("text", " "))
+    three = F.transform(F.slice("words", F.lit(1), F.greatest(F.lit(0), F.size("words") - 2)), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2)))
+    grams = texts.select("user_id", "text", F.explode(F.when(F.size("words") < 3, F.array("text")).otherwise(three)).alias("g"))
+    least_of = [F.min(F.xxhash64(F.lit(k), "g")).alias(f"h{k}") for k in range(keys)]
+    hashes = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in range(keys)])
+    keyed = grams.groupBy("user_id", "text").agg(*least_of)
+    keyed = keyed.select("user_id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("id"), F.explode(hashes).alias("key"))
     right = keyed.select("user_id", F.col("text").alias("right_text"), F.col("n").alias("right_n"), F.col("id").alias("right_id"), "key")
     pairs = keyed.join(right, ["user_id", "key"]).where((F.col("id") < F.col("right_id")) & (F.least("n", "right_n") >= least * F.greatest("n", "right_n")))
     pairs = pairs.select("user_id", F.least("text", "right_text").alias("left_text"), F.greatest("text", "right_text").alias("right_text")).distinct()

@@ -210,3 +210,19 @@ def ingest_reinforce(spark, d):
     m = view(spark, d, "memories")
     return D.ingest_reinforce(m.where("memory_id % 2 = 0"), m.where("memory_id % 2 = 1"))
 
+
+_TOLD = (
+    "with t as (select conv_id * 1000 + turn as memory_id, role as user_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') as raw from conversations), c as (select * from t union all select memory_id + 500, user_id, 'So ' || raw || '!' from t where memory_id % 2 = 0),"
+    " x as (select distinct user_id, trim(regexp_replace(lower(raw), '[ \\t\\r\\n\\f]+', ' ', 'g')) as s from c)"
+)
+
+
+@query(
+    _TOLD + ", p as (select a.user_id, a.s as l, b.s as r, greatest(length(a.s), length(b.s)) as n from x a join x b on a.user_id = b.user_id and a.s < b.s and least(length(a.s), length(b.s)) >= 0.9::double * greatest(length(a.s), length(b.s))), e as (select *, 1 - levenshtein(l, r)::double / n as v from p)"
+    " select user_id, sha256(l) as left_text, sha256(r) as right_text, round(v, 6) as similarity from e where v >= 0.9::double - 1e-9"
+)
+def edit_pairs(spark, d):
+    t = spark.read.parquet(f"{d}/conversations.parquet")
+    t = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("memory_id"), F.col("role").alias("user_id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?").alias("raw"))
+    edited = t.where("memory_id % 2 = 0").select(F.col("memory_id") + 500, "user_id", F.concat(F.lit("So "), "raw", F.lit("!")))
+    return D.edit_pairs(t.unionAll(edited)).withColumns({c: F.sha2(c, 256) for c in ("left_text", "right_text")})
