@@ -2,10 +2,10 @@
 
 A paragraph is a line of enough words. Its MinHash over five-word shingles is cut into bands; distinct paragraphs that
 collide in a band are candidates, and those whose exact Jaccard similarity reaches the threshold are linked. Passages that are
-copied into the middle of other lines have no line of their own: for them the words are also cut into segments at places
-that depend only on the words around (the smallest hash within a few words to either side), so a copied passage has the
-same segments everywhere. Equal segments are one value of one band; runs of repeated segments are reported if long enough.
-Clusters are connected components over linked paragraphs and over segments that stand side by side in a run.
+copied into the middle of other lines have no line of their own: for them the words' GRAM-word runs are winnowed, so that any
+SURE words in a row hold an anchor, which a copy holds too. Spans between anchors that several documents have are repeated as they are;
+around anchors where a repeated stretch may end, all runs of min_run words are compared, so that its ends are exact.
+Clusters are connected components over linked paragraphs and over anchors that stand in one run.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from loomwork.session import written
 
 SHINGLE = 5
 BANDS, ROWS = 8, 4
-REACH = 5
+#: Words of an anchor, and the length from which every run of words holds one.
+GRAM, SURE = 16, 51
 #: Distinct paragraphs of one candidate component that a task compares; larger components are compared in pairs of blocks.
 BLOCK = 4000
 #: Rows up to which the list of needed paragraphs is broadcast; a longer one is shuffled.
@@ -85,20 +87,51 @@ def band_keys(s: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return keys + np.arange(BANDS, dtype=np.uint64)
 
 
-def segment_bounds(h: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Places whose hash is smaller than those of the `reach` words before and not larger than those of as many after."""
-    n = len(h)
-    if n <= 2 * reach:
+@lru_cache(maxsize=4)
+def _scales(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2 ** bits powers of the base and of its inverse."""
+    inverse = np.full(1 << bits, pow(int(_BASE), -1, 1 << 64), np.uint64)
+    inverse[0] = 1
+    return _powers(1 << bits), np.cumprod(inverse, dtype=np.uint64)
+
+
+class Pieces:
+    """64-bit hashes of any pieces of a text's words, which may overlap."""
+
+    def __init__(self, h: np.ndarray) -> None:
+        powers, self.inverse = _scales(max(12, len(h).bit_length()))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[: len(h)], dtype=np.uint64)])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mixed(_mixed((self.sums[ends] - self.sums[starts]) * self.inverse[starts]) + (ends - starts).astype(np.uint64))
+
+    def every(self, size: int) -> np.ndarray:
+        n = len(self.sums) - size
+        at = np.arange(max(0, n))
+        return self.hashes(at, at + size)
+
+
+_PLACE = np.uint64((1 << 28) - 1)
+
+
+def anchor_places(grams: np.ndarray) -> np.ndarray:
+    """Places of the smallest gram, the last of equals, of each run of SURE - GRAM + 1 grams, or of all if there are fewer."""
+    n = len(grams)
+    if not n:
         return np.zeros(0, np.int64)
-    mid = h[reach : n - reach]
-    least = np.ones(len(mid), bool)
-    for d in range(1, reach + 1):
-        least &= (mid < h[reach - d : n - reach - d]) & (mid <= h[reach + d : n - reach + d])
-    return np.flatnonzero(least) + reach
+    width, size = min(SURE - GRAM + 1, n), 1
+    least = (grams & ~_PLACE) | (_PLACE - np.arange(n, dtype=np.uint64))
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    if size < width:
+        least = np.minimum(least[: size - width], least[width - size :])
+    at = (_PLACE - (least & _PLACE)).astype(np.int64)
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
 def text_units(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, start, words, hash, bands): paragraphs with their band keys, and segments, whose bands are null."""
+    """(id, start, words, hash, gram, bands): paragraphs with their band keys; anchors, whose bands are empty, with the span to the next one's end."""
     wanted = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +140,7 @@ def text_units(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> D
                 yield units(batch.slice(at, SLICE_ROWS))
 
     def units(part: pa.RecordBatch) -> pa.RecordBatch:
-        of, start, size, hashes, bands, has = [], [], [], [], [], []
+        of, start, size, hashes, grams, bands, has = [], [], [], [], [], [], []
         for i, text in enumerate(part.column(1).to_pylist()):
             h, lines = words_of(text or "")
             long = np.array([x for x in lines if x[1] - x[0] >= max(min_words, SHINGLE)], dtype=np.int64).reshape(-1, 2)
@@ -116,27 +149,32 @@ def text_units(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> D
                 start.append(long[:, 0])
                 size.append(long[:, 1] - long[:, 0])
                 hashes.append(span_hashes(h, long[:, 0], long[:, 1]))
+                grams.append(np.zeros(len(long), np.uint64))
                 bands.append(band_keys(shingles(h), long[:, 0], long[:, 1]))
                 has.append(np.ones(len(long), bool))
-            cuts = segment_bounds(h)
-            if len(cuts) > 1:
-                of.append(np.full(len(cuts) - 1, i))
-                start.append(cuts[:-1])
-                size.append(np.diff(cuts))
-                hashes.append(span_hashes(h, cuts[:-1], cuts[1:]))
-                has.append(np.zeros(len(cuts) - 1, bool))
+            pieces = Pieces(h)
+            every = pieces.every(GRAM)
+            at = anchor_places(every)
+            if len(at):
+                ends = np.append(at[1:], at[-1]) + GRAM
+                of.append(np.full(len(at), i))
+                start.append(at)
+                size.append(ends - at)
+                hashes.append(pieces.hashes(at, ends))
+                grams.append(every[at])
+                has.append(np.zeros(len(at), bool))
         if not of:
-            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))], names=names)
         here = np.concatenate(has)
         offsets = np.concatenate([[0], np.cumsum(here * BANDS)]).astype(np.int32)
         flat = np.concatenate([b.ravel() for b in bands]).view(np.int64) if bands else np.zeros(0, np.int64)
-        # a segment's list is empty: cheaper to write than null, and told by it
+        # an anchor's list is empty: cheaper to write than null, and told by it
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
         ids = part.column(0).take(pa.array(np.concatenate(of)))
-        return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64)), lists], names=names)
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(grams).view(np.int64)), lists], names=names)
 
-    names = ["id", "start", "words", "hash", "bands"]
-    return wanted.mapInArrow(run, "id long, start int, words int, hash long, bands array<long>")
+    names = ["id", "start", "words", "hash", "gram", "bands"]
+    return wanted.mapInArrow(run, "id long, start int, words int, hash long, gram long, bands array<long>")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list]]:
@@ -250,14 +288,124 @@ def verified(docs: DataFrame, candidates: DataFrame, threshold: float, id_col: s
     return dealt.repartition("key").sortWithinPartitions("key", "hash").mapInArrow(compare, "u long, v long")
 
 
+def runs_around(docs: DataFrame, anchors: DataFrame, min_run: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, start, hash): all runs of min_run words within reach of the anchors(id, start, gram), as far as SURE words can lie."""
+    wanted = anchors.groupBy("id").agg(F.collect_list(F.struct("start", "gram")).alias("need"))
+    wanted = F.broadcast(wanted) if anchors.count() <= BROADCAST_ROWS else wanted
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(wanted, "id")
+    names = ["id", "start", "hash"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                of, starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for i, (text, need) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    h, _ = words_of(text or "")
+                    pieces, n = Pieces(h), len(h)
+                    place, gram = (np.array([x[k] for x in need], np.int64) for k in ("start", "gram"))
+                    place, gram = place[place + GRAM <= n], gram[place + GRAM <= n]
+                    place = place[pieces.hashes(place, place + GRAM).view(np.int64) == gram]  # else another row with this id
+                    if n < min_run or not len(place):
+                        continue
+                    marks = np.zeros(n - min_run + 2, np.int64)
+                    np.add.at(marks, np.clip(place - (SURE - GRAM), 0, n - min_run + 1), 1)
+                    np.add.at(marks, np.clip(place + SURE - min_run + 1, 0, n - min_run + 1), -1)
+                    found = np.flatnonzero(np.cumsum(marks)[:-1])
+                    of.append(np.full(len(found), i))
+                    starts.append(found)
+                    hashes.append(pieces.hashes(found, found + min_run))
+                ids = part.column(0).take(pa.array(np.concatenate(of)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64))], names=names)
+
+    return texts.select("id", "text", "need").mapInArrow(read, "id long, start int, hash long")
+
+
+def stretches(rows: list[tuple], min_run: int) -> tuple[list[tuple], list[tuple]]:
+    """(start, end, kept, name) of a document's repeated stretches, and (node, name) links of what stands in one run.
+
+    rows(start, end, again, hash, anchor), by start: pieces that other documents have, `again` if an earlier one does. Pieces that
+    overlap or touch are a run; an anchor's own words, without a piece (end 0), are none. Runs are cut where `again` changes.
+    """
+    runs: list[list] = []
+    gone: list[list] = []
+    for start, end, again, node, anchor in rows:
+        if not end:
+            continue
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+        if again:
+            if gone and start <= gone[-1][1]:
+                gone[-1][1] = max(gone[-1][1], end)
+            else:
+                gone.append([start, end])
+    out, links, g, k = [], [], 0, 0
+    for a, b in runs:
+        anchors, others = set(), set()
+        while k < len(rows) and rows[k][0] < b:
+            start, _, _, node, anchor = rows[k]
+            if start >= a and start + GRAM <= b:
+                (anchors if anchor else others).add(node)
+            k += 1
+        parts, at = [], a
+        while g < len(gone) and gone[g][0] < b:
+            c, d = gone[g]
+            parts += [(at, c, True)] * (c > at) + [(c, d, False)]
+            at, g = d, g + 1
+        parts += [(at, b, True)] * (b > at)
+        if b - a >= min_run:
+            nodes = anchors or others
+            name = min(nodes)
+            out += [(*p, name) for p in parts]
+            links += [(node, name) for node in nodes if node != name]
+    return out, links
+
+
+def repeated_stretches(docs: DataFrame, units: DataFrame, min_run: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, start, words, kept, hash, link): repeated stretches, whose link is null, and links of anchors, whose id is null."""
+    found = units.where(F.size("bands") == 0).drop("bands")
+    held = lambda df, key: df.groupBy(key).agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder < last").drop("last")
+    anchors = written(found.join(held(found, "gram").withColumnRenamed("holder", "least"), "gram"), "anchors")
+    spans = held(anchors.where(F.col("words") > GRAM), "hash")
+    behind = F.lag(F.struct("holder", (F.col("start") + F.col("words") - GRAM).alias("next"))).over(Window.partitionBy("id").orderBy("start", "hash"))
+    placed = written(anchors.join(spans, "hash", "left").withColumn("behind", behind), "placed")
+    # no other document can add to an anchor's two spans if its first holder has both
+    settled = (F.col("holder") == F.col("least")) & (F.col("behind.holder") == F.col("least")) & (F.col("behind.next") == F.col("start"))
+    ends = placed.where(~F.coalesce(settled, F.lit(False))).select("gram").distinct()
+    windows = written(runs_around(docs, written(placed.join(ends, "gram").select("id", "start", "gram"), "ends"), min_run, id_col, text_col), "windows")
+    again = F.coalesce(F.col("holder") < F.col("id"), F.lit(False)).alias("again")
+    end = F.when(F.col("holder").isNull(), 0).otherwise(F.col("start") + F.col("words")).alias("end")
+    pieces = placed.select("id", "start", end, again, F.col("gram").alias("hash"), F.lit(True).alias("anchor"))
+    pieces = pieces.unionAll(windows.join(held(windows, "hash"), "hash").select("id", "start", (F.col("start") + min_run).alias("end"), again, "hash", F.lit(False).alias("anchor")))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for name, own in _grouped(batches):
+            out, links = stretches(own, min_run)
+            rows += [(name, a, b - a, kept, node, None) for a, b, kept, node in out] + [(None, None, None, None, node, other) for node, other in links]
+            if len(rows) > 10_000:
+                yield batch_of(rows)
+                rows = []
+        yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))], names=["id", "start", "words", "kept", "hash", "link"])
+
+    return pieces.repartition("id").sortWithinPartitions("id", "start").mapInArrow(sweep, "id long, start int, words int, kept boolean, hash long, link long")
+
+
 def repeated_passages(docs: DataFrame, threshold: float = 0.8, min_words: int = 20, min_run: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, start_word, n_words, cluster_id, kept): the paragraphs and passages that occur in several documents.
 
     Words are runs without ASCII white space, numbered from 0 in their text. kind is `paragraph` for a line of min_words or
-    more whose cluster (similarity of threshold or more, by links) spans documents, `passage` for a run of repeated
-    segments of min_run words or more: of a copied passage the run lacks what stands before its first and behind its last place
-    of a cut. kept is true for a cluster's first paragraph, by id and place, and for a passage that has a
-    segment which no earlier document has; the others can be removed. Null and empty texts have none. Rows that repeat an id are one
+    more whose cluster (similarity of threshold or more, by links) spans documents, `passage` for a stretch of words, each in a
+    run that another document has, exact to the word. Every run of SURE words that two documents have is found whole; shorter ones,
+    down to min_run words, where they hold an anchor in both. kept is true for a cluster's first paragraph, by id and place, and for
+    a passage that no earlier document has; a run is cut into passages where this changes, and those not kept can be
+    removed. Null and empty texts have none. Rows that repeat an id are one
     document. An empty table gives an empty one. The id is cast to long; rows with a null id are left out.
     """
     known = docs.where(F.col(f"`{id_col}`").isNotNull())
@@ -270,18 +418,8 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, min_words: int =
     candidates = written(places.join(groups, "hash").join(sizes, "component").select("hash", "component", "blocks", "first.*"), "candidates")
     links = verified(known, candidates, threshold, id_col, text_col)
 
-    segments = units.where(F.size("bands") == 0).drop("bands")
-    shared = segments.groupBy("hash").agg(F.min("id").alias("holder"), F.max("id").alias("last")).where("holder < last").drop("last")
-    again = segments.join(shared, "hash")
-    by_place = Window.partitionBy("id").orderBy("start", "hash")
-    apart = F.coalesce((F.col("start") > F.lag(F.col("start") + F.col("words")).over(by_place)).cast("int"), F.lit(0))
-    again = again.withColumn("apart", apart)
-    again = again.withColumn("run", F.sum("apart").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    run = Window.partitionBy("id", "run")
-    again = again.withColumns({"first": F.min("start").over(run), "end": F.max(F.col("start") + F.col("words")).over(run)})
-    again = again.where(F.col("end") - F.col("first") >= min_run).withColumn("before", F.lag("hash").over(Window.partitionBy("id", "run").orderBy("start", "hash")))
-    again = written(again.select("id", "run", "start", "hash", "before", "first", "end", "holder"), "repeated")
-    beside = again.where("before is not null").select(F.col("hash").alias("u"), F.col("before").alias("v"))
+    repeated = written(repeated_stretches(known, units, min_run, id_col, text_col), "repeated")
+    beside = repeated.where("link is not null").select(F.col("hash").alias("u"), F.col("link").alias("v"))
 
     nodes = connected_components(links.unionAll(beside)).withColumnRenamed("node", "hash")
     named = lambda df: df.join(nodes, "hash", "left").withColumn("cluster", F.coalesce("component", "hash")).drop("component")
@@ -289,13 +427,12 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, min_words: int =
     clustered = named(lines.groupBy("hash").agg(F.min(F.struct("id", "start")).alias("first"), F.max("id").alias("last")))
     spans = clustered.groupBy("cluster").agg(F.min("first").alias("lead"), F.max("last").alias("most")).where("lead.id < most").drop("most")
     flagged = clustered.join(spans, "cluster").select("hash", "cluster", "lead")
-    paragraphs = lines.drop("bands").distinct().join(flagged, "hash").select(
+    paragraphs = lines.drop("gram", "bands").distinct().join(flagged, "hash").select(
         "id", F.lit("paragraph").alias("kind"), F.col("start").cast("long").alias("start_word"), F.col("words").cast("long").alias("n_words"),
         F.col("cluster").alias("cluster_id"), (F.struct("id", "start") == F.col("lead")).alias("kept"),
     )
-    leads = named(again.groupBy("id", "first", "end").agg(F.min_by("hash", F.struct("start", "hash")).alias("hash"), F.max(F.col("holder") == F.col("id")).alias("kept")))
-    passages = leads.select(
-        "id", F.lit("passage").alias("kind"), F.col("first").cast("long").alias("start_word"), (F.col("end") - F.col("first")).cast("long").alias("n_words"),
+    passages = named(repeated.where("link is null")).select(
+        "id", F.lit("passage").alias("kind"), F.col("start").cast("long").alias("start_word"), F.col("words").cast("long").alias("n_words"),
         F.col("cluster").alias("cluster_id"), "kept",
     )
     return paragraphs.unionAll(passages).withColumnRenamed("id", id_col)

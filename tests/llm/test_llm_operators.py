@@ -288,6 +288,27 @@ def test_passages(spark, empty):
     assert passage_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_51_words_are_found_whole(spark):
+    rng = random.Random(11)
+    rows, places = [], {}
+    for k in range(150):
+        shared = [f"s{rng.randrange(10**6)}" for _ in range(51)]
+        for d in (2 * k, 2 * k + 1):
+            before, behind = ([f"w{d}-{i}" for i in range(rng.randint(30, 90))] for _ in range(2))
+            rows.append((d, " ".join(before + shared + behind)))
+            places[d] = len(before)
+    # the second part of 1001 is in 1002 only, and 1003 has the common word alone
+    one, two = ([f"{x}{i}" for i in range(60)] for x in "xy")
+    rows += [(1000, " ".join(one)), (1001, " ".join(one + two)), (1002, " ".join(two)), (1003, "very " * 60), (1004, "so " + "very " * 55 + "much")]
+    found = defaultdict(list)
+    for r in passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.kind == "passage":
+            found[r.doc_id].append((r.start_word, r.n_words, r.kept))
+    assert {d: found[d] for d in places} == {d: [(at, 51, d % 2 == 0)] for d, at in places.items()}
+    assert sorted(found[1001]) == [(0, 60, False), (60, 60, True)] and found[1002] == [(0, 60, False)]
+    assert found[1003] == [(0, 60, True)] and found[1004] == [(1, 55, False)]
+
+
 def test_metric_pruning_is_exact():
     rng = random.Random(6)
     for _ in range(60):
