@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import map_texts
+from loomwork.llm.common import map_texts, unused
 from loomwork.operators.components import connected_components
 from loomwork.session import written
 
@@ -160,7 +160,21 @@ def hex_digits(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their component's smallest; of rows that repeat this id, one. A null id counts as the largest."""
-    kept = near_duplicates(docs, radius, size, seed, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+    """One row of docs for each component: that with the smallest id, a null id counting as the largest.
+
+    Of a component's rows with this id, the smallest hash of the text, then of the whole row, decides; rows that are alike
+    throughout are one. Rows are told apart by content, so rows with one id, or none, and different texts stay apart.
+    """
+    own = F.struct(F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns]).alias("r"))
+    keyed = docs.select(F.col(f"`{id_col}`").alias("__id"), own.alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    # the print's id is the row's key: a struct of id and hashes, carried through the pass over the texts
+    key = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    prints = written(fingerprints(keyed.select(key.alias("key"), F.col("__text").alias("text")), size, seed, "key", "text"), "row-fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("key").alias("least"))
+    groups = connected_components(link_forest(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
+    named = distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    kept = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.row").alias("__row")).distinct()
+    names = [unused(docs.columns, stem) for stem in ("__id_of", "__row_of")]
+    rows = docs.withColumns({names[0]: F.col(f"`{id_col}`"), names[1]: own})
+    met = F.col(names[0]).eqNullSafe(F.col("__id")) & (F.col(names[1]) == F.col("__row"))
+    return rows.join(kept, met, "left_semi").dropDuplicates(names).select([F.col(f"`{c}`") for c in docs.columns])

@@ -239,6 +239,18 @@ def test_simhash(docs, empty, texts):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_keeps_a_row_of_each_component(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(None, a, "x"), (None, b, "y"), (None, b, "y"), (1, c, "x"), (None, c, "z"), (2, d, "x"), (2, e, "y"), (2, e, "z"), (1, d, "w")]
+    for parts in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+        kept = simhash.one_of_each(docs).collect()
+        assert sorted((r.text, r.doc_id) for r in kept) == sorted([(a, None), (b, None), (c, 1), (d, 1), (e, 2)])
+        first = sorted(map(str, kept)) if parts == 1 else first
+        assert sorted(map(str, kept)) == first
+
+
 def test_bk_tree_links_all(spark):
     rng = random.Random(8)
     values = set()
