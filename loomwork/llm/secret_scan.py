@@ -28,13 +28,26 @@ SENSITIVE = {
     "accesskey": 1.0, "privatekey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "credential": 0.8, "authorization": 0.7,
     "bearer": 0.7, "connectionstring": 0.8,
 }
-# What stands where a secret would, without being one.
-PLACEHOLDERS = ("example", "changeme", "change_me", "placeholder", "your", "xxxx", "****", "dummy", "redacted", "<", "${", "{{", "none", "null", "true", "false")
-
-_TARGET = r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*"""
-_VALUE = r"""(?P<value>(?:"[^"\n]*"|'[^'\n]*')(?:[\x20\t]*\+[\x20\t]*(?:"[^"\n]*"|'[^'\n]*'))*|[^\s"',;{}()\[\]]+)"""
+# What stands where a secret would, without being one: words of a literal, whole literals, and what is filled in later.
+PLACEHOLDERS = {"example", "changeme", "placeholder", "your", "dummy", "redacted"}
+EMPTY_VALUES = {"none", "null", "true", "false", "undefined"}
+_FILLED_IN = re.compile(r"\$\{[^}]*\}|\{\{.*?\}\}|<[^<>]*>")
+_BLANKED = re.compile(r"[xX*._\-]*(?:[xX]{4}|\*{4})[xX*._\-]*")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+_TYPE = r"""[&*]?(?:'static[\x20\t]+)?[A-Za-z_][A-Za-z0-9_.]*\??(?:[\[<][^\n="'\[\]<>]{0,80}[\]>])*"""
+# `name: type` before an equals sign with blanks around it, or with a string behind it; `key: value=` is neither
+_ANNOTATION = rf"""(?:\??[\x20\t]*:[\x20\t]*{_TYPE}(?:[\x20\t]*\|[\x20\t]*{_TYPE})*(?=[\x20\t]+=[\x20\t]|[\x20\t]*=[\x20\t]*[A-Za-z]{{0,2}}["']))?"""
+_TARGET = rf"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)(?:(?<=["'])[\x20\t]*\])?{_ANNOTATION}[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*"""
+# prefixes, triple quotes and escapes; a string that only an escaped quote ends is taken up to that quote
+_QUOTED = (
+    r"""[bBrRfFuU]{0,2}(?:\"{3}(?P<a>(?:[^\\]|\\[\s\S])*?)\"{3}|'{3}(?P<b>(?:[^\\]|\\[\s\S])*?)'{3}"""
+    r"""|"(?P<c>(?:[^"\\\n]|\\[^\n])*)"|'(?P<d>(?:[^'\\\n]|\\[^\n])*)'|"(?P<e>[^"\n]*)"|'(?P<f>[^'\n]*)')"""
+)
+_STRING = re.compile(_QUOTED)
+_UNNAMED = re.sub(r"\?P<[a-f]>", "?:", _QUOTED)
+_VALUE = rf"""(?P<value>{_UNNAMED}(?:[\x20\t]*\+[\x20\t]*{_UNNAMED})*|[^\s"',;{{}}()\[\]]+)"""
 _PAIR = re.compile(_TARGET + _VALUE)
-_STRING = re.compile(r""""([^"\n]*)"|'([^'\n]*)'""")
 _PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
 
 
@@ -43,10 +56,23 @@ def sensitivity(name: str) -> float:
     return max((w for part, w in SENSITIVE.items() if part in flat), default=0.0)
 
 
+def is_placeholder(literal: str) -> bool:
+    words = [w.lower() for w in _WORD.findall(literal)]
+    return literal.lower() in EMPTY_VALUES or bool(_BLANKED.fullmatch(literal)) or not PLACEHOLDERS.isdisjoint(words) or ("change", "me") in zip(words, words[1:])
+
+
 def literal_score(name: str, literal: str, least: int = 8) -> float:
-    """0 to 1: the name's sensitivity times how far the literal looks drawn at random."""
-    if len(literal) < least or any(p in literal.lower() for p in PLACEHOLDERS) or any(c.isspace() for c in literal):
+    """0 to 1: the name's sensitivity times how far the literal looks drawn at random.
+
+    What is filled in later (`${NAME}`, `{{name}}`, `<name>`) doesn't count. Of a literal with white space the best word with letters
+    and digits counts, since prose stands under such names too; under a passphrase's name it counts as a whole.
+    """
+    literal = _FILLED_IN.sub("", literal).strip()
+    if len(literal) < least or is_placeholder(literal):
         return 0.0
+    words = literal.split()
+    if len(words) > 1 and "passphrase" not in re.sub(r"[^a-z]", "", name.lower()):
+        return max((literal_score(name, w, least) for w in words if re.search("[A-Za-z]", w) and re.search("[0-9]", w)), default=0.0)
     n = len(literal)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     kinds = sum(bool(re.search(k, literal)) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
@@ -58,9 +84,10 @@ def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
     pairs, constants = [], {}
     for m in _PAIR.finditer(text):
         name, value, at = m["name"], m["value"], m.start("value")
-        if value[0] in "\"'":
-            parts = [(s.group(1) if s.group(1) is not None else s.group(2)) for s in _STRING.finditer(value)]
-            found = ("".join(parts), at + 1, at + len(value) - 1)
+        if _STRING.match(value):
+            parts = list(_STRING.finditer(value))
+            inner = [p.span(p.lastgroup) for p in parts]
+            found = ("".join(value[c:d] for c, d in inner), at + inner[0][0], at + inner[-1][1])
         elif value in constants and _PLAIN_NAME.match(value):
             found = constants[value]
         else:

@@ -183,6 +183,28 @@ def test_secrets(docs, empty, texts):
     assert secret_scan.scan_secrets(empty).count() == 0
 
 
+SECRET = "Xk9vQ2mT7pLw"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f'password: str = "{SECRET}"', f'const apiKey: string = "{SECRET}";', f'config["db_password"] = "{SECRET}"', f"cfg['a']['auth_token'] = '{SECRET}'",
+        f'db_password: Optional[str] = "{SECRET}"', f'password: str | None="{SECRET}"', f'const TOKEN: &\'static str = "{SECRET}";',
+        *(f'password = {p}"{SECRET}"' for p in ("b", "r", "f", "u", "Rb")), f'password = "ab\\"{SECRET}"', f'password = "ab\\"{SECRET}\\"9"', f'password = """{SECRET}"""',
+        f"password = \'\'\'\n{SECRET}\n\'\'\'", f'auth_header_token = "Bearer {SECRET}"', f'password = "true{SECRET}"', f'password = "<{SECRET}"', f'password = "null9{SECRET}"', f'password = "Yo{SECRET}your4"',
+    ],
+)
+def test_assignment_syntax(text):
+    assert SECRET in text and SECRET not in secret_scan.redact(text) and "9\"" not in secret_scan.redact(text)
+
+
+def test_placeholders_are_left():
+    for value in ("your_api_key_1", "changeme123", "CHANGE_ME_42", "<your token 1>", "${DB_PASSWORD_1}", "{{ password_1 }}", "xxxxxxxxxxxx", "************", "Enter the new password", "exampleToken1"):
+        text = f'db_passwd_value = "{value}"'
+        assert not [f for f in secret_scan.find_secrets(text) if f[0] == "literal"], value
+
+
 def test_quality(docs, empty, texts):
     rows = {r.doc_id: r for r in quality_rules.apply_policy(quality_rules.ledger(docs), "web-1").collect()}
     for i, text in enumerate(texts):
