@@ -112,8 +112,8 @@ def npy_tile(gray: np.ndarray, side: int = 16) -> bytes:
 def text_media(docs: DataFrame, unit: int = 576, width: int = 24, with_files: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's UTF-8 bytes, padded with 255 to a positive multiple of unit, stored as a PGM image of width samples a row.
 
-    (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature[, media, tile]): the hashes of
-    the payload are those of the image decoded again; feature is its difference hash, tile its NPY tile. A null or empty
+    (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, tile_sha256[, media, tile]): the hashes of
+    the payload are those of the image decoded again; feature is its difference hash, tile its NPY tile, which is made for every row. A null or empty
     text is `unit` bytes of padding. Equal texts give equal rows but for the id; texts of any length are worked whole.
     """
 
@@ -125,10 +125,11 @@ def text_media(docs: DataFrame, unit: int = 576, width: int = 24, with_files: bo
             samples = decode(stored)
             read = samples.tobytes()
             gray = to_gray(samples)
-            row = (len(data), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(gray))
-            return [row + (stored, npy_tile(gray)) if with_files else row]
+            tile = npy_tile(gray)
+            row = (len(data), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(gray), hashlib.sha256(tile).hexdigest())
+            return [row + (stored, tile) if with_files else row]
 
         return work
 
-    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
     return map_texts(docs, id_col, text_col, fields + ", media binary, tile binary" * with_files, start)

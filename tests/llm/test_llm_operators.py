@@ -379,6 +379,11 @@ def test_media(docs, empty, texts):
     assert media.text_media(empty).count() == 0
 
 
+def test_the_query_makes_tiles(docs):
+    want = {r.doc_id: hashlib.sha256(r.tile).hexdigest() for r in media.text_media(docs, with_files=True).collect()}
+    assert {r.doc_id: r.tile_sha256 for r in media.text_media(docs).collect()} == want
+
+
 def test_images_round_trip():
     rng = np.random.default_rng(0)
     gray, color = rng.integers(0, 256, (7, 5), dtype=np.uint8), rng.integers(0, 256, (6, 9, 3), dtype=np.uint8)
