@@ -42,7 +42,8 @@ def map_texts(docs: DataFrame, id_col: str, text_col: str, fields: str, start: C
 
 
 def unused(columns: list[str], stem: str) -> str:
-    """A column name that none of the columns has."""
-    while stem in columns:
+    """A column name that none of the columns has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
         stem += "_"
     return stem

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomwork.llm import license_scan, media, mixing, packing, passage_dedup, quality_rules, secret_scan, sharding, simhash, url_filter
 from loomwork.session import table
 
-ARRIVAL_DOCS = 4096
+ARRIVAL_DOCS = 512
 POLICY = "web-1"
 
 
@@ -53,13 +53,15 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table arrives in shards of ARRIVAL_DOCS ids and is compacted; each row with the file that holds it then."""
     docs = table(spark, sf_dir, "documents")
     root = sharding.new_root(spark)
-    sharding.append(docs, root, F.expr(f"coalesce(doc_id, 0) div {ARRIVAL_DOCS}"))
+    sharding.append(docs, root, F.expr(f"coalesce(doc_id, 0) div {ARRIVAL_DOCS}"), gather=False)
     sharding.compact(spark, root, docs.schema)
-    files = sharding.manifest(spark, root).select("folder", F.col("shard").alias("file"), F.col("rows").alias("file_rows"), F.col("bytes").alias("file_bytes"))
-    held = sharding.current(spark, root, docs.schema).select("doc_id", F.col("__folder").alias("folder"), F.col("__shard").alias("file"))
-    return held.join(files, ["folder", "file"]).select("doc_id", "file", F.col("folder").startswith("merged").alias("merged"), "file_rows", "file_bytes")
+    first = F.col("made").startswith("00000001")
+    files = sharding.manifest(spark, root).select("made", F.col("shard").alias("file"), (~first).alias("merged"), F.col("rows").alias("file_rows"), F.col("bytes").alias("file_bytes"))
+    held = sharding.current(spark, root, docs.schema).select("doc_id", F.col("__made").alias("made"), F.col("__shard").alias("file"))
+    return held.join(files, ["made", "file"]).select("doc_id", "file", "merged", "file_rows", "file_bytes")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,12 +92,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 OP8_SQL = """
-with docs as (select doc_id, coalesce(doc_id, 0) // ARRIVAL as shard, coalesce(strlen(text), 0) as b from documents),
+with docs as (select doc_id, coalesce(doc_id, 0) // ARRIVAL as shard, coalesce(strlen(text), 0) + ROW_BYTES as b from documents),
 shards as (select shard, count(*) as rows, sum(b)::bigint as bytes from docs group by shard),
-tiers as (select *, (TIERS) as tier from shards),
-runs as (select *, (sum(bytes) over (partition by tier order by shard) - bytes)::bigint // TARGET as run from tiers),
-files as (select *, count(*) over f > 1 as merged, sum(rows) over f as file_rows, sum(bytes) over f as file_bytes from runs window f as (partition by tier, run))
-select doc_id, (case when merged then tier::bigint * 1099511627776 + run else shard end)::bigint as file, merged, file_rows::bigint as file_rows, file_bytes::bigint as file_bytes
+tiers as (select *, case when 2 * bytes <= TARGET then TIERS end as tier from shards),
+strides as (select *, TARGET - least(TARGET // 2, (SMALLEST * pow(FANOUT, tier))::bigint) as stride from tiers),
+ahead as (select *, (sum(bytes) over (partition by tier order by shard) - bytes)::bigint as ahead from strides),
+runs as (select *, ahead // stride as run from ahead),
+files as (select *, tier is not null and count(*) over f > 1 as merged, sum(rows) over f as run_rows, sum(bytes) over f as run_bytes from runs window f as (partition by tier, run))
+select doc_id, (case when merged then tier::bigint * 1099511627776 + run else shard end)::bigint as file, merged,
+  (case when merged then run_rows else rows end)::bigint as file_rows, (case when merged then run_bytes else bytes end)::bigint as file_bytes
 from docs join files using (shard)
 """
 
@@ -131,8 +136,12 @@ def op4_sql() -> str:
 
 
 def op8_sql() -> str:
-    tiers = " + ".join(f"case when bytes >= {sharding.SMALLEST_TIER * sharding.FANOUT**i} then 1 else 0 end" for i in range(20))
-    return OP8_SQL.replace("ARRIVAL", str(ARRIVAL_DOCS)).replace("TIERS", tiers).replace("TARGET", str(sharding.TARGET_BYTES))
+    tiers = "(" + " + ".join(f"case when bytes >= {sharding.SMALLEST_TIER * sharding.FANOUT**i} then 1 else 0 end" for i in range(sharding.TIERS)) + ")"
+    values = {"ARRIVAL": ARRIVAL_DOCS, "ROW_BYTES": sharding.ROW_BYTES, "TIERS": tiers, "TARGET": sharding.TARGET_BYTES, "SMALLEST": sharding.SMALLEST_TIER, "FANOUT": sharding.FANOUT}
+    sql = OP8_SQL
+    for name, value in values.items():
+        sql = sql.replace(name, str(value))
+    return sql
 
 
 def op9_sql() -> str:

@@ -1,8 +1,9 @@
 """Size-tiered compaction of document shards, with DataFrame operations only.
 
-append() writes arrivals as small immutable shards, compact() merges runs of similarly sized shards into files of about
+append() writes arrivals as small immutable shards, compact() merges runs of similarly sized shards into files of up to
 the target size, and both commit a new version of the manifest: a Parquet table that appears under its name by one
-rename that fails if the name is taken. Readers take the files that the newest manifest names, so they never see half a step.
+rename that fails if the version exists. Readers take the files that a manifest names, so they never see half a step.
+A file is named by the folder of the commit that made it and its number there; folders are never reused, so no name recurs.
 """
 
 from __future__ import annotations
@@ -13,38 +14,48 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomwork.llm.common import unused
 from loomwork.operators.running import running_sum
-from loomwork.session import shared_dir
+from loomwork.session import shared_dir, written
 
-#: Rows up to which a plan is broadcast; a larger one is shuffled.
+#: Rows up to which a plan, about 60 bytes a row, is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 FANOUT = 4
-SMALLEST_TIER = 1 << 20
+SMALLEST_TIER = 4 << 20
 TARGET_BYTES = 64 << 20
 BLOCK_SHARDS = 4096
+#: What a row counts besides its text.
+ROW_BYTES = 16
+TIERS = 20
+_MANIFEST = "made string, shard long, rows long, bytes long"
 
 
-def text_bytes(text: Column) -> Column:
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+def row_bytes(text: Column) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")
 
 
 def tier_of(size: Column, fanout: int = FANOUT, smallest: int = SMALLEST_TIER) -> Column:
     """0 for sizes under smallest, and one more for each factor of fanout from there."""
-    bounds = [smallest * fanout**i for i in range(20)]
-    return sum((F.when(size >= b, 1).otherwise(0) for b in bounds), F.lit(0))
+    return sum((F.when(size >= smallest * fanout**i, 1).otherwise(0) for i in range(TIERS)), F.lit(0))
 
 
-def merge_plan(shards: DataFrame, target: int = TARGET_BYTES, fanout: int = FANOUT, smallest: int = SMALLEST_TIER) -> DataFrame:
-    """(shard, tier, run, merged) for each of shards(shard, rows, bytes).
+def merge_plan(files: DataFrame, target: int = TARGET_BYTES, fanout: int = FANOUT, smallest: int = SMALLEST_TIER) -> DataFrame:
+    """(made, shard, tier, run, merged) for each of files(made, shard, rows, bytes), a row for each file.
 
-    The shards of a tier stand in order of arrival and are cut into runs wherever their bytes pass a multiple of the
-    target. A run of two or more is merged, a single shard stays as it is. The table has a row for each shard.
+    Files above half the target stay as they are. The others of a tier stand in order of arrival and are cut into runs
+    wherever their bytes pass a multiple of the target less the tier's largest size, so that no run exceeds the target.
+    A run of two or more is merged.
     """
-    rows = shards.withColumn("tier", tier_of(F.col("bytes"), fanout, smallest))
-    rows = running_sum(rows, ["tier"], F.floor(F.col("shard") / BLOCK_SHARDS), [F.col("shard")], F.col("bytes"), "ahead")
-    rows = rows.withColumn("run", F.expr(f"ahead div {target}"))
+    small = 2 * F.col("bytes") <= target
+    rows = files.where(small).withColumn("tier", tier_of(F.col("bytes"), fanout, smallest))
+    block = F.struct("made", F.floor(F.col("shard") / BLOCK_SHARDS))
+    rows = running_sum(rows, ["tier"], block, [F.col("made"), F.col("shard")], F.col("bytes"), "ahead")
+    largest = F.least(F.lit(target // 2), F.lit(smallest) * F.pow(F.lit(fanout), F.col("tier"))).cast("long")
+    rows = rows.withColumn("__stride", F.lit(target) - largest).withColumn("run", F.expr("ahead div __stride"))
     size = rows.groupBy("tier", "run").agg(F.count("*").alias("n"))
-    return rows.join(size, ["tier", "run"]).select("shard", "tier", "run", (F.col("n") > 1).alias("merged"))
+    planned = rows.join(size, ["tier", "run"]).select("made", "shard", "tier", "run", (F.col("n") > 1).alias("merged"))
+    kept = files.where(~small).select("made", "shard", F.lit(None).cast("int").alias("tier"), F.lit(None).cast("long").alias("run"), F.lit(False).alias("merged"))
+    return planned.unionByName(kept)
 
 
 def _commit(spark: SparkSession, root: str, version: int, manifest: DataFrame) -> None:
@@ -68,72 +79,86 @@ def newest_version(spark: SparkSession, root: str) -> int:
 
 
 def manifest(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """(folder, shard, rows, bytes) of the files of a version, the newest by default."""
-    return spark.read.schema("folder string, shard long, rows long, bytes long").parquet(f"{root}/manifest/v{version or newest_version(spark, root):08d}")
+    """(made, shard, rows, bytes) of the files of a version, the newest by default; empty before the first."""
+    version = version or newest_version(spark, root)
+    return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest/v{version:08d}") if version else spark.createDataFrame([], _MANIFEST)
 
 
-def append(docs: DataFrame, root: str, shard: Column, text_col: str = "text") -> int:
+def _place(columns: list[str]) -> tuple[str, str]:
+    """The names of the two folder levels of a file, which none of the documents' columns has."""
+    return unused(columns, "__made"), unused(columns, "__shard")
+
+
+def _write(rows: DataFrame, root: str, made: str, columns: list[str], number: Column) -> None:
+    level, shard = _place(columns)
+    rows.select(*[F.col(f"`{c}`") for c in columns], number.cast("long").alias(shard)).write.partitionBy(shard).option("compression", "zstd").parquet(f"{root}/data/{level}={made}")
+
+
+def append(docs: DataFrame, root: str, shard: Column, text_col: str = "text", gather: bool = True) -> int:
     """Writes docs as new shards, `shard` (long, not null) giving each row's, and commits them. Returns the version.
 
-    No shuffle: each task writes what it has of a shard as a file of it. Null texts count 0 bytes. An empty table commits no shard.
+    gather shuffles the rows so that each shard is one file. Without it each task writes a file of each shard that it has rows of,
+    which is cheaper where rows of a shard already stand together, as in tables that arrive in order. Null texts count
+    ROW_BYTES bytes. An empty table commits no shard. Shard numbers may recur from append to append.
     """
     spark = docs.sparkSession
     version = newest_version(spark, root)
-    folder = f"arrivals-{version + 1:08d}-{uuid.uuid4().hex[:8]}"
-    docs.withColumn("__shard", shard.cast("long")).write.partitionBy("__shard").option("compression", "zstd").parquet(f"{root}/{folder}")
-    new = docs.select(shard.cast("long").alias("shard"), text_bytes(F.col(f"`{text_col}`")).alias("b")).groupBy("shard").agg(F.count("*").alias("rows"), F.sum("b").alias("bytes"))
-    new = new.select(F.lit(folder).alias("folder"), "shard", "rows", "bytes")
-    _commit(spark, root, version + 1, new if not version else manifest(spark, root, version).unionByName(new))
+    made = f"{version + 1:08d}-{uuid.uuid4().hex[:8]}"
+    number = unused(docs.columns, "__number")
+    rows = docs.withColumn(number, shard.cast("long"))
+    _write(rows.repartition(number) if gather else rows, root, made, docs.columns, F.col(number))
+    new = docs.select(shard.cast("long").alias("shard"), row_bytes(F.col(f"`{text_col}`")).alias("b")).groupBy("shard").agg(F.count("*").alias("rows"), F.sum("b").alias("bytes"))
+    new = new.select(F.lit(made).alias("made"), "shard", "rows", "bytes")
+    _commit(spark, root, version + 1, manifest(spark, root, version).unionByName(new) if version else new)
     return version + 1
 
 
-def read_folder(spark: SparkSession, root: str, folder: str, schema=None) -> DataFrame:
-    reader = spark.read.option("basePath", f"{root}/{folder}")
-    return (reader.schema(schema) if schema is not None else reader).parquet(f"{root}/{folder}")
+def current(spark: SparkSession, root: str, schema: T.StructType, version: int | None = None) -> DataFrame:
+    """The rows of a version, the newest by default, with two more columns: the commit's folder and the number of the file that holds them.
+
+    They are called __made and __shard, with underscores behind if the documents have such columns. One read lists the
+    folders that still have files: a short name for each commit, which compaction keeps few, passes the driver.
+    """
+    level, shard = _place(schema.names)
+    typed = T.StructType([*schema.fields, T.StructField(level, T.StringType()), T.StructField(shard, T.LongType())])
+    files = manifest(spark, root, version).select(F.col("made").alias(level), F.col("shard").alias(shard))
+    folders = [r[0] for r in files.select(level).distinct().collect()]
+    if not folders:
+        return spark.createDataFrame([], typed)
+    rows = spark.read.option("basePath", f"{root}/data").schema(typed).parquet(*[f"{root}/data/{level}={made}" for made in folders])
+    return rows.join(_small(files), [level, shard], "left_semi").select(typed.names)
+
+
+def _small(files: DataFrame) -> DataFrame:
+    return F.broadcast(files) if files.count() <= BROADCAST_ROWS else files
 
 
-def compact(spark: SparkSession, root: str, schema, target: int = TARGET_BYTES, fanout: int = FANOUT, smallest: int = SMALLEST_TIER) -> tuple[int, DataFrame]:
+def compact(spark: SparkSession, root: str, schema: T.StructType, target: int = TARGET_BYTES, fanout: int = FANOUT, smallest: int = SMALLEST_TIER) -> tuple[int, DataFrame]:
     """Merges the newest version's runs into files and commits them. Returns the version and the plan that was followed.
 
-    schema: that of the documents. Merged files carry their shard numbers no longer; single shards keep their files.
-    A merged file is written by one task from one shuffle. Old files stay for readers of old versions.
+    schema: that of the documents. Single shards keep their files. A merged file, up to the target, is written by one task from
+    one shuffle of the merged rows alone. Nothing is committed where nothing merges. Old files stay for readers of old versions.
     """
     version = newest_version(spark, root)
     now = manifest(spark, root, version)
-    folders = [r[0] for r in now.select("folder").distinct().collect()]  # one for each append since the last compaction
-    plan = merge_plan(now, target, fanout, smallest).persist()
-    by_shard = F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
-    typed = T.StructType([*schema.fields, T.StructField("__shard", T.LongType())])
-    rows = None
-    for folder in folders:
-        part = read_folder(spark, root, folder, typed)
-        rows = part if rows is None else rows.unionByName(part)
-    out = f"merged-{version + 1:08d}-{uuid.uuid4().hex[:8]}"
-    # a file's number: its tier and run
-    number = (F.col("tier").cast("long") * F.lit(1 << 40) + F.col("run")).alias("__shard")
-    merged = plan.where("merged").select("tier", "run").distinct().count()
-    if merged:
-        moved = rows.withColumnRenamed("__shard", "shard").join(by_shard.where("merged"), "shard")
-        moved = moved.select(*schema.names, number).repartition(max(1, merged), "__shard")
-        moved.write.partitionBy("__shard").option("compression", "zstd").parquet(f"{root}/{out}")
-    told = now.join(plan, "shard")
-    made = told.where("merged").groupBy(number).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
-    made = made.select(F.lit(out).alias("folder"), F.col("__shard").alias("shard"), "rows", "bytes")
-    _commit(spark, root, version + 1, made.unionByName(told.where("not merged").select("folder", "shard", "rows", "bytes")))
+    plan = written(merge_plan(now, target, fanout, smallest), "merge-plan")
+    moving = plan.where("merged")
+    runs = moving.select("tier", "run").distinct().count()
+    if not runs:
+        return version, plan
+    made = f"{version + 1:08d}-{uuid.uuid4().hex[:8]}"
+    number = F.col("tier").cast("long") * F.lit(1 << 40) + F.col("run")
+    level, shard = _place(schema.names)
+    number_of = unused(schema.names, "__number")
+    to = moving.select(F.col("made").alias(level), F.col("shard").alias(shard), number.alias(number_of))
+    moved = current(spark, root, schema).join(_small(to), [level, shard]).select(*[F.col(f"`{c}`") for c in schema.names], number_of)
+    _write(moved.repartition(runs, number_of), root, made, schema.names, F.col(number_of))
+    told = now.join(plan, ["made", "shard"])
+    new = told.where("merged").groupBy(number.alias("shard")).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+    new = new.select(F.lit(made).alias("made"), "shard", "rows", "bytes")
+    _commit(spark, root, version + 1, new.unionByName(told.where("not merged").select("made", "shard", "rows", "bytes")))
     return version + 1, plan
 
 
-def current(spark: SparkSession, root: str, schema) -> DataFrame:
-    """The rows of the newest version with __folder and __shard, the file that holds them."""
-    typed = T.StructType([*schema.fields, T.StructField("__shard", T.LongType())])
-    now = manifest(spark, root)
-    out = None
-    for (folder,) in now.select("folder").distinct().collect():
-        files = now.where(F.col("folder") == folder).select(F.col("shard").alias("__shard"))
-        part = read_folder(spark, root, folder, typed).join(files, "__shard", "left_semi").withColumn("__folder", F.lit(folder))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], typed.add("__folder", "string"))
-
-
 def new_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/loomwork/shards-{uuid.uuid4().hex}"

@@ -403,7 +403,7 @@ def test_sharding(spark, docs, empty, tmp_path):
     root = f"file://{tmp_path}/shards"
     assert sharding.append(docs, root, sharding.F.expr("doc_id div 8")) == 1
     more = docs.where("doc_id < 20").withColumn("doc_id", sharding.F.col("doc_id") + 1000)
-    assert sharding.append(more, root, sharding.F.expr("doc_id div 8")) == 2
+    assert sharding.append(more, root, sharding.F.expr("doc_id div 8"), gather=False) == 2
     version, _ = sharding.compact(spark, root, docs.schema, target=20000, smallest=64)
     assert version == 3
     now = sharding.current(spark, root, docs.schema)
@@ -412,14 +412,51 @@ def test_sharding(spark, docs, empty, tmp_path):
     told = sharding.manifest(spark, root).collect()
     assert sum(r.rows for r in told) == now.count() and len(told) < sharding.manifest(spark, root, 2).count()
     assert sharding.manifest(spark, root, 1).count() == docs.selectExpr("doc_id div 8").distinct().count()
+    assert key(sharding.current(spark, root, docs.schema, 1)) == key(docs)
     with pytest.raises(Exception):
         sharding._commit(spark, root, 2, sharding.manifest(spark, root, 1))
     other = f"file://{tmp_path}/none"
     sharding.append(empty, other, sharding.F.expr("doc_id div 8"))
-    sharding.compact(spark, other, empty.schema)
+    assert sharding.compact(spark, other, empty.schema)[0] == 1
     assert sharding.current(spark, other, empty.schema).count() == 0
 
 
+def test_many_appends_and_compactions_are_a_plain_union(spark, tmp_path):
+    root, rng, target = f"file://{tmp_path}/shards", random.Random(14), 3000
+    schema = "doc_id long, text string, shard long, run string, tier int, merged boolean, made string, rows int, `__shard` string, `__MADE` int"
+    every, seen = [], set()
+    for step in range(6):
+        rows = [(step * 100 + i, "x" * rng.choice([0, 5, 40, 400, 2500]), i, "r", 1, True, "m", 3, "s", None) for i in range(rng.choice([5, 40]))]
+        rows += rows[:2]
+        every += rows
+        new = spark.createDataFrame(rows, schema).repartition(2)
+        sharding.append(new, root, sharding.F.expr("doc_id % 8"), gather=step % 2 == 0)
+        if step != 3:
+            sharding.compact(spark, root, new.schema, target=target, smallest=100)
+        now = sharding.current(spark, root, new.schema)
+        assert sorted(map(str, now.select(*[f"`{c}`" for c in new.columns]).collect())) == sorted(map(str, spark.createDataFrame(every, schema).collect()))
+        files = {(r.made, r.shard): r for r in sharding.manifest(spark, root).collect()}
+        held = Counter((r["__made_"], r["__shard_"]) for r in now.collect())
+        assert {k: r.rows for k, r in files.items()} == held
+        before, seen = seen, set(files)
+    merged = [r for r in files.values() if r.shard >= 8 or r.rows > 12]
+    assert merged and len(files) < 8 * 6 and before
+
+
+def test_runs_stay_under_the_target(spark):
+    rng = random.Random(3)
+    files = [(f"{i % 7:08d}", i, 1, rng.choice([10, 500, 2000, 9000, 28_800, 40_000])) for i in range(300)]
+    plan = sharding.merge_plan(spark.createDataFrame(files, "made string, shard long, rows long, bytes long"), target=30_000, smallest=100).collect()
+    size = {(m, s): b for m, s, _, b in files}
+    assert len(plan) == len(files)
+    runs = defaultdict(list)
+    for r in plan:
+        assert r.merged is False if size[r.made, r.shard] > 15_000 else r.tier is not None
+        if r.merged:
+            runs[r.tier, r.run].append(size[r.made, r.shard])
+    assert runs and all(sum(x) <= 30_000 and len(x) > 1 for x in runs.values())
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme/x", "http://Example.COM/en/1", "http://www.example.com/en/2?x", "https://a.net/es/9", "https://a.net/de/9#t", "ftp://net/fr/", "x://host", "http://org.example.org/a/b/c/d/e/f", "http://netx/es/", "a://b://c/d"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*urls, urls[3]])], "page_id long, url string, host string")
