@@ -156,6 +156,8 @@ def op9_sql() -> str:
             f"tree{level} as (select t.host, t.raw, t.segs, case when len(segs) < {level} then t.made else t.made || case when w.host is null then [segs[{level}]] else ['*'] end end as made from {last} t left join wide{level} w on t.host = w.host and t.made = w.made)"
         )
         last = f"tree{level}"
+    drawn = lambda k: f"coalesce((b{k} + {url_filter.STRENGTH}::double * purity) / (n{k} + {url_filter.STRENGTH}::double), purity)"
+    pulls = "".join(f"p{k} as (select * replace ({drawn(k)} as purity) from p{k - 1}),\n" for k in range(1, depth + 2))
     return rf"""
 with urls as (
   select page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -167,17 +169,24 @@ cut as (select *, case when len(own) > {depth} then own[1:{depth}] || ['**'] els
 rows as (select *, array_to_string(segs, '/') as raw, case ruled when 'block' then 1 when 'allow' then 0 end as label from cut),
 forms as (select distinct host, segs, raw, []::varchar[] as made from rows),
 {",".join(steps)},
-tree as (select host, raw, array_to_string(case when len(segs) > {depth} then made || ['**'] else made end, '/') as template, len(segs) as parts from {last}),
+tree as (select host, raw, case when len(segs) > {depth} then made || ['**'] else made end as nodes, array_to_string(nodes, '/') as template from {last}),
 labels as (select host, raw, count(label) as labelled, coalesce(sum(label), 0) as bad from rows group by host, raw),
-counted as (select host, template, parts, sum(labelled) as labelled, sum(bad) as bad from tree join labels using (host, raw) group by host, template, parts),
-rated as (select *, bad / labelled as rate from counted where labelled > 0),
-beside as (select *, lag(rate) over o as rate0, lag(bad) over o as bad0, lag(labelled) over o as labelled0 from rated window o as (partition by host, parts order by rate, template)),
+counted as (select host, template, nodes, sum(labelled) as labelled, sum(bad) as bad from tree join labels using (host, raw) group by host, template, nodes),
+steps as (select *, array_to_string(nodes[1:level - 1], '/') as parent, array_to_string(nodes[1:level], '/') as node from (select *, unnest(range(1, len(nodes) + 1)) as level from counted)),
+summed as (select host, parent, node, sum(labelled) as labelled, sum(bad) as bad from steps group by host, parent, node),
+rated as (select *, bad / labelled as rate from summed where labelled > 0),
+beside as (select *, lag(rate) over o as rate0, lag(bad) over o as bad0, lag(labelled) over o as labelled0 from rated window o as (partition by host, parent order by rate, node)),
 pooled as (select *, (bad + bad0) / (labelled + labelled0) as p from beside),
-apart as (select *, coalesce((rate - rate0 > {url_filter.Z} * sqrt(p * (1 - p) * (1.0 / labelled + 1.0 / labelled0)))::int, 0) as a from pooled),
-branches as (select *, sum(a) over (partition by host, parts order by rate, template rows unbounded preceding) as branch from apart),
-summed as (select host, template, sum(bad) over b as b, sum(labelled) over b as n from branches window b as (partition by host, parts, branch)),
+apart as (select *, coalesce((rate - rate0 > {url_filter.Z} * sqrt(p * (1 - p) * (1.0::double / labelled + 1.0::double / labelled0)))::int, 0) as a from pooled),
+branches as (select *, sum(a) over (partition by host, parent order by rate, node rows unbounded preceding) as branch from apart),
+shares as (select host, parent, node, sum(bad) over b as b, sum(labelled) over b as n from branches window b as (partition by host, parent, branch)),
+held as (select host, template, {", ".join(f"max(b) filter (level = {k}) as b{k}, max(n) filter (level = {k}) as n{k}" for k in range(1, depth + 2))} from steps join shares using (host, parent, node) group by host, template),
 prior as (select coalesce(sum(bad) / sum(labelled), 0) as prior from counted),
-pure as (select c.host, c.template, (coalesce(b, 0) + {url_filter.STRENGTH} * prior) / (coalesce(n, 0) + {url_filter.STRENGTH}) as purity from counted c cross join prior left join summed s on c.host = s.host and c.template = s.template)
+everywhere as (select template, sum(bad) as all_bad, sum(labelled) as all_labelled from counted group by template),
+p0 as (
+  select c.host, c.template, h.* exclude (host, template), (all_bad + {url_filter.STRENGTH}::double * prior) / (all_labelled + {url_filter.STRENGTH}::double) as purity
+  from counted c join everywhere e on c.template = e.template cross join prior left join held h on c.host = h.host and c.template = h.template),
+{pulls}pure as (select host, template, purity from p{depth + 1})
 select page_id, host, path, rule, coalesce(ruled, case when purity >= {url_filter.REJECT_FROM} then 'block' else 'allow' end) as verdict, template
 from rows join tree using (host, raw) join pure using (host, template)
 """

@@ -1,8 +1,10 @@
 """URL filters: host and path rules first, then a tree of path templates for each host.
 
 A url's path is generalised segment by segment: one with a digit, or at a place of the tree where more than `most_children`
-different segments follow, becomes a wildcard. A host's templates of one depth whose labelled shares of bad pages don't
-differ significantly are merged; a template is rejected if its share, smoothed towards that of all labelled pages, is high.
+different segments follow, becomes a wildcard. Children of one node whose labelled shares of bad pages don't differ
+significantly are merged into a branch. A template's purity starts at the share that it has over all hosts, smoothed towards that of all
+labelled pages, and is drawn at each node on its way down the host's tree towards the share of the node's branch; a template
+whose purity of bad pages is high is rejected.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.session import written
+
 # Verdict, host and path of the rules.
 RULES = [
     ("allow", "com", "/"),
@@ -53,7 +57,7 @@ def segments(path: Column, depth: int) -> Column:
 
 
 def template_tree(urls: DataFrame, depth: int = DEPTH, most_children: int = MOST_CHILDREN) -> DataFrame:
-    """(host, raw, template) for each host and digit-free form of a path in urls(host, segs); raw and template are strings.
+    """(host, raw, template, nodes) for each host and digit-free form of a path in urls(host, segs); raw and template are strings, nodes the template's segments.
 
     Works on the distinct forms only, level by level from the root. The children of a node are counted, so a node with
     any number of pages under it is a few rows.
@@ -68,30 +72,45 @@ def template_tree(urls: DataFrame, depth: int = DEPTH, most_children: int = MOST
         step = F.when(seg.isNull(), F.array().cast("array<string>")).when(F.col("wide_host").isNotNull(), F.array(F.lit("*"))).otherwise(F.array(seg))
         tree = tree.withColumn("made", F.concat("made", step)).drop("wide_host", "wide_parent")
     tail = F.when(F.size("segs") > depth, F.concat("made", F.array(F.lit("**")))).otherwise(F.col("made"))
-    return tree.select("host", "raw", F.array_join(tail, "/").alias("template"), F.size(tail).alias("parts"))
+    return tree.select("host", "raw", F.array_join(tail, "/").alias("template"), tail.alias("nodes"))
 
 
-def template_purity(counted: DataFrame, strength: float = STRENGTH, z: float = Z) -> DataFrame:
-    """(host, template, purity) from (host, template, parts, labelled, bad), a row for each template.
+def branches(nodes: DataFrame, z: float = Z) -> DataFrame:
+    """(host, parent, node, b, n): the bad and labelled pages of each node's branch, from (host, parent, node, labelled, bad).
 
-    Templates of a host and depth that have labels stand by their share of bad pages; neighbours whose shares differ by
-    less than z standard errors are one branch. A template without labels has the share of all labelled pages.
+    A node's children with labels stand by their share of bad pages; neighbours whose shares differ by less than z standard
+    errors are one branch. Children are most_children and two wildcards at most, so a window is small.
     """
-    total = counted.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("prior"))  # a single row
-    rate = F.col("bad") / F.col("labelled")
-    order = Window.partitionBy("host", "parts").orderBy("rate", "template")
-    rows = counted.where("labelled > 0").withColumn("rate", rate)
+    order = Window.partitionBy("host", "parent").orderBy("rate", "node")
+    rows = nodes.where("labelled > 0").withColumn("rate", F.col("bad") / F.col("labelled"))
     rows = rows.withColumns({"rate0": F.lag("rate").over(order), "bad0": F.lag("bad").over(order), "labelled0": F.lag("labelled").over(order)})
     pooled = (F.col("bad") + F.col("bad0")) / (F.col("labelled") + F.col("labelled0"))
     error = F.sqrt(pooled * (1 - pooled) * (1.0 / F.col("labelled") + 1.0 / F.col("labelled0")))
     apart = F.coalesce((F.col("rate") - F.col("rate0") > z * error).cast("int"), F.lit(0))
     rows = rows.withColumn("apart", apart)
     rows = rows.withColumn("branch", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    branch = Window.partitionBy("host", "parts", "branch")
-    rows = rows.withColumns({"b": F.sum("bad").over(branch), "n": F.sum("labelled").over(branch)}).select("host", "template", "b", "n")
-    everyone = counted.select("host", "template").join(rows, ["host", "template"], "left").crossJoin(F.broadcast(total))
-    purity = (F.coalesce("b", F.lit(0)) + strength * F.coalesce("prior", F.lit(0.0))) / (F.coalesce("n", F.lit(0)) + strength)
-    return everyone.select("host", "template", purity.alias("purity"))
+    branch = Window.partitionBy("host", "parent", "branch")
+    return rows.select("host", "parent", "node", F.sum("bad").over(branch).alias("b"), F.sum("labelled").over(branch).alias("n"))
+
+
+def template_purity(counted: DataFrame, depth: int = DEPTH, strength: float = STRENGTH, z: float = Z) -> DataFrame:
+    """(host, template, purity) from (host, template, nodes, labelled, bad), a row for each template of a host."""
+    total = counted.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("prior"))  # a single row
+    everywhere = counted.groupBy("template").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
+    level = F.explode(F.sequence(F.lit(1), F.size("nodes")))
+    steps = counted.where("size(nodes) > 0").withColumn("level", level)
+    prefix = lambda n: F.array_join(F.slice("nodes", 1, n), "/")
+    steps = steps.select("host", "template", "level", prefix(F.col("level") - 1).alias("parent"), prefix(F.col("level")).alias("node"), "labelled", "bad")
+    nodes = steps.groupBy("host", "parent", "node").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    held = steps.select("host", "template", "level", "parent", "node").join(branches(nodes, z), ["host", "parent", "node"])
+    at = lambda k, c: F.max(F.when(F.col("level") == k, F.col(c))).alias(f"{c}{k}")
+    held = held.groupBy("host", "template").agg(*[at(k, c) for k in range(1, depth + 2) for c in "bn"])
+    rows = counted.select("host", "template").join(held, ["host", "template"], "left").join(everywhere, "template").crossJoin(F.broadcast(total))
+    rows = rows.withColumn("purity", (F.col("all_bad") + strength * F.coalesce("prior", F.lit(0.0))) / (F.col("all_labelled") + strength))
+    for k in range(1, depth + 2):
+        drawn = (F.col(f"b{k}") + strength * F.col("purity")) / (F.col(f"n{k}") + strength)
+        rows = rows.withColumn("purity", F.coalesce(drawn, F.col("purity")))
+    return rows.select("host", "template", "purity")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, reject_from: float = REJECT_FROM, depth: int = DEPTH, most_children: int = MOST_CHILDREN, strength: float = STRENGTH, id_col: str = "page_id", url_col: str = "url", label_col: str | None = None) -> DataFrame:
@@ -99,7 +118,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, reject_fr
 
     A page that a rule fits has its verdict, and is a labelled page: bad if blocked. label_col, where given, labels further pages (1: bad,
     0: good, null: none). The others are blocked if their template's purity reaches reject_from. Null urls and those without
-    :// have an empty host and path and share a template. Repeated rows give repeated results.
+    :// have an empty host and path and share a template, which has no nodes. Repeated rows give repeated results.
     """
     label = F.col(f"`{label_col}`") if label_col else F.lit(None).cast("int")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), url_host(F.col(f"`{url_col}`")).alias("host"), url_path(F.col(f"`{url_col}`")).alias("path"), label.cast("int").alias("label"))
@@ -107,9 +126,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, reject_fr
     rows = rows.withColumn("raw", F.array_join("segs", "/"))
     label = F.coalesce(F.when(F.col("match.verdict") == "block", 1).when(F.col("match.verdict") == "allow", 0), F.col("label"))
     counts = rows.groupBy("host", "raw").agg(F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("bad"))
-    tree = template_tree(rows, depth, most_children)
-    counted = tree.join(counts, ["host", "raw"]).groupBy("host", "template", "parts").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    purity = tree.join(template_purity(counted, strength), ["host", "template"]).select("host", "raw", "template", "purity")
+    tree = written(template_tree(rows, depth, most_children), "url-tree")
+    counted = written(tree.join(counts, ["host", "raw"]).groupBy("host", "template", "nodes").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "url-templates")
+    purity = tree.join(template_purity(counted, depth, strength), ["host", "template"]).select("host", "raw", "template", "purity")
     out = rows.join(purity, ["host", "raw"])
     by_method = F.when(F.col("purity") >= reject_from, "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("match.rule").alias("rule"), F.coalesce(F.col("match.verdict"), by_method).alias("verdict"), "template", "purity")
