@@ -1,13 +1,16 @@
 """Fuzzy search for short licence notices: exact seeds by the pigeonhole principle, then bounded-error matching.
 
 A notice that stands in a text with at most k edits has one of its k + 1 parts unharmed. One Aho-Corasick pass finds these
-parts; around each the regex library looks for the whole notice with at most k edits and gives span and edits.
+parts; each says where the notice would start, and the places that agree within k are one window, no longer than the notice and
+a few edits. A window that lacks too many of the notice's character runs, or whose least edit distance is above k, is left; in the
+others the regex library finds the notice with its edits and gives the span. So the work grows with the text, whatever it repeats.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -54,44 +57,93 @@ def seeds(notice: str) -> list[tuple[str, int]]:
     return [(notice[a:b], a) for a, b in zip(cuts, cuts[1:])]
 
 
+#: Characters of the runs that a window is first judged by.
+RUN = 4
+
+
+def least_edits(masks: dict[str, int], size: int, text: str) -> int:
+    """The least edit distance of a pattern to any part of the text; masks has for each character the bits of its places."""
+    every, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, score, best = every, 0, size, size
+    for c in text:
+        here = masks.get(c, 0)
+        diagonal = (((here & up) + up) ^ up) | here
+        rise = down | (~(diagonal | up) & every)
+        fall = up & diagonal
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+            best = min(best, score)
+        rise, fall, joined = rise << 1 & every, fall << 1 & every, here | down
+        up = fall | (~(joined | rise) & every)
+        down = rise & joined
+    return best
+
+
+class Notice:
+    """One notice, with what is needed to look for it in a window."""
+
+    def __init__(self, text: str, label: str) -> None:
+        self.text, self.label, self.edits = text, label, allowed_edits(text)
+        self.runs = {text[i : i + RUN] for i in range(len(text) - RUN + 1)}
+        #: an edit destroys at most RUN runs
+        self.least_runs = len(self.runs) - RUN * self.edits
+        self.masks = {c: sum(1 << i for i, x in enumerate(text) if x == c) for c in set(text)}
+
+    @lru_cache(maxsize=None)
+    def pattern(self, edits: int):
+        import regex
+
+        return regex.compile(f"(?:{regex.escape(self.text, literal_spaces=True)}){{e<={edits}}}")
+
+    def best(self, norm: str, a: int, b: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the match in norm[a:b] with the fewest edits, the first of these."""
+        at = norm.find(self.text, a, b)
+        if at >= 0:
+            return 0, at, at + len(self.text)
+        if len(self.runs & {norm[i : i + RUN] for i in range(a, b - RUN + 1)}) < self.least_runs:
+            return None
+        edits = least_edits(self.masks, len(self.text), norm[a:b])
+        if edits > self.edits:
+            return None
+        m = self.pattern(edits).search(norm, a, b)
+        return (sum(m.fuzzy_counts), m.start(), m.end()) if m else None
+
+
 def scanner(notices: dict[str, str]):
-    """normalised text -> [(label, start, end, edits)]: for each notice its best matches that no better match overlaps."""
+    """normalised text -> [(label, start, end, edits)]: for each notice all its matches that no better match overlaps."""
     import ahocorasick
-    import regex
 
-    automaton, patterns, of = ahocorasick.Automaton(), [], {}
+    automaton, known, of = ahocorasick.Automaton(), [Notice(*n) for n in notices.items()], {}
     for k, notice in enumerate(notices):
-        patterns.append(regex.compile(f"(?b)(?:{regex.escape(notice, literal_spaces=True)}){{e<={allowed_edits(notice)}}}"))
         for part, at in seeds(notice):
             of.setdefault(part, []).append((k, at))
     for part, where in of.items():
         automaton.add_word(part, (len(part), where))
     automaton.make_automaton()
-    texts, labels = list(notices), list(notices.values())
 
     def scan(norm: str) -> list[tuple[str, int, int, int]]:
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for end, (size, where) in automaton.iter(norm):
             for k, at in where:
-                slack = allowed_edits(texts[k])
-                a = max(0, end + 1 - size - at - slack)
-                b = min(len(norm), end + 1 - size - at + len(texts[k]) + slack)
-                own = windows.setdefault(k, [])
-                if own and a <= own[-1][1]:
-                    own[-1] = [min(a, own[-1][0]), max(b, own[-1][1])]
-                else:
-                    own.append([a, b])
-        hits = []
-        for k, own in windows.items():
-            for a, b in own:
-                while a < b and (m := patterns[k].search(norm, a, b)):
-                    hits.append((sum(m.fuzzy_counts), m.start(), m.end(), labels[k]))
-                    a = max(m.end(), a + 1)
-        kept: list[tuple[str, int, int, int]] = []
+                starts.setdefault(k, set()).add(end + 1 - size - at)
+        hits = set()
+        for k, own in starts.items():
+            notice, group = known[k], []
+            for start in [*sorted(own), None]:
+                if group and (start is None or start - group[0] > 2 * notice.edits):
+                    found = notice.best(norm, max(0, group[0] - notice.edits), min(len(norm), group[-1] + len(notice.text) + notice.edits))
+                    if found:
+                        hits.add((*found, notice.label))
+                    group = []
+                group.append(start)
+        kept: list[tuple[int, int, str, int]] = []
         for edits, a, b, label in sorted(hits, key=lambda h: (h[0] / (h[2] - h[1] or 1), -(h[2] - h[1]), h[1], h[3])):
-            if all(b <= c or d <= a for _, c, d, _ in kept):
-                kept.append((label, a, b, edits))
-        return sorted(kept, key=lambda h: h[1:3])
+            at = bisect_left(kept, (a,))
+            if (not at or kept[at - 1][1] <= a) and (at == len(kept) or b <= kept[at][0]):
+                kept.insert(at, (a, b, label, edits))
+        return [(label, a, b, edits) for a, b, label, edits in kept]
 
     return scan
 
@@ -116,9 +168,10 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
             line = f" {norm} "
             places, base = [], set()
             for phrase, label in padded:
-                at = line.find(phrase)
+                at, before, counted = line.find(phrase), 0, 0
                 while at >= 0:
-                    places.append(line.count(" ", 0, at))
+                    before, counted = before + line.count(" ", counted, at), at
+                    places.append(before)
                     base.add(label)
                     at = line.find(phrase, at + 1)
             found, spans, score = scan(norm), [], 0.5 * bool(places)

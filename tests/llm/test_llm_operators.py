@@ -147,15 +147,69 @@ def test_license_base_and_method(docs, empty, texts):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
-def test_fuzzy_notices_found_with_up_to_k_edits():
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def least_distances(pattern, text):
+    """For each place of the text the least edits of a part that ends there."""
+    row, out = list(range(len(pattern) + 1)), []
+    for y in text:
+        new = [0]
+        for j, x in enumerate(pattern, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+        out.append(row[-1])
+    return out
+
+
+def test_fuzzy_notices_against_dynamic_programming():
     scan, rng = license_scan.scanner(license_scan.NOTICES), random.Random(4)
     for notice, label in license_scan.NOTICES.items():
-        for _ in range(5):
-            chars = list(notice)
-            for _ in range(license_scan.allowed_edits(notice)):
-                chars[rng.randrange(len(chars))] = rng.choice("qxz")
-            found = scan("some words before " + "".join(chars) + " and after")
-            assert any(label == f[0] or f[3] <= license_scan.allowed_edits(notice) for f in found), (notice, "".join(chars))
+        for extra in (0, 0, 1, 3):
+            parts = []
+            for _ in range(3):
+                chars = list(notice)
+                for _ in range(license_scan.allowed_edits(notice) + extra):
+                    at = rng.randrange(len(chars))
+                    chars[at : at + 1] = rng.choice(["", "q", "xz"])
+                parts += ["".join(chars), prose(rng, rng.randint(0, 3))]
+            text = " ".join("some words before {} and after".format(" ".join(parts)).split())
+            found = scan(text)
+            for name, a, b, edits in found:
+                same = [n for n, x in license_scan.NOTICES.items() if x == name and edit_distance(n, text[a:b]) == edits <= license_scan.allowed_edits(n)]
+                assert same, (name, text[a:b])
+            assert all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+            for other in license_scan.NOTICES:
+                for end, d in enumerate(least_distances(other, text), 1):
+                    if d <= license_scan.allowed_edits(other):
+                        assert any(a < end and end - len(other) - d < b for _, a, b, _ in found), (other, end, d)
+
+
+def test_adjacent_notices_are_all_found():
+    scan = license_scan.scanner(license_scan.NOTICES)
+    assert scan("released under teh mit license xx released under the mit license") == [("mit", 0, 30, 2), ("mit", 34, 64, 0)]
+    assert len(scan(" ".join(["licensed undor the apache license version 2 0", "licensed under the apache license version 2 0"] * 20))) == 40
+
+
+@pytest.mark.parametrize("phrase", ["permission to use copy modify and or distribute this", "mit license", "released under teh mit licence", "redistribution and use in source and binary forms"])
+def test_long_repetitive_texts_are_linear(spark, phrase):
+    import time
+
+    text = (phrase + " ") * (1_200_000 // len(phrase))
+    work = license_scan.scanner(license_scan.NOTICES)
+    began = time.perf_counter()
+    work(text)
+    assert time.perf_counter() - began < 20
+    if phrase == "mit license":
+        row = license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+        assert row.n_base == text.count(phrase) and row.last_word == 2 * (row.n_base - 1)
 
 
 def test_secrets(docs, empty, texts):
