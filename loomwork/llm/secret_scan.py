@@ -1,7 +1,9 @@
 """Secrets in texts: fixed patterns, and assignments read by a small lexer of source and configuration syntax.
 
-The lexer reads name-literal pairs (`name = "literal"`, `"name": "literal"`, `NAME=literal`, `name := other`), joins
-literals that are added up, carries constants to the names they are assigned to, and scores each literal by how
+The lexer cuts a text into tokens (strings with prefixes, escapes and triple quotes, names, operators, lines with their
+indents). A pass over the tokens reads name-literal pairs: assignments with or without types, subscripts, keys of JSON
+and YAML at any depth, list items, INI lines, and XML elements and attributes. It joins literals that are added up and carries constants
+to the names they are assigned to. Calls, subscripts and other expressions are no literals. Each literal is scored by how
 sensitive the names are that it reaches.
 """
 
@@ -10,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +26,14 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-# Parts of names, with how sensitive a name is that has them.
+# Parts of names, a hyphen where a separator may stand, with how sensitive a name is that has them.
 SENSITIVE = {
-    "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
-    "accesskey": 1.0, "privatekey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "credential": 0.8, "authorization": 0.7,
-    "bearer": 0.7, "connectionstring": 0.8,
+    "password": 1.0, "passwd": 1.0, "pass-phrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "api-key": 1.0,
+    "access-key": 1.0, "private-key": 1.0, "signing-key": 0.9, "encryption-key": 0.9, "credential": 0.8, "authorization": 0.7,
+    "bearer": 0.7, "connection-string": 0.8,
 }
+# Keys that say nothing of their own, so that the key above them counts.
+GENERIC = {"value", "default", "data", "content", "text", "string", "val", "raw", "plain", "current", "literal"}
 # What stands where a secret would, without being one: words of a literal, whole literals, and what is filled in later.
 PLACEHOLDERS = {"example", "changeme", "placeholder", "your", "dummy", "redacted"}
 EMPTY_VALUES = {"none", "null", "true", "false", "undefined"}
@@ -35,25 +41,34 @@ _FILLED_IN = re.compile(r"\$\{[^}]*\}|\{\{.*?\}\}|<[^<>]*>")
 _BLANKED = re.compile(r"[xX*._\-]*(?:[xX]{4}|\*{4})[xX*._\-]*")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-_TYPE = r"""[&*]?(?:'static[\x20\t]+)?[A-Za-z_][A-Za-z0-9_.]*\??(?:[\[<][^\n="'\[\]<>]{0,80}[\]>])*"""
-# `name: type` before an equals sign with blanks around it, or with a string behind it; `key: value=` is neither
-_ANNOTATION = rf"""(?:\??[\x20\t]*:[\x20\t]*{_TYPE}(?:[\x20\t]*\|[\x20\t]*{_TYPE})*(?=[\x20\t]+=[\x20\t]|[\x20\t]*=[\x20\t]*[A-Za-z]{{0,2}}["']))?"""
-_TARGET = rf"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=q)(?:(?<=["'])[\x20\t]*\])?{_ANNOTATION}[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*"""
-# prefixes, triple quotes and escapes; a string that only an escaped quote ends is taken up to that quote
-_QUOTED = (
-    r"""[bBrRfFuU]{0,2}(?:\"{3}(?P<a>(?:[^\\]|\\[\s\S])*?)\"{3}|'{3}(?P<b>(?:[^\\]|\\[\s\S])*?)'{3}"""
-    r"""|"(?P<c>(?:[^"\\\n]|\\[^\n])*)"|'(?P<d>(?:[^'\\\n]|\\[^\n])*)'|"(?P<e>[^"\n]*)"|'(?P<f>[^'\n]*)')"""
+_SENSITIVE = {re.compile(part.replace("-", r"[_\-.\x20]?"), re.IGNORECASE): w for part, w in SENSITIVE.items()}
+_ANY_SENSITIVE = re.compile("|".join(p.pattern for p in _SENSITIVE), re.IGNORECASE)
+
+# a string: prefix, triple quotes, escapes; one that only an escaped quote ends is taken up to that quote. It begins no word.
+_STRING = (
+    r"""(?<![A-Za-z0-9])[bBrRfFuU]{0,2}(?:\"{3}(?:[^\\"]|\\[\s\S]|"(?!""))*\"{3}|'{3}(?:[^\\']|\\[\s\S]|'(?!''))*'{3}"""
+    r"""|"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*'|"[^"\n]*"|'[^'\n]*')"""
+)
+_TOKEN = re.compile(
+    rf"""(?P<string>{_STRING})|(?P<line>\n[\x20\t]*)|(?P<mark>\#+|//+|/\*+|\*+/)"""
+    r"""|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z0-9_$]+)*)|(?P<op>:=|=>|==|!=|<=|>=|::|->|[=:+,;(){}\[\]<>|&?*])|(?P<other>\S)"""
 )
-_STRING = re.compile(_QUOTED)
-_UNNAMED = re.sub(r"\?P<[a-f]>", "?:", _QUOTED)
-_VALUE = rf"""(?P<value>{_UNNAMED}(?:[\x20\t]*\+[\x20\t]*{_UNNAMED})*|[^\s"',;{{}}()\[\]]+)"""
-_PAIR = re.compile(_TARGET + _VALUE)
-_PLAIN_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+_QUOTES = re.compile(r"""[A-Za-z]{0,2}("{3}|'{3}|"|'|`)""")
+_BACKTICKS = re.compile(r"`[^`]*`")
+_BARE = re.compile(r"""[^\s"'`,;{}()\[\]<>]+""")
+_SCHEME = re.compile(r"(?:bearer|basic|token)[\x20\t]+", re.IGNORECASE)
+# names, with a short number at most behind each: what a variable is called
+_REFERENCE = re.compile(r"[A-Za-z_$]+[0-9]{0,2}(?:[.:\-]+[A-Za-z_$]+[0-9]{0,2})*\Z")
+_KEY = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-\x20]{0,80}\Z")
+_TYPE_OPS = frozenset("[]<>|&?*,")
+_ELEMENT = re.compile(r"""<([A-Za-z_][\w:.\-]*)((?:\s+[\w:.\-]+\s*=\s*(?:"[^"<]*"|'[^'<]*'))*)\s*/?>([^<]*)""")
+_ATTRIBUTE = re.compile(r"""([\w:.\-]+)\s*=\s*(?:"([^"<]*)"|'([^'<]*)')""")
+
+Found = tuple[str, list[tuple[int, int]]]
 
 
 def sensitivity(name: str) -> float:
-    flat = re.sub(r"[^a-z0-9]", "", name.lower())
-    return max((w for part, w in SENSITIVE.items() if part in flat), default=0.0)
+    return max((w for part, w in _SENSITIVE.items() if part.search(name)), default=0.0)
 
 
 def is_placeholder(literal: str) -> bool:
@@ -79,23 +94,213 @@ def literal_score(name: str, literal: str, least: int = 8) -> float:
     return sensitivity(name) * min(1.0, entropy / math.log2(max(n, 2)) * (0.4 + 0.3 * kinds))
 
 
-def lexed_pairs(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, literal, start, end) in order: each literal for the name it is assigned to and each it is carried on to."""
-    pairs, constants = [], {}
-    for m in _PAIR.finditer(text):
-        name, value, at = m["name"], m["value"], m.start("value")
-        if _STRING.match(value):
-            parts = list(_STRING.finditer(value))
-            inner = [p.span(p.lastgroup) for p in parts]
-            found = ("".join(value[c:d] for c, d in inner), at + inner[0][0], at + inner[-1][1])
-        elif value in constants and _PLAIN_NAME.match(value):
-            found = constants[value]
-        else:
-            bare = value.rstrip(".")
-            found = (bare, at, at + len(bare))
-        constants[name] = found
-        pairs.append((name, *found))
-    return pairs
+class Reader:
+    """One pass over a text's tokens; pairs() gives (name, literal, the places of its parts) in order."""
+
+    def __init__(self, text: str, first: int, last: int, constants: dict[str, Found], depth: int = 0) -> None:
+        self.text, self.last, self.depth, self.constants = text, last, depth, constants
+        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text, first, last)]
+        self.at = 0
+        self.closers: list[tuple[str, str | None]] = []  # open brackets and the name whose value they hold
+        self.indents: list[tuple[int, str]] = []  # keys above, of YAML, with their indents
+        self.indent, self.fresh = 0, True
+
+    def token(self, ahead: int = 0) -> tuple[str | None, int, int]:
+        return self.tokens[self.at + ahead] if 0 <= self.at + ahead < len(self.tokens) else (None, self.last, self.last)
+
+    def op(self, ahead: int = 0) -> str:
+        kind, a, b = self.token(ahead)
+        return self.text[a:b] if kind == "op" else ""
+
+    def inner(self, a: int, b: int) -> tuple[int, int]:
+        quote = _QUOTES.match(self.text, a)
+        return quote.end(), b - len(quote[1])
+
+    def above(self) -> str:
+        return (self.closers[-1][1] if self.closers else self.indents[-1][1] if self.indents else None) or ""
+
+    def pairs(self) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+        while self.at < len(self.tokens):
+            kind, a, b = self.token()
+            if kind == "line":
+                yield from self.line(b, b - a - 1)
+            elif kind == "op":
+                self.bracket(self.text[a:b], None)
+                self.at += 1
+            elif kind in ("string", "name"):
+                yield from self.target(kind, a, b)
+            else:
+                self.at += 1
+            self.fresh = self.fresh and kind in ("line", "mark")
+
+    def line(self, end: int, indent: int) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+        self.at += 1
+        self.fresh, self.indent = True, indent
+        if self.closers or self.token()[0] in ("line", None):
+            return
+        item = self.text.startswith("- ", end)
+        while self.indents and self.indents[-1][0] >= indent + item:
+            self.indents.pop()
+        if item:
+            self.indent = indent + 2
+            self.at += 1  # the hyphen
+            if self.indents and self.target_op()[0] is None:
+                yield from self.value(self.indents[-1][1], "", False)
+
+    def bracket(self, op: str, name: str | None) -> None:
+        if op in ("{", "[", "("):
+            self.closers.append((op, name))
+        elif op in ("}", "]", ")") and self.closers:
+            self.closers.pop()
+
+    def target_op(self) -> tuple[int | None, bool]:
+        """How many tokens ahead the value stands, if a name and an assignment stand here, and whether a colon assigns it."""
+        kind, a, b = self.token()
+        if kind not in ("string", "name"):
+            return None, False
+        ahead = 1
+        if kind == "string" and self.op(1) == "]" and self.op(-1) == "[":
+            ahead = 2
+        if self.op(ahead) == "?" and self.op(ahead + 1) == ":":
+            ahead += 1
+        if self.op(ahead) in ("=", ":=", "=>"):
+            return ahead + 1, False
+        if self.op(ahead) == ":":
+            typed = self.annotation(ahead + 1)
+            if typed is not None:
+                return typed, False
+            if self.text[self.token(ahead)[2] : self.token(ahead)[2] + 1] not in ("/", ":"):
+                return ahead + 1, True
+        return None, False
+
+    def annotation(self, ahead: int) -> int | None:
+        """How many tokens ahead the value behind `type =` stands: blanks around the sign, or a string behind it."""
+        for k in range(ahead, ahead + 40):
+            kind, a, b = self.token(k)
+            if kind == "op" and self.text[a:b] == "=":
+                spaced = self.text[a - 1 : a].isspace() and self.text[b : b + 1].isspace()
+                return k + 1 if k > ahead and (spaced or self.token(k + 1)[0] == "string") else None
+            if kind != "name" and not (kind == "op" and self.text[a:b] in _TYPE_OPS) and not (kind == "other" and self.text[a:b] == "'"):
+                return None
+        return None
+
+    def target(self, kind: str, a: int, b: int) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+        ahead, colon = self.target_op()
+        inner = self.inner(a, b) if kind == "string" else (a, b)
+        name = self.text[slice(*inner)] if inner[1] - inner[0] <= 81 else ""
+        if ahead is None or not _KEY.match(name):
+            held = self.closers[-1] if self.closers else ("", None)
+            if kind == "string" and held[0] in ("[", "(") and held[1]:
+                yield from self.value(held[1], "", False)
+            else:
+                if kind == "string":
+                    yield from self.within(*inner)
+                self.at += 1
+                if kind == "name" and self.op() in ("(", "["):
+                    self.bracket(self.op(), None)
+                    self.at += 1
+            return
+        first = self.fresh
+        if self.op(1) == "]" and self.closers:
+            self.closers.pop()
+        full = f"{self.above()}.{name}" if name.lower() in GENERIC and self.above() else name
+        self.at += ahead
+        if colon and self.token()[0] in ("line", None):
+            if first and not self.closers:
+                self.indents.append((self.indent, full))
+            return
+        yield from self.value(full, name, colon)
+
+    def value(self, name: str, constant: str, colon: bool) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+        if self.op() in ("{", "[", "("):
+            self.bracket(self.op(), name)
+            self.at += 1
+            return
+        parts: list[Found] = []
+        while True:
+            found = self.operand(bool(parts))
+            if found:
+                parts.append(found)
+            while parts and self.token()[0] == "line" and self.closers and self.closers[-1][0] == "(":
+                self.at += 1
+            if self.op() == "+" and parts:
+                self.at += 1
+            elif not (found and self.token()[0] == "string" and not self.is_key()):
+                break
+        if parts:
+            whole = "".join(p[0] for p in parts), [place for p in parts for place in p[1]]
+            if constant:
+                self.constants[constant] = whole
+            yield name, *whole
+            for _, places in parts:
+                for place in places:
+                    yield from self.within(*place)
+
+    def is_key(self) -> bool:
+        return self.target_op()[0] is not None
+
+    def operand(self, added: bool) -> Found | None:
+        """A literal, or the literal that a name stands for; the place moves behind it. None for other expressions."""
+        kind, a, b = self.token()
+        text = self.text
+        if kind == "string":
+            self.at += 1
+            inner = self.inner(a, b)
+            return text[slice(*inner)], [inner]
+        if kind in (None, "line") or (kind == "op" and text[a:b] not in ("=", "*", "&", "+", "|", "?")):
+            return None
+        if text[a : a + 1] == "`":
+            m = _BACKTICKS.match(text, a, self.last)
+            self.skip(m.end() if m else a + 1)
+            return (m[0][1:-1], [(a + 1, m.end() - 1)]) if m else None
+        scheme = _SCHEME.match(text, a, self.last)
+        m = _BARE.match(text, scheme.end() if scheme else a, self.last)
+        if not m:
+            self.skip(a + 1)
+            return None
+        bare = m[0].rstrip(".!?")
+        if bare in self.constants:
+            self.skip(m.end())
+            return self.constants[bare]
+        if "+" in bare[1:] and bare.split("+")[0] in self.constants:
+            bare = bare.split("+")[0]
+            self.skip(m.start() + len(bare))
+            return self.constants[bare]
+        reads = text[m.end() : m.end() + 1] in ("(", "[") or bool(_REFERENCE.match(bare))
+        self.skip(b if reads else m.end())  # what stands in a call is read like anything else
+        mixed = re.search("[A-Za-z]", bare) and re.search("[0-9]", bare)
+        return None if reads or added or not mixed else (bare, [(m.start(), m.start() + len(bare))])
+
+    def skip(self, place: int) -> None:
+        while self.at < len(self.tokens) and self.tokens[self.at][1] < place:
+            self.at += 1
+
+    def within(self, a: int, b: int) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+        """The pairs inside of a string, as in connection strings and quoted lines."""
+        if self.depth < 3 and b - a > 4 and _ANY_SENSITIVE.search(self.text, a, b) and re.compile("[=:]").search(self.text, a, b):
+            yield from Reader(self.text, a, b, self.constants, self.depth + 1).pairs()
+
+
+def element_pairs(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """The pairs of XML: elements with texts, and elements whose attributes are a key and a value."""
+    for m in _ELEMENT.finditer(text):
+        values = {x[1].lower(): x for x in _ATTRIBUTE.finditer(text, *m.span(2))}
+        key = next((values[k] for k in ("key", "name", "id") if k in values), None)
+        name = f"{m[1]}.{key[2] or key[3] or ''}" if key else m[1]
+        body = m[3].strip()
+        if body:
+            at = text.index(body, m.start(3))
+            yield name, body, [(at, at + len(body))]
+        if "value" in values:
+            x = values["value"]
+            g = 2 if x[2] is not None else 3
+            yield name, x[g], [x.span(g)]
+
+
+def lexed_pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
+    """(name, literal, places of its parts): each literal for the name it is assigned to and each it is carried on to."""
+    pairs = list(Reader(text, 0, len(text), {}).pairs())
+    return pairs + list(element_pairs(text)) if "<" in text else pairs
 
 
 def find_secrets(text: str, threshold: float = 0.6) -> list[tuple[str, int, int, int, int]]:
@@ -106,12 +311,25 @@ def find_secrets(text: str, threshold: float = 0.6) -> list[tuple[str, int, int,
     if "AKIA" in text:
         found += [("access", *m.span(), *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", *m.span(), *m.span()) for m in _HEX.finditer(text)]
-    if "=" in text or ":" in text:
-        have = [(f[3], f[4]) for f in found]
-        for name, literal, a, b in lexed_pairs(text):
-            if literal_score(name, literal) >= threshold and not any(c <= a and b <= d for c, d in have):
-                have.append((a, b))
+    # without a sensitive name no literal scores, whatever it is carried on to
+    if ("=" in text or ":" in text or "</" in text) and _ANY_SENSITIVE.search(text):
+        base = sorted((f[3], f[4]) for f in found)
+        reach, ends = 0, []
+        for _, b in base:
+            reach = max(reach, b)
+            ends.append(reach)
+        new = set()
+        for name, literal, places in lexed_pairs(text):
+            if literal_score(name, literal) >= threshold:
+                for a, b in places:
+                    k = bisect_right(base, (a, len(text)))
+                    if b > a and not (k and ends[k - 1] >= b):
+                        new.add((a, b))
+        outer = 0
+        for a, b in sorted(new, key=lambda x: (x[0], -x[1])):
+            if b > outer:  # else inside of another
                 found.append(("literal", a, b, a, b))
+                outer = b
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0])))
 
 

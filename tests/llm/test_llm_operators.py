@@ -253,6 +253,75 @@ def test_assignment_syntax(text):
     assert SECRET in text and SECRET not in secret_scan.redact(text) and "9\"" not in secret_scan.redact(text)
 
 
+def literals(text):
+    return [text[a:b] for kind, _, _, a, b in secret_scan.find_secrets(text) if kind == "literal"]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (r"password = 'a\'bcdefgh1234'", [r"a\'bcdefgh1234"]),
+        ('{"db": {"password": {"value": "Xk9v-Q2mT7!"}}, "x": {"value": "Ab1-Cd2-Ef3!"}}', ["Xk9v-Q2mT7!"]),
+        ("passwords:\n  - Xk9vQ2mT7pLw\n  - \"Zk9v Q2mT7pLx\"\nothers:\n  - Qk9vQ2mT7pLw\n", ["Xk9vQ2mT7pLw", "Zk9v Q2mT7pLx"]),
+        ("db:\n  password:\n    value: Xk9!vQ2mT7pLw\n  host:\n    value: Yk9vQ2mT7pLw\n", ["Xk9!vQ2mT7pLw"]),
+        ("<password>Xk9vQ2mT7pLw</password><name>Yk9vQ2mT7pLw</name>", ["Xk9vQ2mT7pLw"]),
+        ('<add key="DbPassword" value="Xk9vQ2mT7pLw"/><add key="Home" value="Yk9vQ2mT7pLw"/>', ["Xk9vQ2mT7pLw"]),
+        ('A="Zx81"; B="kq9Pw2"; C="other1"; password = A + B', ["Zx81", "kq9Pw2"]),
+        ('password = ("Xk9v"\n  "Q2mT7pLw")', ["Xk9v", "Q2mT7pLw"]),
+        ('conn = "Server=db;Password=Xk9v-Q2m!T7p;"', ["Xk9v-Q2m!T7p"]),
+        ("# DB_PWD=p@ss!w0rd#1", ["p@ss!w0rd#1"]),
+        ("Authorization: Bearer abC123xyz9Q", ["abC123xyz9Q"]),
+        ('login(user="Ab1-Cd2-Ef3", password="Xk9v!Q2mT")', ["Xk9v!Q2mT"]),
+        *((t, []) for t in (
+            "token = get_token()", "secret := readFile(path)", "auth_token: Optional[str] = None", "password: something else", "password = os.environ['PW']",
+            "token = self.token1", 'password = getpass("Enter 1 password: ")', "if pass_word == other2:", "def f(password: str, token: int = 5): pass",
+            'token_url = f(x) + "abc"', "secret = config.get('secret_name', 'k')", "it's the password, isn't it: no", 'print("token count: 1234567890")',
+        )),
+    ],
+)
+def test_the_lexer_reads_literals_only(text, want):
+    assert literals(text) == want
+
+
+def test_generated_sources_give_their_literals_and_no_others():
+    """Statements built from a known list: what is sensitive is found to the character, what is a call, type, prose or harmless name is not."""
+    rng = random.Random(31)
+
+    def secret():
+        while True:
+            s = "".join(rng.choice("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789") for _ in range(rng.randint(9, 14))) + rng.choice("!^~@") + rng.choice("Zz") + str(rng.randint(10, 99))
+            if not secret_scan.is_placeholder(s):
+                return s
+
+    names = ["db_pass_phrase", "authCredential", "PRIVATE_KEY", "smtp-pwd", "accessKey"]
+    for _ in range(300):
+        lines, want = [], []
+        for k in range(rng.randint(1, 12)):
+            name, s, plain = rng.choice(names), secret(), f"note_{k}"
+            form = rng.randrange(12)
+            hit = rng.random() < 0.6
+            n = name if hit else plain
+            word = n.replace("-", "_")
+            lines.append([
+                f'{word} = "{s}"', f"const {word}: string = '{s}';", f'{{"{n}": "{s}"}}', f'cfg["{n}"] = \'{s}\'', f"{n}: {s}", f"export {word}={s}",
+                f'{{"{n}": {{"value": ["{s}"]}}}}', f"<{n}>{s}</{n}>", f'k{k} = "{s}"\n{word} = k{k}', f"{n}:\n  - {s}", f'{word} := "{s[:5]}" + "{s[5:]}"', f"call({word}='{s}', n=1)",
+            ][form])
+            if hit:
+                want += [s[:5], s[5:]] if form == 10 else [s]
+            lines.append(rng.choice([f"{name.replace('-', '_')} = read_{k}('x{k}')", "plain words: and more of them", f"{name}: the value is elsewhere", f"if {plain} != {name.replace('-', '_')}[3]:", ""]))
+        text = "\n".join(lines)
+        assert sorted(literals(text)) == sorted(want), text
+
+
+@pytest.mark.parametrize("unit", ["password = ", "a: {", "'token ", 'token="', "<token ", "- token:\n", "token + ", "x = token: [", "password\"=\'\'\'\\", "token: x[str] | "])
+def test_lexing_is_linear(unit):
+    import time
+
+    began = time.perf_counter()
+    secret_scan.find_secrets(unit * (600_000 // len(unit)) + " token=")
+    assert time.perf_counter() - began < 15
+
+
 def test_placeholders_are_left():
     for value in ("your_api_key_1", "changeme123", "CHANGE_ME_42", "<your token 1>", "${DB_PASSWORD_1}", "{{ password_1 }}", "xxxxxxxxxxxx", "************", "Enter the new password", "exampleToken1"):
         text = f'db_passwd_value = "{value}"'
