@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ BANDS, ROWS = 8, 4
 GRAM, SURE = 16, 51
 #: Distinct paragraphs of one candidate component that a task compares; larger components are compared in pairs of blocks.
 BLOCK = 4000
+#: Bytes of texts whose words are hashed in one go; a longer text is one of its own.
+CHUNK_BYTES = 1 << 20
 #: Rows up to which the list of needed paragraphs is broadcast; a longer one is shuffled.
 BROADCAST_ROWS = 300_000
 
@@ -44,27 +47,29 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def words_of(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+def words_of(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word of the text, and for each line its first word and the one after its last."""
     crcs: list[int] = []
-    lines = []
+    ends = []
     for line in text.encode("utf-8", "replace").split(b"\n"):
-        at = len(crcs)
         crcs += map(zlib.crc32, line.split())
-        lines.append((at, len(crcs)))
-    return _mixed(np.array(crcs, dtype=np.uint64) * _BASE + np.uint64(1)), lines
+        ends.append(len(crcs))
+    ends = np.array(ends, np.int64)
+    return _mixed(np.array(crcs, dtype=np.uint64) * _BASE + np.uint64(1)), np.stack([np.append(0, ends[:-1]), ends], axis=1)
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), _BASE, np.uint64), dtype=np.uint64)])
+def chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of runs of a batch's texts that together are short enough to be worked at once."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(lengths):
+        n = max(1, int(np.searchsorted(np.cumsum(lengths[at : at + 4 * SLICE_ROWS]), CHUNK_BYTES, side="right")))
+        yield at, [t or "" for t in column.slice(at, n).to_pylist()]
+        at += n
 
 
-def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the words of each span; spans are not empty, stand in order and don't overlap."""
-    size = ends - starts
-    index = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-    terms = h[index] * _powers(int(size.max()))[index - np.repeat(starts, size)]
-    return _mixed(np.add.reduceat(terms, np.concatenate([[0], np.cumsum(size)[:-1]])) + size.astype(np.uint64))
+def _powers(n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(0, n - 1), _BASE, np.uint64), dtype=np.uint64)])
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -114,20 +119,30 @@ class Pieces:
 _PLACE = np.uint64((1 << 28) - 1)
 
 
-def anchor_places(grams: np.ndarray) -> np.ndarray:
-    """Places of the smallest gram, the last of equals, of each run of SURE - GRAM + 1 grams, or of all if there are fewer."""
-    n = len(grams)
-    if not n:
+def anchor_places(grams: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of the smallest gram, the last of equals, of each run of SURE - GRAM + 1 grams of one text, or of all its grams if there are fewer.
+
+    A text's grams are size[i] from first[i] on; texts follow each other and size is 1 or more.
+    """
+    width, step, n = SURE - GRAM + 1, 1, len(grams)
+    if not len(first):
         return np.zeros(0, np.int64)
-    width, size = min(SURE - GRAM + 1, n), 1
-    least = (grams & ~_PLACE) | (_PLACE - np.arange(n, dtype=np.uint64))
-    while 2 * size <= width:
-        least = np.minimum(least[:-size], least[size:])
-        size *= 2
-    if size < width:
-        least = np.minimum(least[: size - width], least[width - size :])
-    at = (_PLACE - (least & _PLACE)).astype(np.int64)
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+    packed = (grams & ~_PLACE) | (_PLACE - np.arange(n, dtype=np.uint64))
+    place_of = lambda least: (_PLACE - (least & _PLACE)).astype(np.int64)
+    inside = np.stack([first, first + size], axis=1).ravel()
+    short = np.minimum.reduceat(np.append(packed, ~np.uint64(0)), inside)[::2][size < width]
+    found = [place_of(short)]
+    if n >= width:
+        least = packed
+        while 2 * step <= width:
+            least = np.minimum(least[:-step], least[step:])
+            step *= 2
+        if step < width:
+            least = np.minimum(least[: step - width], least[width - step :])
+        runs = np.maximum(size - width + 1, 0)
+        within = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        found.append(place_of(least[np.repeat(first, runs) + within]))
+    return np.unique(np.concatenate(found))
 
 
 def text_units(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
@@ -136,42 +151,36 @@ def text_units(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                yield units(batch.slice(at, SLICE_ROWS))
-
-    def units(part: pa.RecordBatch) -> pa.RecordBatch:
-        of, start, size, hashes, grams, bands, has = [], [], [], [], [], [], []
-        for i, text in enumerate(part.column(1).to_pylist()):
-            h, lines = words_of(text or "")
-            long = np.array([x for x in lines if x[1] - x[0] >= max(min_words, SHINGLE)], dtype=np.int64).reshape(-1, 2)
-            if len(long):
-                of.append(np.full(len(long), i))
-                start.append(long[:, 0])
-                size.append(long[:, 1] - long[:, 0])
-                hashes.append(span_hashes(h, long[:, 0], long[:, 1]))
-                grams.append(np.zeros(len(long), np.uint64))
-                bands.append(band_keys(shingles(h), long[:, 0], long[:, 1]))
-                has.append(np.ones(len(long), bool))
-            pieces = Pieces(h)
-            every = pieces.every(GRAM)
-            at = anchor_places(every)
-            if len(at):
-                ends = np.append(at[1:], at[-1]) + GRAM
-                of.append(np.full(len(at), i))
-                start.append(at)
-                size.append(ends - at)
-                hashes.append(pieces.hashes(at, ends))
-                grams.append(every[at])
-                has.append(np.zeros(len(at), bool))
-        if not of:
-            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))], names=names)
-        here = np.concatenate(has)
-        offsets = np.concatenate([[0], np.cumsum(here * BANDS)]).astype(np.int32)
-        flat = np.concatenate([b.ravel() for b in bands]).view(np.int64) if bands else np.zeros(0, np.int64)
+            for at, texts in chunks(batch.column(1)):
+                yield units(batch.column(0).slice(at, len(texts)), texts)
+
+    def units(ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        own = [words_of(t) for t in texts]
+        sizes = np.array([len(h) for h, _ in own], np.int64)
+        first = np.cumsum(sizes) - sizes
+        h = np.concatenate([h for h, _ in own])
+        lines = np.concatenate([x + f for (_, x), f in zip(own, first)])
+        lines = lines[lines[:, 1] - lines[:, 0] >= max(min_words, SHINGLE)]
+        pieces = Pieces(h)
+        bands = band_keys(shingles(h), lines[:, 0], lines[:, 1]) if len(lines) else np.zeros((0, BANDS), np.uint64)
+        every = pieces.every(GRAM)
+        held = sizes >= GRAM
+        at = anchor_places(every, first[held], sizes[held] - GRAM + 1)
+        # texts without words begin where the next one does; the last that begins there has the words
+        text_at = lambda places: np.searchsorted(first, places, side="right") - 1
+        following = np.append(at[1:], at[-1:])
+        ends = np.where(text_at(following) == text_at(at), following, at) + GRAM
+        start, stop = np.concatenate([lines[:, 0], at]), np.concatenate([lines[:, 1], ends])
+        hashes = pieces.hashes(start, stop)
+        # paragraphs and runs of words of the same length are told apart
+        hashes[: len(lines)] = _mixed(hashes[: len(lines)] ^ _BASE)
+        grams = np.concatenate([np.zeros(len(lines), np.uint64), every[at]])
+        text = text_at(start)
         # an anchor's list is empty: cheaper to write than null, and told by it
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-        ids = part.column(0).take(pa.array(np.concatenate(of)))
-        return pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(start).astype(np.int32)), pa.array(np.concatenate(size).astype(np.int32)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(grams).view(np.int64)), lists], names=names)
+        offsets = np.concatenate([np.arange(len(lines) + 1) * BANDS, np.full(len(at), len(lines) * BANDS)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel().view(np.int64)))
+        columns = [(start - first[text]).astype(np.int32), (stop - start).astype(np.int32), hashes.view(np.int64), grams.view(np.int64)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(text)), *map(pa.array, columns), lists], names=names)
 
     names = ["id", "start", "words", "hash", "gram", "bands"]
     return wanted.mapInArrow(run, "id long, start int, words int, hash long, gram long, bands array<long>")
@@ -321,46 +330,67 @@ def runs_around(docs: DataFrame, anchors: DataFrame, min_run: int, id_col: str,
     return texts.select("id", "text", "need").mapInArrow(read, "id long, start int, hash long")
 
 
-def stretches(rows: list[tuple], min_run: int) -> tuple[list[tuple], list[tuple]]:
-    """(start, end, kept, name) of a document's repeated stretches, and (node, name) links of what stands in one run.
+_DOC = 32
+
 
-    rows(start, end, again, hash, anchor), by start: pieces that other documents have, `again` if an earlier one does. Pieces that
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unions of intervals that overlap or touch; they stand by start."""
+    if not len(start):
+        return start, end
+    reach = np.maximum.accumulate(end)
+    new = np.concatenate([[True], start[1:] > reach[:-1]])
+    return start[new], reach[np.append(np.flatnonzero(new)[1:], len(start)) - 1]
+
+
+def stretches(doc: np.ndarray, start: np.ndarray, end: np.ndarray, again: np.ndarray, node: np.ndarray, anchor: np.ndarray, min_run: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """[doc, start, end, kept, name] of documents' repeated stretches, and [node, name] links of what stands in one run.
+
+    The rows stand by doc (a number from 0) and start: pieces that other documents have, `again` if an earlier one does. Pieces that
     overlap or touch are a run; an anchor's own words, without a piece (end 0), are none. Runs are cut where `again` changes.
     """
-    runs: list[list] = []
-    gone: list[list] = []
-    for start, end, again, node, anchor in rows:
-        if not end:
+    base = doc.astype(np.int64) << _DOC
+    start, piece = start + base, end > 0
+    end = end + base
+    a, b = merged(start[piece], end[piece])
+    c, d = merged(start[piece & again], end[piece & again])
+    none = np.zeros(0, np.int64)
+    if not len(a):
+        return [none, none, none, none.astype(bool), none], [none, none]
+    # what lies between the parts that earlier documents have
+    left, right = np.sort(np.concatenate([a, d])), np.sort(np.concatenate([c, b]))
+    low, high = np.concatenate([left[right > left], c]), np.concatenate([right[right > left], d])
+    kept = np.arange(len(low)) < len(low) - len(c)
+    run = np.searchsorted(a, start, side="right") - 1
+    inside = (run >= 0) & (start + GRAM <= b[run])
+    least = np.full((2, len(a)), np.iinfo(np.int64).max)
+    for k in (0, 1):
+        own = inside & (anchor == bool(k))
+        np.minimum.at(least[k], run[own], node[own])
+    anchored = np.bincount(run[inside & anchor], minlength=len(a)) > 0
+    name = np.where(anchored, least[1], least[0])
+    long = b - a >= min_run
+    of = np.searchsorted(a, low, side="right") - 1
+    low, high, kept, of = low[long[of]], high[long[of]], kept[long[of]], of[long[of]]
+    joins = inside & long[run] & (anchor == anchored[run]) & (node != name[run])
+    links = np.unique(np.stack([node[joins], name[run][joins]], axis=1), axis=0)
+    place = (1 << _DOC) - 1
+    return [low >> _DOC, low & place, ((high - 1) & place) + 1, kept, name[of]], [links[:, 0], links[:, 1]]
+
+
+def whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, which stand by their first column, in batches that cut no run of equal firsts."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        if runs and start <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([start, end])
-        if again:
-            if gone and start <= gone[-1][1]:
-                gone[-1][1] = max(gone[-1][1], end)
-            else:
-                gone.append([start, end])
-    out, links, g, k = [], [], 0, 0
-    for a, b in runs:
-        anchors, others = set(), set()
-        while k < len(rows) and rows[k][0] < b:
-            start, _, _, node, anchor = rows[k]
-            if start >= a and start + GRAM <= b:
-                (anchors if anchor else others).add(node)
-            k += 1
-        parts, at = [], a
-        while g < len(gone) and gone[g][0] < b:
-            c, d = gone[g]
-            parts += [(at, c, True)] * (c > at) + [(c, d, False)]
-            at, g = d, g + 1
-        parts += [(at, b, True)] * (b > at)
-        if b - a >= min_run:
-            nodes = anchors or others
-            name = min(nodes)
-            out += [(*p, name) for p in parts]
-            links += [(node, name) for node in nodes if node != name]
-    return out, links
+        ids = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(ids, ids[-1]))
+        if cut or (held and held[0].column(0)[-1].as_py() != ids[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def repeated_stretches(docs: DataFrame, units: DataFrame, min_run: int, id_col: str, text_col: str) -> DataFrame:
@@ -381,18 +411,23 @@ def repeated_stretches(docs: DataFrame, units: DataFrame, min_run: int, id_col:
     pieces = pieces.unionAll(windows.join(held(windows, "hash"), "hash").select("id", "start", (F.col("start") + min_run).alias("end"), again, "hash", F.lit(False).alias("anchor")))
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for name, own in _grouped(batches):
-            out, links = stretches(own, min_run)
-            rows += [(name, a, b - a, kept, node, None) for a, b, kept, node in out] + [(None, None, None, None, node, other) for node, other in links]
-            if len(rows) > 10_000:
-                yield batch_of(rows)
-                rows = []
-        yield batch_of(rows)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))], names=["id", "start", "words", "kept", "hash", "link"])
+        for batch in whole_documents(batches):
+            ids, start, end, again, node, anchor = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            doc = np.cumsum(np.append(False, ids[1:] != ids[:-1]))
+            out, links = stretches(doc, start, end, again, node, anchor, min_run)
+            first = ids[np.searchsorted(doc, out[0])]
+            n, m = len(first), len(links[0])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    padded(first, 0, m), padded(out[1].astype(np.int32), 0, m), padded((out[2] - out[1]).astype(np.int32), 0, m), padded(out[3], 0, m),
+                    pa.array(np.concatenate([out[4], links[0]])), padded(links[1], n, 0),
+                ],
+                names=["id", "start", "words", "kept", "hash", "link"],
+            )
+
+    def padded(values: np.ndarray, before: int, behind: int) -> pa.Array:
+        own = pa.array(values)
+        return pa.concat_arrays([pa.nulls(before, own.type), own, pa.nulls(behind, own.type)])
 
     return pieces.repartition("id").sortWithinPartitions("id", "start").mapInArrow(sweep, "id long, start int, words int, kept boolean, hash long, link long")
 
