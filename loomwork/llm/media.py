@@ -76,18 +76,33 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(gray: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal rectangles, fractions of pixels included, from differences of the integral image."""
-    integral = np.zeros((gray.shape[0] + 1, gray.shape[1] + 1))
-    integral[1:, 1:] = gray.astype(np.float64).cumsum(axis=0).cumsum(axis=1)
+#: Samples whose sums are held at once.
+BLOCK_SAMPLES = 1 << 18
+
 
-    def at(edges: np.ndarray, table: np.ndarray) -> np.ndarray:
-        low = np.minimum(edges.astype(np.int64), table.shape[0] - 2)
-        part = (edges - low).reshape(-1, 1)
-        return table[low] * (1 - part) + table[low + 1] * part
+def integral_lines(gray: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted lines, which rise, of the integral image: line k holds the sums of the first k rows. Rows are read in blocks."""
+    out = np.zeros((len(wanted), gray.shape[1] + 1))
+    above, step, at = np.zeros(gray.shape[1]), max(1, BLOCK_SAMPLES // max(1, gray.shape[1])), 0
+    for first in range(0, gray.shape[0], step):
+        sums = gray[first : first + step].cumsum(axis=0, dtype=np.float64) + above
+        until = np.searchsorted(wanted, first + len(sums), side="right")
+        rows = wanted[at:until] - first - 1
+        out[at:until, 1:] = np.where((rows >= 0)[:, None], sums[rows], 0)
+        above, at = sums[-1], until
+    return out.cumsum(axis=1)
 
+
+def area_resize(gray: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over equal rectangles, fractions of pixels included, from differences of the integral image."""
     ys, xs = np.linspace(0, gray.shape[0], height + 1), np.linspace(0, gray.shape[1], width + 1)
-    corners = at(xs, at(ys, integral).T).T
+    low = np.minimum(ys.astype(np.int64), gray.shape[0] - 1)
+    wanted, place = np.unique(np.concatenate([low, low + 1]), return_inverse=True)
+    table = integral_lines(gray, wanted)[place]
+    part = (ys - low).reshape(-1, 1)
+    lines = table[: height + 1] * (1 - part) + table[height + 1 :] * part
+    left = np.minimum(xs.astype(np.int64), gray.shape[1] - 1)
+    corners = lines[:, left] * (1 - (xs - left)) + lines[:, left + 1] * (xs - left)
     area = gray.shape[0] / height * (gray.shape[1] / width)
     return np.diff(np.diff(corners, axis=0), axis=1) / area
 
@@ -133,3 +148,13 @@ def text_media(docs: DataFrame, unit: int = 576, width: int = 24, with_files: bo
 
     fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
     return map_texts(docs, id_col, text_col, fields + ", media binary, tile binary" * with_files, start)
+
+
+def write_media(docs: DataFrame, folder: str, unit: int = 576, width: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes text_media's rows with the image and NPY tile of each, as bytes that np.load reads, to a Parquet table, and returns it.
+
+    A row stands for a file: tiles of a few hundred bytes each would be as many files as documents.
+    """
+    media = text_media(docs, unit, width, True, id_col, text_col)
+    media.write.parquet(folder)
+    return docs.sparkSession.read.schema(media.schema).parquet(folder)

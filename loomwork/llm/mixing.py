@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.running import running_sum
+from loomwork.session import written
 
 #: A target is at most so many times its source's size.
 MOST_REPEATS = 3
@@ -60,10 +61,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix"
     `target` words of it. So each document is taken `whole` times, and `extra` of its words once more: all, none, or at
     the stream's end the first ones. taken counts both; it never exceeds MOST_REPEATS times the size. position is the
     training time of the first word taken, null if none is. Null and empty texts have size 0 and are not taken; null is a source of its own. Rows that repeat an id are documents
-    like others. An empty table gives an empty one.
+    like others. An empty table gives an empty one. The texts are read once: ids, sources and sizes are written.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    return _mix_sizes(rows, weights, seed).withColumnRenamed("id", id_col).drop("source", "slope")
+    return _mix_sizes(written(rows, "sizes"), weights, seed).withColumnRenamed("id", id_col).drop("source", "slope")
 
 
 def _mix_sizes(rows: DataFrame, weights: tuple[int, ...], seed: str) -> DataFrame:
@@ -86,22 +87,32 @@ def _mix_sizes(rows: DataFrame, weights: tuple[int, ...], seed: str) -> DataFram
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
     """The rows the mix trains on, in the order of their training times; a document taken k times is k rows.
 
-    Rows alike in id, source and size are taken alike. The last copy of a stream may be cut: such a row keeps its first words, single-spaced, and its length_col is made to fit.
+    The last copy of a stream may be cut: such a row keeps its first words, single-spaced, and its length_col, if there is one, is made to fit.
+    Rows alike in id, source and size stand together in their stream. Where it ends among several such rows, each is taken once more with
+    the share of their words that is left, so that targets are met nearly; a single row is cut exactly. Null and empty texts have no words and go;
+    null is a source of its own; an empty table stays empty; columns of any other names are kept as they are.
     """
     columns = docs.columns
-    rows = docs.withColumns({"__size": word_count(F.col(text_col)), "__all": F.struct(*[F.col(f"`{c}`") for c in columns])})
-    rows = rows.select("__all", F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("__size").alias("size"))
-    plan = _mix_sizes(rows.select("id", "source", "size"), weights, seed).where("taken > 0")
-    plan = plan.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max(F.struct("whole", "extra", "before", "source_size", "target", "slope")).alias("p"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__all"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"),
+    ).where("size > 0")
+    plan = _mix_sizes(written(rows.select("id", "source", "size"), "sizes"), weights, seed)
+    plan = plan.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(
+        F.count("*").alias("alike"), F.sum("extra").alias("extra"), F.min(F.struct("before", "whole", "source_size", "target", "slope")).alias("p"),
+    ).where("p.whole > 0 or extra > 0")
     on = F.col("id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
-    taken = rows.join(plan, on).select("__all", "size", "p.*")
+    taken = rows.join(plan, on).select("__all", "size", "alike", "extra", "p.*")
+    # multiples of the golden section fill 0 to 1 evenly
+    drawn = F.monotonically_increasing_id() % (1 << 20) * 648056 % (1 << 20) * F.col("alike") * F.col("size") < F.col("extra") * F.lit(1 << 20)
+    taken = taken.withColumn("extra", F.when(F.col("alike") == 1, F.col("extra")).when(drawn, F.col("size")).otherwise(0))
     copies = F.sequence(F.lit(0), F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0) - 1)
-    taken = taken.withColumn("copy", F.explode(copies))
+    taken = taken.where("whole > 0 or extra > 0").withColumn("copy", F.explode(copies))
     share = F.least(F.lit(1.0), (F.col("copy") * F.col("source_size") + F.col("before")) / F.col("target"))
     taken = taken.withColumn("position", training_time(share, F.col("slope")))
     cut = (F.col("copy") == F.col("whole")) & (F.col("extra") < F.col("size"))
-    first = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("extra").cast("int")), " ")
-    taken = taken.withColumn("text", F.col(f"__all.`{text_col}`")).withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    own = F.col(f"__all.`{text_col}`")
+    first = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(r"([^\x20\x09-\x0D]+)")), F.lit(1), F.col("extra").cast("int")), " ")
+    taken = taken.withColumn("text", F.when(cut, first).otherwise(own))
     out = []
     for c in columns:
         value = F.col(f"__all.`{c}`")

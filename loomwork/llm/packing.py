@@ -170,9 +170,14 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     return placed.drop("__length", "__low", "__high", "__first", "__each", "__offset", "__rank", "__blocks")
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Tokenizes, cuts and packs every document; the pieces, a few dozen bytes each, are written once."""
-    return pack(written(tokenized_pieces(docs, ranks_path, pattern, capacity, end_id), "pieces"), capacity)
+def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+    """Tokenizes, cuts and packs every document; the pieces, a few dozen bytes each without their ids, are written once."""
+    return pack(written(tokenized_pieces(docs, ranks_path, pattern, capacity, end_id, keep_ids), "pieces"), capacity)
+
+
+def in_sequence_order(packed: DataFrame) -> DataFrame:
+    """packed, range-sorted so that each partition, and each file it is written to, holds whole sequences one after the other."""
+    return packed.repartitionByRange("sequence_id").sortWithinPartitions("sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, capacity: int = 2048) -> DataFrame:

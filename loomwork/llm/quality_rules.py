@@ -10,7 +10,7 @@ import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import map_texts, unused
@@ -51,15 +51,24 @@ def measurements(text: str) -> tuple[int, int, int, int, int, int]:
     return (len(words), len(text) - (len(data) - len(data.translate(None, _SPACE))), len(data) - len(data.translate(None, b"#*$%&|<>")), len(lines), len(lines) - len(set(lines)), repeated)
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+_FIELDS = ", ".join(f"{m} long" for m in MEASURES)
+
+
+def fail_bits(rules: dict[str, str], prefix: str = "") -> Column:
+    """Bit i is set if the i-th rule's condition holds of the measurements, fields of `prefix` if given."""
+    name = "|".join(sorted(MEASURES, key=len, reverse=True))
+    conditions = [re.sub(rf"\b({name})\b", rf"{prefix}\1", rule) for rule in rules.values()]
+    return sum((F.when(F.expr(c), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(conditions)), F.lit(0)).cast("long")
+
+
 def ledger(docs: DataFrame, rules: dict[str, str] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, measurements, fail_bits long): bit i is set if the i-th rule fails.
 
     A null text is an empty one: no words, so it fails few_words alone. Repeated rows give repeated entries.
     """
-    fields = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
-    measured = map_texts(docs, id_col, text_col, fields, lambda: lambda text: [measurements(text)])
-    bits = sum((F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(rules.values())), F.lit(0))
-    return measured.withColumn("fail_bits", bits.cast("long"))
+    measured = map_texts(docs, id_col, text_col, _FIELDS, lambda: lambda text: [measurements(text)])
+    return measured.withColumn("fail_bits", fail_bits(rules))
 
 
 def apply_policy(entries: DataFrame, policy: str) -> DataFrame:
@@ -67,6 +76,12 @@ def apply_policy(entries: DataFrame, policy: str) -> DataFrame:
     return entries.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0)
 
 
+def sole_rule(policy: str) -> Column:
+    """The name of the rule that alone rejects an entry under the policy: without it the document would stay. Else null."""
+    failed = F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy])))
+    return F.coalesce(*[F.when(failed == mask((r,)), F.lit(r)) for r in POLICIES[policy]])
+
+
 def ablations(entries: DataFrame, policy: str) -> DataFrame:
     """(rule, fails, only_this): documents that a rule of the policy fails, and those that it alone rejects.
 
@@ -82,16 +97,23 @@ def ablations(entries: DataFrame, policy: str) -> DataFrame:
     )
 
 
-def kept_documents(docs: DataFrame, policy: str = "web-1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that the policy keeps, judged row by row: repeated ids are judged on their own texts."""
-    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+def with_ledger(docs: DataFrame, column: str, rules: dict[str, str] = RULES, text_col: str = "text") -> DataFrame:
+    """docs with each row's own ledger entry, a struct of the measurements and fail_bits, in a further column."""
 
-    @F.pandas_udf("struct<" + ", ".join(f"{n}: long" for n in names) + ">")
+    @F.pandas_udf("struct<" + _FIELDS.replace(" long", ": long") + ">")
     def measure(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measurements(t or "") for t in texts], columns=list(names), dtype="int64")
+        return pd.DataFrame([measurements(t or "") for t in texts], columns=list(MEASURES), dtype="int64")
+
+    rows = docs.withColumn(column, measure(F.col(f"`{text_col}`")))
+    return rows.withColumn(column, F.col(f"`{column}`").withField("fail_bits", fail_bits(rules, f"`{column}`.")))
+
 
-    held = unused(docs.columns, "__measured")
-    rows = docs.withColumn(held, measure(F.col(text_col)))
-    for r in POLICIES[policy]:
-        rows = rows.where("not (" + re.sub(r"\b(n_\w+|word_chars)", rf"`{held}`.\1", RULES[r]) + ")")
-    return rows.select(docs.columns)
+def kept_documents(docs: DataFrame, policy: str = "web-1", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose ledger entries have no bit of the policy, judged row by row: repeated ids are judged on their own texts.
+
+    Null and empty texts have no words and go; an empty table stays empty; columns of any other names are kept as they are.
+    """
+    held = unused(docs.columns, "__ledger")
+    rows = with_ledger(docs, held, RULES, text_col)
+    kept = F.col(f"`{held}`.fail_bits").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
+    return rows.where(kept).select([F.col(f"`{c}`") for c in docs.columns])

@@ -36,7 +36,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), POLICY)
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality_rules.mask(quality_rules.BASE_RULES))) != 0
-    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits", quality_rules.sole_rule(POLICY).alias("sole_rule"))
 
 
 def op5_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents")).orderBy("position", "doc_id")
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
@@ -88,7 +88,7 @@ m as (
     coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words
   from docs left join counted using (r) left join again using (r) left join dups using (r)),
 bits as (select *, (BITS)::bigint as fail_bits from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & BASE) <> 0 as base_failed, (fail_bits & POLICY) = 0 as kept, fail_bits from bits
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & BASE) <> 0 as base_failed, (fail_bits & POLICY) = 0 as kept, fail_bits, case fail_bits & POLICY SOLE end as sole_rule from bits
 """
 
 OP8_SQL = """
@@ -132,7 +132,8 @@ from e
 def op4_sql() -> str:
     bits = " + ".join(f"case when {rule} then {1 << i} else 0 end" for i, rule in enumerate(quality_rules.RULES.values()))
     base, policy = quality_rules.mask(quality_rules.BASE_RULES), quality_rules.mask(quality_rules.POLICIES[POLICY])
-    return OP4_SQL.replace("BITS", bits).replace("BASE", str(base)).replace("POLICY", str(policy))
+    sole = " ".join(f"when {quality_rules.mask((r,))} then '{r}'" for r in quality_rules.POLICIES[POLICY])
+    return OP4_SQL.replace("BITS", bits).replace("SOLE", sole).replace("BASE", str(base)).replace("POLICY", str(policy))
 
 
 def op8_sql() -> str:

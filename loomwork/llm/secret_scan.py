@@ -372,7 +372,7 @@ def redact_secrets(docs: DataFrame, mark: str = "[REDACTED]", text_col: str = "t
     def clean(texts):
         return texts.map(lambda t: t if t is None else redact(t, mark))
 
-    out = docs.withColumn(text_col, clean(F.col(text_col)))
+    out = docs.withColumn(text_col, clean(F.col(f"`{text_col}`")))
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(docs.columns)
+        out = out.withColumn(length_col, F.length(F.col(f"`{text_col}`")).cast(docs.schema[length_col].dataType))
+    return out.select([F.col(f"`{c}`") for c in docs.columns])

@@ -3,8 +3,9 @@
 Fingerprints at most `radius` bits apart agree wholly in one of radius + 1 blocks of their bits, and, within the other
 bits, wholly in one of radius + 1 blocks again. Every distinct fingerprint goes to the shard of each such pair of
 blocks; any two that link meet in one. A shard is a BK-tree: children are keyed by their integer distance to the parent,
-and a search follows only edges within the radius of its own distance. The shards are dealt out by a shuffle and not
-broadcast, since together they grow with the documents. A task gives a shard's links as a spanning forest, never all pairs.
+and a search follows only edges within the radius of its own distance. A shard with very many values is dealt again by
+blocks of the bits that its key leaves open, so often that few values can share them all. The shards are dealt out by a shuffle and
+not broadcast, since together they grow with the documents. A task gives a shard's links as a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -77,15 +78,54 @@ def _parts(bits: list[int], n: int) -> list[list[int]]:
     return [bits[len(bits) * i // n : len(bits) * (i + 1) // n] for i in range(n)]
 
 
-def shard_masks(radius: int) -> list[int]:
-    """A mask of bits for each shard key: one block of all bits, and one of the bits outside it."""
-    masks = []
-    for first in _parts(list(range(64)), radius + 1):
-        rest = [b for b in range(64) if b not in first]
-        for second in _parts(rest, radius + 1):
-            m = sum(1 << b for b in first + second)
-            masks.append(m - (1 << 64) if m >> 63 else m)
-    return masks
+#: Values from which a shard is dealt again, and open bits at which it no longer is: 2 ** OPEN_BITS values at most can differ there.
+HOT_SHARD, OPEN_BITS = 10_000, 13
+
+
+def shard_masks(radius: int) -> dict[int, list[int]]:
+    """The masks of bits by which values are dealt, and for each mask those by which a hot shard of it is dealt again.
+
+    Key 0 holds the first ones: one block of all bits and one of the bits outside it. A mask that leaves OPEN_BITS or fewer has none.
+    """
+    tree: dict[int, list[int]] = {}
+
+    def further(held: list[int]) -> list[list[int]]:
+        rest = [b for b in range(64) if b not in held]
+        return [held + part for part in _parts(rest, radius + 1)]
+
+    def number(bits: list[int]) -> int:
+        m = sum(1 << b for b in bits)
+        return m - (1 << 64) if m >> 63 else m
+
+    tree[0] = [number(second) for first in further([]) for second in further(first)]
+    todo = [second for first in further([]) for second in further(first)]
+    while todo:
+        held = todo.pop()
+        if 64 - len(held) > OPEN_BITS:
+            deeper = further(held)
+            tree[number(held)] = [number(d) for d in deeper]
+            todo += deeper
+    return tree
+
+
+def shards(distinct: DataFrame, radius: int = 2, hot: int = HOT_SHARD) -> DataFrame:
+    """(mask, bits, fp): each value in its shards, of which none that can be dealt again holds over `hot` values."""
+    tree = shard_masks(radius)
+    deal = lambda masks: F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for m in masks]))
+    dealt = distinct.select("fp", deal(tree[0]).alias("s")).select("s.*", "fp")
+    out = None
+    while True:
+        full = dealt.groupBy("mask", "bits").count().where((F.col("count") > hot) & F.col("mask").isin(list(tree)))
+        full = written(full.select("mask", "bits"), "hot-shards")
+        some = full.limit(1).count() > 0
+        done = dealt.join(full, ["mask", "bits"], "left_anti") if some else dealt
+        out = done if out is None else out.unionByName(done)
+        if not some:
+            return out
+        held = dealt.join(full, ["mask", "bits"], "left_semi")
+        again = F.coalesce(*[F.when(F.col("mask") == m, F.array(*map(F.lit, masks))) for m, masks in tree.items() if m])
+        held = held.select("fp", F.explode(again).alias("mask"))
+        dealt = written(held.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bits"), "fp").distinct(), "dealt-again")
 
 
 def _forest(values: list[int], radius: int) -> list[tuple[int, int]]:
@@ -110,10 +150,9 @@ def _forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def link_forest(distinct: DataFrame, radius: int = 2) -> DataFrame:
+def link_forest(distinct: DataFrame, radius: int = 2, hot: int = HOT_SHARD) -> DataFrame:
     """(u, v) links among distinct values of column fp that connect what all links within the radius connect."""
-    keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("b")) for i, m in enumerate(shard_masks(radius))])
-    dealt = distinct.select("fp", F.explode(keys).alias("s")).select("fp", F.xxhash64("s.k", "s.b").alias("shard"))
+    dealt = shards(distinct, radius, hot).select("fp", F.xxhash64("mask", "bits").alias("shard"))
 
     signed = lambda x: x - (1 << 64) if x >> 63 else x
 
@@ -147,7 +186,7 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3, seed: int =
     group's size costs nothing but its rows. Repeated rows give repeated results; an empty table an empty one.
     """
     prints = written(fingerprints(docs, size, seed, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    distinct = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-fingerprints")
     groups = connected_components(link_forest(distinct.select("fp"), radius))
     linked = distinct.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     linked = written(linked, "linked")
@@ -170,7 +209,7 @@ def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42,
     # the print's id is the row's key: a struct of id and hashes, carried through the pass over the texts
     key = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
     prints = written(fingerprints(keyed.select(key.alias("key"), F.col("__text").alias("text")), size, seed, "key", "text"), "row-fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("key").alias("least"))
+    distinct = written(prints.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
     groups = connected_components(link_forest(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     kept = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.row").alias("__row")).distinct()

@@ -344,6 +344,10 @@ def test_quality(docs, empty, texts):
     kept = quality_rules.kept_documents(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in [*range(len(texts)), 9] if rows[i].kept)
+    sole = {r.doc_id: r.s for r in quality_rules.ledger(docs).select("doc_id", quality_rules.sole_rule("web-1").alias("s")).collect()}
+    for i in range(len(texts)):
+        failed = [name for k, name in enumerate(quality_rules.RULES) if rows[i].fail_bits >> k & 1]
+        assert sole[i] == (failed[0] if len(failed) == 1 else None)
     ablation = {r.rule: r for r in quality_rules.ablations(quality_rules.ledger(docs), "web-1").collect()}
     bits = [rows[i].fail_bits for i in [*range(len(texts)), 9]]
     for k, rule in enumerate(quality_rules.RULES):
@@ -418,6 +422,24 @@ def test_bk_tree_links_all(spark):
     assert {frozenset(v for v in values if got[v] == c) for c in got.values()} == {frozenset(v for v in values if want[v] == c) for c in want.values()}
 
 
+@pytest.mark.parametrize("radius", [1, 2])
+def test_hot_shards_are_dealt_again(spark, radius):
+    rng = random.Random(18)
+    stem, values = rng.getrandbits(64), set()
+    for _ in range(1500):
+        values.add(stem ^ (rng.getrandbits(14) << rng.choice([0, 20, 50])))
+    values = sorted(values)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= radius]
+    rows = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    dealt = simhash.shards(rows, radius, hot=50)
+    tree = simhash.shard_masks(radius)
+    assert all(r["count"] <= 50 or r.mask not in tree for r in dealt.groupBy("mask", "bits").count().collect())
+    assert {r.mask for r in dealt.select("mask").distinct().collect()} - set(tree[0])
+    got = components(values, [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash.link_forest(rows, radius, hot=50).collect()])
+    assert _same(got, components(values, links))
+
+
 def test_passages(spark, empty):
     rng = random.Random(3)
     shared, line = prose(rng, 60), prose(rng, 90)
@@ -507,6 +529,43 @@ def test_the_query_makes_tiles(docs):
     assert {r.doc_id: r.tile_sha256 for r in media.text_media(docs).collect()} == want
 
 
+def test_media_are_written(spark, docs, tmp_path):
+    import io
+
+    folder = f"file://{tmp_path}/media"
+    back = media.write_media(docs, folder).collect()
+    assert len(back) == docs.count()
+    for r in back:
+        assert np.load(io.BytesIO(r.tile)).shape == (16, 16) and hashlib.sha256(r.media).hexdigest() == r.media_sha256
+
+
+def test_features_of_known_pictures(monkeypatch):
+    """Tile and hash against means of every cell, taken pixel by pixel in fractions, whatever the blocks."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(4)
+    for shape in ((24, 24), (48, 24), (7, 5), (1, 24), (100, 24)):
+        gray = rng.integers(0, 256, shape, dtype=np.uint8)
+
+        def cell(i, j, h, w):
+            total = Fraction(0)
+            for y in range(shape[0]):
+                dy = min(Fraction(y + 1), Fraction(shape[0] * (i + 1), h)) - max(Fraction(y), Fraction(shape[0] * i, h))
+                for x in range(shape[1]) if dy > 0 else ():
+                    dx = min(Fraction(x + 1), Fraction(shape[1] * (j + 1), w)) - max(Fraction(x), Fraction(shape[1] * j, w))
+                    total += dx * dy * int(gray[y, x]) if dx > 0 else 0
+            return float(total / Fraction(shape[0] * shape[1], h * w))
+
+        want = np.array([[cell(i, j, 8, 9) for j in range(9)] for i in range(8)])
+        whole = media.area_resize(gray, 8, 9)
+        assert np.allclose(whole, want)
+        bits = [str(int(round(want[i, j + 1], 6) > round(want[i, j], 6))) for i in range(8) for j in range(8)]
+        assert media.difference_hash(gray) == f"{int(''.join(bits), 2):016x}"
+        monkeypatch.setattr(media, "BLOCK_SAMPLES", 50)
+        assert (media.area_resize(gray, 8, 9) == whole).all()
+        monkeypatch.undo()
+
+
 def test_images_round_trip():
     rng = np.random.default_rng(0)
     gray, color = rng.integers(0, 256, (7, 5), dtype=np.uint8), rng.integers(0, 256, (6, 9, 3), dtype=np.uint8)
@@ -709,6 +768,16 @@ def test_mixing(docs, empty, texts):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_repeated_rows_are_mixed_near_their_targets(spark):
+    rows = [(7, "one two three", "a")] * 3000 + [(None, "four five", "b")] * 1500 + [(i, "six " * 30, "c") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    sizes = spark.createDataFrame([("a", 9000), ("b", 3000), ("c", 1200)], "source string, source_size long")
+    target, got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}, Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.source] += len(r.text.split())
+    assert set(got) == {"a", "b", "c"} and all(abs(got[s] - target[s]) <= 0.05 * target[s] for s in target)
+
+
 def test_training_times_follow_the_schedule(spark):
     shares = spark.createDataFrame([(y / 50, s) for y in range(51) for s in (-0.8, 0.0, 0.8)], "y double, s double")
     for r in shares.withColumn("t", mixing.training_time(mixing.F.col("y"), mixing.F.col("s"))).collect():
