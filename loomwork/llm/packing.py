@@ -175,9 +175,12 @@ def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int
     return pack(written(tokenized_pieces(docs, ranks_path, pattern, capacity, end_id, keep_ids), "pieces"), capacity)
 
 
-def in_sequence_order(packed: DataFrame) -> DataFrame:
-    """packed, range-sorted so that each partition, and each file it is written to, holds whole sequences one after the other."""
-    return packed.repartitionByRange("sequence_id").sortWithinPartitions("sequence_id", "offset")
+def in_sequence_order(packed: DataFrame, together: int = 64) -> DataFrame:
+    """packed, dealt in blocks of `together` sequences: each partition, and each file it is written to, holds whole sequences one after the other.
+
+    Sequences are numbered without gaps, so their blocks need no sample of the rows.
+    """
+    return packed.repartition(F.expr(f"sequence_id div {together}")).sortWithinPartitions("sequence_id", "offset")
 
 
 def sequences(packed: DataFrame, capacity: int = 2048) -> DataFrame:
