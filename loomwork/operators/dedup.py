@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators.analytics import count_if, hours_before
 from loomwork.operators.components import connected_components
+from loomwork.session import written
 
 
 def content_hash(raw: Column) -> Column:
@@ -28,28 +29,78 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def edit_pairs(df: DataFrame, least: float = 0.9, keys: int = 12) -> DataFrame:
+def edit_candidates(left: DataFrame, right: DataFrame, share: float, q: int) -> DataFrame:
+    """(grp, left_id, right_id): pairs of a group that may be within `share` of the longer text's length in edits; none within it is missing.
+
+    left and right(grp, id, text). An edit destroys at most q of a text's q-grams, and what it leaves moves by no more places than there are
+    edits. So two texts within t edits have a gram in common among the q * t + 1 first of each, in any one order of grams: the rarest of the
+    group come first. Grams meet by group, class of length and block of places, so that a common gram is spread over its places.
+    Texts are padded, so that short ones have grams enough.
+    """
+    growth = 1.01 / (1 - share)
+
+    def grams(df: DataFrame) -> DataFrame:
+        padded = F.concat(F.lit("\x01" * (q - 1)), F.col("text"), F.lit("\x02" * (q - 1)))
+        one = F.transform(F.sequence(F.lit(1), F.length("text") + q - 1), lambda i: F.substr(padded, i, F.lit(q)))
+        return df.where(F.length("text") > 0).select("grp", "id", F.length("text").alias("n"), F.posexplode(one).alias("p", "g"))
+
+    counts = grams(left.unionByName(right)).groupBy("grp", "g").agg(F.count("*").alias("df"))
+
+    def rarest(df: DataFrame) -> DataFrame:
+        most = F.floor(share * F.floor(F.col("n") / (1 - share) + 1e-9) + 1e-9)
+        by = grams(df).join(counts, ["grp", "g"]).groupBy("grp", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g", "p"))).alias("by"))
+        return by.select("grp", "id", "n", F.explode(F.slice("by", F.lit(1), (q * most + 1).cast("int"))).alias("x")).select("grp", "id", "n", "x.g", "x.p")
+
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(growth))).cast("int")
+    width = lambda c: F.floor(share * F.pow(F.lit(growth), c + 2)) + 1
+    held = rarest(right).withColumn("c", size).select("grp", "c", "g", F.floor(F.col("p") / width(F.col("c"))).alias("block"), F.col("id").alias("right_id"), F.col("n").alias("right_n"), F.col("p").alias("right_p"))
+    asked = rarest(left).withColumn("c", F.explode(F.array(size - 1, size, size + 1)))
+    asked = asked.withColumn("block", F.floor(F.col("p") / width(F.col("c")))).withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+    edits = F.floor(share * F.greatest("n", "right_n") + 1e-9)
+    near = (F.abs(F.col("p") - F.col("right_p")) <= edits) & (F.abs(F.col("n") - F.col("right_n")) <= edits)
+    return asked.join(held, ["grp", "c", "g", "block"]).where(near).select("grp", F.col("id").alias("left_id"), "right_id").distinct()
+
+
+def edit_pairs(df: DataFrame, least: float = 0.9, q: int = 4) -> DataFrame:
     """(user_id, left_text, right_text, similarity): a user's distinct normalised texts whose edit similarity is at least `least`.
 
-    Candidates share the smallest hash of their three-word shingles under one of `keys` hash functions, and lengths that allow
-    the similarity; a pair at 0.9 that changes one word in ten keeps over a third of its shingles, and is missed with a chance
-    below (2/3) ** keys. Spark's levenshtein stops at the threshold. Copies are one text: membership is text_members().
+    Candidates are those of edit_candidates, which loses none; Spark's levenshtein stops at the threshold. Copies are one text:
+    membership is text_members(). Texts carry a hash through the search; where two have one hash, both are checked.
     """
-    texts = text_members(df).select("user_id", "text").distinct().withColumn("words", F.split("text", " "))
-    three = F.transform(F.slice("words", F.lit(1), F.greatest(F.lit(0), F.size("words") - 2)), lambda w, i: F.concat_ws(" ", w, F.get("words", i + 1), F.get("words", i + 2)))
-    grams = texts.select("user_id", "text", F.explode(F.when(F.size("words") < 3, F.array("text")).otherwise(three)).alias("g"))
-    least_of = [F.min(F.xxhash64(F.lit(k), "g")).alias(f"h{k}") for k in range(keys)]
-    hashes = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"h{k}").alias("h")) for k in range(keys)])
-    keyed = grams.groupBy("user_id", "text").agg(*least_of)
-    keyed = keyed.select("user_id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("id"), F.explode(hashes).alias("key"))
-    right = keyed.select("user_id", F.col("text").alias("right_text"), F.col("n").alias("right_n"), F.col("id").alias("right_id"), "key")
-    pairs = keyed.join(right, ["user_id", "key"]).where((F.col("id") < F.col("right_id")) & (F.least("n", "right_n") >= least * F.greatest("n", "right_n")))
-    pairs = pairs.select("user_id", F.least("text", "right_text").alias("left_text"), F.greatest("text", "right_text").alias("right_text")).distinct()
+    texts = text_members(df).select("user_id", "text").distinct().withColumn("id", F.xxhash64("text"))
+    rows = texts.select(F.col("user_id").alias("grp"), "id", "text")
+    found = edit_candidates(rows, rows, 1 - least, q).where("left_id <= right_id")
+    side = lambda name: texts.select(F.col("user_id").alias("grp"), F.col("id").alias(f"{name}_id"), F.col("text").alias(name))
+    pairs = found.join(side("left"), ["grp", "left_id"]).join(side("right"), ["grp", "right_id"]).where(F.col("left") != F.col("right"))
+    pairs = pairs.select(F.col("grp").alias("user_id"), F.least("left", "right").alias("left_text"), F.greatest("left", "right").alias("right_text")).distinct()
     longest = F.greatest(F.length("left_text"), F.length("right_text"))
     pairs = pairs.withColumn("edits", F.expr(f"levenshtein(left_text, right_text, cast(floor((1 - {least}) * greatest(length(left_text), length(right_text)) + 1e-9) as int))"))
     return pairs.where("edits >= 0").select("user_id", "left_text", "right_text", F.round(1 - F.col("edits") / longest, 6).alias("similarity"))
 
 
+def edit_ratio(names: DataFrame, profiles: DataFrame, above: float = 0.75, q: int = 2) -> DataFrame:
+    """(name, profile_id, ratio): each name's best profile by edit similarity, above `above`; ties by id.
+
+    names(name), profiles(profile_id, profile_name), compared in lower case. Candidates are those of edit_candidates, which loses none: first
+    those within a quarter of the edits, then within half and all, each time for the names that have no profile so near yet. So a name
+    meets the many profiles that are far from it only if none is near.
+    """
+    left = names.select("name").distinct()
+    b = profiles.select(F.lit(0).alias("grp"), "profile_id", F.lower("profile_name").alias("text"))
+    texts = written(b.select("grp", F.col("text").alias("id"), "text").distinct(), "profile-names")
+    out = None
+    for part in (4, 2, 1):
+        share = (1 - above) / part
+        a = left.select(F.lit(0).alias("grp"), F.col("name").alias("id"), F.lower("name").alias("text"))
+        met = edit_candidates(a, texts, share, q).select(F.col("left_id").alias("name"), F.col("right_id").alias("text")).join(b.select("profile_id", "text"), "text")
+        met = met.withColumn("ratio", F.round(edit_similarity(F.lower("name"), F.col("text")), 6)).where((F.col("ratio") > above) & (F.col("ratio") >= 1 - share - 1e-6))
+        best = met.groupBy("name").agg(F.max_by(F.struct("profile_id", "ratio"), F.struct("ratio", -F.col("profile_id"))).alias("b"))
+        best = written(best.select("name", "b.profile_id", "b.ratio"), "edit-ratio")
+        left = left.join(best, "name", "left_anti")
+        out = best if out is None else out.unionAll(best)
+    return out
+
+
 def text_members(df: DataFrame) -> DataFrame:
     """(user_id, memory_id, text): each row's text in lower case with single spaces."""
     return df.select("user_id", "memory_id", F.trim(F.regexp_replace(F.lower(F.coalesce("raw", F.lit(""))), r"[ \t\r\n\f]+", " ")).alias("text"))
@@ -108,22 +159,25 @@ def detail_score(text: Column) -> Column:
 STRATEGIES = {"CONSTRAINT": "COMBINE", "LESSON": "NEWEST", "PREFERENCE": "NEWEST", "FACT": "DETAILED", "EVENT": "NEWEST", "TASK": "NEWEST"}
 
 
-def merge(members: DataFrame) -> DataFrame:
-    """(cluster, survivor, strategy, importance, accesses, absorbed): the row that a cluster keeps, and what it takes over.
+def merge(members: DataFrame, forced: str | None = None) -> DataFrame:
+    """(cluster, survivor, strategy, importance, accesses, last_access, combined, absorbed): the row that a cluster keeps, and what it takes over.
 
-    members(cluster, memory_id, memory_type, event_seconds, detail, importance, accesses). The strategy is that of the first
-    member's type; ties go to the smaller id.
+    members(cluster, memory_id, memory_type, event_seconds, detail, importance, accesses, last_access, raw). The strategy is `forced`, one of NEWEST,
+    OLDEST, DETAILED, IMPORTANT and COMBINE, or that of the first member's type; ties go to the smaller id. COMBINE keeps the
+    most important row and puts the members' different texts, by id, one below the other; else combined is null.
     """
-    strategy = F.coalesce(*[F.when(F.col("memory_type") == t, s) for t, s in STRATEGIES.items()], F.lit("DETAILED"))
+    strategy = F.lit(forced) if forced else F.coalesce(*[F.when(F.col("memory_type") == t, s) for t, s in STRATEGIES.items()], F.lit("DETAILED"))
     rows = members.withColumn("strategy", strategy)
     small = -F.col("memory_id")
     by = lambda *c: F.max_by("memory_id", F.struct(*c, small))
     out = rows.groupBy("cluster").agg(
-        F.min_by("strategy", "memory_id").alias("strategy"), by(F.col("event_seconds")).alias("newest"), by(F.col("detail")).alias("detailed"), by(F.col("importance")).alias("important"),
-        F.max("importance").alias("importance"), F.sum("accesses").alias("accesses"), F.sort_array(F.collect_list("memory_id")).alias("ids"),
+        F.min_by("strategy", "memory_id").alias("strategy"), by(F.col("event_seconds")).alias("newest"), by(-F.col("event_seconds")).alias("oldest"), by(F.col("detail")).alias("detailed"), by(F.col("importance")).alias("important"),
+        F.max("importance").alias("importance"), F.sum("accesses").alias("accesses"), F.max("last_access").alias("last_access"), F.sort_array(F.collect_list("memory_id")).alias("ids"),
+        F.sort_array(F.collect_list(F.struct("memory_id", F.coalesce("raw", F.lit("")).alias("raw")))).alias("texts"),
     )
-    kept = F.when(F.col("strategy") == "NEWEST", F.col("newest")).when(F.col("strategy") == "DETAILED", F.col("detailed")).otherwise(F.col("important"))
-    return out.withColumn("survivor", kept).select("cluster", "survivor", "strategy", "importance", "accesses", F.array_except("ids", F.array("survivor")).alias("absorbed"))
+    kept = F.when(F.col("strategy") == "NEWEST", F.col("newest")).when(F.col("strategy") == "OLDEST", F.col("oldest")).when(F.col("strategy") == "DETAILED", F.col("detailed")).otherwise(F.col("important"))
+    combined = F.when(F.col("strategy") == "COMBINE", F.array_join(F.array_distinct(F.transform("texts", lambda t: t["raw"])), "\n"))
+    return out.withColumn("survivor", kept).withColumn("combined", combined).select("cluster", "survivor", "strategy", "importance", "accesses", "last_access", "combined", F.array_except("ids", F.array("survivor")).alias("absorbed"))
 
 
 def cluster_decision(any_protected: Column, all_auto: Column, any_review: Column, min_similarity: Column) -> Column:
@@ -191,19 +245,22 @@ def text_near_dup(df: DataFrame, jaccard: float = 0.7, contained: float = 0.8) -
 def lineage(events: DataFrame) -> DataFrame:
     """(memory_id, final_id, steps): where each absorbed row ended up, along merges that were not rolled back.
 
-    events(survivor, absorbed array, rolled_back). Followed by doubling: each round joins every row's target with its target's.
+    events(survivor, absorbed array, rolled_back). Followed by doubling: each round joins every row's target with its target's. A path
+    without a cycle is no longer than there are rows, so rows that still move after that many doublings lead into a cycle: they have no
+    final row, and null for it and for the steps.
     """
     from loomwork.session import shared_dir
 
     shared_dir(events.sparkSession)
     hop = events.where("not rolled_back").select(F.explode("absorbed").alias("memory_id"), F.col("survivor").alias("final_id")).groupBy("memory_id").agg(F.min("final_id").alias("final_id"))
-    hop = hop.where("memory_id <> final_id").withColumn("steps", F.lit(1)).checkpoint()
-    while True:
+    hop = hop.where("memory_id <> final_id").select("memory_id", "final_id", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")).checkpoint()
+    for _ in range(hop.count().bit_length() + 1):
         on = hop.select(F.col("memory_id").alias("final_id"), F.col("final_id").alias("next"), F.col("steps").alias("more"))
-        far = hop.join(on, "final_id", "left").select("memory_id", F.coalesce("next", "final_id").alias("final_id"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")).checkpoint()
-        if not far.where("moved and memory_id <> final_id").limit(1).count():
-            return far.drop("moved")
-        hop = far.where("memory_id <> final_id").drop("moved")
+        hop = hop.join(on, "final_id", "left").select("memory_id", F.coalesce("next", "final_id").alias("final_id"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")).checkpoint()
+        if not hop.where("moved").limit(1).count():
+            break
+    settled = lambda c: F.when(~F.col("moved"), F.col(c))
+    return hop.select("memory_id", settled("final_id").alias("final_id"), settled("steps").cast("int").alias("steps"))
 
 
 def dedup_stats(df: DataFrame) -> DataFrame:

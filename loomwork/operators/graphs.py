@@ -63,17 +63,23 @@ def restrict_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("source_id")), "source_id", "left_semi").join(nodes.select(F.col("node").alias("target_id")), "target_id", "left_semi")
 
 
-def mention_detect(texts: DataFrame, names: DataFrame, most_words: int = 3) -> DataFrame:
+def mention_detect(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(memory_id, profile_id, confidence): profiles whose name (1.0) or alias (0.9) stands in a text as whole words.
 
-    texts(memory_id, raw), names(profile_id, name, confidence). The text's runs of up to most_words words are looked up, so texts
-    and profiles meet by equality.
+    texts(memory_id, raw), names(profile_id, name, confidence). The text's runs of as many words as names have are looked up, so texts
+    and profiles meet by equality. The names' different numbers of words are read first: a few rows.
     """
+    known = names.select("profile_id", F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ")).alias("key"), "confidence").where("key <> ''")
+    sizes = sorted(r[0] for r in known.select(F.size(F.split("key", " "))).distinct().collect())
     words = F.filter(F.split(F.lower("raw"), "[^a-z0-9]+"), lambda w: w != "")
     rows = texts.select("memory_id", words.alias("ws"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.when(F.size("ws") >= n, F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    keys = rows.select("memory_id", F.explode(F.array_distinct(grams)).alias("key"))
-    known = names.select("profile_id", F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ")).alias("key"), "confidence")
+    none = F.array().cast("array<string>")
+
+    def runs_of(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size("ws") - n + 1), lambda i: F.array_join(F.slice("ws", i, n), " "))
+        return F.when(F.size("ws") >= n, every).otherwise(none)
+
+    keys = rows.select("memory_id", F.explode(F.array_distinct(F.concat(none, *map(runs_of, sizes)))).alias("key"))
     return keys.join(known, "key").groupBy("memory_id", "profile_id").agg(F.max("confidence").alias("confidence"))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators.predicates import total_order
 from loomwork.operators.scoring import ranked, usage_weight
+from loomwork.session import written
 
 # Words that rescue terms leave out.
 RESCUE_STOP_WORDS = ["about", "does", "doing", "have", "mine", "need", "tell", "that", "this", "what", "when", "where", "which", "whose", "with", "your"]
@@ -116,14 +118,38 @@ def trigram_match(names: DataFrame, profiles: DataFrame, least: float = 0.4) ->
     return ranked(both.withColumn("similarity", s).where(F.col("similarity") > least), ["name"], [F.col("similarity").desc(), F.col("profile_id")], 1).select("name", "profile_id", "similarity")
 
 
-def resolve_names(names: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(name, profile_id, how): exact, alias, trigram; the first that hits; profiles(profile_id, profile_name, aliases)."""
-    key = names.select("name", F.initcap(F.trim("name")).alias("key")).distinct()
-    exact = key.join(profiles.select("profile_id", F.initcap("profile_name").alias("key")), "key").select("name", "profile_id", F.lit(0).alias("tier"))
-    alias = key.join(profiles.select("profile_id", F.explode("aliases").alias("a")).select("profile_id", F.initcap("a").alias("key")), "key").select("name", "profile_id", F.lit(1).alias("tier"))
-    near = trigram_match(names, profiles).select("name", "profile_id", F.lit(2).alias("tier"))
-    best = exact.unionAll(alias).unionAll(near).groupBy("name").agg(F.min(F.struct("tier", "profile_id")).alias("b"))
-    return best.select("name", "b.profile_id", F.element_at(F.array(*map(F.lit, ("exact", "alias", "trigram"))), F.col("b.tier") + 1).alias("how"))
+# What stands before or beside a name in a question.
+QUESTION_WORDS = r"(?i)^(?:(?:who|what|where)\s+(?:is|are|was|were)|tell me about|show me|find|search for|lookup|look up|recall)\s+"
+PROFILE_WORDS = r"(?i)\b(?:profile|profiles|memories|memory|person|people|details|info|information)\b"
+
+
+def asked_name(text: Column) -> Column:
+    """The name that a question is about: without question words, words for profiles and marks behind it, in lower case with single spaces."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), QUESTION_WORDS, ""), r"[?!.:,;]+$", "")
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(bare, PROFILE_WORDS, " ")), r"\s+", " "))
+
+
+def resolve_names(names: DataFrame, profiles: DataFrame, near: DataFrame | None = None, least: float = 0.75) -> DataFrame:
+    """(name, profile_id, how): exact, alias, trigram, edits, vector; the first that hits; profiles(profile_id, profile_name, aliases).
+
+    Each name is tried as it stands and as asked_name reads it. near(name, profile_id, similarity), if given, are vector neighbours, of which the best of
+    `least` or more counts. Ties of a tier go to the smaller id.
+    """
+    from loomwork.operators.dedup import edit_ratio
+
+    read = names.select("name", F.explode(F.array_distinct(F.array(F.lower(F.trim("name")), asked_name(F.col("name"))))).alias("key")).where("key <> ''").distinct()
+    own = lambda df, tier: read.join(df.select("profile_id", F.lower("key").alias("key")), "key").select("name", "profile_id", F.lit(tier).alias("tier"), F.lit(0.0).alias("far"))
+    every = own(profiles.select("profile_id", F.col("profile_name").alias("key")), 0).unionAll(own(profiles.select("profile_id", F.explode("aliases").alias("key")), 1))
+    every = written(every, "resolved")
+    # only names that no earlier tier resolves go on
+    for tier, score, match in ((2, "similarity", trigram_match), (3, "ratio", edit_ratio)):
+        rest = read.join(every, "name", "left_anti")
+        found = match(rest.select(F.col("key").alias("name")).distinct(), profiles).withColumnRenamed("name", "key")
+        every = every.unionAll(written(rest.join(found, "key").select("name", "profile_id", F.lit(tier).alias("tier"), -F.col(score)), "resolved"))
+    if near is not None:
+        every = every.unionAll(near.where(F.col("similarity") >= least).select("name", "profile_id", F.lit(4).alias("tier"), -F.col("similarity")))
+    best = every.groupBy("name").agg(F.min(F.struct("tier", "far", "profile_id")).alias("b"))
+    return best.select("name", "b.profile_id", F.element_at(F.array(*map(F.lit, ("exact", "alias", "trigram", "edits", "vector"))), F.col("b.tier") + 1).alias("how"))
 
 
 def search_levels(hits: DataFrame, sources: DataFrame, k: int = 10) -> DataFrame:
@@ -147,8 +173,7 @@ def recall(vector_hits: DataFrame, text_hits: DataFrame, rescued: DataFrame, mem
     used = usage_weight(F.col("score"), F.col("used_count"), F.col("days_unused"), F.lit(0))
     blended = (0.85 * used + 0.15 * F.col("importance")) * F.when(F.col("importance") < 0.35, 0.4).otherwise(1.0)
     rows = rows.withColumn("score", F.round(blended, 6))
-    order = [F.col("score").desc(), F.coalesce("vector_score", F.lit(-1.0)).desc(), F.col("importance").desc(), F.col("created_at").desc(), F.col("memory_id")]
-    return ranked(rows, ["query_id"], order, limit).select("query_id", "memory_id", "score", "rank")
+    return ranked(rows, ["query_id"], total_order(), limit).select("query_id", "memory_id", "score", "rank")
 
 
 def recall_multi(hits: DataFrame, memories: DataFrame, now: str, limit: int = 10) -> DataFrame:

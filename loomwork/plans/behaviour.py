@@ -160,10 +160,10 @@ def team_capabilities(spark, d):
     return B.team_capabilities(view(spark, d, "memories").select("agent_id", "memory_id", "raw", "importance"), spark.createDataFrame(_KEYS, "capability string, word string"))
 
 
-@query(K + ", q as (select task_id as query_id, domain, array_to_string(string_split(reason, ' ')[1:3], ' ') as phrase from tasks where task_id % 200 = 0), r as (select query_id, t.task_id, row_number() over (partition by query_id order by created_at desc, t.task_id) as rank from q join tasks t on t.domain = q.domain and contains(lower(reason), lower(phrase))) select query_id, task_id, 0.5::double as similarity, rank::int as rank from r where rank <= 5")
+@query(K + ", q as (select task_id as query_id, domain, array_to_string(string_split(reason, ' ')[1:3], ' ') as phrase from tasks where task_id % 20 = 0), r as (select query_id, t.task_id, row_number() over (partition by query_id order by created_at desc, t.task_id) as rank from q join tasks t on t.domain = q.domain and contains(lower(reason), lower(phrase))) select query_id, task_id, 0.5::double as similarity, rank::int as rank from r where rank <= 5")
 def similar_tasks(spark, d):
     t = tasks(spark, d)
-    return B.similar_tasks(t.where("task_id % 200 = 0").select(F.col("task_id").alias("query_id"), "domain", F.col("reason").alias("text")), t)
+    return B.similar_tasks(t.where("task_id % 20 = 0").select(F.col("task_id").alias("query_id"), "domain", F.col("reason").alias("text")), t)
 
 
 _TV = ", t as (select task_id, domain, reason, created_at, embedding from tasks left join embeddings on vec_id = task_id), q as (select task_id as query_id, domain, array_to_string(string_split(reason, ' ')[1:3], ' ') as phrase, case when task_id % 40 <> 0 then embedding end as q from t where task_id % 20 = 0), n as (select query_id, task_id, round(list_cosine_similarity(q::double[], embedding::double[]), 6) as similarity from q join t on q is not null and embedding is not null and query_id <> task_id), a as (select *, row_number() over (partition by query_id order by similarity desc, task_id) as rank from n), b as (select query_id, task_id, 0.5::double as similarity, row_number() over (partition by query_id order by created_at desc, task_id) as rank from q join t on t.domain = q.domain and contains(lower(reason), lower(phrase)) where q is null)"

@@ -119,16 +119,40 @@ def detail_score(spark, d):
     return view(spark, d, "memories").select("memory_id", F.round(D.detail_score(F.col("raw")), 6).alias("detail"))
 
 
-@query(M + f""", g as (select {HASH} as cluster, memory_id, case memory_type when 'CONSTRAINT' then 'COMBINE' when 'LESSON' then 'NEWEST' when 'PREFERENCE' then 'NEWEST' when 'FACT' then 'DETAILED' when 'TASK' then 'NEWEST' else 'DETAILED' end as strategy, epoch(coalesce(observed_at, created_at))::bigint as s, round({_DETAIL}, 6) as detail, importance, retrieval_count + used_count as accesses from memories),
-c as (select cluster, arg_min(strategy, memory_id) as strategy, arg_max(memory_id, (s, -memory_id)) as newest, arg_max(memory_id, (detail, -memory_id)) as detailed, arg_max(memory_id, (importance, -memory_id)) as important, max(importance) as importance, sum(accesses)::bigint as accesses, list(memory_id order by memory_id) as ids from g group by cluster having count(*) > 1),
-k as (select *, case strategy when 'NEWEST' then newest when 'DETAILED' then detailed else important end as survivor from c) select cluster, survivor, strategy, importance, accesses, list_filter(ids, lambda x: x <> survivor) as absorbed from k""")
-def merge_duplicates(spark, d):
-    m = view(spark, d, "memories")
-    rows = m.select(
-        D.content_hash(F.coalesce("raw", F.lit(""))).alias("cluster"), "memory_id", "memory_type", F.unix_timestamp(F.coalesce("observed_at", "created_at")).alias("event_seconds"),
-        F.round(D.detail_score(F.col("raw")), 6).alias("detail"), "importance", (F.col("retrieval_count") + F.col("used_count")).alias("accesses"),
+_KIND = "case memory_type when 'CONSTRAINT' then 'COMBINE' when 'LESSON' then 'NEWEST' when 'PREFERENCE' then 'NEWEST' when 'FACT' then 'DETAILED' when 'TASK' then 'NEWEST' else 'DETAILED' end"
+
+
+def _merge_sql(cluster: str, strategy: str) -> str:
+    return M + f""", g as (select {cluster} as cluster, memory_id, {strategy} as strategy, epoch(coalesce(observed_at, created_at))::bigint as s, round({_DETAIL}, 6) as detail, importance, retrieval_count + used_count as accesses, greatest(epoch(last_retrieved_at)::bigint, epoch(last_used_at)::bigint) as last_access, coalesce(raw, '') as raw from memories),
+c as (select cluster, arg_min(strategy, memory_id) as strategy, arg_max(memory_id, (s, -memory_id)) as newest, arg_max(memory_id, (-s, -memory_id)) as oldest, arg_max(memory_id, (detail, -memory_id)) as detailed, arg_max(memory_id, (importance, -memory_id)) as important, max(importance) as importance, sum(accesses)::bigint as accesses, max(last_access) as last_access, list(memory_id order by memory_id) as ids, list(raw order by memory_id) as texts from g group by cluster having count(*) > 1),
+k as (select *, case strategy when 'NEWEST' then newest when 'OLDEST' then oldest when 'DETAILED' then detailed else important end as survivor from c)
+select cluster, survivor, strategy, importance, accesses, last_access, case strategy when 'COMBINE' then sha256(array_to_string(list_filter(texts, lambda x, i: list_position(texts, x) = i), chr(10))) end as combined, list_filter(ids, lambda x: x <> survivor) as absorbed from k"""
+
+
+def _members(spark, d, cluster):
+    return view(spark, d, "memories").select(
+        cluster.alias("cluster"), "memory_id", "memory_type", F.unix_timestamp(F.coalesce("observed_at", "created_at")).alias("event_seconds"), F.round(D.detail_score(F.col("raw")), 6).alias("detail"),
+        "importance", (F.col("retrieval_count") + F.col("used_count")).alias("accesses"), F.greatest(F.unix_timestamp("last_retrieved_at"), F.unix_timestamp("last_used_at")).alias("last_access"), "raw",
     )
-    return D.merge(rows).where("size(absorbed) > 0")
+
+
+def _hashed(merged):
+    return merged.where("size(absorbed) > 0").withColumn("combined", F.sha2("combined", 256))
+
+
+@query(_merge_sql("{HASH}".replace("{HASH}", HASH), _KIND))
+def merge_duplicates(spark, d):
+    return _hashed(D.merge(_members(spark, d, D.content_hash(F.coalesce("raw", F.lit(""))))))
+
+
+@query(_merge_sql("session_id", "'OLDEST'"))
+def merge_oldest(spark, d):
+    return _hashed(D.merge(_members(spark, d, F.col("session_id")), "OLDEST"))
+
+
+@query(_merge_sql("session_id", "'COMBINE'"))
+def merge_combined(spark, d):
+    return _hashed(D.merge(_members(spark, d, F.col("session_id")), "COMBINE"))
 
 
 @query(V + PAIRS + _CC + ", c as (select r.cluster, min(similarity) as m, bool_or(left_id % 7 = 0) as p, bool_and(left_id % 5 <> 0) as a, bool_or(left_id % 3 = 0) as v from near n join reach r on r.node = n.left_id group by 1) select cluster, case when p then 'skip' when m + 0.5::double >= 0.88 and a then 'merge' when m + 0.5::double >= 0.82 and not v then 'resolve' when m + 0.5::double >= 0.80 then 'merge' else 'review' end as decision from c")
@@ -212,7 +236,7 @@ def ingest_reinforce(spark, d):
 
 
 _TOLD = (
-    "with t as (select conv_id * 1000 + turn as memory_id, role as user_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') as raw from conversations), c as (select * from t union all select memory_id + 500, user_id, 'So ' || raw || '!' from t where memory_id % 2 = 0),"
+    "with t as (select conv_id * 1000 + turn as memory_id, role as user_id, regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g') as raw from conversations), c as (select * from t union all select memory_id + 500, user_id, case memory_id % 3 when 0 then 'So ' || raw || '!' when 1 then substr(raw, 1, length(raw) // 2) || 'zq' || substr(raw, length(raw) // 2 + 2) else substr(raw, 1, 20) || substr(raw, 22, 10) end from t where memory_id % 2 = 0 union all select memory_id + 600, user_id, substr(raw, 1, 31) from t where memory_id % 2 = 0),"
     " x as (select distinct user_id, trim(regexp_replace(lower(raw), '[ \\t\\r\\n\\f]+', ' ', 'g')) as s from c)"
 )
 
@@ -224,5 +248,9 @@ _TOLD = (
 def edit_pairs(spark, d):
     t = spark.read.parquet(f"{d}/conversations.parquet")
     t = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("memory_id"), F.col("role").alias("user_id"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?").alias("raw"))
-    edited = t.where("memory_id % 2 = 0").select(F.col("memory_id") + 500, "user_id", F.concat(F.lit("So "), "raw", F.lit("!")))
-    return D.edit_pairs(t.unionAll(edited)).withColumns({c: F.sha2(c, 256) for c in ("left_text", "right_text")})
+    half = F.expr("length(raw) div 2")
+    middle = F.concat(F.substr("raw", F.lit(1), half), F.lit("zq"), F.substr(F.col("raw"), half + 2))
+    short = F.concat(F.substring("raw", 1, 20), F.substring("raw", 22, 10))
+    even, third = t.where("memory_id % 2 = 0"), F.col("memory_id") % 3
+    edited = even.select(F.col("memory_id") + 500, "user_id", F.when(third == 0, F.concat(F.lit("So "), "raw", F.lit("!"))).when(third == 1, middle).otherwise(short))
+    return D.edit_pairs(t.unionAll(edited).unionAll(even.select(F.col("memory_id") + 600, "user_id", F.substring("raw", 1, 31)))).withColumns({c: F.sha2(c, 256) for c in ("left_text", "right_text")})

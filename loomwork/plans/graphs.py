@@ -58,15 +58,15 @@ def graph_export(spark, d):
     return G.restrict_edges(e, nodes).select("source_id", "target_id", "edge_type")
 
 
-_NAMES = "names as (select distinct doc_id % 50 as profile_id, regexp_replace(array_to_string(regexp_split_to_array(lower(text), '[^a-z0-9]+')[2:3], ' '), '^ +| +$', '', 'g') as key from documents where lang = 'en' and doc_id % 10 = 1)"
+_NAMES = "names as (select distinct doc_id % 50 as profile_id, regexp_replace(array_to_string(regexp_split_to_array(lower(text), '[^a-z0-9]+')[2:3 + doc_id % 3], ' '), '^ +| +$', '', 'g') as key from documents)"
 
 
-@query("with " + _NAMES + r", k as (select * from names where regexp_matches(key, '^[a-z0-9]+ [a-z0-9]+$')), t as (select doc_id as memory_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' ' as t from documents) select memory_id, profile_id, 0.9::double as confidence from t join k on contains(t.t, ' ' || key || ' ') group by all")
+@query("with " + _NAMES + r", k as (select * from names where regexp_matches(key, '^[a-z0-9]+( [a-z0-9]+)+$')), t as (select doc_id as memory_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' ' as t from documents) select memory_id, profile_id, 0.9::double as confidence from t join k on contains(t.t, ' ' || key || ' ') group by all")
 def mention_detect(spark, d):
     t = spark.read.parquet(f"{d}/documents.parquet")
-    key = F.regexp_replace(F.array_join(F.slice(F.split(F.lower("text"), "[^a-z0-9]+"), 2, 2), " "), "^ +| +$", "")
-    names = t.where("lang = 'en' and doc_id % 10 = 1").select((F.col("doc_id") % 50).alias("profile_id"), key.alias("name"), F.lit(0.9).alias("confidence")).distinct()
-    return G.mention_detect(t.select(F.col("doc_id").alias("memory_id"), F.col("text").alias("raw")), names.where(F.col("name").rlike("^[a-z0-9]+ [a-z0-9]+$")))
+    key = F.regexp_replace(F.array_join(F.slice(F.split(F.lower("text"), "[^a-z0-9]+"), F.lit(2), (F.col("doc_id") % 3 + 2).cast("int")), " "), "^ +| +$", "")
+    names = t.select((F.col("doc_id") % 50).alias("profile_id"), key.alias("name"), F.lit(0.9).alias("confidence")).distinct()
+    return G.mention_detect(t.select(F.col("doc_id").alias("memory_id"), F.col("text").alias("raw")), names.where(F.col("name").rlike("^[a-z0-9]+( [a-z0-9]+)+$")))
 
 
 @query(M + ", me as (select memory_id, memory_id % 10 as p, confidence as s from memories where memory_id % 3 <> 0), ne as (select memory_id, memory_id % 10 as p, effective as s from memories), u as (select memory_id, p, 0 as o, s from me union all select memory_id, p, 1, s from ne), f as (select * from u where s >= 0.75 and memory_id % 7 <> 0), b as (select memory_id, p, min((o, -s)) as m from f group by 1, 2) select memory_id, p as profile_id, case when m[1] = 0 then 'mention' else 'vector' end as method, -m[2] as score from b")

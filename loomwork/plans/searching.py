@@ -44,10 +44,10 @@ def keyword_rank(spark, d):
     return S.keyword_rank(t.select("query_id", "user_id", F.when(F.col("i") == 3, F.concat(F.lit("-"), "term")).otherwise(F.col("term")).alias("term")), index(spark, d))
 
 
-@query("with v as (select distinct unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as token from benchmark), t as (select token as term, case when length(token) <= 2 then 0 when length(token) <= 5 then 1 else 2 end as e from v where token <> '' and hash(token) is not null and length(token) % 3 = 0) select term, v.token from t join v on v.token <> '' and abs(length(term) - length(v.token)) <= 2 and levenshtein(term, v.token) <= e")
+@query("with v as (select distinct unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as token from benchmark), t as (select token as term, case when length(token) <= 2 then 0 when length(token) <= 5 then 1 else 2 end as e from v where token <> '') select term, v.token from t join v on v.token <> '' and abs(length(term) - length(v.token)) <= 2 and levenshtein(term, v.token) <= e")
 def fuzzy_terms(spark, d):
     v = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token")).where("token <> ''")
-    return S.fuzzy_terms(v.where("length(token) % 3 = 0").withColumnRenamed("token", "term"), v)
+    return S.fuzzy_terms(v.withColumnRenamed("token", "term"), v)
 
 
 _STOP = ", ".join(f"'{w}'" for w in S.RESCUE_STOP_WORDS)
@@ -94,12 +94,36 @@ def trigram_match(spark, d):
     return S.trigram_match(names, profiles)
 
 
-@query(_NM + ", e as (select c_name as name, c_custkey as profile_id from customer where c_custkey % 5 = 0), a as (select 'kay ' || c_custkey as name, c_custkey as profile_id from customer where c_custkey % 6 = 0) select name, profile_id, 'exact' as how from e union all select name, profile_id, 'alias' from a union all select name, profile_id, 'trigram' from b where r = 1 and name not in (select name from e)")
+_PEOPLE = "p as (select c_custkey as profile_id, lower(c_name) as key, 'kay ' || c_custkey as alias from customer)"
+_ASKED = (
+    "n as (select c_name as name from customer where c_custkey % 5 = 0 union all select 'kay ' || c_custkey from customer where c_custkey % 5 = 1 union all select 'Who is ' || c_name || '?' from customer where c_custkey % 5 = 2"
+    " union all select substr(c_name, 1, 9) || substr(c_name, 11) from customer where c_custkey % 5 = 3 union all select 'x' || substr(c_name, 2, 3) || 'y' || substr(c_name, 5, 4) || 'z' || substr(c_name, 10) from customer where c_custkey % 5 = 4),"
+    " k as (select distinct name, unnest([lower(trim(name)), trim(regexp_replace(lower(regexp_replace(regexp_replace(name, '^(?:who|what|where) +(?:is|are|was|were) +', '', 'i'), '[?!.:,;]+$', '')), ' +', ' ', 'g'))]) as key from n)"
+)
+
+
+@query("with " + _PEOPLE + ", n as (select distinct substr(c_name, 1, 9) || 'y' || substr(c_name, 11) as name from customer), r as (select name, profile_id, round(1 - levenshtein(lower(name), key)::double / greatest(length(name), length(key)), 6) as ratio from n join p on abs(length(name) - length(key)) <= 6) select name, arg_max(profile_id, (ratio, -profile_id)) as profile_id, max(ratio) as ratio from r where ratio > 0.75::double group by name")
+def edit_ratio(spark, d):
+    from loomwork.operators.dedup import edit_ratio
+
+    profiles, _ = _people(spark, d)
+    wrong = F.concat(F.substring("c_name", 1, 9), F.lit("y"), F.substring("c_name", 11, 100))
+    return edit_ratio(spark.read.parquet(f"{d}/customer.parquet").select(wrong.alias("name")), profiles)
+
+
+@query(
+    "with " + _PEOPLE + ", " + _ASKED + ", g as (select profile_id, unnest(" + _TRI.format("key") + ") as t, len(" + _TRI.format("key") + ") as nb from p), f as (select key, unnest(" + _TRI.format("key") + ") as t, len(" + _TRI.format("key") + ") as na from (select distinct key from k)),"
+    " s as (select f.key, profile_id, round(count(*) / (any_value(na) + any_value(nb) - count(*)), 6) as similarity from f join g using (t) group by 1, 2), ts as (select key, profile_id, similarity from (select *, row_number() over (partition by key order by similarity desc, profile_id) as r from s where similarity > 0.4::double) where r = 1),"
+    " e as (select distinct k.key, profile_id, round(1 - levenshtein(k.key, p.key)::double / greatest(length(k.key), length(p.key)), 6) as ratio from (select distinct key from k) k join p on abs(length(k.key) - length(p.key)) <= 6), es as (select key, arg_max(profile_id, (ratio, -profile_id)) as profile_id, max(ratio) as ratio from e where ratio > 0.75::double group by key),"
+    " u as (select name, profile_id, 0 as tier, 0::double as far from k join p using (key) union all select name, profile_id, 1, 0 from k join p on alias = k.key union all select name, profile_id, 2, -similarity from k join ts using (key) union all select name, profile_id, 3, -ratio from k join es using (key)),"
+    " b as (select name, min((tier, far, profile_id)) as m from u group by name) select name, m[3] as profile_id, ['exact', 'alias', 'trigram', 'edits'][m[1] + 1] as how from b"
+)
 def resolve_names(spark, d):
-    profiles, names = _people(spark, d)
-    c = spark.read.parquet(f"{d}/customer.parquet")
-    more = c.where("c_custkey % 5 = 0").select(F.col("c_name").alias("name")).unionAll(c.where("c_custkey % 6 = 0").select(F.concat(F.lit("kay "), "c_custkey")))
-    return S.resolve_names(names.unionAll(more), profiles)
+    profiles, _ = _people(spark, d)
+    c, key = F.col("c_name"), F.col("c_custkey")
+    wrong = F.concat(F.lit("x"), F.substring(c, 2, 3), F.lit("y"), F.substring(c, 5, 4), F.lit("z"), F.substring(c, 10, 100))
+    form = F.element_at(F.array(c, F.concat(F.lit("kay "), key), F.concat(F.lit("Who is "), c, F.lit("?")), F.concat(F.substring(c, 1, 9), F.substring(c, 11, 100)), wrong), (key % 5 + 1).cast("int"))
+    return S.resolve_names(spark.read.parquet(f"{d}/customer.parquet").select(form.alias("name")), profiles)
 
 
 @query(M + ", h as (select h.query_id, h.doc_id as source_id, case when variant in ('v0', 'v1') then 0 else 1 end as level, score from (" + H.removeprefix("with hits as ").strip() + ") h), l as (select * from h where source_id in (select memory_id from memories where deleted_at is null and not user_hidden)), b as (select query_id, source_id, max((level, score)) as m from l group by 1, 2) select query_id, source_id, m[1]::int as level, m[2] as score, rank::int as rank from (select *, row_number() over (partition by query_id order by m[2] desc, source_id) as rank from b) where rank <= 10")

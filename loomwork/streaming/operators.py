@@ -49,10 +49,10 @@ def access_counters(calls: DataFrame, key: str = "k") -> DataFrame:
 
 
 def rate_limit(calls: DataFrame, key: str = "user_id", limit: int = 3, seconds: int = 60, time: str = "ts", order: str = "event_id") -> DataFrame:
-    """(key, order, admitted, remaining): sliding-log admission in order of time; rejected calls don't count.
+    """(key, order, admitted, remaining, retry_after): sliding-log admission in order of time; rejected calls don't count.
 
     Batch twin: a fold in Python over each key's calls, since whether a call counts depends on those before. The state is the log of
-    admitted times, at most `limit` of them.
+    admitted times, at most `limit` of them. retry_after: seconds, rounded up, until a rejected call would be admitted; else 0.
     """
     rows = calls.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("place"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
 
@@ -64,10 +64,10 @@ def rate_limit(calls: DataFrame, key: str = "user_id", limit: int = 3, seconds:
                 if k != now:
                     now, log = k, []
                 ok, log = admit(log, at, limit, seconds)
-                out.append((k, place, ok, limit - len(log)))
-            yield pd.DataFrame(out, columns=["key", "place", "admitted", "remaining"])
+                out.append((k, place, ok, limit - len(log), 0 if ok else wait(log, at, seconds)))
+            yield pd.DataFrame(out, columns=LIMIT_COLUMNS)
 
-    out = rows.repartition("key").sortWithinPartitions("key", "at", "place").mapInPandas(fold, "key long, place long, admitted boolean, remaining long")
+    out = rows.repartition("key").sortWithinPartitions("key", "at", "place").mapInPandas(fold, LIMIT_FIELDS)
     return out.withColumnsRenamed({"key": key, "place": order})
 
 
@@ -77,6 +77,15 @@ def admit(log: list[int], at: int, limit: int, seconds: int) -> tuple[bool, list
     return (True, [*log, at]) if len(log) < limit else (False, log)
 
 
+LIMIT_COLUMNS = ["key", "place", "admitted", "remaining", "retry_after"]
+LIMIT_FIELDS = "key long, place long, admitted boolean, remaining long, retry_after long"
+
+
+def wait(log: list[int], at: int, seconds: int) -> int:
+    """Whole seconds until the oldest call of a full log leaves the window."""
+    return -(-(min(log) + seconds * 1_000_000 - at) // 1_000_000) if log else seconds
+
+
 def rate_limit_stream(calls: DataFrame, key: str = "user_id", limit: int = 3, seconds: int = 60, watermark: str = WATERMARK) -> DataFrame:
     """The stream twin of rate_limit: keyed state holds the log; a key idle past the window and the watermark is dropped.
 
@@ -94,13 +103,13 @@ def rate_limit_stream(calls: DataFrame, key: str = "user_id", limit: int = 3, se
         out = []
         for place, at in pd.concat(list(frames)).sort_values(["at", "place"])[["place", "at"]].itertuples(index=False):
             ok, log = admit(log, int(at), limit, seconds)
-            out.append((k[0], place, ok, limit - len(log)))
+            out.append((k[0], place, ok, limit - len(log), 0 if ok else wait(log, int(at), seconds)))
         state.update((log,))
         if log:
             state.setTimeoutTimestamp(max(max(log) // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "place", "admitted", "remaining"])
+        yield pd.DataFrame(out, columns=LIMIT_COLUMNS)
 
-    out = rows.groupBy("key").applyInPandasWithState(step, "key long, place long, admitted boolean, remaining long", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    out = rows.groupBy("key").applyInPandasWithState(step, LIMIT_FIELDS, "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnsRenamed({"key": key, "place": "event_id"})
 
 

@@ -171,3 +171,51 @@ def test_fusion_does_not_depend_on_partitions(spark):
     hits = spark.createDataFrame([(q, f"v{i % 3}", i % 11, i % 7 + 1, i % 5 / 5, "rules") for q in range(4) for i in range(60)], "query_id long, variant string, doc_id long, rank int, score double, source string")
     for f in (scoring.rrf, scoring.weighted_rrf, scoring.max_score_fusion, scoring.frequency_fusion):
         assert sorted(map(str, f(hits).collect())) == sorted(map(str, f(hits.repartition(7, "doc_id")).collect()))
+
+
+def test_lineage_reports_cycles(spark):
+    events = [(2, [1], False), (3, [2], False), (1, [3], False), (1, [4], False), (9, [8], False), (10, [9], False), (5, [6], True)]
+    found = dedup.lineage(spark.createDataFrame(events, "survivor long, absorbed array<long>, rolled_back boolean")).collect()
+    assert {(r.memory_id, r.final_id, r.steps) for r in found} == {(1, None, None), (2, None, None), (3, None, None), (4, None, None), (8, 10, 2), (9, 10, 1)}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize(("share", "q"), [(0.1, 4), (0.25, 2)])
+def test_edit_candidates_lose_no_pair(spark, share, q):
+    import random
+
+    rng, texts = random.Random(17), set()
+    for _ in range(60):
+        t = "".join(rng.choice("ab c") for _ in range(rng.choice([1, 3, 5, 9, 12, 20, 60])))
+        for _ in range(4):
+            texts.add(t)
+            at = rng.randrange(len(t) + 1)
+            t = t[:at] + rng.choice(["", "x", "zq"]) + t[at + rng.randint(0, 1) :]
+    texts = sorted(x for x in texts if x)
+    rows = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "grp int, id long, text string")
+    found = {(r.left_id, r.right_id) for r in dedup.edit_candidates(rows, rows, share, q).collect()}
+    near = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if abs(len(a) - len(b)) <= share * max(len(a), len(b)) and distance(a, b) <= share * max(len(a), len(b)) + 1e-9}
+    assert near <= found and len(near) > len(texts)
+
+
+def test_edit_pairs_of_short_texts(spark):
+    rows = [(1, "please call me after lunch"), (2, "please call mi after lunch"), (3, "something else"), (4, None), (5, ""), (6, "please call me after lunch")]
+    found = dedup.edit_pairs(spark.createDataFrame([(i, "u", t) for i, t in rows], "memory_id long, user_id string, raw string")).collect()
+    assert [(r.left_text, r.right_text) for r in found] == [(rows[0][1], rows[1][1])]
+
+
+def test_names_resolve_by_tiers(spark):
+    profiles = spark.createDataFrame([(1, "Alice Johnson", ["Al"]), (2, "Robert", ["Bob"]), (3, "Katherine Smith", [])], "profile_id long, profile_name string, aliases array<string>")
+    names = ["Who is Alice Johnson?", "bob", "alice johnson profile", "Katherin Smith", "Rxbxrt", "Rpbert", "Nobody Here", "Zed"]
+    near = spark.createDataFrame([("Zed", 3, 0.8), ("Nobody Here", 1, 0.4)], "name string, profile_id long, similarity double")
+    found = {r.name: (r.profile_id, r.how) for r in searching.resolve_names(spark.createDataFrame([(n,) for n in names], "name string"), profiles, near).collect()}
+    assert found == {"Who is Alice Johnson?": (1, "exact"), "alice johnson profile": (1, "exact"), "bob": (2, "alias"), "Katherin Smith": (3, "trigram"), "Rpbert": (2, "edits"), "Zed": (3, "vector")}
