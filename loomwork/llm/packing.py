@@ -171,8 +171,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
 
 
 def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """Tokenizes, cuts and packs every document; the pieces, a few dozen bytes each without their ids, are written once."""
-    return pack(written(tokenized_pieces(docs, ranks_path, pattern, capacity, end_id, keep_ids), "pieces"), capacity)
+    """Tokenizes, cuts and packs every document; the pieces are written once.
+
+    With keep_ids each piece has its ids. They stay out of the packing, which moves a few dozen bytes for each piece, and are joined on by
+    the number that the piece was written with.
+    """
+    pieces = tokenized_pieces(docs, ranks_path, pattern, capacity, end_id, keep_ids)
+    if not keep_ids:
+        return pack(written(pieces, "pieces"), capacity)
+    held = written(pieces.withColumn("__piece", F.monotonically_increasing_id()), "pieces")
+    return pack(held.drop("ids"), capacity).join(held.select("__piece", "ids"), "__piece").drop("__piece")
 
 
 def in_sequence_order(packed: DataFrame, together: int = 64) -> DataFrame:
