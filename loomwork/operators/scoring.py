@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.analytics import at, hours_before
+from loomwork.session import written
 
 K = 60
 
@@ -303,19 +304,21 @@ def contextual_recall(hits: DataFrame, least: float = 0.35, near_top: float = 0.
     return rows.withColumn("so_far", so_far).where((F.col("so_far") <= budget) | (F.col("rank") == 1)).select("query_id", "doc_id", "rank", "tokens")
 
 
-def first_fit(items: DataFrame, keys: list[str], budget: int) -> DataFrame:
+def first_fit(items: DataFrame, keys: list[str], budget: int | str) -> DataFrame:
     """(keys, item, place): in order, each item that still fits its group's budget; too large ones are passed over.
 
-    items(keys, place, item long, tokens long, always boolean): rows marked always are taken whatever they cost. A fold over the
-    group's ordered array, for groups that a request bounds.
+    items(keys, place, item long, tokens long, always boolean): rows marked always are taken whatever they cost. budget is a number or a
+    column that holds each group's. A fold over the group's ordered array, for groups that a request bounds.
     """
-    rows = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "item", "tokens", "always"))).alias("xs"))
-    state = "struct<left: bigint, kept: array<struct<place: bigint, item: bigint>>>"
-    zero = F.struct(F.lit(budget).cast("long").alias("left"), F.array().alias("kept")).cast(state)
+    room = F.max(budget).cast("long") if isinstance(budget, str) else F.lit(budget).cast("long")
+    rows = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "item", "tokens", "always"))).alias("xs"), room.alias("room"))
+    place = dict(items.dtypes)["place"]
+    state = f"struct<left: bigint, kept: array<struct<place: {place}, item: bigint>>>"
+    zero = F.struct(F.col("room").alias("left"), F.array().alias("kept")).cast(state)
 
     def step(s: Column, x: Column) -> Column:
         fits = x["always"] | (x["tokens"] <= s["left"])
-        one = F.array(F.struct(x["place"].cast("long").alias("place"), x["item"].cast("long").alias("item")))
+        one = F.array(F.struct(x["place"].alias("place"), x["item"].cast("long").alias("item")))
         return F.struct(F.when(fits, s["left"] - x["tokens"]).otherwise(s["left"]).alias("left"), F.when(fits, F.concat(s["kept"], one)).otherwise(s["kept"]).alias("kept")).cast(state)
 
     return rows.select(*keys, F.explode(F.aggregate("xs", zero, step)["kept"]).alias("k")).select(*keys, "k.item", "k.place")
@@ -377,15 +380,113 @@ def layer_decay(layer: Column, days: Column) -> Column:
     return F.coalesce(*[F.when(layer == x, F.exp(-r * days)) for x, r in DECAY_RATES.items()], F.lit(1.0))
 
 
-def bounded_first_fit(items: DataFrame, keys: list[str], budget: int) -> DataFrame:
-    """first_fit for groups of any size, without rows marked always; items cost a token or more.
+def bounded_first_fit(items: DataFrame, keys: list[str], budget: int, room: str | None = None) -> DataFrame:
+    """first_fit for groups of any size, without rows marked always.
 
     What is left of a budget never grows, so once an item is passed over, all later ones of its size are. Of each size only the
-    first budget / size items can be taken: these, at most budget * (1 + ln budget) for a group, are all that the fold sees.
+    first budget / size items can be taken: these, at most budget * (1 + ln budget) for a group, are all that the fold sees. Items
+    without tokens are taken beside it. room: a column with what a group has left of the budget; below zero nothing is taken.
     """
-    sized = items.where(F.col("tokens").between(1, budget))
-    first = ranked(sized, [*keys, "tokens"], [F.col("place"), F.col("item")], budget).where(F.col("rank") <= F.floor(F.lit(budget) / F.col("tokens")))
-    return first_fit(first.select(*keys, "place", "item", "tokens", F.lit(False).alias("always")), keys, budget)
+    left = F.col(room) if room else F.lit(budget)
+    held = items.select(*keys, "place", "item", "tokens", F.lit(False).alias("always"), left.cast("long").alias("room"))
+    sized = held.where((F.col("tokens") >= 1) & (F.col("tokens") <= F.col("room")))
+    first = ranked(sized, [*keys, "tokens"], [F.col("place"), F.col("item")], budget).where(F.col("rank") <= F.floor(F.col("room") / F.col("tokens")))
+    free = held.where((F.col("tokens") == 0) & (F.col("room") >= 0)).select(*keys, F.col("item").cast("long").alias("item"), "place")
+    return first_fit(first, keys, "room").unionByName(free)
+
+
+# A layer's share of a context's tokens and its tokens where no total is asked for; shares of a scoped context.
+LAYER_SHARES = {"IDENTITY": (0.44, 800), "PROJECT": (0.33, 600), "SESSION": (0.22, 400)}
+SCOPED_SHARES = {"critical": (0.2, 0.1), "task": (0.5,), "background": (0.2, 0.1)}
+
+
+def load_context(memories: DataFrame, requests: DataFrame, now: str, budget: int | None = None, session_days: int = 7) -> DataFrame:
+    """(user_id, memory_id, layer, tokens, kept, reason): every candidate of each user's context, and why one was evicted.
+
+    memories(user_id, memory_id, project_id, raw, layer, effective, confidence, priority, safety_critical, user_pinned, created_at, deleted_at,
+    superseded_by, searchable, user_hidden), requests(user_id, project_id): one row a user. Candidates are live identities, the
+    project's rows and the session rows of the last days. In each layer's budget safety rows count first and always stay. Rows of
+    priority 1 stay while they fit the reserve (a quarter of the identities' budget, 200 at most) or the budget; layers without a
+    reserve keep all of them. Then the others, each that still fits, by effective score, confidence, priority, pin, newest, id. A token is
+    four characters, a null text has none. All candidates count, however many: sums take the rows that always stay, and the fold
+    sees at most the first (budget + reserve) / size rows of a size.
+    """
+    live = memories.where(F.col("deleted_at").isNull() & F.col("superseded_by").isNull() & F.coalesce("searchable", F.lit(True)) & ~F.coalesce("user_hidden", F.lit(False)))
+    recent = F.col("created_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {session_days} days")
+    asked = requests.select("user_id", F.col("project_id").alias("asked"))
+    wanted = (F.col("layer") == "IDENTITY") | ((F.col("layer") == "PROJECT") & (F.col("project_id") == F.col("asked"))) | ((F.col("layer") == "SESSION") & recent)
+    room = F.coalesce(*[F.when(F.col("layer") == x, int(budget * share) if budget else fixed) for x, (share, fixed) in LAYER_SHARES.items()]).cast("long")
+    most = max(int(budget * share) if budget else fixed for share, fixed in LAYER_SHARES.values())
+    identity = int(budget * LAYER_SHARES["IDENTITY"][0]) if budget else LAYER_SHARES["IDENTITY"][1]
+    reserve = min(200, identity // 4)
+    safe, first = F.coalesce("safety_critical", F.lit(False)), F.coalesce(F.col("priority") == 1, F.lit(False))
+    reserved = F.lit(reserve > 0) & (F.col("layer") == "IDENTITY")
+    phase = F.when(safe | (first & ~reserved), 0).when(first, 1).otherwise(2)
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    place = F.struct(
+        phase.alias("phase"), (-value("effective")).alias("a"), (-value("confidence")).alias("b"), F.coalesce("priority", F.lit(9)).alias("c"), (~F.coalesce("user_pinned", F.lit(False))).alias("d"),
+        (-F.unix_micros("created_at")).alias("e"),
+    )
+    tokens = F.ceil(F.coalesce(F.length("raw"), F.lit(0)) / 4.0).cast("long")
+    rows = live.join(asked, "user_id").where(wanted).select("user_id", "layer", F.col("memory_id").alias("item"), tokens.alias("tokens"), place.alias("place"), room.alias("room"), phase.alias("phase"))
+    keys = ["user_id", "layer"]
+    rows = written(rows, "candidates")
+    always = rows.groupBy(*keys).agg(F.sum(F.when(F.col("phase") == 0, F.col("tokens")).otherwise(0)).alias("spent"), F.max("room").alias("room"))
+    can = rows.where((F.col("phase") > 0) & (F.col("tokens") > 0))
+    share = F.col("room") + F.when(F.col("phase") == 1, reserve).otherwise(0)
+    can = ranked(can.where(F.col("tokens") <= share), [*keys, "phase", "tokens"], [F.col("place"), F.col("item")], most + reserve).where(F.col("rank") <= F.floor(share / F.col("tokens")))
+    lists = can.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "item", "tokens"))).alias("xs"))
+    state = "struct<used: bigint, reserved: bigint, opening: bigint, kept: array<bigint>>"
+    lists = always.join(lists, keys, "left").withColumn("xs", F.coalesce("xs", F.expr("filter(array(cast(null as struct<place: " + dict(can.dtypes)["place"] + ", item: " + dict(can.dtypes)["item"] + ", tokens: bigint>)), x -> false)")))
+
+    def step(s: Column, x: Column) -> Column:
+        one = x["place"]["phase"] == 1
+        by_reserve = one & (s["reserved"] + x["tokens"] <= reserve)
+        fits = by_reserve | (s["used"] + x["tokens"] <= F.col("room"))
+        grown = s["used"] + F.when(fits, x["tokens"]).otherwise(0)
+        kept = F.when(fits, F.concat(s["kept"], F.array(x["item"].cast("long")))).otherwise(s["kept"])
+        return F.struct(grown.alias("used"), (s["reserved"] + F.when(by_reserve, x["tokens"]).otherwise(0)).alias("reserved"), F.when(one, grown).otherwise(s["opening"]).alias("opening"), kept.alias("kept")).cast(state)
+
+    zero = F.struct(F.col("spent").alias("used"), F.lit(0).alias("reserved"), F.col("spent").alias("opening"), F.array().alias("kept")).cast(state)
+    folded = written(lists.select(*keys, "room", F.aggregate("xs", zero, step).alias("s")), "contexts")
+    taken = folded.select(*keys, F.explode("s.kept").alias("item"), F.lit(True).alias("fits"))
+    # rows without tokens stay unless the rows before them already exceed the budget
+    opening = folded.select(*keys, (F.col("s.opening") <= F.col("room")).alias("open"))
+    out = rows.join(taken, [*keys, "item"], "left").join(opening, keys)
+    kept = (F.col("phase") == 0) | F.coalesce("fits", F.lit(False)) | ((F.col("tokens") == 0) & (F.col("open") | (F.col("phase") == 1)))
+    reason = F.when(~kept, F.concat(F.lower("layer"), F.lit("_budget")))
+    return out.select("user_id", F.col("item").alias("memory_id"), "layer", "tokens", kept.alias("kept"), reason.alias("reason"))
+
+
+def scoped_context(rows: DataFrame, now: str, budget: int) -> DataFrame:
+    """(user_id, memory_id, bucket, tokens): what goes into each user's context by buckets of the token budget.
+
+    rows(user_id, memory_id, score, tokens, safety_critical, memory_type, layer, created_at). critical: safety rows whatever they cost, then
+    constraints and lessons within 30 % of the budget; task: the best of the rest within 50 %; background: of what remains, within
+    30 %, identities 0.3 and rows of the last day 0.2 better. Each bucket passes over what no longer fits; equal scores by id.
+    """
+    shares = {name: sum(int(budget * x) for x in parts) for name, parts in SCOPED_SHARES.items()}
+    day = F.col("created_at") > F.lit(now).cast("timestamp") - F.expr("interval 1 day")
+    boost = F.when(F.col("layer") == "IDENTITY", 0.3).otherwise(0.0) + F.when(day, 0.2).otherwise(0.0)
+    lesson = F.coalesce(F.col("memory_type").isin("CONSTRAINT", "LESSON"), F.lit(False))
+    place = lambda s: (-F.round(s * 1_000_000)).cast("long")
+    all_rows = rows.select(
+        "user_id", F.col("memory_id").cast("long").alias("item"), "tokens", F.coalesce("safety_critical", F.lit(False)).alias("safe"), lesson.alias("lesson"), place(F.col("score")).alias("place"),
+        place(F.col("score") + F.coalesce(boost, F.lit(0.0))).alias("later"),
+    )
+    all_rows = written(all_rows, "scoped")
+    safe = all_rows.where("safe")
+    spent = safe.groupBy("user_id").agg(F.sum("tokens").alias("spent"))
+    room = (F.lit(shares["critical"]) - F.coalesce("spent", F.lit(0))).alias("room")
+    lessons = all_rows.where("lesson and not safe").join(spent, "user_id", "left").select("user_id", "place", "item", "tokens", room)
+    kept = [safe.select("user_id", "item", F.lit("critical").alias("bucket"))]
+    kept.append(written(bounded_first_fit(lessons, ["user_id"], shares["critical"], "room").select("user_id", "item", F.lit("critical").alias("bucket")), "scoped"))
+    rest = all_rows.where("not safe").join(kept[1], "item", "left_anti")
+    kept.append(written(bounded_first_fit(rest, ["user_id"], shares["task"]).select("user_id", "item", F.lit("task").alias("bucket")), "scoped"))
+    rest = rest.join(kept[2], "item", "left_anti").drop("place").withColumnRenamed("later", "place")
+    kept.append(bounded_first_fit(rest, ["user_id"], shares["background"]).select("user_id", "item", F.lit("background").alias("bucket")))
+    chosen = kept[0].unionAll(kept[1]).unionAll(kept[2]).unionAll(kept[3])
+    return chosen.join(all_rows.select("item", "tokens"), "item").select("user_id", F.col("item").alias("memory_id"), "bucket", "tokens")
 
 
 # Sections of a context with their tier and order, tiers with their share of the budget.

@@ -70,6 +70,7 @@ def query_weights(spark, d):
 
 
 _DAYS = f"(epoch(timestamp '{NOW}' - last_retrieved_at) / 86400)"
+_LIVE = "deleted_at is null and superseded_by is null and searchable and not user_hidden"
 _AGE = f"(epoch(timestamp '{NOW}' - created_at) / 86400)"
 
 
@@ -182,15 +183,47 @@ def contextual_recall(spark, d):
     return S.contextual_recall(h.select("query_id", "doc_id", "score", (F.col("doc_id") % 4 == 0).alias("delegated"), (300 + F.col("doc_id") * 9).alias("chars")))
 
 
-@query(M + """, recursive_base as (select user_id, memory_id as item, 10 + (memory_id * 7) % 90 as tokens, safety_critical as always, row_number() over (partition by user_id order by effective desc, memory_id) as place from memories),
-top as (select * from recursive_base where place <= 40) select user_id, item, place from (with recursive f as (
-select user_id, 0::bigint as place, 0::bigint as item, 600::bigint as left_over, true as taken from (select distinct user_id from top)
-union all select t.user_id, t.place, t.item, case when t.always or t.tokens <= f.left_over then f.left_over - t.tokens else f.left_over end, t.always or t.tokens <= f.left_over from f join top t on t.user_id = f.user_id and t.place = f.place + 1)
+@query(M + """, top as (select user_id, memory_id as item, 10 + (memory_id * 7) % 90 as tokens, row_number() over (partition by user_id order by effective desc, memory_id) as place from memories)
+select user_id, item from (with recursive f as (select user_id, 0::bigint as place, 0::bigint as item, 600::bigint as left_over, true as taken from (select distinct user_id from top)
+union all select t.user_id, t.place, t.item, case when t.tokens <= f.left_over then f.left_over - t.tokens else f.left_over end, t.tokens <= f.left_over from f join top t on t.user_id = f.user_id and t.place = f.place + 1)
 select * from f where place > 0 and taken)""")
 def context_first_fit(spark, d):
-    m = view(spark, d, "memories").select("user_id", F.col("memory_id").alias("item"), (10 + (F.col("memory_id") * 7) % 90).alias("tokens"), F.col("safety_critical").alias("always"), "effective")
-    top = S.ranked(m, ["user_id"], [F.col("effective").desc(), F.col("item")], 40, "place")
-    return S.first_fit(top.select("user_id", F.col("place").cast("long").alias("place"), "item", "tokens", "always"), ["user_id"], 600)
+    m = view(spark, d, "memories").select("user_id", F.col("memory_id").alias("item"), (10 + (F.col("memory_id") * 7) % 90).alias("tokens"), (-F.col("effective")).alias("place"))
+    return S.bounded_first_fit(m, ["user_id"], 600).select("user_id", "item")
+
+
+@query(M + """, asked as (select user_id, min(project_id) as asked from memories group by 1),
+c as (select m.user_id, layer, memory_id, ceil(length(coalesce(raw, '')) / 4.0::double)::bigint as tokens, case layer when 'IDENTITY' then 800 when 'PROJECT' then 600 else 400 end as room, case when safety_critical or (priority = 1 and layer <> 'IDENTITY') then 0 when priority = 1 then 1 else 2 end as phase, effective, confidence, priority, user_pinned, created_at from memories m join asked using (user_id)
+ where deleted_at is null and superseded_by is null and searchable and not user_hidden and (layer = 'IDENTITY' or (layer = 'PROJECT' and project_id = asked) or (layer = 'SESSION' and created_at >= timestamp '""" + NOW + """' - interval 7 day))),
+o as (select *, row_number() over (partition by user_id, layer order by phase, effective desc, confidence desc, priority, user_pinned desc, created_at desc, memory_id) as n from c),
+f as (with recursive r as (select user_id, layer, 0::bigint as n, 0::bigint as memory_id, 0::bigint as used, 0::bigint as held, true as kept from (select distinct user_id, layer from o)
+ union all select r.user_id, r.layer, r.n + 1, o.memory_id, case when phase = 0 or (phase = 1 and r.held + tokens <= 200) or r.used + tokens <= room then r.used + tokens else r.used end, case when phase = 1 and r.held + tokens <= 200 then r.held + tokens else r.held end, phase = 0 or (phase = 1 and r.held + tokens <= 200) or r.used + tokens <= room
+ from r join o on o.user_id = r.user_id and o.layer = r.layer and o.n = r.n + 1) select * from r where n > 0)
+select o.user_id, o.memory_id, o.layer, tokens, kept, case when not kept then lower(o.layer) || '_budget' end as reason from o join f using (memory_id)""")
+def load_context(spark, d):
+    m = view(spark, d, "memories")
+    return S.load_context(m, m.groupBy("user_id").agg(F.min("project_id").alias("project_id")), NOW)
+
+
+def _fit(name: str, source: str, order: str, room: str) -> str:
+    """SQL of a first fit of the rows of `source` in `order` within `room` tokens of their user."""
+    return (
+        f"{name}_o as (select *, {room} as room, row_number() over (partition by user_id order by {order}, memory_id) as n from {source}), {name} as (with recursive r as (select user_id, 0::bigint as n, 0::bigint as memory_id, 0::bigint as used, true as kept from (select distinct user_id from {name}_o)"
+        f" union all select r.user_id, r.n + 1, o.memory_id, case when r.used + tokens <= room then r.used + tokens else r.used end, r.used + tokens <= room from r join {name}_o o on o.user_id = r.user_id and o.n = r.n + 1) select memory_id from r where n > 0 and kept)"
+    )
+
+
+@query(
+    M + f", s as (select user_id, memory_id, layer, memory_type, safety_critical, created_at, ceil(length(coalesce(raw, '')) / 4.0::double)::bigint as tokens, round((0.4::double * importance + 0.3::double * effective + 0.2::double * exp(-{_AGE} / 30) + 0.1::double * least(1.0::double, ln(1.0::double + retrieval_count) / 10)) * case when memory_type in ('CONSTRAINT', 'LESSON') then 1.5::double else 1 end, 6) as score from memories where {_LIVE}),"
+    " sp as (select user_id, sum(tokens)::bigint as spent from s where safety_critical group by 1), l as (select s.*, coalesce(spent, 0) as spent from s left join sp using (user_id) where memory_type in ('CONSTRAINT', 'LESSON') and not safety_critical), " + _fit("c", "l", "score desc", "1200 - spent")
+    + ", s2 as (select * from s where not safety_critical and memory_id not in (select memory_id from c)), " + _fit("t", "s2", "score desc", "2000") + f", s3 as (select *, round((score + case when layer = 'IDENTITY' then 0.3::double else 0 end + case when created_at > timestamp '{NOW}' - interval 1 day then 0.2::double else 0 end) * 1000000) as late from s2 where memory_id not in (select memory_id from t)), "
+    + _fit("b", "s3", "late desc", "1200") + ", k as (select memory_id, 'critical' as bucket from s where safety_critical union all select memory_id, 'critical' from c union all select memory_id, 'task' from t union all select memory_id, 'background' from b) select user_id, memory_id, bucket, tokens from k join s using (memory_id)"
+)
+def scoped_context(spark, d):
+    m = view(spark, d, "memories").where(_LIVE)
+    s = S.scoped_score(F.col("importance"), F.col("effective"), S.hours_before(NOW, F.col("created_at")) / 24, F.col("retrieval_count"), F.col("memory_type"))
+    tokens = F.ceil(F.length(F.coalesce("raw", F.lit(""))) / 4.0).cast("long")
+    return S.scoped_context(m.withColumns({"score": F.round(s, 6), "tokens": tokens}), NOW, 4000)
 
 
 @query(M + f", s as (select memory_id, (0.4::double * importance + 0.3::double * effective + 0.2::double * exp(-{_AGE} / 30) + 0.1::double * least(1.0::double, ln(1.0::double + retrieval_count) / 10)) * case when memory_type in ('CONSTRAINT', 'LESSON') then 1.5::double else 1 end as s from memories) select memory_id, round(s, 6) as score from s")
