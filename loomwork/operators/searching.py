@@ -19,40 +19,95 @@ def rescue_terms(text: Column) -> Column:
     return F.slice(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(RESCUE_STOP_WORDS)), 1, 8)
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """(user_id, doc_id, token, tf, n): the inverted index, n being the document's length; docs(user_id, doc_id, raw)."""
-    words = docs.select("user_id", "doc_id", F.filter(F.split(F.lower("raw"), "[^a-z0-9]+"), lambda w: w != "").alias("ws"))
+    words = docs.select("user_id", "doc_id", words_of(F.col("raw")).alias("ws"))
     one = words.select("user_id", "doc_id", F.size("ws").cast("long").alias("n"), F.explode("ws").alias("token"))
     return one.groupBy("user_id", "doc_id", "token", "n").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+#: Weights of the fields of BM25.
+FIELD_WEIGHTS = {"content": 3.0, "tags": 1.0}
+
+
+def field_tokens(docs: DataFrame) -> DataFrame:
+    """(user_id, doc_id, field, token, tf, n) of docs(user_id, doc_id, raw, tags); n is the field's length. A null text or list has no tokens."""
+    fields = F.array(F.struct(F.lit("content").alias("field"), words_of(F.col("raw")).alias("ws")), F.struct(F.lit("tags").alias("field"), words_of(F.array_join("tags", " ")).alias("ws")))
+    one = docs.select("user_id", "doc_id", F.explode(fields).alias("f"))
+    one = one.select("user_id", "doc_id", "f.field", F.size("f.ws").cast("long").alias("n"), F.explode("f.ws").alias("token"))
+    return one.groupBy("user_id", "doc_id", "field", "token", "n").agg(F.count("*").alias("tf"))
+
+
+def field_sizes(docs: DataFrame) -> DataFrame:
+    """(user_id, field, docs, mean): how many documents of a user have the field, and their mean length; one partial aggregate over docs, no index needed."""
+    sizes = docs.select("user_id", F.size(words_of(F.col("raw"))).alias("content"), F.size(words_of(F.array_join("tags", " "))).alias("tags"))
+    some = lambda c: F.when(F.col(c) > 0, F.col(c))
+    both = sizes.groupBy("user_id").agg(*[g(some(c)).alias(f"{c}_{n}") for c in FIELD_WEIGHTS for n, g in (("docs", F.count), ("mean", F.avg))])
+    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}_docs").alias("docs"), F.col(f"{c}_mean").alias("mean")) for c in FIELD_WEIGHTS])
+    return both.select("user_id", F.explode(rows).alias("f")).select("user_id", "f.*")
+
+
+def bm25(queries: DataFrame, index: DataFrame, sizes: DataFrame, k: int, fuzzy: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 of queries(query_id, user_id, term) in their user's documents, over the query's best score.
 
-    Frequencies and lengths are the user's own. Only the index rows of asked terms are joined. index is read several times: give a written one.
+    index as of field_tokens, sizes as of field_sizes. Frequencies and lengths are the user's and the field's own. A term stands for the words
+    that fuzzy_terms gives it, each at 1 - edits / the shorter length; of a field's words that answer a term the best counts, a
+    field is the weighted sum over terms, and the best field is the document's score. Only index rows of words that some query
+    asks for are joined. index is read several times: give a written one.
     """
-    lengths = index.select("user_id", "doc_id", "n").distinct().groupBy("user_id").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    df = index.groupBy("user_id", "token").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", "user_id", F.col("term").alias("token")).distinct().join(df, ["user_id", "token"]).join(lengths, "user_id")
+    asked = queries.select("query_id", "user_id", "term").where(F.length("term") > 0).distinct()
+    # fuzzy reading and frequencies are worked out once for a user's term, whatever the number of queries
+    terms = asked.select("user_id", "term").distinct()
+    if fuzzy:
+        met = written(fuzzy_terms(terms, index), "fuzzy")
+        terms = terms.join(met, "term")
+        near = 1 - F.levenshtein("term", "token") / F.least(F.length("term"), F.length("token")).cast("double")
+    else:
+        terms, near = terms.withColumn("token", F.col("term")), F.lit(1.0)
+    terms = terms.select("user_id", "term", "token", near.alias("near"))
+    held = index.join(terms.select("user_id", "token").distinct(), ["user_id", "token"], "left_semi")
+    held = written(held, "held")
+    df = held.groupBy("user_id", "field", "token").agg(F.count("*").alias("df"))
+    words = df.join(sizes, ["user_id", "field"]).join(terms, ["user_id", "token"])
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    hits = asked.join(index, ["user_id", "token"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("s"))
+    words = words.select("user_id", "field", "token", "term", (idf * F.col("near")).alias("w"), "mean")
+    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    found = words.join(held, ["user_id", "field", "token"]).groupBy("user_id", "term", "doc_id", "field").agg(F.max(part).alias("s"))
+    weight = F.create_map(*[F.lit(x) for p in FIELD_WEIGHTS.items() for x in p])
+    by_field = asked.join(found, ["user_id", "term"]).groupBy("query_id", "doc_id", "field").agg((F.sum("s") * F.first(weight[F.col("field")])).alias("s"))
+    hits = by_field.groupBy("query_id", "doc_id").agg(F.max("s").alias("s"))
     best = hits.groupBy("query_id").agg(F.max("s").alias("best"))
     rows = hits.join(best, "query_id").select("query_id", "doc_id", F.round(F.col("s") / F.col("best"), 6).alias("score"))
     return ranked(rows, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def keyword_rank(queries: DataFrame, index: DataFrame, k: int = 100) -> DataFrame:
+def keyword_rank(queries: DataFrame, index: DataFrame, k: int = 100, docs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): documents with all of a query's terms and none of those with a leading minus.
 
-    queries(query_id, user_id, term). The score is the sum of tf / (tf + 1) over terms, divided by 1 + log of the length: our own formula.
+    queries(query_id, user_id, term). A term in double quotes is a phrase, whose words must stand side by side: its words are looked up in the
+    index, and only documents that hold them all are read from docs(doc_id, raw) to see the phrase; the same with a minus before it. The score is the
+    sum of tf / (tf + 1) over the words, divided by 1 + log of the length: our own formula.
     """
-    wanted = queries.where(~F.col("term").startswith("-")).select("query_id", "user_id", F.col("term").alias("token")).distinct()
+    minus = F.col("term").startswith("-")
+    plain = F.when(minus, F.substring("term", 2, 10_000)).otherwise(F.col("term"))
+    terms = queries.select("query_id", "user_id", minus.alias("minus"), plain.alias("term"))
+    terms = terms.withColumn("words", F.when(F.col("term").startswith('"'), words_of(F.col("term"))).otherwise(F.array("term")))
+    wanted = terms.where("not minus").select("query_id", "user_id", F.explode("words").alias("token")).distinct()
     need = wanted.groupBy("query_id").agg(F.count("*").alias("need"))
     hits = wanted.join(index, ["user_id", "token"]).groupBy("query_id", "doc_id").agg(F.count("*").alias("have"), F.sum(F.col("tf") / (F.col("tf") + 1.0)).alias("s"), F.max("n").alias("n"))
     hits = hits.join(need, "query_id").where("have = need")
-    banned = queries.where(F.col("term").startswith("-")).select("query_id", "user_id", F.substring("term", 2, 100).alias("token"))
+    banned = terms.where("minus and size(words) = 1").select("query_id", "user_id", F.col("words")[0].alias("token"))
     hits = hits.join(banned.join(index, ["user_id", "token"]).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    if docs is not None:
+        phrases = terms.where("size(words) > 1").select("query_id", "minus", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("phrase"))
+        phrases = phrases.groupBy("query_id").agg(F.collect_list(F.struct("minus", "phrase")).alias("phrases"))
+        both = hits.join(phrases, "query_id", "left").join(docs.select("doc_id", "raw"), "doc_id")
+        text = F.concat(F.lit(" "), F.array_join(words_of(F.col("raw")), " "), F.lit(" "))
+        hits = both.where(F.coalesce(F.forall("phrases", lambda p: F.contains(text, p["phrase"]) != p["minus"]), F.lit(True)))
     rows = hits.select("query_id", "doc_id", F.round(F.col("s") / (1 + F.log(F.col("n").cast("double"))), 6).alias("score"))
     return ranked(rows, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
@@ -83,11 +138,24 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def lexical_rescue(queries: DataFrame, memories: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, memory_id, rank): a user's memories that have a term of the query anywhere in their text.
 
-    queries(query_id, user_id, terms): the stated queries against all rows of their user, by importance, newest, id.
+    queries(query_id, user_id, terms) with terms of three or more letters and digits, by importance, newest, id. Such a term can only stand inside
+    one run of letters and digits, so it is looked for in the distinct words of all texts: words and terms meet by the term's first
+    trigram, then words lead to memories by equality. A term's k best memories are all that a query can take from it,
+    so a word that most rows hold moves k rows for each term and user to the queries.
     """
-    low = memories.select("user_id", "memory_id", "importance", "created_at", F.lower("raw").alias("low"))  # once a row, not once a pair
-    rows = queries.join(low, "user_id").where(F.exists("terms", lambda t: F.contains(F.col("low"), t)))
-    return ranked(rows, ["query_id"], [F.col("importance").desc(), F.col("created_at").desc(), F.col("memory_id")], k).select("query_id", "memory_id", "rank")
+    order = [F.col("importance").desc(), F.col("created_at").desc(), F.col("memory_id")]
+    held = written(memories.select("user_id", "memory_id", "importance", "created_at", F.explode(F.array_distinct(words_of(F.col("raw")))).alias("word")), "words")
+    asked = queries.select("query_id", "user_id", F.explode("terms").alias("term")).distinct()
+    piece = lambda c, i: F.substr(c, i, F.lit(3))
+    terms = asked.select("term").distinct().select("term", piece(F.col("term"), F.lit(1)).alias("t"))
+    words = held.select("word").where(F.length("word") >= 3).distinct()
+    words = words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: piece(F.col("word"), i)))).alias("t"))
+    inside = terms.join(words, "t").where(F.contains("word", "term")).select("term", "word")
+    by_user = asked.select("user_id", "term").distinct().join(inside, "term")
+    found = by_user.join(held, ["user_id", "word"]).select("user_id", "term", "memory_id", "importance", "created_at").distinct()
+    best = ranked(found, ["user_id", "term"], order, k).drop("rank")
+    rows = asked.join(best, ["user_id", "term"]).select("query_id", "memory_id", "importance", "created_at").distinct()
+    return ranked(rows, ["query_id"], order, k).select("query_id", "memory_id", "rank")
 
 
 def asks_for_identity(text: Column) -> Column:

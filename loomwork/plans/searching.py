@@ -26,14 +26,23 @@ def index(spark, d):
     return written(S.tokens(view(spark, d, "memories").select("user_id", F.col("memory_id").alias("doc_id"), "raw")), "index")
 
 
-_BM = _Q + _IDX + """, us as (select user_id, count(*) as docs, avg(n) as mean from ln group by 1), df as (select user_id, token, count(*) as df from idx group by 1, 2),
-s as (select query_id, doc_id, sum(ln(1 + (docs - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * idx.n / mean))) as s from qt join df on df.user_id = qt.user_id and df.token = qt.term join us on us.user_id = qt.user_id join idx on idx.user_id = qt.user_id and idx.token = qt.term group by 1, 2),
+_FUZZY = ", voc as (select distinct token from idx), qv as (select distinct term from qt), met as (select term, token, 1 - levenshtein(term, token)::double / least(length(term), length(token)) as near from qv join voc on abs(length(term) - length(token)) <= 2 where levenshtein(term, token) <= case when length(term) <= 2 then 0 when length(term) <= 5 then 1 else 2 end)"
+_BM = _Q + """, w as (select user_id, memory_id as doc_id, 'content' as field, unnest(list_filter(regexp_split_to_array(lower(raw), '[^a-z0-9]+'), lambda x: x <> '')) as token from memories union all select user_id, memory_id, 'tags', unnest(tags) from memories),
+ln as (select user_id, doc_id, field, count(*) as n from w group by 1, 2, 3), idx as (select user_id, doc_id, field, token, count(*) as tf, any_value(n) as n from w join ln using (user_id, doc_id, field) group by 1, 2, 3, 4)""" + _FUZZY + """,
+us as (select user_id, field, count(*) as docs, avg(n) as mean from ln group by 1, 2), df as (select user_id, field, token, count(*) as df from idx group by 1, 2, 3),
+p as (select query_id, term, doc_id, idx.field, max(ln(1 + (docs - df + 0.5::double) / (df + 0.5::double)) * near * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * idx.n / mean))) as s from qt join met using (term) join idx on idx.user_id = qt.user_id and idx.token = met.token join df on df.user_id = qt.user_id and df.token = met.token and df.field = idx.field join us on us.user_id = qt.user_id and us.field = idx.field group by 1, 2, 3, 4),
+g as (select query_id, doc_id, sum(s) * case field when 'content' then 3 else 1 end as s from p group by query_id, doc_id, field), s as (select query_id, doc_id, max(s) as s from g group by 1, 2),
 r as (select query_id, doc_id, round(s / max(s) over (partition by query_id), 6) as score from s)"""
 
 
+def fields(spark, d):
+    m = view(spark, d, "memories").select("user_id", F.col("memory_id").alias("doc_id"), "raw", "tags")
+    return written(S.field_tokens(m), "index"), S.field_sizes(m)
+
+
 @query(M + _BM + " select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10")
 def bm25(spark, d):
-    return S.bm25(asked(spark, d), index(spark, d), 10)
+    return S.bm25(asked(spark, d), *fields(spark, d), 10)
 
 
 @query(M + _Q + _IDX + ", qn as (select *, row_number() over (partition by query_id order by term) as i from qt), need as (select query_id, user_id, term from qn where i <= 2), ban as (select query_id, user_id, term from qn where i = 3), c as (select query_id, count(*) as need from need group by 1), h as (select need.query_id, doc_id, count(*) as have, sum(tf / (tf + 1.0::double)) as s, max(n) as n from need join idx on idx.user_id = need.user_id and idx.token = need.term group by 1, 2), k as (select h.* from h join c using (query_id) where have = need and not exists (select 1 from ban b join idx i on i.user_id = b.user_id and i.token = b.term where b.query_id = h.query_id and i.doc_id = h.doc_id)), r as (select query_id, doc_id, round(s / (1 + ln(n::double)), 6) as score from k) select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 100")
@@ -44,6 +53,17 @@ def keyword_rank(spark, d):
     return S.keyword_rank(t.select("query_id", "user_id", F.when(F.col("i") == 3, F.concat(F.lit("-"), "term")).otherwise(F.col("term")).alias("term")), index(spark, d))
 
 
+_PH = ", pq as (select memory_id as query_id, user_id, (list_filter(regexp_split_to_array(lower(raw), '[^a-z0-9]+'), lambda x: x <> ''))[3:5] as ws from memories where memory_id % 20 = 0), t as (select memory_id as doc_id, user_id, list_filter(regexp_split_to_array(lower(raw), '[^a-z0-9]+'), lambda x: x <> '') as ws from memories)"
+
+
+@query(M + _PH + ", h as (select query_id, doc_id, list_distinct(pq.ws) as ds, t.ws as ws from pq join t using (user_id) where len(pq.ws) > 1 and contains(' ' || array_to_string(t.ws, ' ') || ' ', ' ' || array_to_string(pq.ws, ' ') || ' ')), u as (select query_id, doc_id, len(ws) as n, ws, unnest(ds) as x from h), s as (select query_id, doc_id, any_value(n) as n, sum(len(list_filter(ws, lambda y: y = x)) / (len(list_filter(ws, lambda y: y = x)) + 1.0::double)) as s from u group by 1, 2), r as (select query_id, doc_id, round(s / (1 + ln(n::double)), 6) as score from s) select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 100")
+def phrase_rank(spark, d):
+    m = view(spark, d, "memories").select("user_id", F.col("memory_id").alias("doc_id"), "raw")
+    words = F.slice(S.words_of(F.col("raw")), 3, 3)
+    q = m.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "user_id", words.alias("ws")).where("size(ws) > 1")
+    return S.keyword_rank(q.select("query_id", "user_id", F.concat(F.lit('"'), F.array_join("ws", " "), F.lit('"')).alias("term")), index(spark, d), docs=m)
+
+
 @query("with v as (select distinct unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) as token from benchmark), t as (select token as term, case when length(token) <= 2 then 0 when length(token) <= 5 then 1 else 2 end as e from v where token <> '') select term, v.token from t join v on v.token <> '' and abs(length(term) - length(v.token)) <= 2 and levenshtein(term, v.token) <= e")
 def fuzzy_terms(spark, d):
     v = spark.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("token")).where("token <> ''")
