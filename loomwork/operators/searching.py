@@ -258,3 +258,66 @@ def recall_multi(hits: DataFrame, memories: DataFrame, now: str, limit: int = 10
     score = usage_weight(blended, F.col("used_count"), hours_before(now, F.col("last_used_at")) / 24, F.lit(0))
     rows = rows.select("query_id", "memory_id", F.round(score, 6).alias("score"))
     return ranked(rows, ["query_id"], [F.col("score").desc(), F.col("memory_id")], limit)
+
+
+# Words that tell an identity.
+IDENTITY_WORDS = ["developer", "building"]
+
+
+def recall_candidates(queries: DataFrame, memories: DataFrame, vectors: DataFrame, graph: DataFrame, now: str, limit: int = 10, depth: int = 50) -> DataFrame:
+    """(query_id, memory_id, score, rank): the whole read path, searches included, up to the ranked list that diversify takes.
+
+    queries(query_id, user_id, text, q unit vector or null, starts, ends: a soft window or nulls), memories(memory_id, user_id, raw, layer, tags,
+    importance, created_at, used_count, last_used_at and the columns of survivors), vectors(memory_id, v unit vector), graph(query_id, doc_id,
+    score): what a graph search finds. Only survivors are searched. Vector hits (the max(200, 20 * limit) nearest of the user) keep their
+    similarity; keyword hits that are new enter at 1 / (60 + rank), rescued ones at 1 / 61. Then the soft window, use, graph hits, the user's
+    25 most important insights among the 50 nearest, the blend with importance and the moods of query and memory, and the total order.
+    A null text or vector only takes its search away.
+    """
+    from loomwork.operators.analytics import hours_before
+    from loomwork.operators.predicates import survivors
+    from loomwork.operators.scoring import final_blend, graph_boost, polarity, sentiment_penalty, soft_window_boost, surface_insights
+    from loomwork.operators.vectors import knn
+
+    alive = survivors(memories)
+    facts = alive.select(
+        "memory_id", "user_id", "layer", "importance", "created_at", "used_count", "last_used_at", polarity(F.coalesce("raw", F.lit(""))).alias("mood"),
+    )
+    facts = written(facts, "facts")
+    own = vectors.join(facts.select("memory_id", "user_id", "layer", "importance", "created_at"), "memory_id").withColumnRenamed("memory_id", "vec_id")
+    q = queries.where(F.col("q").isNotNull()).select("query_id", "user_id", "q")
+    near = written(knn(q, own.select("vec_id", "user_id", "v"), max(200, 20 * limit)).select("query_id", F.col("vec_id").alias("memory_id"), F.col("similarity").alias("score")), "near")
+
+    said = queries.where(F.col("text").isNotNull())
+    index = written(tokens(alive.select("user_id", F.col("memory_id").alias("doc_id"), "raw")), "index")
+    found = keyword_rank(said.select("query_id", "user_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")), index)
+    rescued = lexical_rescue(said.select("query_id", "user_id", rescue_terms(F.col("text")).alias("terms")), alive)
+    selves = identity_rescue(said.select("query_id", "user_id", "text"), alive, IDENTITY_WORDS)
+    prior = lambda df, score, place: df.select("query_id", "memory_id", score.alias("score"), F.lit(place).alias("place"))
+    every = prior(near, F.col("score"), 0).unionAll(prior(found.withColumnRenamed("doc_id", "memory_id"), 1.0 / (60 + F.col("rank")), 1))
+    every = every.unionAll(prior(rescued.unionByName(selves), F.lit(1.0 / 61), 2))
+    first = every.groupBy("query_id", "memory_id").agg(F.min_by("score", "place").alias("score"))
+
+    asked = queries.select("query_id", "starts", "ends", polarity(F.coalesce("text", F.lit(""))).alias("asked_mood"))
+    rows = first.join(facts, "memory_id").join(asked, "query_id")
+    days = hours_before(now, F.col("last_used_at")) / 24
+    used = usage_weight(soft_window_boost(F.col("score"), F.col("created_at"), F.col("starts"), F.col("ends")), F.col("used_count"), days, F.lit(0))
+    rows = written(rows.select("query_id", F.col("memory_id").alias("doc_id"), used.alias("score")), "recalled")
+    linked = graph.join(facts.select(F.col("memory_id").alias("doc_id")), "doc_id", "left_semi")
+    boosted = graph_boost(rows, linked)
+    insights = ranked(own.where("layer = 'INSIGHT' and importance >= 0.6"), ["user_id"], [F.col("importance").desc(), F.col("created_at").desc(), F.col("vec_id")], 25).select("vec_id", "importance")
+    closest = knn(q, own.where("layer = 'INSIGHT'").select("vec_id", "user_id", "v"), 50).join(insights, "vec_id")
+    surfaced = surface_insights(boosted, closest.select("query_id", F.col("vec_id").alias("doc_id"), "similarity", "importance"))
+
+    last = surfaced.withColumnRenamed("doc_id", "memory_id").join(facts.select("memory_id", "importance", "created_at", "mood"), "memory_id").join(asked.select("query_id", "asked_mood"), "query_id")
+    last = last.join(near.withColumnRenamed("score", "vector_score"), ["query_id", "memory_id"], "left")
+    blend = final_blend(F.col("score"), F.col("importance"), sentiment_penalty(F.col("asked_mood"), F.col("mood")))
+    return ranked(last.withColumn("score", F.round(blend, 6)), ["query_id"], total_order(), depth).select("query_id", "memory_id", "score", "rank")
+
+
+def recall_texts(candidates: DataFrame, memories: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, place, memory_id): the first `limit` of recall_candidates without near copies; only the candidates' texts are read."""
+    from loomwork.operators.scoring import diversify
+
+    texts = candidates.join(memories.select("memory_id", F.array_distinct(words_of(F.coalesce("raw", F.lit("")))).alias("tokens")), "memory_id")
+    return diversify(texts.select("query_id", "rank", F.col("memory_id").alias("doc_id"), "tokens"), limit).withColumnRenamed("doc_id", "memory_id")
