@@ -59,7 +59,8 @@ def leader_groups(pairs: DataFrame, items: DataFrame, least_size: int = 3) -> Da
         near = free.groupBy("a").agg(F.min("pb").alias("first"), F.count("*").alias("n"))
         rows = open_rows.join(near, "a", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         # of rows that still could lead, those before all of their own rivals decide now
-        rivals = free.join(free.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("pb").alias("pc")), "b").groupBy("a").agg(F.min("pc").alias("rival"))
+        # (a row's rivals are its neighbours' neighbours: the first of them is the least of what the neighbours found)
+        rivals = free.join(near.select(F.col("a").alias("b"), F.col("first").alias("pc")), "b").groupBy("a").agg(F.min("pc").alias("rival"))
         rows = rows.join(rivals, "a", "left").checkpoint()
         leads = rows.where((F.col("first").isNull() | (F.col("pa") < F.col("first"))) & (F.col("rival").isNull() | (F.col("pa") <= F.col("rival"))))
         if not leads.limit(1).count():

@@ -135,16 +135,21 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return met.where(F.levenshtein("term", "token") <= F.col("e")).select("term", "token")
 
 
-def lexical_rescue(queries: DataFrame, memories: DataFrame, k: int = 20) -> DataFrame:
+def lexical_rescue(queries: DataFrame, memories: DataFrame, k: int = 20, index: DataFrame | None = None) -> DataFrame:
     """(query_id, memory_id, rank): a user's memories that have a term of the query anywhere in their text.
 
     queries(query_id, user_id, terms) with terms of three or more letters and digits, by importance, newest, id. Such a term can only stand inside
     one run of letters and digits, so it is looked for in the distinct words of all texts: words and terms meet by the term's first
     trigram, then words lead to memories by equality. A term's k best memories are all that a query can take from it,
-    so a word that most rows hold moves k rows for each term and user to the queries.
+    so a word that most rows hold moves k rows for each term and user to the queries. index, if given, is tokens() of the same memories,
+    written; then texts are not read again. Texts or terms that are null hold nothing.
     """
     order = [F.col("importance").desc(), F.col("created_at").desc(), F.col("memory_id")]
-    held = written(memories.select("user_id", "memory_id", "importance", "created_at", F.explode(F.array_distinct(words_of(F.col("raw")))).alias("word")), "words")
+    facts = ["importance", "created_at"]
+    if index is None:
+        held = written(memories.select("user_id", "memory_id", *facts, F.explode(F.array_distinct(words_of(F.col("raw")))).alias("word")), "words")
+    else:
+        held = index.select("user_id", F.col("doc_id").alias("memory_id"), F.col("token").alias("word"))
     asked = queries.select("query_id", "user_id", F.explode("terms").alias("term")).distinct()
     piece = lambda c, i: F.substr(c, i, F.lit(3))
     terms = asked.select("term").distinct().select("term", piece(F.col("term"), F.lit(1)).alias("t"))
@@ -152,7 +157,9 @@ def lexical_rescue(queries: DataFrame, memories: DataFrame, k: int = 20) -> Data
     words = words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: piece(F.col("word"), i)))).alias("t"))
     inside = terms.join(words, "t").where(F.contains("word", "term")).select("term", "word")
     by_user = asked.select("user_id", "term").distinct().join(inside, "term")
-    found = by_user.join(held, ["user_id", "word"]).select("user_id", "term", "memory_id", "importance", "created_at").distinct()
+    found = by_user.join(held, ["user_id", "word"]).select("user_id", "term", "memory_id", *(facts if index is None else [])).distinct()
+    if index is not None:
+        found = found.join(memories.select("memory_id", *facts), "memory_id")
     best = ranked(found, ["user_id", "term"], order, k).drop("rank")
     rows = asked.join(best, ["user_id", "term"]).select("query_id", "memory_id", "importance", "created_at").distinct()
     return ranked(rows, ["query_id"], order, k).select("query_id", "memory_id", "rank")
@@ -291,7 +298,7 @@ def recall_candidates(queries: DataFrame, memories: DataFrame, vectors: DataFram
     said = queries.where(F.col("text").isNotNull())
     index = written(tokens(alive.select("user_id", F.col("memory_id").alias("doc_id"), "raw")), "index")
     found = keyword_rank(said.select("query_id", "user_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")), index)
-    rescued = lexical_rescue(said.select("query_id", "user_id", rescue_terms(F.col("text")).alias("terms")), alive)
+    rescued = lexical_rescue(said.select("query_id", "user_id", rescue_terms(F.col("text")).alias("terms")), facts, index=index)
     selves = identity_rescue(said.select("query_id", "user_id", "text"), alive, IDENTITY_WORDS)
     prior = lambda df, score, place: df.select("query_id", "memory_id", score.alias("score"), F.lit(place).alias("place"))
     every = prior(near, F.col("score"), 0).unionAll(prior(found.withColumnRenamed("doc_id", "memory_id"), 1.0 / (60 + F.col("rank")), 1))

@@ -53,9 +53,9 @@ def ops_summary(spark, d):
     return E.ops_summary(c, ["topic"])
 
 
-@query(C + ", d as (select topic as suite, ts::date as day, round(count(*) filter (event_type = 'view') / count(*), 6) as recall, max(k)::double as p50 from calls where user_id % 3 = 0 group by 1, 2), r as (select *, row_number() over (partition by suite order by day desc) as r from d), g as (select suite, max(recall) filter (r = 1) as r, avg(recall) filter (r > 1 and r <= 4) as r0, max(p50) filter (r = 1) as t, avg(p50) filter (r > 1 and r <= 4) as t0 from r group by 1) select suite, round(r - r0, 6) as recall_change, round(t / t0, 6) as latency_ratio, coalesce(r - r0 < -0.05::double or t > t0 * 1.5::double, false) as regressed from g")
+@query(C + ", d as (select topic as suite, ts::date as day, round(count(*) filter (event_type = 'view') / count(*), 6) as recall, max(k)::double as p50 from calls group by 1, 2), r as (select *, row_number() over (partition by suite order by day desc) as r from d), g as (select suite, max(recall) filter (r = 1) as r, avg(recall) filter (r > 1 and r <= 4) as r0, max(p50) filter (r = 1) as t, avg(p50) filter (r > 1 and r <= 4) as t0 from r group by 1) select suite, round(r - r0, 6) as recall_change, round(t / t0, 6) as latency_ratio, coalesce(r - r0 < -0.05::double or t > t0 * 1.5::double, false) as regressed from g")
 def eval_regression(spark, d):
-    runs = view(spark, d, "calls").where("user_id % 3 = 0").groupBy(F.col("topic").alias("suite"), F.to_date("ts").alias("at")).agg(
+    runs = view(spark, d, "calls").groupBy(F.col("topic").alias("suite"), F.to_date("ts").alias("at")).agg(
         F.round(F.count(F.when(F.col("event_type") == "view", 1)) / F.count("*"), 6).alias("recall"), F.max("k").cast("double").alias("p50"))
     return E.regression(runs)
 

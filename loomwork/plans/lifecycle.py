@@ -46,20 +46,28 @@ def cluster_labels(spark, d):
     return L.cluster_labels(view(spark, d, "memories").select(F.col("user_id").alias("cluster"), "raw"))
 
 
-@query(None)
+_GROUPS = (
+    V + _LINK + ", nbl as (select a, list(b) as nbs from nb group by a), o as (select vec_id as id, user_id, row_number() over (partition by user_id order by vec_id) as n, coalesce(nbs, []) as nbs from vectors left join nbl on a = vec_id),"
+    " groups as (with recursive r as (select user_id, 0::bigint as n, []::bigint[] as gone, null::bigint as leader, []::bigint[] as members from (select distinct user_id from o)"
+    " union all select user_id, n, case when free is null then gone when len(free) >= 2 then list_concat(list_append(gone, id), free) else list_append(gone, id) end, case when len(free) >= 2 then id end, coalesce(free, []) from (select o.user_id, o.n, o.id, r.gone, case when list_contains(r.gone, o.id) then null else list_filter(o.nbs, lambda x: not list_contains(r.gone, x)) end as free from r join o on o.user_id = r.user_id and o.n = r.n + 1))"
+    " select leader, unnest(list_append(members, leader)) as id from r where leader is not null)"
+)
+
+
+@query(_GROUPS + " select leader, id from groups")
 def cold_clusters(spark, d):
     v = view(spark, d, "vectors")
     return L.leader_groups(links(spark, d), v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place")), 3)
 
 
-@query(None)
+@query(_GROUPS + ", r as (select leader, g.id, importance, count(*) over (partition by leader) as size, row_number() over (partition by leader order by length(user_id::varchar) desc, importance desc, created_at desc, g.id) as r from groups g join vectors v on v.vec_id = g.id) select leader, id as canonical, size, round(least(1.0::double, importance + 0.2::double), 6) as importance from r where r = 1")
 def recurring_patterns(spark, d):
     v = view(spark, d, "vectors")
     groups = L.leader_groups(links(spark, d), v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place")), 3)
     return L.recurring_patterns(groups, v.select(F.col("vec_id").alias("id"), F.col("user_id").cast("string").alias("raw"), "importance", "created_at"))
 
 
-@query(None)
+@query(_GROUPS + ", k as (select leader, count(*) as size from groups group by 1 having count(*) filter (id % 50 = 0) = 0) select leader, size, round(least(0.9::double, 0.5::double + 0.05::double * size), 6) as score from k where size >= 3")
 def pattern_candidates(spark, d):
     v = view(spark, d, "vectors")
     groups = L.leader_groups(links(spark, d), v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place")), 3)

@@ -248,10 +248,10 @@ def initial_importance(spark, d):
     return view(spark, d, "memories").select("memory_id", i.alias("importance"))
 
 
-@query(C + ", e as (select k as memory_id, event_id, row_number() over (partition by k order by ts, event_id) as n, case event_type when 'view' then 1.02 when 'click' then 1.05 when 'purchase' then 1.1 when 'error' then 0.5 else 1.0 end::double as f from calls where user_id < 20) select memory_id, round(v, 6) as importance from (with recursive r as (select memory_id, 0::bigint as n, 0.5::double as v from (select distinct memory_id from e) union all select e.memory_id, e.n, least(1.0::double, r.v * e.f) from r join e on e.memory_id = r.memory_id and e.n = r.n + 1) select memory_id, arg_max(v, n) as v from r group by 1)")
+@query(C + ", e as (select k as memory_id, event_id, row_number() over (partition by k order by ts, event_id) as n, case event_type when 'view' then 1.02 when 'click' then 1.05 when 'purchase' then 1.1 when 'error' then 0.5 else 1.0 end::double as f from calls) select memory_id, round(v, 6) as importance from (with recursive r as (select memory_id, 0::bigint as n, 0.5::double as v from (select distinct memory_id from e) union all select e.memory_id, e.n, least(1.0::double, r.v * e.f) from r join e on e.memory_id = r.memory_id and e.n = r.n + 1) select memory_id, arg_max(v, n) as v from r group by 1)")
 def importance_updates(spark, d):
     name = F.element_at(F.create_map(*[F.lit(x) for p in (("view", "retrieved"), ("click", "used"), ("purchase", "confirmed"), ("error", "rejected"), ("signup", "other")) for x in p]), F.col("event_type"))
-    c = view(spark, d, "calls").where("user_id < 20")
+    c = view(spark, d, "calls")
     return S.importance_after(c.select(F.col("k").alias("memory_id"), F.lit(0.5).alias("start"), F.struct("ts", "event_id").alias("at"), name.alias("event")))
 
 

@@ -35,9 +35,17 @@ def usage_daily(spark, d):
     return _micros(O.usage_daily(calls(spark, d)), "day")
 
 
-@query(None)
+_GUARD = C + ", w as (select time_bucket(interval 5 minute, ts) - to_minutes((5 * i)::int) + interval 30 minute as opened, value from calls, (select unnest(range(0, 6)) as i)), g as (select opened, opened + interval 2 minute as closes, quantile_disc(value, 0.95) as p95, count(*) as n from w group by 1), bad as (select * from g where n >= 5 and p95 > 30)"
+
+
+@query(_GUARD + " select epoch_us(opened) as opened, epoch_us(closes) as closes, p95, n from bad")
 def latency_guard(spark, d):
-    return _micros(O.latency_guard(calls(spark, d), 30.0, "30 minutes", 5), "opened", "closes")
+    return _micros(O.latency_guard(calls(spark, d), 30.0, "30 minutes", "5 minutes", 5), "opened", "closes")
+
+
+@query(_GUARD.replace("interval 2 minute", "interval 7 minute") + ", m as (select *, max(closes) over (order by opened rows between unbounded preceding and 1 preceding) as b from bad), s as (select *, sum(case when opened <= b then 0 else 1 end) over (order by opened) as part from m) select epoch_us(min(opened)) as opened, epoch_us(max(closes)) as closes from s group by part")
+def open_intervals(spark, d):
+    return _micros(O.open_intervals(O.latency_guard(calls(spark, d), 30.0, "30 minutes", "5 minutes", 5, "7 minutes")), "opened", "closes")
 
 
 @query(C + " select k, count(*) as retrievals, epoch_us(max(ts)) as last from calls where event_type in ('view', 'click') group by 1")
@@ -45,7 +53,13 @@ def access_counters(spark, d):
     return _micros(O.access_counters(calls(spark, d)), "last")
 
 
-@query(None)
+_LIMIT = (
+    C + ", o as (select user_id, event_id, epoch_us(ts) as us, row_number() over (partition by user_id order by ts, event_id) as n from calls), f as (with recursive r as (select user_id, 0::bigint as n, 0::bigint as event_id, 0::bigint as us, []::bigint[] as log, true as ok from (select distinct user_id from o)"
+    " union all select user_id, n, event_id, us, case when len(kept) < 2 then list_append(kept, us) else kept end, len(kept) < 2 from (select o.*, list_filter(r.log, lambda t: t > o.us - 14400000000) as kept from r join o on o.user_id = r.user_id and o.n = r.n + 1)) select * from r where n > 0)"
+)
+
+
+@query(_LIMIT + " select user_id, event_id, ok as admitted, 2 - len(log) as remaining, case when ok then 0 else ceil((list_min(log) + 14400000000 - us) / 1000000.0)::bigint end as retry_after from f")
 def rate_limit(spark, d):
     return O.rate_limit(calls(spark, d), limit=2, seconds=14400)
 

@@ -35,14 +35,30 @@ def usage_daily(calls: DataFrame, key: str = "user_id", watermark: str | None =
     return w.select(key, F.col("w.start").alias("day"), "calls")
 
 
-def latency_guard(calls: DataFrame, limit: float, length: str = "5 minutes", least: int = 10, open_for: str = "2 minutes", watermark: str | None = None) -> DataFrame:
-    """(opened, closes, p95, n): windows with enough samples whose 95th percentile is over the limit."""
+def latency_guard(calls: DataFrame, limit: float, length: str = "5 minutes", slide: str = "1 minute", least: int = 10, open_for: str = "2 minutes", watermark: str | None = None) -> DataFrame:
+    """(opened, closes, p95, n): sliding windows with enough samples whose 95th percentile is over the limit; the guard is open from a window's end."""
     rows = calls.withWatermark("ts", watermark) if watermark else calls
-    w = rows.groupBy(F.window("ts", length).alias("w")).agg(F.percentile_approx("value", 0.95, 10000).alias("p95"), F.count("*").alias("n"))
+    w = rows.groupBy(F.window("ts", length, slide).alias("w")).agg(F.percentile_approx("value", 0.95, 10000).alias("p95"), F.count("*").alias("n"))
     bad = w.where((F.col("n") >= least) & (F.col("p95") > limit))
     return bad.select(F.col("w.end").alias("opened"), (F.col("w.end") + F.expr(f"interval {open_for}")).alias("closes"), "p95", "n")
 
 
+def open_intervals(openings: DataFrame) -> DataFrame:
+    """(opened, closes): the times in which the guard is open, overlapping and touching openings of latency_guard as one. Batch.
+
+    Openings are at most one a slide, far fewer than calls; they are ordered within their day, and days that touch are joined after that.
+    """
+    def merge(rows: DataFrame, keys: list[str]) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy("opened", "closes") if keys else Window.orderBy("opened", "closes")
+        before = F.max("closes").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        rows = rows.withColumn("new", F.coalesce((F.col("opened") > before).cast("int"), F.lit(1)))
+        rows = rows.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return rows.groupBy(*keys, "part").agg(F.min("opened").alias("opened"), F.max("closes").alias("closes"))
+
+    by_day = merge(openings.select(F.to_date("opened").alias("day"), "opened", "closes"), ["day"])
+    return merge(by_day.select("opened", "closes"), []).select("opened", "closes")
+
+
 def access_counters(calls: DataFrame, key: str = "k") -> DataFrame:
     """(key, retrievals, last): counts and newest times, an updating aggregate on streams."""
     return calls.where(F.col("event_type").isin("view", "click")).groupBy(key).agg(F.count("*").alias("retrievals"), F.max("ts").alias("last"))
