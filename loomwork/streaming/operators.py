@@ -146,13 +146,19 @@ def topic_shift(messages: DataFrame, limit: float = 0.4) -> DataFrame:
     return rows.select("user_id", "vec_id", distance.alias("distance"), F.coalesce(distance > limit, F.lit(True)).alias("shifted"))
 
 
-def gap_markers_stream(calls: DataFrame, key: str = "user_id", longest: int = 600, watermark: str = WATERMARK) -> DataFrame:
-    """The stream twin of gap_markers: keyed state holds the last time; rows that are late within the watermark are taken as they come."""
+def gap_markers_stream(calls: DataFrame, key: str = "user_id", longest: int = 600, watermark: str = WATERMARK, keep_days: int = 90) -> DataFrame:
+    """The stream twin of gap_markers: keyed state holds the last time; rows that are late within the watermark are taken as they come.
+
+    A key without a call for keep_days of event time is forgotten, and its next call starts anew, without a marker.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     rows = calls.withWatermark("ts", watermark).select(F.col(key).cast("long").alias("key"), F.col("event_id").cast("long").alias("place"), "ts", F.unix_micros("ts").alias("at"))
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         out = []
         for place, at in pd.concat(list(frames)).sort_values(["at", "place"])[["place", "at"]].itertuples(index=False):
@@ -161,9 +167,10 @@ def gap_markers_stream(calls: DataFrame, key: str = "user_id", longest: int = 60
                 out.append((k[0], place, gap))
             last = at if last is None else max(last, at)
         state.update((int(last),))
+        state.setTimeoutTimestamp(max(int(last) // 1000 + keep_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "place", "gap_seconds"])
 
-    out = rows.groupBy("key").applyInPandasWithState(step, "key long, place long, gap_seconds long", "last long", "append", GroupStateTimeout.NoTimeout)
+    out = rows.groupBy("key").applyInPandasWithState(step, "key long, place long, gap_seconds long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumnsRenamed({"key": key, "place": "event_id"})
 
 
