@@ -380,19 +380,19 @@ def layer_decay(layer: Column, days: Column) -> Column:
     return F.coalesce(*[F.when(layer == x, F.exp(-r * days)) for x, r in DECAY_RATES.items()], F.lit(1.0))
 
 
-def bounded_first_fit(items: DataFrame, keys: list[str], budget: int, room: str | None = None) -> DataFrame:
-    """first_fit for groups of any size, without rows marked always.
+def bounded_first_fit(items: DataFrame, keys: list[str], budget: int, room: str | None = None, free: bool = False) -> DataFrame:
+    """first_fit for groups of any size, without rows marked always; items cost a token or more.
 
     What is left of a budget never grows, so once an item is passed over, all later ones of its size are. Of each size only the
-    first budget / size items can be taken: these, at most budget * (1 + ln budget) for a group, are all that the fold sees. Items
-    without tokens are taken beside it. room: a column with what a group has left of the budget; below zero nothing is taken.
+    first budget / size items can be taken: these, at most budget * (1 + ln budget) for a group, are all that the fold sees. With
+    free, items without tokens are taken beside it. room: a column with what a group has left of the budget; below zero nothing is taken.
     """
     left = F.col(room) if room else F.lit(budget)
     held = items.select(*keys, "place", "item", "tokens", F.lit(False).alias("always"), left.cast("long").alias("room"))
     sized = held.where((F.col("tokens") >= 1) & (F.col("tokens") <= F.col("room")))
     first = ranked(sized, [*keys, "tokens"], [F.col("place"), F.col("item")], budget).where(F.col("rank") <= F.floor(F.col("room") / F.col("tokens")))
-    free = held.where((F.col("tokens") == 0) & (F.col("room") >= 0)).select(*keys, F.col("item").cast("long").alias("item"), "place")
-    return first_fit(first, keys, "room").unionByName(free)
+    fitted = first_fit(first, keys, "room")
+    return fitted.unionByName(held.where((F.col("tokens") == 0) & (F.col("room") >= 0)).select(*keys, F.col("item").cast("long").alias("item"), "place")) if free else fitted
 
 
 # A layer's share of a context's tokens and its tokens where no total is asked for; shares of a scoped context.
@@ -480,11 +480,11 @@ def scoped_context(rows: DataFrame, now: str, budget: int) -> DataFrame:
     room = (F.lit(shares["critical"]) - F.coalesce("spent", F.lit(0))).alias("room")
     lessons = all_rows.where("lesson and not safe").join(spent, "user_id", "left").select("user_id", "place", "item", "tokens", room)
     kept = [safe.select("user_id", "item", F.lit("critical").alias("bucket"))]
-    kept.append(written(bounded_first_fit(lessons, ["user_id"], shares["critical"], "room").select("user_id", "item", F.lit("critical").alias("bucket")), "scoped"))
+    kept.append(written(bounded_first_fit(lessons, ["user_id"], shares["critical"], "room", free=True).select("user_id", "item", F.lit("critical").alias("bucket")), "scoped"))
     rest = all_rows.where("not safe").join(kept[1], "item", "left_anti")
-    kept.append(written(bounded_first_fit(rest, ["user_id"], shares["task"]).select("user_id", "item", F.lit("task").alias("bucket")), "scoped"))
+    kept.append(written(bounded_first_fit(rest, ["user_id"], shares["task"], free=True).select("user_id", "item", F.lit("task").alias("bucket")), "scoped"))
     rest = rest.join(kept[2], "item", "left_anti").drop("place").withColumnRenamed("later", "place")
-    kept.append(bounded_first_fit(rest, ["user_id"], shares["background"]).select("user_id", "item", F.lit("background").alias("bucket")))
+    kept.append(bounded_first_fit(rest, ["user_id"], shares["background"], free=True).select("user_id", "item", F.lit("background").alias("bucket")))
     chosen = kept[0].unionAll(kept[1]).unionAll(kept[2]).unionAll(kept[3])
     return chosen.join(all_rows.select("item", "tokens"), "item").select("user_id", F.col("item").alias("memory_id"), "bucket", "tokens")
 
