@@ -198,6 +198,44 @@ def status_counts(df: DataFrame) -> DataFrame:
     )
 
 
+def unit_stats(units: DataFrame, memories: DataFrame) -> DataFrame:
+    """(user_id, level, n, total, last_updated): units of memories that are neither deleted nor hidden; total and last_updated are the user's.
+
+    units(memory_id, level, updated_at) meet memories(memory_id, user_id, deleted_at, user_hidden) by id; the window runs over counts.
+    """
+    live = memories.where(F.col("deleted_at").isNull() & ~F.coalesce("user_hidden", F.lit(False))).select("memory_id", "user_id")
+    n = units.select("memory_id", "level", "updated_at").join(live, "memory_id").groupBy("user_id", "level").agg(F.count("*").alias("n"), F.max("updated_at").alias("last"))
+    w = Window.partitionBy("user_id")
+    return n.select("user_id", "level", "n", F.sum("n").over(w).alias("total"), F.max("last").over(w).alias("last_updated"))
+
+
+def sync_status(df: DataFrame, key: str = "user_id") -> DataFrame:
+    """(key, total, synced, pending, last_synced): of memories that aren't deleted; last_synced looks at deleted ones too."""
+    live = F.col("deleted_at").isNull()
+    n = df.groupBy(key).agg(count_if(live).alias("total"), count_if(live & F.col("synced_at").isNotNull()).alias("synced"), F.max("synced_at").alias("last_synced"))
+    return n.withColumn("pending", F.col("total") - F.col("synced"))
+
+
+def consolidation_stats(df: DataFrame, least: int = 3) -> DataFrame:
+    """(user_id, total, session, identity, project, consolidated, potential): live rows by layer, consolidated ones of all, and how many clusters of `least` the session rows could be."""
+    live = F.col("deleted_at").isNull()
+    layers = [count_if(live & (F.col("layer") == x.upper())).alias(x) for x in ("session", "identity", "project")]
+    n = df.groupBy("user_id").agg(count_if(live).alias("total"), *layers, count_if(F.col("consolidated_into").isNotNull()).alias("consolidated"))
+    return n.withColumn("potential", F.floor(F.col("session") / least))
+
+
+def embedding_status(df: DataFrame, most: int = 5) -> DataFrame:
+    """(user_id, done, without, failed, pending, queued, exhausted) of live rows.
+
+    without: rows with no vector, whatever their state. queued: rows with attempts (null: not in the retry queue); exhausted: those with `most` or more.
+    """
+    live, state, tries = df.where("deleted_at is null"), F.col("embedding_status"), F.col("attempts")
+    return live.groupBy("user_id").agg(
+        count_if(state == "DONE").alias("done"), count_if(F.col("embedding_id").isNull()).alias("without"), count_if(state == "FAILED").alias("failed"),
+        count_if(state == "PENDING").alias("pending"), count_if(tries.isNotNull()).alias("queued"), count_if(tries >= most).alias("exhausted"),
+    )
+
+
 def usage_meter(calls: DataFrame, limit: int) -> DataFrame:
     """(user_id, day, calls, remaining, over): calls of each day against the plan's limit."""
     n = calls.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("calls"))

@@ -180,6 +180,32 @@ def top_values(df: DataFrame, keys: list[str], value: str, least: int = 2, k: in
     return ranked(n, keys, [F.col("n").desc(), F.col(value)], k)
 
 
+def work_history(df: DataFrame, completions: str = "SYSTEM", reflections: str = "AGENT_REFLECTION") -> DataFrame:
+    """(agent_id, total, completions, reflections, active_since, types, counts): of rows neither deleted nor hidden; types by falling count, then by name.
+
+    Counts come per type first, so that an agent with most of the rows is no one task's work.
+    """
+    live = df.where(F.col("deleted_at").isNull() & ~F.coalesce("user_hidden", F.lit(False)))
+    of = lambda origin: count_if(F.col("origin") == origin)
+    per = live.groupBy("agent_id", "memory_type").agg(F.count("*").alias("n"), of(completions).alias("c"), of(reflections).alias("r"), F.min("created_at").alias("since"))
+    kinds = F.sort_array(F.collect_list(F.when(F.col("memory_type").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("memory_type").alias("t")))))
+    rows = per.groupBy("agent_id").agg(F.sum("n").alias("total"), F.sum("c").alias("completions"), F.sum("r").alias("reflections"), F.min("since").alias("active_since"), kinds.alias("kinds"))
+    return rows.select("agent_id", "total", "completions", "reflections", "active_since", F.col("kinds.t").alias("types"), F.transform("kinds", lambda x: -x["n"]).alias("counts"))
+
+
+def portable_trust(df: DataFrame, origins: tuple[str, ...] = ("SYSTEM", "AGENT_OBSERVATION"), digits: int = 2) -> DataFrame:
+    """(agent_id, tasks, success_rate, quality): rows of these origins, neither deleted nor hidden; a success says `success` or `completed`.
+
+    An agent with memories but none of these has zeros.
+    """
+    live = df.where(F.col("deleted_at").isNull() & ~F.coalesce("user_hidden", F.lit(False)))
+    task, text = F.col("origin").isin(*origins), F.lower(F.coalesce("raw", F.lit("")))
+    good = text.contains("success") | text.contains("completed")
+    rows = live.groupBy("agent_id").agg(count_if(task).alias("tasks"), count_if(task & good).alias("good"), F.sum(F.when(task, F.col("importance"))).alias("s"))
+    mean = lambda x: F.round(F.coalesce(F.try_divide(F.col(x).cast("double"), F.col("tasks")), F.lit(0.0)), digits)
+    return rows.select("agent_id", "tasks", mean("good").alias("success_rate"), mean("s").alias("quality"))
+
+
 def task_stats(tasks: DataFrame) -> DataFrame:
     """(agent_id, n, success_rate, avg_duration, reasons, stuck): stuck if three of the last five tasks failed for one reason."""
     rows = tasks.groupBy("agent_id").agg(F.count("*").alias("n"), F.round(F.avg((F.col("outcome") == "SUCCESS").cast("int")), 6).alias("success_rate"), F.round(F.avg("duration_ms"), 4).alias("avg_duration"))

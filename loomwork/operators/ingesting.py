@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.dedup import content_hash
+from loomwork.operators.predicates import scope_filter, time_range
 
 
 def pack_parts(parts: Column, size: int, joint: str) -> Column:
@@ -50,14 +51,36 @@ def chunk_rounds(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "round", F.get("ts", F.lit(0))["turn"].alias("first_turn"), F.size("ts").alias("turns"), text.alias("text"))
 
 
+# A day that stands alone, without a letter or digit beside it.
+_DAY = "([0-9]{4}-[0-9]{2}-[0-9]{2})(?![A-Za-z0-9_])"
+
+
+def valid_day(text: Column, pattern: str) -> Column:
+    """The day that the pattern's group finds first; null without one, and for days that no calendar has."""
+    return F.regexp_extract(text, pattern, 1).try_cast("date")
+
+
 def chunk_markdown(docs: DataFrame) -> DataFrame:
-    """(doc_id, heading, first_line, last_line, text): paragraphs between blank lines, with the heading they stand under."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    """(doc_id, heading, heading_line, first_line, last_line, day, text): paragraphs between blank lines, with the heading they stand under.
+
+    Lines count from 1. day: the one that the paragraph begins with, perhaps behind a list mark, else that of the last heading that has one,
+    else docs.file_day (date), where there is such a column. A document without a paragraph, or without text, has no row.
+    """
+    file_day = F.col("file_day") if "file_day" in docs.columns else F.lit(None).cast("date")
+    lines = docs.select("doc_id", file_day.alias("file_day"), F.posexplode(F.split("text", "\r?\n")).alias("line", "text"))
     w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    is_heading, blank = F.col("text").rlike("^#+ "), F.trim("text") == ""
-    lines = lines.withColumns({"heading": F.last(F.when(is_heading, F.regexp_replace("text", "^#+ ", "")), ignorenulls=True).over(w), "part": F.sum((is_heading | blank).cast("int")).over(w)})
-    rows = lines.where(~is_heading & ~blank).groupBy("doc_id", "part").agg(F.first("heading").alias("heading"), F.sort_array(F.collect_list(F.struct("line", "text"))).alias("ls"))
-    return rows.select("doc_id", "heading", (F.get("ls", F.lit(0))["line"] + 1).alias("first_line"), (F.element_at("ls", -1)["line"] + 1).alias("last_line"), F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("text"))
+    is_heading, blank = F.col("text").rlike("^ {0,3}#{1,6}[ \t]+"), F.col("text").rlike("^[ \t]*$")
+    name = F.regexp_replace("text", "^ {0,3}#{1,6}[ \t]+", "")
+    lines = lines.withColumns({
+        "heading": F.last(F.when(is_heading, name), ignorenulls=True).over(w), "heading_line": F.last(F.when(is_heading, F.col("line") + 1), ignorenulls=True).over(w),
+        "heading_day": F.last(F.when(is_heading, valid_day(F.col("text"), f"(?<![A-Za-z0-9_]){_DAY}")), ignorenulls=True).over(w), "part": F.sum((is_heading | blank).cast("int")).over(w),
+    })
+    rows = lines.where(~is_heading & ~blank).groupBy("doc_id", "part").agg(
+        *[F.first(c).alias(c) for c in ("heading", "heading_line", "heading_day", "file_day")], F.sort_array(F.collect_list(F.struct("line", "text"))).alias("ls")
+    )
+    first, last = F.get("ls", F.lit(0)), F.element_at("ls", -1)
+    day = F.coalesce(valid_day(first["text"], f"^[ \t]*(?:[-*][ \t]*)?{_DAY}"), "heading_day", "file_day")
+    return rows.select("doc_id", "heading", "heading_line", (first["line"] + 1).alias("first_line"), (last["line"] + 1).alias("last_line"), day.alias("day"), F.array_join(F.transform("ls", lambda x: x["text"]), "\n").alias("text"))
 
 
 def ingest_email(mails: DataFrame, seen: DataFrame, allowed: list[str], agents: DataFrame, most: int = 500_000) -> DataFrame:
@@ -129,3 +152,41 @@ def export_memories(df: DataFrame, layers: list[str] | None = None) -> DataFrame
     rows = df if layers is None else df.where(F.col("layer").isin(layers))
     item = F.struct("memory_id", "layer", "memory_type", "importance", "tags")
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(item)).alias("memories"))
+
+
+def export_rows(
+    df: DataFrame, layers: list[str] | None = None, project: str | None = None, since: str | None = None, until: str | None = None,
+    vectors: DataFrame | None = None, links: DataFrame | None = None,
+) -> DataFrame:
+    """A row a memory that isn't deleted, with its extraction, vectors and graph nested in it: write.partitionBy("user_id").json gives a file set a user.
+
+    vectors(memory_id, model_id, embedding), links(memory_id, target_id, edge_type). `since` and `until` are included. Nothing of a user is gathered
+    in one row; a memory's own vectors and links are, ordered by model and by target, empty where it has none.
+    """
+    rows = df.where("deleted_at is null").where(scope_filter(layers, project)).where(time_range(since, until))
+    extraction = F.struct("memory_type", "tags", "confidence")
+    rows = rows.select("memory_id", "user_id", "raw", "layer", "importance", "created_at", extraction.alias("extraction"))
+    nested = (("vectors", vectors, ["model_id", "embedding"]), ("links", links, ["target_id", "edge_type"]))
+    for name, side, fields in nested:
+        if side is not None:
+            lists = side.groupBy("memory_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+            rows = rows.join(lists, "memory_id", "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    return rows
+
+
+def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table under the given types; only the columns named there are read."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def table_problems(df: DataFrame, required: tuple[str, ...] = (), values: dict[str, tuple[str, ...]] | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
+    """(column_name, problem, n): how many rows break a rule, one row a rule, zeros too, in one pass over the table.
+
+    required: columns that may not be null. values: what an enum column may hold; null is left to `required`. sizes: the length that a vector must have.
+    An empty table breaks no rule.
+    """
+    rules = [(c, "is null", F.col(c).isNull()) for c in required]
+    rules += [(c, "unknown value", ~F.col(c).isin(*v)) for c, v in (values or {}).items()]
+    rules += [(c, "wrong size", F.col(c).isNotNull() & (F.size(c) != n)) for c, n in (sizes or {}).items()]
+    counts = df.agg(*[F.count(F.when(bad, 1)).alias(f"n{i}") for i, (_, _, bad) in enumerate(rules)])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("problem"), F.col(f"n{i}").alias("n")) for i, (c, p, _) in enumerate(rules)])))

@@ -26,12 +26,29 @@ def event_time() -> Column:
     return F.coalesce("observed_at", "created_at")
 
 
-def scope_filter(layers: list[str] | None = None, project: str | None = None, session: int | None = None, agent: str | None = None) -> Column:
-    """All given conditions; a condition that isn't given holds for every row."""
+def scope_filter(
+    layers: list[str] | None = None, project: str | None = None, session: int | str | None = None, agent: str | None = None, visibility: list[str] | None = None,
+    subject_type: str | None = None, include_user: bool = True, include_agent: bool = True, external_session: str | None = None,
+) -> Column:
+    """All given conditions; a condition that isn't given holds for every row.
+
+    external_session: the column of a session's other id, either of which may match. An empty visibility list is none given.
+    Switching off memories about users or about agents leaves those about the other and overrides subject_type; switching off both leaves no row.
+    """
     out = F.lit(True)
-    for name, value in (("project_id", project), ("session_id", session), ("agent_id", agent)):
+    for name, value in (("project_id", project), ("agent_id", agent)):
         if value is not None:
             out = out & (F.col(name) == value)
+    if session is not None:
+        same = F.col("session_id") == session
+        out = out & (same | (F.col(external_session) == session) if external_session else same)
+    if visibility:
+        out = out & F.col("visibility").isin(visibility)
+    if not include_user and not include_agent:
+        return F.lit(False)
+    subject = "AGENT" if not include_user else "USER" if not include_agent else subject_type
+    if subject is not None:
+        out = out & (F.col("subject_type") == subject)
     return out & F.col("layer").isin(layers) if layers is not None else out
 
 

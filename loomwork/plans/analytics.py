@@ -125,6 +125,35 @@ def status_counts(spark, d):
     return A.status_counts(view(spark, d, "memories"))
 
 
+@query(M + ", u as (select memory_id, 'L' || i as level, created_at + to_hours(i::int) as updated_at from (select memory_id, created_at, unnest(range(0, memory_id % 4 + 1)) as i from memories)), n as (select user_id, level, count(*) as n, max(updated_at) as l from u join memories using (memory_id) where deleted_at is null and not user_hidden group by 1, 2) select user_id, level, n, sum(n) over w::bigint as total, epoch(max(l) over w)::bigint as last_updated from n window w as (partition by user_id)")
+def unit_stats(spark, d):
+    m = view(spark, d, "memories")
+    units = m.select("memory_id", "created_at", F.explode(F.sequence(F.lit(0), (F.col("memory_id") % 4).cast("int"))).alias("i"))
+    units = units.select("memory_id", F.concat(F.lit("L"), "i").alias("level"), F.timestamp_seconds(F.unix_timestamp("created_at") + F.col("i") * 3600).alias("updated_at"))
+    return A.unit_stats(units, m).withColumn("last_updated", F.unix_timestamp("last_updated"))
+
+
+@query(M + " select user_id, count(*) filter (deleted_at is null) as total, count(last_used_at) filter (deleted_at is null) as synced, count(*) filter (deleted_at is null and last_used_at is null) as pending, epoch(max(last_used_at))::bigint as last_synced from memories group by 1")
+def sync_status(spark, d):
+    return A.sync_status(view(spark, d, "memories").withColumn("synced_at", F.col("last_used_at"))).withColumn("last_synced", F.unix_timestamp("last_synced"))
+
+
+@query(M + ", n as (select user_id, count(*) filter (deleted_at is null) as total, count(*) filter (deleted_at is null and layer = 'SESSION') as session, count(*) filter (deleted_at is null and layer = 'IDENTITY') as identity, count(*) filter (deleted_at is null and layer = 'PROJECT') as project, count(consolidated_into) as consolidated from memories group by 1) select *, session // 3 as potential from n")
+def consolidation_stats(spark, d):
+    return A.consolidation_stats(view(spark, d, "memories"))
+
+
+_STATES = ", s as (select user_id, deleted_at, ['DONE', 'FAILED', 'PENDING', 'DUPLICATE'][memory_id % 4 + 1] as state, vec_id, case when memory_id % 4 = 1 then memory_id % 9 end as attempts from memories left join vectors on vec_id = memory_id)"
+
+
+@query(M + "," + view_sql("vectors")[4:].replace("as user_id", "as vector_user") + _STATES + " select user_id, count(*) filter (state = 'DONE') as done, count(*) filter (vec_id is null) as without, count(*) filter (state = 'FAILED') as failed, count(*) filter (state = 'PENDING') as pending, count(attempts) as queued, count(*) filter (attempts >= 5) as exhausted from s where deleted_at is null group by 1")
+def embedding_status(spark, d):
+    k = F.col("memory_id")
+    m = view(spark, d, "memories").join(view(spark, d, "vectors").select(F.col("vec_id").alias("memory_id"), F.col("vec_id").alias("embedding_id")), "memory_id", "left")
+    state = F.element_at(F.array(*map(F.lit, ("DONE", "FAILED", "PENDING", "DUPLICATE"))), (k % 4 + 1).cast("int"))
+    return A.embedding_status(m.withColumns({"embedding_status": state, "attempts": F.when(k % 4 == 1, k % 9)}))
+
+
 @query(C + " select user_id, strftime(ts, '%Y-%m-%d') as day, count(*) as calls, greatest(0, 3 - count(*)) as remaining, count(*) > 3 as over from calls group by 1, 2")
 def usage_meter(spark, d):
     return A.usage_meter(view(spark, d, "calls"), 3).withColumn("day", F.col("day").cast("string"))

@@ -129,6 +129,34 @@ def memory_observations(spark, d):
     return B.memory_observations(view(spark, d, "memories"), NOW, "2024-01-25")
 
 
+_WORK = ", w as (select *, ['SYSTEM', 'AGENT_OBSERVATION', 'AGENT_REFLECTION', 'EXPLICIT_STATEMENT'][memory_id % 16 // 4 + 1] as made_by, case when memory_id % 48 < 14 then 'Completed: ' || raw else raw end as said from memories where deleted_at is null and not user_hidden)"
+
+
+def worked(spark, d):
+    k = F.col("memory_id")
+    origin = F.element_at(F.array(*map(F.lit, ("SYSTEM", "AGENT_OBSERVATION", "AGENT_REFLECTION", "EXPLICIT_STATEMENT"))), (F.floor(k % 16 / 4) + 1).cast("int"))
+    return view(spark, d, "memories").withColumns({"origin": origin, "raw": F.when(k % 48 < 14, F.concat(F.lit("Completed: "), "raw")).otherwise(F.col("raw"))})
+
+
+@query(M + _WORK + ", t as (select agent_id, memory_type, count(*) as n from w where memory_type is not null group by 1, 2), l as (select agent_id, list(memory_type order by n desc, memory_type) as types, list(n order by n desc, memory_type) as counts from t group by 1) select agent_id, count(*) as total, count(*) filter (made_by = 'SYSTEM') as completions, count(*) filter (made_by = 'AGENT_REFLECTION') as reflections, epoch(min(created_at))::bigint as active_since, any_value(types) as types, any_value(counts) as counts from w join l using (agent_id) group by agent_id")
+def work_history(spark, d):
+    return B.work_history(worked(spark, d)).withColumn("active_since", F.unix_timestamp("active_since"))
+
+
+@query(M + _WORK + ", t as (select agent_id, count(*) filter (made_by in ('SYSTEM', 'AGENT_OBSERVATION')) as tasks, count(*) filter (made_by in ('SYSTEM', 'AGENT_OBSERVATION') and (contains(lower(said), 'success') or contains(lower(said), 'completed'))) as good, sum(importance) filter (made_by in ('SYSTEM', 'AGENT_OBSERVATION')) as s from w group by 1) select agent_id, tasks, case when tasks = 0 then 0.0::double else round(good::double / tasks, 6) end as success_rate, case when tasks = 0 then 0.0::double else round(s / tasks, 6) end as quality from t")
+def portable_trust(spark, d):
+    return B.portable_trust(worked(spark, d), digits=6)
+
+
+@query(M + ", n as (select agent_id, tag, 'topic' as category, count(*) as n from (select agent_id, unnest(tags) as tag from memories) group by 1, 2 union all select agent_id, memory_type, 'memory_type', count(*) from memories where memory_type is not null group by 1, 2) select agent_id, category, tag as pattern, n, rank::int as rank from (select *, row_number() over (partition by agent_id order by n desc, category || ':' || tag) as rank from n where n >= 2) where rank <= 15")
+def topic_and_type_patterns(spark, d):
+    m = view(spark, d, "memories")
+    topics = m.select("agent_id", F.explode(F.transform("tags", lambda t: F.concat(F.lit("topic:"), t))).alias("v"))
+    types = m.where("memory_type is not null").select("agent_id", F.concat(F.lit("memory_type:"), "memory_type").alias("v"))
+    rows = B.top_values(topics.unionAll(types), ["agent_id"], "v")
+    return rows.select("agent_id", F.substring_index("v", ":", 1).alias("category"), F.expr("substring(v, instr(v, ':') + 1)").alias("pattern"), "n", "rank")
+
+
 @query(M + ", n as (select agent_id, unnest(tags) as tag, count(*) as n from memories group by 1, 2) select agent_id, tag, n, rank::int as rank from (select *, row_number() over (partition by agent_id order by n desc, tag) as rank from n where n >= 2) where rank <= 15")
 def behaviour_patterns(spark, d):
     return B.top_values(view(spark, d, "memories").select("agent_id", F.explode("tags").alias("tag")), ["agent_id"], "tag")

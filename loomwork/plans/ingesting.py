@@ -9,7 +9,7 @@ from loomwork.operators import predicates as P
 from loomwork.plans.registry import query
 from loomwork.sources.views import view, view_sql
 
-M, C = view_sql("memories"), view_sql("calls")
+M, C, V, E = view_sql("memories"), view_sql("calls"), view_sql("vectors"), view_sql("edges")
 SURVIVOR = "deleted_at is null and superseded_by is null and is_duplicate_of is null and searchable and not user_hidden and embedding_status <> 'DUPLICATE'"
 
 
@@ -27,6 +27,26 @@ def scope_filter(spark, d):
     return view(spark, d, "memories").where(P.scope_filter(["SESSION", "TASK"], project="p1", agent="agent5")).select("memory_id")
 
 
+_SHARED = ", s as (select *, ['PRIVATE', 'TEAM', 'PUBLIC'][(memory_id % 3) + 1] as visibility, ['USER', 'AGENT', 'ENTITY'][(memory_id % 7) % 3 + 1] as subject_type, case when memory_id % 4 <> 0 then 'x' || (memory_id % 25) end as external_id, 's' || (memory_id % 30) as sid from memories)"
+
+
+def shared(spark, d):
+    pick = lambda names, at: F.element_at(F.array(*map(F.lit, names)), (at + 1).cast("int"))
+    k = F.col("memory_id")
+    external = F.when(k % 4 != 0, F.concat(F.lit("x"), k % 25))
+    return view(spark, d, "memories").withColumns({"visibility": pick(("PRIVATE", "TEAM", "PUBLIC"), k % 3), "subject_type": pick(("USER", "AGENT", "ENTITY"), k % 7 % 3), "external_id": external, "session_id": F.concat(F.lit("s"), k % 30)})
+
+
+@query(M + _SHARED + " select memory_id from s where visibility in ('TEAM', 'PUBLIC') and subject_type = 'AGENT'")
+def scope_by_subject(spark, d):
+    return shared(spark, d).where(P.scope_filter(visibility=["TEAM", "PUBLIC"], subject_type="USER", include_user=False)).select("memory_id")
+
+
+@query(M + _SHARED + " select memory_id from s where (sid = 'x7' or external_id = 'x7') and subject_type = 'USER'")
+def scope_by_session(spark, d):
+    return shared(spark, d).where(P.scope_filter(session="x7", external_session="external_id", include_agent=False)).select("memory_id")
+
+
 @query(M + " select memory_id from memories where list_has_all(tags, ['tag3', 'arc6'])")
 def has_all_tags(spark, d):
     return view(spark, d, "memories").where(P.has_all_tags(["tag3", "arc6"])).select("memory_id")
@@ -73,12 +93,22 @@ def chunk_rounds(spark, d):
     return I.chunk_rounds(spark.read.parquet(f"{d}/conversations.parquet"))
 
 
-@query("""with l as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from (select doc_id, '# Part ' || (doc_id % 3) || chr(10) || replace(text, '. ', '.' || chr(10) || chr(10)) as text from documents)),
-m as (select *, regexp_matches(text, '^#+ ') as h, trim(text) = '' as b from l), w as (select *, last_value(case when h then regexp_replace(text, '^#+ ', '') end ignore nulls) over o as heading, sum((h or b)::int) over o as part from m window o as (partition by doc_id order by line rows unbounded preceding))
-select doc_id, min(heading) as heading, min(line)::int as first_line, max(line)::int as last_line, string_agg(text, chr(10) order by line) as text from w where not h and not b group by doc_id, part""")
+_DATED = "'# Part ' || (doc_id % 3) || case when doc_id % 2 = 0 then ' 2024-0' || (doc_id % 9 + 1) || '-3' || (doc_id % 3) else '' end || chr(10) || replace(text, '. ', '.' || chr(10) || case when doc_id % 5 = 0 then chr(10) || '- 2023-1' || (doc_id % 4) || '-05 ' when doc_id % 5 = 1 then chr(10) || '  ## On 2024-01-15' || chr(10) else chr(10) end)"
+
+
+@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1) as line from (select doc_id, {_DATED} as text from documents)),
+m as (select *, regexp_matches(text, '^ {{0,3}}#{{1,6}}[ \t]+') as h, trim(text) = '' as b from l), w as (select *, last_value(case when h then regexp_replace(text, '^ {{0,3}}#{{1,6}}[ \t]+', '') end ignore nulls) over o as heading,
+last_value(case when h then line end ignore nulls) over o as heading_line, last_value(case when h then try_cast(regexp_extract(text, '\\b([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})\\b', 1) as date) end ignore nulls) over o as heading_day,
+sum((h or b)::int) over o as part from m window o as (partition by doc_id order by line rows unbounded preceding)),
+p as (select doc_id, min(heading) as heading, min(heading_line)::int as heading_line, min(heading_day) as heading_day, min(line)::int as first_line, max(line)::int as last_line, string_agg(text, chr(10) order by line) as text from w where not h and not b group by doc_id, part)
+select * exclude (heading_day), strftime(coalesce(try_cast(regexp_extract(text, '^[ \t]*(?:[-*][ \t]*)?([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})\\b', 1) as date), heading_day, date '2024-01-01' + (doc_id % 30)::int), '%Y-%m-%d') as day from p""")
 def chunk_markdown(spark, d):
-    text = F.concat(F.lit("# Part "), F.col("doc_id") % 3, F.lit("\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".\n\n")))
-    return I.chunk_markdown(docs(spark, d).select("doc_id", text.alias("text")))
+    k = F.col("doc_id")
+    dated = F.when(k % 2 == 0, F.concat(F.lit(" 2024-0"), k % 9 + 1, F.lit("-3"), k % 3)).otherwise("")
+    joint = F.when(k % 5 == 0, F.concat(F.lit(".\n\n- 2023-1"), k % 4, F.lit("-05 "))).when(k % 5 == 1, ".\n\n  ## On 2024-01-15\n").otherwise(".\n\n")
+    text = F.concat(F.lit("# Part "), k % 3, dated, F.lit("\n"), F.replace(F.col("text"), F.lit(". "), joint))
+    found = I.chunk_markdown(docs(spark, d).select("doc_id", text.alias("text"), F.date_add(F.lit("2024-01-01"), (k % 30).cast("int")).alias("file_day")))
+    return found.withColumn("day", F.col("day").cast("string"))
 
 
 @query(None)
@@ -161,3 +191,20 @@ def import_errors(spark, d):
 @query(M + " select user_id, count(*) as n, list(memory_id order by memory_id) as ids from memories where layer in ('PROJECT', 'TASK') group by 1")
 def export_memories(spark, d):
     return I.export_memories(view(spark, d, "memories"), ["PROJECT", "TASK"]).select("user_id", "n", F.col("memories.memory_id").alias("ids"))
+
+
+@query(M + "," + V[4:] + "," + E[4:] + ", v as (select vec_id as memory_id, list(model_id) as models, min(len(embedding)) as size from vectors group by 1), l as (select source_id as memory_id, list(target_id || ' ' || edge_type order by target_id, edge_type) as links from edges group by 1) select m.memory_id, user_id, memory_type, tags, coalesce(models, []) as models, size::int as size, coalesce(links, []) as links from memories m left join v on v.memory_id = m.memory_id left join l on l.memory_id = m.memory_id where deleted_at is null and layer in ('SESSION', 'PROJECT') and project_id = 'p1' and created_at between timestamp '2024-01-03' and timestamp '2024-01-28'")
+def export_rows(spark, d):
+    vectors = view(spark, d, "vectors").select(F.col("vec_id").alias("memory_id"), "model_id", "embedding")
+    links = view(spark, d, "edges").select(F.col("source_id").alias("memory_id"), "target_id", "edge_type")
+    rows = I.export_rows(view(spark, d, "memories"), ["SESSION", "PROJECT"], "p1", "2024-01-03", "2024-01-28", vectors, links)
+    joined = F.transform("links", lambda x: F.concat_ws(" ", x["target_id"], x["edge_type"]))
+    size = F.when(F.size("vectors") > 0, F.size(F.get("vectors", F.lit(0))["embedding"]))
+    return rows.select("memory_id", "user_id", "extraction.memory_type", "extraction.tags", F.col("vectors.model_id").alias("models"), size.alias("size"), joined.alias("links"))
+
+
+@query("select 'text' as column_name, 'is null' as problem, count(*) filter (text is null) as n from documents union all select 'doc_id', 'is null', count(*) filter (doc_id is null) from documents union all select 'lang', 'unknown value', count(*) filter (lang not in ('en', 'fr', 'de')) from documents union all select 'embedding', 'wrong size', count(*) filter (len(embedding) <> 64) from embeddings")
+def table_problems(spark, d):
+    one = I.load_table(spark, f"{d}/documents.parquet", "doc_id long, text string, lang string")
+    two = I.load_table(spark, f"{d}/embeddings.parquet", "embedding array<float>")
+    return I.table_problems(one, ("text", "doc_id"), {"lang": ("en", "fr", "de")}).unionAll(I.table_problems(two, sizes={"embedding": 64}))

@@ -8,7 +8,7 @@ from loomwork.plans.registry import query
 from loomwork.sources.views import view, view_sql
 from loomwork.streaming import operators as O
 
-C, V = view_sql("calls"), view_sql("vectors")
+C, V, M = view_sql("calls"), view_sql("vectors"), view_sql("memories")
 
 
 def calls(spark, d):
@@ -72,3 +72,14 @@ def turn_batches(spark, d):
 @query(V + ", p as (select *, lag(embedding) over (partition by user_id order by vec_id) as b from vectors), s as (select user_id, vec_id, round(1 - list_cosine_similarity(embedding::double[], b::double[]), 6) as distance from p) select *, coalesce(distance > 0.9, true) as shifted from s")
 def topic_shift(spark, d):
     return O.topic_shift(view(spark, d, "vectors"), 0.9)
+
+
+_TOPICS = ", h as (select memory_id, word, least(count(*) / 4.0, 1.0)::double as score from (select memory_id, unnest(regexp_split_to_array(lower(raw), '[^a-z0-9]+')) as word from memories) where word in ('the', 'and', 'que', 'der', 'of', 'les') group by 1, 2), p as (select user_id, memory_id, row_number() over (partition by user_id order by memory_id) as place from memories)"
+
+
+@query(M + _TOPICS + ", s as (select user_id, place, word, score from h join p using (memory_id)), b as (select m.user_id, m.place, s.word, sum(s.score) / least(m.place - 1, 4) as before from p m join s on s.user_id = m.user_id and s.place between m.place - 4 and m.place - 1 group by m.user_id, m.place, s.word), j as (select coalesce(b.user_id, s.user_id) as user_id, coalesce(b.place, s.place) as place, coalesce(b.word, s.word) as word, before, score from b full join s on s.user_id = b.user_id and s.place = b.place and s.word = b.word), k as (select user_id, place, case when round(before - coalesce(score, 0), 6) > 0.4::double then word end as d, case when before is null and score > 0.5::double and place > 1 then word end as a from j), g as (select user_id, place, list(d order by d) filter (d is not null) as departed, list(a order by a) filter (a is not null) as arrived from k group by 1, 2) select user_id, memory_id as message_id, coalesce(departed, []) as departed, coalesce(arrived, []) as arrived, case when arrived is null then 0.7 else 0.8 end::double as confidence from g join p using (user_id, place) where departed is not null or arrived is not null")
+def topic_changes(spark, d):
+    m = view(spark, d, "memories")
+    words = m.select("memory_id", F.explode(F.split(F.lower("raw"), "[^a-z0-9]+")).alias("topic")).where(F.col("topic").isin("the", "and", "que", "der", "of", "les"))
+    topics = words.groupBy(F.col("memory_id").alias("message_id"), "topic").agg(F.least(F.count("*") / 4, F.lit(1.0)).alias("score"))
+    return O.topic_changes(m.select("user_id", F.col("memory_id").alias("message_id")), topics)

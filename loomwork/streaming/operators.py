@@ -136,6 +136,40 @@ def turn_batches(turns: DataFrame, n: int = 5) -> DataFrame:
     return rows.groupBy("conv_id", "batch").agg(F.sort_array(F.collect_list("turn")).alias("turns")).withColumn("full", F.size("turns") == n)
 
 
+def turn_batches_stream(turns: DataFrame, n: int = 5, idle: str = "30 minutes", watermark: str = WATERMARK) -> DataFrame:
+    """The stream twin of turn_batches on turns(ts, conv_id, turn): a batch leaves once it has n turns, the rest once the conversation was idle in event time.
+
+    State is the buffer, fewer than n turns, and the number of the next batch. A conversation that goes on after its rest was flushed begins at batch 0 again.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    fields = "conv_id long, batch long, turns array<long>, full boolean"
+    wait_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    rows = turns.withWatermark("ts", watermark).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "ts", F.unix_millis("ts").alias("at"))
+
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["conv_id", "batch", "turns", "full"])
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, batch, last = state.get if state.exists else ([], 0, 0)
+        held = list(held)
+        if state.hasTimedOut:
+            state.remove()
+            if held:
+                yield frame([(k[0], batch, held, False)])
+            return
+        new = pd.concat(list(frames)).sort_values("turn")
+        held, last, out = held + [int(t) for t in new["turn"]], max(last, int(new["at"].max())), []
+        while len(held) >= n:
+            out.append((k[0], batch, held[:n], True))
+            held, batch = held[n:], batch + 1
+        state.update((held, batch, last))
+        state.setTimeoutTimestamp(max(last + wait_ms, state.getCurrentWatermarkMs() + 1))
+        yield frame(out)
+
+    return rows.groupBy("conv_id").applyInPandasWithState(step, fields, "held array<long>, batch long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def topic_shift(messages: DataFrame, limit: float = 0.4) -> DataFrame:
     """(user_id, vec_id, distance, shifted): cosine distance to the message before; a user's first one counts as a shift."""
     from loomwork.operators.vectors import dot, unit
@@ -146,6 +180,61 @@ def topic_shift(messages: DataFrame, limit: float = 0.4) -> DataFrame:
     return rows.select("user_id", "vec_id", distance.alias("distance"), F.coalesce(distance > limit, F.lit(True)).alias("shifted"))
 
 
+def topic_shift_stream(messages: DataFrame, limit: float = 0.4, keep: str = "1 hour", watermark: str = WATERMARK) -> DataFrame:
+    """The stream twin of topic_shift on messages(ts, user_id, vec_id, embedding): state is a user's last unit vector, forgotten when idle for `keep`.
+
+    A micro-batch's messages of a user are taken in order of time, then of vec_id; the first one after a pause counts as a shift.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    from loomwork.operators.vectors import unit
+
+    keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
+    rows = messages.withWatermark("ts", watermark).select(F.col("user_id").cast("long").alias("user_id"), "vec_id", "ts", F.unix_millis("ts").alias("at"), unit(F.col("embedding")).alias("v"))
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before, last = state.get if state.exists else (None, 0)
+        out = []
+        for i, at, v in pd.concat(list(frames)).sort_values(["at", "vec_id"])[["vec_id", "at", "v"]].itertuples(index=False):
+            if before is not None and at - last > keep_ms:
+                before = None
+            distance = None if before is None else round(1 - sum(a * b for a, b in zip(v, before)), 6)
+            out.append((k[0], i, distance, distance is None or distance > limit))
+            before, last = [float(x) for x in v], max(last, int(at))
+        state.update((before, last))
+        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["user_id", "vec_id", "distance", "shifted"])
+
+    fields = "user_id long, vec_id long, distance double, shifted boolean"
+    return rows.groupBy("user_id").applyInPandasWithState(step, fields, "v array<double>, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def topic_changes(messages: DataFrame, topics: DataFrame, window: int = 5, drop: float = 0.4, arrive: float = 0.5) -> DataFrame:
+    """(user_id, message_id, departed, arrived, confidence): how a message's topics differ from their means over the window - 1 messages before it.
+
+    messages(user_id, message_id) in order of message_id; topics(message_id, topic, score), one row a topic and message. departed: the mean is more
+    than `drop` above the message's score; arrived: new in the window and above `arrive`. Messages without either, and a user's first, have no row.
+    A score is sent to the few messages that it counts for, so that all meets by equality; nothing of a user is gathered.
+    """
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("message_id"))
+    placed = messages.select("user_id", "message_id", place.alias("place"))
+    scores = topics.select("message_id", "topic", "score").join(placed, "message_id")
+    sent = scores.select("user_id", "topic", "score", "place", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("ahead"))
+    mean = F.sum(F.when(F.col("ahead") > 0, F.col("score")))
+    now = F.max(F.when(F.col("ahead") == 0, F.col("score")))
+    met = sent.groupBy("user_id", (F.col("place") + F.col("ahead")).alias("place"), "topic").agg(mean.alias("total"), now.alias("now"))
+    before = F.col("total") / F.least(F.col("place") - 1, F.lit(window - 1))
+    departed = F.round(before - F.coalesce("now", F.lit(0.0)), 6) > drop
+    arrived = F.col("total").isNull() & (F.col("now") > arrive)
+    changed = met.where("place > 1").where(departed | arrived).select("user_id", "place", F.when(departed, F.col("topic")).alias("d"), F.when(arrived, F.col("topic")).alias("a"))
+    rows = changed.groupBy("user_id", "place").agg(F.sort_array(F.collect_set("d")).alias("departed"), F.sort_array(F.collect_set("a")).alias("arrived"))
+    rows = rows.join(placed, ["user_id", "place"])
+    return rows.select("user_id", "message_id", "departed", "arrived", F.when(F.size("arrived") > 0, 0.8).otherwise(0.7).alias("confidence"))
+
+
 def gap_markers_stream(calls: DataFrame, key: str = "user_id", longest: int = 600, watermark: str = WATERMARK, keep_days: int = 90) -> DataFrame:
     """The stream twin of gap_markers: keyed state holds the last time; rows that are late within the watermark are taken as they come.
 

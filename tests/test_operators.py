@@ -219,3 +219,45 @@ def test_names_resolve_by_tiers(spark):
     near = spark.createDataFrame([("Zed", 3, 0.8), ("Nobody Here", 1, 0.4)], "name string, profile_id long, similarity double")
     found = {r.name: (r.profile_id, r.how) for r in searching.resolve_names(spark.createDataFrame([(n,) for n in names], "name string"), profiles, near).collect()}
     assert found == {"Who is Alice Johnson?": (1, "exact"), "alice johnson profile": (1, "exact"), "bob": (2, "alias"), "Katherin Smith": (3, "trigram"), "Rpbert": (2, "edits"), "Zed": (3, "vector")}
+
+
+def test_scope_filter(spark):
+    from loomwork.operators.predicates import scope_filter
+
+    rows = spark.createDataFrame([(1, "USER", "TEAM", "s", None), (2, "AGENT", "PRIVATE", None, "s"), (3, None, None, "t", "s"), (4, "ENTITY", "PUBLIC", None, None)], "id int, subject_type string, visibility string, session_id string, other string")
+    ids = lambda **k: [r.id for r in rows.where(scope_filter(**k)).orderBy("id").collect()]
+    assert ids() == [1, 2, 3, 4] and ids(visibility=[]) == [1, 2, 3, 4]
+    assert ids(session="s") == [1] and ids(session="s", external_session="other") == [1, 2, 3]
+    assert ids(visibility=["TEAM", "PUBLIC"]) == [1, 4]
+    assert ids(subject_type="ENTITY") == [4] and ids(subject_type="ENTITY", include_user=False) == [2]
+    assert ids(include_agent=False) == [1] and ids(include_agent=False, include_user=False) == []
+
+
+def test_chunk_markdown(spark):
+    text = "first\r\n\n# A 2024-02-30\none\n2023-01-01 two\n\n- 2023-05-06 three\n ## B 2024-03-01\nfour\n#C no heading\n\n# D\n2024-13-01 five\nx2024"
+    rows = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string").withColumn("file_day", F.lit("2020-01-01").cast("date"))
+    found = [(r.heading, r.heading_line, r.first_line, r.last_line, str(r.day), r.text) for r in ingesting.chunk_markdown(rows).orderBy("first_line").collect()]
+    assert found == [
+        (None, None, 1, 1, "2020-01-01", "first"), ("A 2024-02-30", 3, 4, 5, "2020-01-01", "one\n2023-01-01 two"), ("A 2024-02-30", 3, 7, 7, "2023-05-06", "- 2023-05-06 three"),
+        ("B 2024-03-01", 8, 9, 10, "2024-03-01", "four\n#C no heading"), ("D", 12, 13, 14, "2024-03-01", "2024-13-01 five\nx2024"),
+    ]
+    assert all(r.day is None for r in ingesting.chunk_markdown(rows.drop("file_day").where("doc_id > 1")).collect())
+
+
+def test_table_problems(spark):
+    rows = spark.createDataFrame([("a", [1.0]), (None, [1.0, 2.0]), ("z", None)], "kind string, v array<double>")
+    problems = lambda df: {(r.column_name, r.problem): r.n for r in ingesting.table_problems(df, ("kind",), {"kind": ("a", "b")}, {"v": 2}).collect()}
+    assert problems(rows) == {("kind", "is null"): 1, ("kind", "unknown value"): 1, ("v", "wrong size"): 1}
+    assert set(problems(rows.limit(0)).values()) == {0}
+
+
+def test_reports_of_empty_and_null_rows(spark):
+    schema = "memory_id long, user_id string, agent_id string, raw string, memory_type string, origin string, layer string, importance double, deleted_at timestamp, user_hidden boolean, consolidated_into long, created_at timestamp, synced_at timestamp, embedding_status string, embedding_id long, attempts int"
+    rows = spark.createDataFrame([(1, "u", "a", None, None, "SYSTEM", "SESSION", 0.5, None, None, None, None, None, "DONE", None, 5)], schema)
+    assert behaviour.work_history(rows).select("total", "completions", "types").first() == (1, 1, [])
+    assert behaviour.portable_trust(rows).first() == ("a", 1, 0.0, 0.5)
+    assert analytics.embedding_status(rows).first() == ("u", 1, 1, 0, 0, 1, 1)
+    assert analytics.sync_status(rows).first() == ("u", 1, 0, None, 1)
+    assert analytics.consolidation_stats(rows).first() == ("u", 1, 1, 0, 0, 0, 0)
+    for report in (behaviour.work_history, behaviour.portable_trust, analytics.embedding_status, analytics.sync_status, analytics.consolidation_stats):
+        assert report(rows.limit(0)).count() == 0

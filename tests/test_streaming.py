@@ -88,3 +88,40 @@ def test_dedup_stream(spark, tmp_path):
     kept = {r.memory_id for r in spark.read.parquet(f"{tmp_path}/out/held").collect()}
     assert len(kept & {1, 3}) == 1 and kept - {1, 3} == {2, 4, 5, 6, 7}
     assert found == [(4, (kept & {1, 3}).pop(), 0.96, "merge"), (5, 2, 0.96, "queue"), (7, 6, 0.96, "merge")]
+
+def test_turn_batches(spark, tmp_path):
+    turns = [(c, t) for c, n in ((1, 12), (2, 5), (3, 3)) for t in range(n)]
+    at = lambda t: F.timestamp_seconds(F.lit(1_700_000_000) + t)
+    rows = spark.createDataFrame(turns, "conv_id long, turn long").withColumn("ts", at(F.col("turn") * 10))
+    for i, part in enumerate((rows.where("turn < 4"), rows.where("turn >= 4"), spark.createDataFrame([(9, 0)], "conv_id long, turn long").withColumn("ts", at(F.lit(90_000))))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{i}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    found = run(spark, O.turn_batches_stream(stream), "batches").where("conv_id < 9")
+    same(found, O.turn_batches(rows), ["conv_id", "batch", "turns", "full"])
+    assert found.where("not full").count() == 2
+
+
+def test_topic_shift(spark, tmp_path):
+    rows = spark.read.parquet(DATA.replace("events", "embeddings")).select(F.col("label").cast("long").alias("user_id"), F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id")).alias("ts"))
+    rows.orderBy("vec_id").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    same(run(spark, O.topic_shift_stream(stream, 0.9), "shifts"), O.topic_shift(rows, 0.9), ["user_id", "vec_id", "distance", "shifted"])
+
+
+def test_topic_changes_against_a_loop(spark):
+    import random
+
+    r = random.Random(5)
+    scores = {(u, m): {t: r.choice([0.3, 0.6, 0.9]) for t in "abc" if r.random() < 0.5} for u in range(3) for m in range(40)}
+    messages = spark.createDataFrame([(u, u * 100 + m) for u, m in scores], "user_id long, message_id long")
+    topics = spark.createDataFrame([(u * 100 + m, t, s) for (u, m), ts in scores.items() for t, s in ts.items()], "message_id long, topic string, score double")
+    want = {}
+    for u, m in scores:
+        past = [scores[u, x] for x in range(max(0, m - 4), m)]
+        if past:
+            means = {t: sum(p.get(t, 0) for p in past) / len(past) for t in "abc" if any(t in p for p in past)}
+            gone = sorted(t for t in means if round(means[t] - scores[u, m].get(t, 0), 6) > 0.4)
+            new = sorted(t for t, s in scores[u, m].items() if t not in means and s > 0.5)
+            if gone or new:
+                want[u, u * 100 + m] = (gone, new, 0.8 if new else 0.7)
+    assert {(x.user_id, x.message_id): (x.departed, x.arrived, x.confidence) for x in O.topic_changes(messages, topics).collect()} == want and want
