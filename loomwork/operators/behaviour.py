@@ -113,7 +113,7 @@ def collaboration_pairs(touches: DataFrame) -> DataFrame:
 
     Counted from each row's set of agents, as many rows have the same set: pairs are made once a set, not once a row.
     """
-    sets = touches.groupBy("item").agg(F.array_sort(F.collect_set("agent_id")).alias("agents"), F.max("importance").alias("importance"))
+    sets = touches.groupBy("item").agg(F.sort_array(F.collect_set("agent_id")).alias("agents"), F.max("importance").alias("importance"))
     same = sets.where(F.size("agents") > 1).groupBy("agents").agg(F.count("*").alias("n"), F.sum("importance").alias("s"))
     pairs = same.withColumn("left_agent", F.explode("agents")).withColumn("right_agent", F.explode("agents")).where("left_agent < right_agent")
     return pairs.groupBy("left_agent", "right_agent").agg(F.sum("n").alias("shared"), F.round(F.sum("s") / F.sum("n"), 6).alias("importance"))

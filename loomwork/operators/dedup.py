@@ -223,19 +223,23 @@ def backlog_state(similarity: Column, hours: Column, auto: Column) -> Column:
     return F.when((similarity >= 0.93) & (hours > 24) & auto, "backlog").when(hours > 14 * 24, "stale").otherwise("open")
 
 
-def text_near_dup(df: DataFrame, jaccard: float = 0.7, contained: float = 0.8) -> DataFrame:
+def text_near_dup(df: DataFrame, jaccard: float = 0.7, contained: float = 0.8, agree: int = 3) -> DataFrame:
     """(left_id, right_id): texts(user_id, memory_id, words array) of a user that share enough words.
 
     Word Jaccard above `jaccard`, or `contained` of the smaller set in the larger. Equal word sets are one; pairs meet over the
-    words that are rare in their user: of a smaller set of n words, one of any n - ceil(contained * n) + 1 is in the other.
+    words that are rare in their user: a smaller set of n words that has `need` of them in the other has `agree` of any
+    n - need + agree there (all of need, if that is less). Only pairs that agree in so many have their words compared, so that few word lists move.
     """
-    sets = df.groupBy("user_id", F.array_sort(F.array_distinct("words")).alias("ws")).agg(F.min("memory_id").alias("id")).where(F.size("ws") > 0)
+    sets = df.groupBy("user_id", F.sort_array(F.array_distinct("words")).alias("ws")).agg(F.min("memory_id").alias("id")).where(F.size("ws") > 0)
     one = sets.select("user_id", "id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     order = one.groupBy("user_id", "w").agg(F.count("*").alias("df"))
     placed = one.join(order, ["user_id", "w"]).groupBy("user_id", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("by"))
     need = F.least(F.ceil(F.lit(contained) * F.col("n") - 1e-9), F.floor(F.lit(2 * jaccard / (1 + jaccard)) * F.col("n")) + 1)
-    probes = placed.select("user_id", F.col("id").alias("a"), F.col("n").alias("na"), F.explode(F.slice("by", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("x")).select("user_id", "a", "na", F.col("x.w").alias("w"))
-    met = probes.join(one.select("user_id", "w", F.col("id").alias("b"), F.col("n").alias("nb")), ["user_id", "w"]).where("a <> b and (na < nb or (na = nb and a < b))").select("user_id", "a", "b").distinct()
+    least = F.least(F.lit(agree), need)
+    probes = placed.select("user_id", F.col("id").alias("a"), F.col("n").alias("na"), least.alias("least"), F.explode(F.slice("by", F.lit(1), (F.col("n") - need + least).cast("int"))).alias("x"))
+    probes = probes.select("user_id", "a", "na", "least", F.col("x.w").alias("w"))
+    met = probes.join(one.select("user_id", "w", F.col("id").alias("b"), F.col("n").alias("nb")), ["user_id", "w"]).where("a <> b and (na < nb or (na = nb and a < b))")
+    met = met.groupBy("a", "b", "least").agg(F.count("*").alias("c")).where("c >= least").select("a", "b")
     full = met.join(sets.select(F.col("id").alias("a"), F.col("ws").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("ws").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     ok = (both / (F.size("sa") + F.size("sb") - both) > jaccard) | (both >= contained * F.least(F.size("sa"), F.size("sb")))

@@ -71,7 +71,7 @@ def mention_detect(texts: DataFrame, names: DataFrame) -> DataFrame:
     """
     known = names.select("profile_id", F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", " ")).alias("key"), "confidence").where("key <> ''")
     sizes = sorted(r[0] for r in known.select(F.size(F.split("key", " "))).distinct().collect())
-    words = F.filter(F.split(F.lower("raw"), "[^a-z0-9]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower("raw"), "[^a-z0-9]+"), "")
     rows = texts.select("memory_id", words.alias("ws"))
     none = F.array().cast("array<string>")
 
@@ -162,8 +162,8 @@ def unlinked(nodes: DataFrame, links: DataFrame, similar: DataFrame, low: float,
 
 def attach_chains(links: DataFrame) -> DataFrame:
     """(node, outgoing, incoming): sorted ids on either side."""
-    out = links.groupBy(F.col("source_id").alias("node")).agg(F.array_sort(F.collect_set("target_id")).alias("outgoing"))
-    into = links.groupBy(F.col("target_id").alias("node")).agg(F.array_sort(F.collect_set("source_id")).alias("incoming"))
+    out = links.groupBy(F.col("source_id").alias("node")).agg(F.sort_array(F.collect_set("target_id")).alias("outgoing"))
+    into = links.groupBy(F.col("target_id").alias("node")).agg(F.sort_array(F.collect_set("source_id")).alias("incoming"))
     none = F.array().cast("array<bigint>")
     return out.join(into, "node", "full").select("node", F.coalesce("outgoing", none).alias("outgoing"), F.coalesce("incoming", none).alias("incoming"))
 

@@ -20,7 +20,7 @@ def rescue_terms(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def tokens(docs: DataFrame) -> DataFrame:
@@ -119,18 +119,24 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     the vocabulary is joined by equality and checked by the distance.
     """
     def forms(word: Column, edits: Column) -> Column:
-        drop = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(w))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
-        one = F.when(edits >= 1, drop(word)).otherwise(F.array().cast("array<string>"))
-        two = F.when(edits >= 2, F.flatten(F.transform(drop(word), drop))).otherwise(F.array().cast("array<string>"))
-        return F.array_distinct(F.concat(F.array(word), one, two))
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word)))
+        one = F.transform(places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+        # a second letter is dropped behind the first, so that each two are dropped once
+        two = F.flatten(F.transform(places, lambda i: F.transform(F.slice(places, i + 1, F.length(word)), lambda j: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, j - i - 1), F.substr(word, j + 1)))))
+        none = F.array().cast("array<string>")
+        return F.array_distinct(F.concat(F.array(word), F.when(edits >= 1, one).otherwise(none), F.when(edits >= 2, two).otherwise(none)))
+
+    def dealt(words: DataFrame) -> DataFrame:
+        # forms are some fifty times the words: without this, adaptive execution would gather small shuffles of words into one task
+        return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.columns[0])
 
     def edits(word: Column) -> Column:
         return F.when(F.length(word) <= 2, 0).when(F.length(word) <= 5, 1).otherwise(2)
 
-    t = terms.select("term").distinct().withColumn("e", edits(F.col("term")))
+    t = dealt(terms.select("term").distinct()).withColumn("e", edits(F.col("term")))
     left = t.select("term", "e", F.explode(forms(F.col("term"), F.col("e"))).alias("form"))
     # a token can be two letters shorter or longer than the term it is close to
-    right = vocabulary.select("token").distinct().withColumn("form", F.explode(forms(F.col("token"), F.when(F.length("token") <= 1, 0).when(F.length("token") <= 3, 1).otherwise(2))))
+    right = dealt(vocabulary.select("token").distinct()).withColumn("form", F.explode(forms(F.col("token"), F.when(F.length("token") <= 1, 0).when(F.length("token") <= 3, 1).otherwise(2))))
     met = left.join(right, "form").select("term", "e", "token").distinct()
     return met.where(F.levenshtein("term", "token") <= F.col("e")).select("term", "token")
 
@@ -154,6 +160,7 @@ def lexical_rescue(queries: DataFrame, memories: DataFrame, k: int = 20, index:
     piece = lambda c, i: F.substr(c, i, F.lit(3))
     terms = asked.select("term").distinct().select("term", piece(F.col("term"), F.lit(1)).alias("t"))
     words = held.select("word").where(F.length("word") >= 3).distinct()
+    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     words = words.select("word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: piece(F.col("word"), i)))).alias("t"))
     inside = terms.join(words, "t").where(F.contains("word", "term")).select("term", "word")
     by_user = asked.select("user_id", "term").distinct().join(inside, "term")

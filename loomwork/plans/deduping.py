@@ -210,7 +210,7 @@ def pending_decision(spark, d):
 @query(M + ", x as (select user_id, min(memory_id) as id, ws from (select user_id, memory_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(raw), '[^a-z]+'), lambda w: length(w) > 0))) as ws from memories) where len(ws) > 0 group by user_id, ws), p as (select a.id as l, b.id as r, len(list_intersect(a.ws, b.ws)) as c, len(a.ws) as na, len(b.ws) as nb from x a join x b on a.user_id = b.user_id and a.id < b.id) select l as left_id, r as right_id from p where c / (na + nb - c) > 0.7::double or c >= 0.8::double * least(na, nb)")
 def text_near_dup(spark, d):
     m = view(spark, d, "memories")
-    return D.text_near_dup(m.select("user_id", "memory_id", F.filter(F.split(F.lower("raw"), "[^a-z]+"), lambda w: F.length(w) > 0).alias("words")))
+    return D.text_near_dup(m.select("user_id", "memory_id", F.array_remove(F.split(F.lower("raw"), "[^a-z]+"), "").alias("words")))
 
 
 _EV = ", ev as (select doc_id // 3 * 3 as survivor, doc_id as absorbed, doc_id % 12 = 1 as undone from documents where doc_id % 3 <> 0 union all select doc_id // 9 * 9, doc_id, false from documents where doc_id % 9 in (3, 6)), h as (select absorbed as memory_id, min(survivor) as final_id from ev where not undone group by 1)"
