@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import license_scan, media, mixing, packing, passage_dedup, quality_rules, secret_scan, sharding, simhash, url_filter
+from loomwork.llm import collocations, decontamination, hard_negatives, license_scan, media, mixing, packing, passage_dedup, quality_rules, secret_scan, sharding, simhash, url_filter
 from loomwork.session import table
 
 ARRIVAL_DOCS = 512
@@ -73,6 +73,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP4_SQL = r"""
 with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
 words as (select r, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as w, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) as i from docs),
@@ -129,6 +142,52 @@ from e
 """
 
 
+OP11_SQL = r"""
+with docs as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+pieces as (select lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from docs),
+starts as (select lang, w, unnest(range(1, len(w) + 1)) as i from pieces),
+grams as (select lang, w[i:i + s - 1] as p, s from starts, unnest([1, 2, 3, 4]) as t(s) where i + s - 1 <= len(w)),
+f as (select lang, p, s, count(*) as f from grams group by all),
+totals as (select lang, sum(f)::bigint as n from f where s = 1 group by lang),
+c as (select * from f where s > 1 and f >= 30),
+cuts as (
+  select c.lang, c.p, c.f as a, k, x.f as l, y.f as r, (2000000::hugeint * c.f // (x.f + y.f))::bigint as score
+  from (select *, unnest(range(1, s)) as k from c) c join f x on x.lang = c.lang and x.p = c.p[1:c.k] join f y on y.lang = c.lang and y.p = c.p[c.k + 1:c.s]),
+weakest as (select lang, p, a, min({'score': score, 'k': k, 'l': l, 'r': r}) as cut from cuts group by lang, p, a),
+inside as (select lang, p[i:i + z - 1] as p, max(f) as longer from (select *, unnest(range(1, s + 1)) as i from c where s > 2), unnest([2, 3]) as t(z) where z < s and i + z - 1 <= s group by all),
+kept as (select w.*, array_to_string(w.p, ' ') as phrase from weakest w left join inside i on w.lang = i.lang and w.p = i.p where longer is null or 100 * longer < 80 * a),
+ranked as (select *, row_number() over (partition by lang order by cut.score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, cut.l as l, cut.r as r, n, cut.score as score from ranked join totals using (lang) where rank <= 2000
+"""
+
+OP12_SQL = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+each as (select vec_id, label, unnest(v) as x, generate_subscripts(v, 1) as i from e),
+pairs as (
+  select a.vec_id as anchor_id, c.vec_id as id, a.label = c.label as same, sum(a.x * c.x)::bigint as score
+  from each a join each c on a.i = c.i where a.vec_id % 100 = 0 group by all),
+ranked as (select *, row_number() over (partition by anchor_id order by score desc, id) as k from pairs where same and id <> anchor_id),
+fit as (
+  select p.anchor_id, p.id as positive_id, n.id as negative_id, p.score as positive_score, n.score as negative_score, row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as rank
+  from ranked p join pairs n on p.anchor_id = n.anchor_id and not n.same where p.k <= 5 and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from fit where rank <= 5
+"""
+
+OP13_SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+iw as (select distinct item_id, k, array_to_string(w[p:p + k - 1], ' ') as x from (select item_id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from b where len(w) > 0)),
+dw as (select r, p, k, array_to_string(w[p:p + k - 1], ' ') as x from (select r, w, unnest(range(1, len(w) + 1)) as p from d), (select distinct k from iw) where p + k - 1 <= len(w)),
+hits as (select dw.r, dw.p, dw.k, iw.item_id from dw join iw using (k, x)),
+spans as (select r, count(distinct p + o) as n_hit from hits, unnest(range(0, k)) as t(o) group by r),
+items as (select r, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct r, item_id from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join spans using (r) left join items using (r)
+"""
+
+
 def op4_sql() -> str:
     bits = " + ".join(f"case when {rule} then {1 << i} else 0 end" for i, rule in enumerate(quality_rules.RULES.values()))
     base, policy = quality_rules.mask(quality_rules.BASE_RULES), quality_rules.mask(quality_rules.POLICIES[POLICY])
@@ -196,9 +255,9 @@ from rows join tree using (host, raw) join pure using (host, template)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_best_fit_packing, op2_license_scan, op3_secret_scan, op4_quality_rules, op5_passage_dedup, op6_simhash, op7_media_columns, op8_size_tiered_shards, op9_url_filter, op10_mixing]
+    own = [op1_best_fit_packing, op2_license_scan, op3_secret_scan, op4_quality_rules, op5_passage_dedup, op6_simhash, op7_media_columns, op8_size_tiered_shards, op9_url_filter, op10_mixing, op11_collocations, op12_hard_negatives, op13_decontamination]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": op4_sql(), "op8_size_tiered_shards": op8_sql(), "op9_url_filter": op9_sql(), "op10_mixing": OP10_SQL}
+    return {"op4_quality_rules": op4_sql(), "op8_size_tiered_shards": op8_sql(), "op9_url_filter": op9_sql(), "op10_mixing": OP10_SQL, "op11_collocations": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_decontamination": OP13_SQL}
