@@ -15,6 +15,7 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,22 +45,27 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SENSITIVE = {re.compile(part.replace("-", r"[_\-.\x20]?"), re.IGNORECASE): w for part, w in SENSITIVE.items()}
 _ANY_SENSITIVE = re.compile("|".join(p.pattern for p in _SENSITIVE), re.IGNORECASE)
 
-# a string: prefix, triple quotes, escapes; one that only an escaped quote ends is taken up to that quote. It begins no word.
-_STRING = (
-    r"""(?<![A-Za-z0-9])[bBrRfFuU]{0,2}(?:\"{3}(?:[^\\"]|\\[\s\S]|"(?!""))*\"{3}|'{3}(?:[^\\']|\\[\s\S]|'(?!''))*'{3}"""
-    r"""|"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*'|"[^"\n]*"|'[^'\n]*')"""
+# what may begin a string: a prefix and quotes, with the backslashes of a string around it. It begins no word.
+_OPENING = r"""(?<![A-Za-z0-9\\])\\*[bBrRfFuU]{0,2}(?:"{3}|'{3}|"|')"""
+_OTHERS = (
+    r"""(?P<line>\n[\x20\t]*)|(?P<mark>\#+|//+|/\*+|\*+/)|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z0-9_$]+)*)"""
+    r"""|(?P<op>:=|=>|==|!=|<=|>=|::|->|[=:+,;(){}\[\]<>|&?*])|(?P<other>\S)"""
 )
-_TOKEN = re.compile(
-    rf"""(?P<string>{_STRING})|(?P<line>\n[\x20\t]*)|(?P<mark>\#+|//+|/\*+|\*+/)"""
-    r"""|(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.\-][A-Za-z0-9_$]+)*)|(?P<op>:=|=>|==|!=|<=|>=|::|->|[=:+,;(){}\[\]<>|&?*])|(?P<other>\S)"""
-)
-_QUOTES = re.compile(r"""[A-Za-z]{0,2}("{3}|'{3}|"|'|`)""")
+_TOKEN = re.compile(rf"(?P<string>{_OPENING})|{_OTHERS}")
+_NO_STRING = re.compile(_OTHERS)
+# up to the quotes that end a string, from behind those that open it
+_ENDS = {
+    '"""': re.compile(r'(?:[^\\"]|\\[\s\S]|"(?!""))*+"""'), "'''": re.compile(r"(?:[^\\']|\\[\s\S]|'(?!''))*+'''"),
+    '"': re.compile(r'(?:[^"\\\n]|\\[^\n])*+"'), "'": re.compile(r"(?:[^'\\\n]|\\[^\n])*+'"),
+}
+_ESCAPED = {quote: re.compile(r"(\\*)" + quote) for quote in ('"', "'")}
+_QUOTES = re.compile(r"""\\*[A-Za-z]{0,2}("{3}|'{3}|"|'|`)""")
 _BACKTICKS = re.compile(r"`[^`]*`")
 _BARE = re.compile(r"""[^\s"'`,;{}()\[\]<>]+""")
 _SCHEME = re.compile(r"(?:bearer|basic|token)[\x20\t]+", re.IGNORECASE)
 # names, with a short number at most behind each: what a variable is called
 _REFERENCE = re.compile(r"[A-Za-z_$]+[0-9]{0,2}(?:[.:\-]+[A-Za-z_$]+[0-9]{0,2})*\Z")
-_KEY = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-\x20]{0,80}\Z")
+_KEY = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.\-\x20]*\Z")
 _TYPE_OPS = frozenset("[]<>|&?*,")
 _ELEMENT = re.compile(r"""<([A-Za-z_][\w:.\-]*)((?:\s+[\w:.\-]+\s*=\s*(?:"[^"<]*"|'[^'<]*'))*)\s*/?>([^<]*)""")
 _ATTRIBUTE = re.compile(r"""([\w:.\-]+)\s*=\s*(?:"([^"<]*)"|'([^'<]*)')""")
@@ -71,6 +77,10 @@ def sensitivity(name: str) -> float:
     return max((w for part, w in _SENSITIVE.items() if part.search(name)), default=0.0)
 
 
+def _mixed(literal: str) -> bool:
+    return bool(re.search("[A-Za-z]", literal) and re.search("[0-9]", literal))
+
+
 def is_placeholder(literal: str) -> bool:
     words = [w.lower() for w in _WORD.findall(literal)]
     return literal.lower() in EMPTY_VALUES or bool(_BLANKED.fullmatch(literal)) or not PLACEHOLDERS.isdisjoint(words) or ("change", "me") in zip(words, words[1:])
@@ -94,12 +104,78 @@ def literal_score(name: str, literal: str, least: int = 8) -> float:
     return sensitivity(name) * min(1.0, entropy / math.log2(max(n, 2)) * (0.4 + 0.3 * kinds))
 
 
+def tokens_of(text: str, first: int, last: int) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of each token of a stretch of text, in time that grows with its length."""
+    out, at, strings = [], first, Strings(text, first, last)
+    while m := _TOKEN.search(text, at, last):
+        kind, a, at = m.lastgroup, m.start(), m.end()
+        if kind == "string":
+            end = strings.end(at, m[0])
+            if end is None:
+                m = _NO_STRING.match(text, a, last)
+                kind, end = m.lastgroup, m.end()
+            at = end
+        out.append((kind, a, at))
+    return out
+
+
+class Strings:
+    """Where strings end: at their quotes without a backslash, on their line if the quotes are single.
+
+    One in a string around it, so that its quotes have backslashes, ends at a quote with as many or fewer. One that only an escaped quote ends is
+    taken up to that quote. Whether a quote is escaped does not depend on where its string began, so where a search found no
+    end, later ones up to there are spared.
+    """
+
+    def __init__(self, text: str, first: int, last: int) -> None:
+        self.text, self.last = text, last
+        self.barren = dict.fromkeys(_ENDS, first)
+        self.deeper = dict.fromkeys(_ENDS, (first, 0))  # up to where all quotes have more backslashes than so many
+
+    def end(self, at: int, opening: str) -> int | None:
+        quote = opening.lstrip("\\bBrRfFuU")
+        n = len(opening) - len(opening.lstrip("\\"))
+        if len(quote) == 3:
+            end = self.plain(at, quote)
+            if end is not None:
+                return end
+            at, quote = at - 2, quote[0]
+        end = self.inner(at, quote, n) if n % 2 else self.plain(at, quote)
+        if end is None:
+            found = self.text.find(quote, at, self.line(at))
+            end = found + 1 if found >= 0 else None
+        return end
+
+    def line(self, at: int) -> int:
+        end = self.text.find("\n", at, self.last)
+        return self.last if end < 0 else end
+
+    def plain(self, at: int, quote: str) -> int | None:
+        if at < self.barren[quote]:
+            return None
+        if m := _ENDS[quote].match(self.text, at, self.last):
+            return m.end()
+        self.barren[quote] = self.line(at) if len(quote) == 1 else self.last
+        return None
+
+    def inner(self, at: int, quote: str, n: int) -> int | None:
+        until, most = self.deeper[quote]
+        if at < until and n <= most:
+            return None
+        line = self.line(at)
+        for m in _ESCAPED[quote].finditer(self.text, at, line):
+            if len(m[1]) <= n:
+                return m.end()
+        self.deeper[quote] = line, n
+        return None
+
+
 class Reader:
     """One pass over a text's tokens; pairs() gives (name, literal, the places of its parts) in order."""
 
     def __init__(self, text: str, first: int, last: int, constants: dict[str, Found], depth: int = 0) -> None:
         self.text, self.last, self.depth, self.constants = text, last, depth, constants
-        self.tokens = [(m.lastgroup, m.start(), m.end()) for m in _TOKEN.finditer(text, first, last)]
+        self.tokens = tokens_of(text, first, last)
         self.at = 0
         self.closers: list[tuple[str, str | None]] = []  # open brackets and the name whose value they hold
         self.indents: list[tuple[int, str]] = []  # keys above, of YAML, with their indents
@@ -113,8 +189,13 @@ class Reader:
         return self.text[a:b] if kind == "op" else ""
 
     def inner(self, a: int, b: int) -> tuple[int, int]:
+        """Between the quotes, and between the backslashes that belong to them: an odd number before the last one."""
         quote = _QUOTES.match(self.text, a)
-        return quote.end(), b - len(quote[1])
+        start, end = quote.end(), b - len(quote[1])
+        if self.text[end - 1 : end] == "\\":
+            n = end - start - len(self.text[start:end].rstrip("\\"))
+            end -= n if n % 2 else 0
+        return start, end
 
     def above(self) -> str:
         return (self.closers[-1][1] if self.closers else self.indents[-1][1] if self.indents else None) or ""
@@ -125,6 +206,8 @@ class Reader:
             if kind == "line":
                 yield from self.line(b, b - a - 1)
             elif kind == "op":
+                if self.text[a:b] == "," and self.closers and self.closers[-1][0] == "call":
+                    self.closers[-1] = ("default", self.closers[-1][1])
                 self.bracket(self.text[a:b], None)
                 self.at += 1
             elif kind in ("string", "name"):
@@ -175,7 +258,7 @@ class Reader:
 
     def annotation(self, ahead: int) -> int | None:
         """How many tokens ahead the value behind `type =` stands: blanks around the sign, or a string behind it."""
-        for k in range(ahead, ahead + 40):
+        for k in count(ahead):  # ends at the next colon at the latest, so that no token is read for many
             kind, a, b = self.token(k)
             if kind == "op" and self.text[a:b] == "=":
                 spaced = self.text[a - 1 : a].isspace() and self.text[b : b + 1].isspace()
@@ -187,10 +270,10 @@ class Reader:
     def target(self, kind: str, a: int, b: int) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         ahead, colon = self.target_op()
         inner = self.inner(a, b) if kind == "string" else (a, b)
-        name = self.text[slice(*inner)] if inner[1] - inner[0] <= 81 else ""
+        name = self.text[slice(*inner)]
         if ahead is None or not _KEY.match(name):
             held = self.closers[-1] if self.closers else ("", None)
-            if kind == "string" and held[0] in ("[", "(") and held[1]:
+            if kind == "string" and (held[0] in ("[", "(") and held[1] or held[0] == "default" and _mixed(name)):
                 yield from self.value(held[1], "", False)
             else:
                 if kind == "string":
@@ -203,8 +286,11 @@ class Reader:
         first = self.fresh
         if self.op(1) == "]" and self.closers:
             self.closers.pop()
-        full = f"{self.above()}.{name}" if name.lower() in GENERIC and self.above() else name
+        above, _, generic = self.above().rpartition(".")
+        above = above if above and generic.lower() in GENERIC else self.above()  # of generic names below each other the last
+        full = f"{above}.{name}" if name.lower() in GENERIC and above else name
         self.at += ahead
+        self.constants.pop(name, None)  # until it is known what is assigned now
         if colon and self.token()[0] in ("line", None):
             if first and not self.closers:
                 self.indents.append((self.indent, full))
@@ -235,6 +321,9 @@ class Reader:
             for _, places in parts:
                 for place in places:
                     yield from self.within(*place)
+        elif self.op() == "(":  # of a call only literals behind its first argument count: what it gives where nothing is set
+            self.closers.append(("call", name))
+            self.at += 1
 
     def is_key(self) -> bool:
         return self.target_op()[0] is not None
@@ -268,8 +357,7 @@ class Reader:
             return self.constants[bare]
         reads = text[m.end() : m.end() + 1] in ("(", "[") or bool(_REFERENCE.match(bare))
         self.skip(b if reads else m.end())  # what stands in a call is read like anything else
-        mixed = re.search("[A-Za-z]", bare) and re.search("[0-9]", bare)
-        return None if reads or added or not mixed else (bare, [(m.start(), m.start() + len(bare))])
+        return None if reads or added or not _mixed(bare) else (bare, [(m.start(), m.start() + len(bare))])
 
     def skip(self, place: int) -> None:
         while self.at < len(self.tokens) and self.tokens[self.at][1] < place:
@@ -277,7 +365,7 @@ class Reader:
 
     def within(self, a: int, b: int) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
         """The pairs inside of a string, as in connection strings and quoted lines."""
-        if self.depth < 3 and b - a > 4 and _ANY_SENSITIVE.search(self.text, a, b) and re.compile("[=:]").search(self.text, a, b):
+        if self.depth < 6 and b - a > 4 and _ANY_SENSITIVE.search(self.text, a, b) and re.compile("[=:]").search(self.text, a, b):
             yield from Reader(self.text, a, b, self.constants, self.depth + 1).pairs()
 
 
