@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.running import global_rank
+
 INTERVALS = ("hour", "day", "week", "month")
 LAYERS = ("IDENTITY", "PROJECT", "SESSION", "TASK", "INSIGHT")
 TYPES = ("CONSTRAINT", "PREFERENCE", "FACT", "TASK", "EVENT", "LESSON")
@@ -85,9 +87,9 @@ def latest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataF
 
 
 def users_report(df: DataFrame, page: int, size: int) -> DataFrame:
-    """A page of users by number of memories; the ranking runs over one row a user."""
+    """A page of users by number of memories. The ranking is a sort by ranges, however many users there are."""
     rows = df.groupBy("user_id").agg(F.count("*").alias("memories"), F.round(F.avg("importance"), 6).alias("avg_importance"), F.max(F.unix_timestamp("created_at")).alias("last_seen"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("memories").desc(), "user_id")))
+    ranked = global_rank(rows, [F.col("memories").desc(), F.col("user_id")]).withColumn("rank", F.col("rank").cast("int"))
     return ranked.where(F.col("rank").between((page - 1) * size + 1, page * size))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.analytics import count_if, hours_before
 from loomwork.operators.components import connected_components
 from loomwork.operators.scoring import ranked
+from loomwork.session import written
 
 
 def dbscan(neighbours: DataFrame, nodes: DataFrame, min_points: int = 3) -> DataFrame:
@@ -41,36 +43,89 @@ def cluster_labels(members: DataFrame, n: int = 3) -> DataFrame:
     return top.groupBy("cluster").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "w"))), lambda p: p["w"]), ", ").alias("label"))
 
 
-def leader_groups(pairs: DataFrame, items: DataFrame, least_size: int = 3) -> DataFrame:
+#: Links of a component that one task decides in order; more is far beyond what a task should take minutes for.
+MOST_LINKS = 200_000
+
+
+def leader_groups(pairs: DataFrame, items: DataFrame, least_size: int = 3, most_links: int = MOST_LINKS) -> DataFrame:
     """(leader, id): in order of items(id, place), each row that no earlier leader took leads those linked to it that are still free.
 
-    Groups under least_size release their members, and their leader is left out. Decided without visiting rows one by one: in each round
-    a row leads if all linked rows before it are taken or settled; the number of rounds is the longest chain of such waits.
+    Groups under least_size release their members, and their leader is left out. Rows that share no links, directly or over others, do
+    not bear on each other, so components of up to most_links links are each decided by one loop in their task. What is larger is taken in
+    prefixes of the order, whose rows depend on no later ones: a prefix is cut until its components are small, and grows again
+    while they are. Where even so a component is too large, as around a hub, the rows that nothing stands before are decided
+    at once. Places must be numbers; equal ones go by id.
     """
-    from loomwork.session import shared_dir
-
-    shared_dir(pairs.sparkSession)
-    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     place = items.select("id", "place")
-    links = both.join(place.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(place.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b").checkpoint()
-    open_rows, done = place.select(F.col("id").alias("a"), F.col("place").alias("pa")).checkpoint(), None
+    at = lambda x: place.select(F.col("id").alias(x), F.col("place").alias(f"p{x}"))
+    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    before = F.struct("pa", "a") < F.struct("pb", "b")
+    links = written(both.join(at("a"), "a").join(at("b"), "b").where(before).select("a", "pa", "b", "pb"), "links")
+    done, share = [], 1.0
     while True:
-        free = links.join(open_rows.select("a"), "a", "left_semi").join(open_rows.select(F.col("a").alias("b")), "b", "left_semi")
-        near = free.groupBy("a").agg(F.min("pb").alias("first"), F.count("*").alias("n"))
-        rows = open_rows.join(near, "a", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        # of rows that still could lead, those before all of their own rivals decide now
-        # (a row's rivals are its neighbours' neighbours: the first of them is the least of what the neighbours found)
-        rivals = free.join(near.select(F.col("a").alias("b"), F.col("first").alias("pc")), "b").groupBy("a").agg(F.min("pc").alias("rival"))
-        rows = rows.join(rivals, "a", "left").checkpoint()
-        leads = rows.where((F.col("first").isNull() | (F.col("pa") < F.col("first"))) & (F.col("rival").isNull() | (F.col("pa") <= F.col("rival"))))
-        if not leads.limit(1).count():
+        part = _prefix(links, share)
+        if part is None:
+            break
+        members = connected_components(part, "a", "b")
+        named = part.join(members.withColumnRenamed("node", "a"), "a")
+        sizes = written(named.groupBy("component").agg((F.count("*") > most_links).alias("large")), "component-sizes")
+        too_large = sizes.where("large").limit(1).count() > 0
+        small = named.join(sizes.where("not large").select("component"), "component", "left_semi")
+        decided = _decide_in_order(small, least_size)
+        settled = small.select("a")
+        if too_large:
+            firsts, gone = _decide_first(named.join(sizes.where("large").select("component"), "component", "left_semi"), least_size)
+            decided, settled = decided.unionAll(firsts), settled.unionAll(gone)
+        decided = written(decided, "decided")
+        done.append(decided)
+        if share == 1.0 and not too_large:
             break
-        good = leads.where(F.col("n") + 1 >= least_size).select(F.col("a").alias("leader"))
-        taken = free.join(good.withColumnRenamed("leader", "a"), "a").select(F.col("a").alias("leader"), F.col("b").alias("id")).unionAll(good.select("leader", F.col("leader").alias("id"))).checkpoint()
-        done = taken if done is None else done.unionAll(taken)
-        gone = taken.select(F.col("id").alias("a")).unionAll(leads.select("a")).distinct()
-        open_rows = open_rows.join(gone, "a", "left_anti").checkpoint()
-    return done if done is not None else place.select(F.col("id").alias("leader"), "id").limit(0)
+        gone = settled.unionAll(decided.select("id")).distinct()
+        gone = written(gone.select(F.col("a").alias("gone")), "gone")
+        links = written(links.join(gone, links["a"] == gone["gone"], "left_anti").join(gone, links["b"] == gone["gone"], "left_anti"), "links")
+        share = share / 8 if too_large else min(1.0, share * 4)
+    out = place.select(F.col("id").alias("leader"), "id").limit(0)
+    for df in done:
+        out = out.unionAll(df)
+    if least_size <= 1:  # then a row that none took leads, if only itself
+        out = out.unionAll(place.join(out.select("id"), "id", "left_anti").select(F.col("id").alias("leader"), "id"))
+    return out
+
+
+def _prefix(links: DataFrame, share: float) -> DataFrame | None:
+    """The links of about this share of the rows that lead to others, from the first in order; None if there are none."""
+    if share == 1.0:
+        return links if links.limit(1).count() else None
+    places = links.select("a", "pa").distinct()
+    cut = places.agg(F.percentile_approx("pa", share, 10_000).alias("cut")).first()["cut"]
+    return None if cut is None else links.where(F.col("pa") <= F.lit(cut))
+
+
+def _decide_in_order(links: DataFrame, least_size: int) -> DataFrame:
+    """(leader, id) of links(component, a, pa, b, pb) from each a to the later b, a component in one task."""
+    kind = dict(links.dtypes)["a"]
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, gone, out = rows.sort_values(["pa", "a", "pb", "b"]), set(), []
+        for a, others in rows.groupby(["pa", "a"], sort=False)["b"]:
+            if a[1] not in gone:
+                free = [b for b in others if b not in gone]
+                if len(free) + 1 >= least_size:
+                    gone.update(free)
+                    out += [(a[1], a[1]), *((a[1], b) for b in free)]
+        return pd.DataFrame(out, columns=["leader", "id"])
+
+    return links.groupBy("component").applyInPandas(decide, f"leader {kind}, id {kind}")
+
+
+def _decide_first(links: DataFrame, least_size: int) -> tuple[DataFrame, DataFrame]:
+    """((leader, id), (a)): what rows decide that stand before all rows they compete with, and those rows."""
+    first = links.groupBy("b").agg(F.min(F.struct("pa", "a")).alias("first"))
+    rows = links.select("a", "pa").distinct().join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    alone = links.join(rows.select("a"), "a", "left_semi").join(first, "b").groupBy("a").agg(F.min((F.col("first.a") == F.col("a"))).alias("ok"), F.count("*").alias("n")).where("ok")
+    lead = alone.where(F.col("n") + 1 >= least_size).select("a")
+    taken = links.join(lead, "a", "left_semi").select(F.col("a").alias("leader"), F.col("b").alias("id"))
+    return taken.unionAll(lead.select("a", F.col("a").alias("id"))), alone.select("a")
 
 
 def tier(now: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.operators.scoring import ranked
+from loomwork.session import written
 
 #: Rows of a user that a task holds of either side of a search.
 BLOCK = 4096
@@ -33,19 +34,36 @@ def _sized(df: DataFrame, name: str, block: int) -> DataFrame:
     return df.groupBy("user_id").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
 
 
+#: Pivots of a user, at most; the angles to the first REFERENCES of them are stored with each row.
+PIVOTS = 1024
+REFERENCES = 16
+#: More than rounding can add to an angle.
+SLACK = 1e-6
+
+
 def similarities(queries: DataFrame, vectors: DataFrame, least: float | None = None, k: int | None = None, block: int = BLOCK) -> DataFrame:
     """(query_id, vec_id, user_id, similarity, other columns of vectors): the stated query set against all rows of its user.
 
     queries(query_id, user_id, q), vectors(vec_id, user_id, v) with unit vectors. Both sides of a user are dealt into blocks of
     about `block` rows, however many the user has; a task multiplies one block with one block and gives only the pairs that reach
     `least`, or each query's k best (and what ties with the last to six decimals). A row is not paired with itself.
+
+    With a bound (`least` or `k`) and users of more than one block, blocks are cells around pivots and only those are multiplied that
+    may hold a pair within the bound, see met_cells. The rows are the same.
     """
+    bounded = least is not None or k is not None
+    if not bounded or not _sized(vectors, "vs", block).where("vs > 1").limit(1).count():
+        pairs = _all_blocks(queries, vectors, least, k, block)
+    else:
+        pairs = _near_cells(queries, vectors, least, k, block)
     extra = [c for c in vectors.columns if c not in ("vec_id", "user_id", "v")]
-    sizes = _sized(queries, "qs", block).join(_sized(vectors, "vs", block), "user_id")
-    deal = lambda df, key, own, other: df.join(sizes, "user_id").withColumns({f"{own}_": F.pmod(F.xxhash64(key), F.col(own)).cast("int"), f"{other}_": F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
-    q = deal(queries, "query_id", "qs", "vs").select(F.col("user_id").alias("q_user"), F.col("qs_").alias("q_qs"), F.col("vs_").alias("q_vs"), "query_id", "q")
-    v = deal(vectors, "vec_id", "vs", "qs").select("user_id", "qs_", "vs_", "vec_id", "v", *extra)
-    types = dict(vectors.dtypes) | dict(queries.dtypes)
+    rows = pairs.select("query_id", "vec_id", "user_id", F.round("raw", 6).alias("similarity"), *extra)
+    return rows if least is None else rows.where(F.col("similarity") >= least)
+
+
+def _multiply(q: DataFrame, v: DataFrame, q_keys: list[str], v_keys: list[str], extra: list[str], least: float | None, k: int | None) -> DataFrame:
+    """(query_id, vec_id, user_id, extra, raw): each group of q with the group of v that has its keys."""
+    types = dict(v.dtypes) | dict(q.dtypes)
     fields = ["query_id", "vec_id", "user_id", *extra]
     schema = ", ".join(f"`{c}` {types[c]}" for c in fields) + ", raw double"
 
@@ -62,9 +80,111 @@ def similarities(queries: DataFrame, vectors: DataFrame, least: float | None = N
         out.insert(0, "query_id", left["query_id"].to_numpy()[i])
         return out.assign(raw=s[i, j])[[*fields, "raw"]]
 
-    pairs = q.groupBy("q_user", "q_qs", "q_vs").cogroup(v.groupBy("user_id", "qs_", "vs_")).applyInPandas(multiply, schema)
-    rows = pairs.select("query_id", "vec_id", "user_id", F.round("raw", 6).alias("similarity"), *extra)
-    return rows if least is None else rows.where(F.col("similarity") >= least)
+    return q.groupBy(*q_keys).cogroup(v.groupBy(*v_keys)).applyInPandas(multiply, schema)
+
+
+def _all_blocks(queries: DataFrame, vectors: DataFrame, least: float | None, k: int | None, block: int) -> DataFrame:
+    extra = [c for c in vectors.columns if c not in ("vec_id", "user_id", "v")]
+    sizes = _sized(queries, "qs", block).join(_sized(vectors, "vs", block), "user_id")
+    deal = lambda df, key, own, other: df.join(sizes, "user_id").withColumns({f"{own}_": F.pmod(F.xxhash64(key), F.col(own)).cast("int"), f"{other}_": F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+    q = deal(queries, "query_id", "qs", "vs").select(F.col("user_id").alias("q_user"), F.col("qs_").alias("q_qs"), F.col("vs_").alias("q_vs"), "query_id", "q")
+    v = deal(vectors, "vec_id", "vs", "qs").select("user_id", "qs_", "vs_", "vec_id", "v", *extra)
+    return _multiply(q, v, ["q_user", "q_qs", "q_vs"], ["user_id", "qs_", "vs_"], extra, least, k)
+
+
+def pivots_of(vectors: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(user_id, pivot, p): the rows of each user that come first by a hash of their ids, two for each block, within bounds."""
+    rows = vectors.join(sizes, "user_id").withColumn("want", F.least(F.lit(PIVOTS), F.greatest(F.lit(REFERENCES), 2 * F.col("vs"))))
+    # about four times as many as wanted, so that no user is ranked whole
+    some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.greatest(F.lit(1), F.expr("rows div (4 * want)"))) == 0)
+    first = ranked(some.where(dot(F.col("v"), F.col("v")) > 0), ["user_id"], [F.xxhash64("vec_id", F.lit(2)), F.col("vec_id")], PIVOTS)
+    return first.where(F.col("rank") <= F.col("want")).select("user_id", F.col("rank").alias("pivot"), F.col("v").alias("p"))
+
+
+def in_cells(df: DataFrame, key: str, vector: str, pivots: DataFrame, block: int) -> DataFrame:
+    """df with `cell`, the pivot at the smallest angle (0 for zero vectors, which have no angle), and `angles` to the first pivots."""
+    sizes = _sized(df, "ns", block)
+    rows = df.join(sizes, "user_id").withColumn("n_", F.pmod(F.xxhash64(key), F.col("ns")).cast("int")).drop("ns")
+    beside = pivots.join(sizes, "user_id").select(F.col("user_id").alias("p_user"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("p_n"), "pivot", "p")
+    fields = [c for c in rows.columns if c != "n_"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "n_") + ", cell int, angles array<double>"
+
+    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left[fields].reset_index(drop=True)
+        if not len(left):
+            return left.assign(cell=[], angles=[])
+        cell, angles = np.zeros(len(left), np.int32), [None] * len(left)
+        if len(right):
+            right = right.sort_values("pivot")
+            v = np.vstack(left[vector])
+            angle = np.arccos(np.clip(v @ np.vstack(right["p"]).T, -1, 1))
+            real = (v != 0).any(axis=1)
+            cell = np.where(real, right["pivot"].to_numpy()[angle.argmin(axis=1)], 0).astype(np.int32)
+            angles = [a if ok else None for a, ok in zip(angle[:, :REFERENCES], real)]
+        return left.assign(cell=cell, angles=angles)
+
+    return rows.groupBy("user_id", "n_").cogroup(beside.groupBy("p_user", "p_n")).applyInPandas(place, schema)
+
+
+def cells_of(rows: DataFrame, block: int) -> DataFrame:
+    """(user_id, cell, subs, lo, hi): of each cell in how many blocks it is dealt and between which angles to each reference its rows lie."""
+    ends = [g(F.get("angles", F.lit(i))) for g in (F.min, F.max) for i in range(REFERENCES)]
+    lo, hi = F.array(*ends[:REFERENCES]), F.array(*ends[REFERENCES:])
+    return rows.groupBy("user_id", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"), lo.alias("lo"), hi.alias("hi"))
+
+
+def met_cells(queries: DataFrame, cells: DataFrame, least: float | None) -> DataFrame:
+    """Queries with each cell (v_cell, v_subs) that may hold a row at least as similar as `least` and as the query's own `kth`, if they are given.
+
+    By the triangle inequality two vectors are at least as far apart as their angles to any third one differ, so a cell
+    whose angles to some reference all differ more from the query's than the bound allows holds none. A zero vector's rows are always met.
+    """
+    each = cells.select("user_id", F.col("cell").alias("v_cell"), F.col("subs").alias("v_subs"), "lo", "hi")
+    gap = F.expr("array_max(transform(angles, (a, i) -> greatest(lo[i] - a, a - hi[i])))")
+    bound = F.greatest(F.lit(-1.0 if least is None else float(least) - 1e-6), F.coalesce("kth", F.lit(-1.0)) - 1e-6)
+    may = gap.isNull() | (gap <= F.acos(F.least(F.lit(1.0), bound)) + SLACK)
+    return queries.join(each, "user_id").where(may).drop("lo", "hi")
+
+
+def _near_cells(queries: DataFrame, vectors: DataFrame, least: float | None, k: int | None, block: int) -> DataFrame:
+    extra = [c for c in vectors.columns if c not in ("vec_id", "user_id", "v")]
+    q, v, cells = celled(queries, vectors, block)
+    if k is None:
+        return _multiply_met(met_cells(q.withColumn("kth", F.lit(None).cast("double")), cells, least), v, extra, least, None)
+    # what a query finds around its own pivot bounds what it has to look for elsewhere
+    own = cells.select("user_id", F.col("cell").alias("v_cell"), F.col("subs").alias("v_subs"))
+    first = written(_multiply_met(q.join(own, (q["user_id"] == own["user_id"]) & (q["cell"] == own["v_cell"])).drop(own["user_id"]), v, extra, least, k), "own-cell")
+    kth = ranked(first, ["query_id"], [F.col("raw").desc(), F.col("vec_id")], k).where(F.col("rank") == k).select("query_id", F.col("raw").alias("kth"))
+    rest = met_cells(q.join(kth, "query_id", "left"), cells, least).where("v_cell <> cell")
+    return first.unionByName(_multiply_met(rest, v, extra, least, k))
+
+
+def celled(queries: DataFrame, vectors: DataFrame, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(queries, vectors, cells): both sides with their cells, dealt by a hash where a cell is larger than a block."""
+    sizes = vectors.groupBy("user_id").agg(F.ceil(F.count("*") / block).cast("int").alias("vs"), F.count("*").alias("rows"))
+    pivots = written(pivots_of(vectors, sizes), "pivots")
+    v, q = written(in_cells(vectors, "vec_id", "v", pivots, block), "vectors-in-cells"), in_cells(queries, "query_id", "q", pivots, block)
+    cells = written(cells_of(v, block), "cells")
+    subs = lambda df, key: df.withColumn("sub", F.pmod(F.xxhash64(key), F.col("subs")).cast("int")).drop("subs")
+    own = q.groupBy("user_id", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"))
+    v = subs(v.join(cells.select("user_id", "cell", "subs"), ["user_id", "cell"]), "vec_id").drop("angles")
+    return written(subs(q.join(own, ["user_id", "cell"]), "query_id"), "queries-in-cells"), v, cells
+
+
+def _multiply_met(met: DataFrame, v: DataFrame, extra: list[str], least: float | None, k: int | None) -> DataFrame:
+    q = met.withColumn("v_sub", F.explode(F.sequence(F.lit(0), F.col("v_subs") - 1)))
+    wanted = met.select("user_id", F.col("cell").alias("q_cell"), F.col("sub").alias("q_sub"), F.col("v_cell").alias("cell")).distinct()
+    v = v.join(wanted, ["user_id", "cell"]).select("user_id", "q_cell", "q_sub", F.col("cell").alias("v_cell"), F.col("sub").alias("v_sub"), "vec_id", "v", *extra)
+    q = q.select(F.col("user_id").alias("q_user"), "cell", "sub", F.col("v_cell").alias("q_v_cell"), F.col("v_sub").alias("q_v_sub"), "query_id", "q")
+    return _multiply(q, v, ["q_user", "cell", "sub", "q_v_cell", "q_v_sub"], ["user_id", "q_cell", "q_sub", "v_cell", "v_sub"], extra, least, k)
+
+
+def skipped_share(queries: DataFrame, vectors: DataFrame, least: float, block: int) -> DataFrame:
+    """A single row: (products, skipped): the pairs of a query and a cell's block of its user, and the share that `least` lets skip."""
+    q, _, cells = celled(queries, vectors, block)
+    total = q.join(cells.select("user_id", F.col("subs").alias("v_subs")), "user_id").agg(F.sum("v_subs").alias("products"))
+    kept = met_cells(q.withColumn("kth", F.lit(None).cast("double")), cells, least).agg(F.coalesce(F.sum("v_subs"), F.lit(0)).alias("kept"))
+    return total.crossJoin(kept).select("products", F.round(1 - F.col("kept") / F.col("products"), 6).alias("skipped"))
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
@@ -73,23 +193,66 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return ranked(pairs, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], k).select("query_id", "vec_id", "similarity", "rank")
 
 
-def sign_buckets(vector: Column, dimensions: int, tables: int, bits: int, seed: int) -> Column:
-    """array<int>: for each table the sides of `bits` random planes on which the vector lies, as one number."""
+def plane_sides(vector: Column, dimensions: int, tables: int, bits: int, seed: int, probes: int = 1) -> Column:
+    """array<array<int>>: for each table the buckets to look into, nearest first; a bucket is the sides of `bits` random planes as one number.
+
+    The first is the vector's own. The others lie across the planes it is nearest to: sets of planes to cross are tried in order of the sum of squared
+    distances to them, which says how likely a neighbour fell on the other side.
+    """
     planes = np.random.default_rng(seed).normal(size=(dimensions, tables, bits))
+    planes /= np.linalg.norm(planes, axis=0, keepdims=True)
+    crossed = np.array([[m >> b & 1 for b in range(bits)] for m in range(1 << bits)], dtype=float)  # every set of planes
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<array<int>>")
     def buckets(vs):
-        sides = np.einsum("nd,dtb->ntb", np.vstack(vs), planes) >= 0
-        return pd.Series(list((sides * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)))
+        if not len(vs):
+            return pd.Series([], dtype=object)
+        far = np.einsum("nd,dtb->ntb", np.vstack(vs), planes)
+        own = ((far >= 0) * (1 << np.arange(bits))).sum(axis=2)
+        order = np.argsort(far**2 @ crossed.T, axis=2, kind="stable")[:, :, :probes]
+        return pd.Series([x.tolist() for x in (own[:, :, None] ^ order).astype(np.int32)])
 
     return buckets(vector)
 
 
-def ann_candidates(queries: DataFrame, vectors: DataFrame, dimensions: int, tables: int = 8, bits: int = 3, seed: int = 7) -> DataFrame:
-    """(query_id, vec_id) pairs of a user that fall on the same side of all planes in one of `tables` sets of random planes."""
-    keys = lambda df, c: df.select("*", F.posexplode(sign_buckets(F.col(c), dimensions, tables, bits, seed)).alias("t", "bucket"))
-    q, v = keys(queries, "q"), keys(vectors, "v").select("user_id", "t", "bucket", "vec_id")
-    return q.join(v, ["user_id", "t", "bucket"]).where("query_id <> vec_id").select("query_id", "vec_id").distinct()
+def ann_candidates(queries: DataFrame, vectors: DataFrame, dimensions: int, tables: int = 8, bits: int = 6, probes: int = 8, seed: int = 7) -> DataFrame:
+    """(query_id, vec_id) pairs of a user: in each of `tables` sets of random planes a query looks into `probes` buckets, a vector lies in one.
+
+    More probes do what more tables would, without another copy of each vector. A row is not paired with itself.
+    """
+    met = ann_probes(queries, vectors, dimensions, tables, bits, probes, seed)
+    return met.select("query_id", "vec_id").distinct()
+
+
+def ann_probes(queries: DataFrame, vectors: DataFrame, dimensions: int, tables: int, bits: int, probes: int, seed: int = 7) -> DataFrame:
+    """(query_id, vec_id, probe): the pairs of ann_candidates with the first probe that finds each."""
+    own = F.posexplode(F.transform(plane_sides(F.col("v"), dimensions, tables, bits, seed), lambda x: x[0])).alias("t", "bucket")
+    v = vectors.select("user_id", "vec_id", own)
+    q = queries.select("user_id", "query_id", F.posexplode(plane_sides(F.col("q"), dimensions, tables, bits, seed, probes)).alias("t", "buckets"))
+    q = q.select("user_id", "query_id", "t", F.posexplode("buckets").alias("probe", "bucket"))
+    met = q.join(v, ["user_id", "t", "bucket"]).where("query_id <> vec_id")
+    return met.groupBy("query_id", "vec_id").agg(F.min("probe").alias("probe"))
+
+
+def knn_by_probes(queries: DataFrame, vectors: DataFrame, k: int, dimensions: int, tables: int = 8, bits: int = 6, probes: int = 8, seed: int = 7) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): knn among the candidates of ann_candidates, whose similarities are exact."""
+    met = ann_candidates(queries, vectors, dimensions, tables, bits, probes, seed)
+    pairs = met.join(queries.select("query_id", "q"), "query_id").join(vectors.select("vec_id", "v"), "vec_id")
+    rows = pairs.select("query_id", "vec_id", F.round(dot(F.col("q"), F.col("v")), 6).alias("similarity"))
+    return ranked(rows, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], k).select("query_id", "vec_id", "similarity", "rank")
+
+
+def recall_curve(exact: DataFrame, queries: DataFrame, vectors: DataFrame, dimensions: int, tables: int = 8, bits: int = 6, probes: int = 16, seed: int = 7) -> DataFrame:
+    """(probes, candidates, recall): with 1, 2, ... probes a table, how many pairs are compared and which share of exact(query_id, vec_id) is among them."""
+    met = written(ann_probes(queries, vectors, dimensions, tables, bits, probes, seed), "probes")
+    found = exact.select("query_id", "vec_id").join(met, ["query_id", "vec_id"], "left").select((F.coalesce("probe", F.lit(probes)) + 1).alias("probes"), F.lit(1).alias("neighbour"), F.lit(0).alias("pair"))
+    rows = found.unionAll(met.select(F.col("probe") + 1, F.lit(0), F.lit(1)))
+    # at most probes + 1 rows from here on
+    each = rows.groupBy("probes").agg(F.sum("neighbour").alias("n"), F.sum("pair").alias("c"))
+    upto = F.explode(F.sequence(F.col("probes"), F.lit(probes + 1)))
+    summed = each.select(upto.alias("probes"), "n", "c").groupBy("probes").agg(F.sum("n").alias("n"), F.sum("c").alias("candidates"))
+    total = summed.where(F.col("probes") == probes + 1).select(F.col("n").alias("neighbours"))
+    return summed.where(F.col("probes") <= probes).crossJoin(F.broadcast(total)).select("probes", "candidates", F.round(F.col("n") / F.col("neighbours"), 6).alias("recall"))
 
 
 def recall_at_k(exact: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -76,12 +76,31 @@ def similar_above(spark, d):
     return ranked(pairs, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], 5).select("query_id", "vec_id", "similarity", "rank")
 
 
+#: What finds over 0.95 of the ten nearest on the given tables.
+PROBED = {"tables": 10, "bits": 6, "probes": 10}
+
+
+def _asked(spark, d):
+    v = units(spark, d)
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "user_id", F.col("v").alias("q")), v.select("vec_id", "user_id", "v")
+
+
 @query(None)
 def ann_recall(spark, d):
-    v = units(spark, d)
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "user_id", F.col("v").alias("q"))
-    rows = v.select("vec_id", "user_id", "v")
-    return X.recall_at_k(X.knn(q, rows, 10), X.ann_candidates(q, rows, 64, tables=24, bits=3))
+    q, rows = _asked(spark, d)
+    return X.recall_at_k(X.knn(q, rows, 10), X.ann_candidates(q, rows, 64, **PROBED))
+
+
+@query(None)
+def ann_curve(spark, d):
+    q, rows = _asked(spark, d)
+    return X.recall_curve(X.knn(q, rows, 10), q, rows, 64, PROBED["tables"], PROBED["bits"], 16)
+
+
+@query(None)
+def knn_by_probes(spark, d):
+    q, rows = _asked(spark, d)
+    return X.knn_by_probes(q, rows, 10, 64, **PROBED)
 
 
 @query(V + PAIRS + ", u as (select left_id, right_id, similarity from near union all select right_id, left_id, similarity - 0.1 from near) select least(left_id, right_id) as low_id, greatest(left_id, right_id) as high_id, max(similarity) as similarity from u group by 1, 2")
