@@ -16,6 +16,7 @@ another seed is taken if any do.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,31 +47,46 @@ def tokens_of(text: str) -> list[bytes]:
 
 
 class Chunks:
-    """Texts to chunks of word numbers, with 0 between pieces. A chunk holds whole texts of one language."""
+    """Texts to chunks of about CHUNK_WORDS word numbers, with 0 between pieces. A chunk holds whole texts of one language.
+
+    All languages together hold no more words at once, so that neither their number nor their order costs memory.
+    """
 
     def __init__(self, seed: int) -> None:
         self.seed, self.numbers = seed, {}
 
-    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-        """(language, words, their numbers)"""
-        held: dict[str, list[bytes]] = {}
+    def words(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
+        """(language, words, their numbers); words take the room of several numbers, so these chunks are smaller."""
+        for lang, texts in self._held(batches, CHUNK_WORDS // 4, lambda lang, words: words):
+            words = [w for words in texts for w in words]
+            yield lang, words, self.of(lang, words)
+
+    def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, texts in self._held(batches, CHUNK_WORDS, self.of):
+            yield np.concatenate(texts)
+
+    @staticmethod
+    def _held(batches: Iterator[pa.RecordBatch], most: int, of) -> Iterator[tuple[str, list]]:
+        held, sizes, total = {}, Counter(), 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = held.setdefault(lang, [])
-                words += tokens_of(text or "")
+            for i in range(batch.num_rows):
+                lang, words = batch.column(0)[i].as_py(), tokens_of(batch.column(1)[i].as_py() or "")
                 words.append(b".")
-                if len(words) >= CHUNK_WORDS or len(held) > 64:
-                    yield lang, words, self.of(lang, words)
-                    del held[lang]
-        for lang, words in held.items():
-            yield lang, words, self.of(lang, words)
+                held.setdefault(lang, []).append(of(lang, words))
+                sizes[lang] += len(words)
+                total += len(words)
+                if total >= most:
+                    largest = sizes.most_common(1)[0][0]
+                    total -= sizes.pop(largest)
+                    yield largest, held.pop(largest)
+        yield from held.items()
 
     def of(self, lang: str, words: list[bytes]) -> np.ndarray:
         if lang not in self.numbers:
-            if len(self.numbers) > 64:
+            if len(self.numbers) > 16:
                 self.numbers.clear()
             seed = int(WordNumbers(self.seed)[lang.encode("utf-8", "replace")])
-            self.numbers[lang] = WordNumbers(seed, fixed={b".": 0})
+            self.numbers[lang] = WordNumbers(seed, 1 << 16, {b".": 0})
         return self.numbers[lang].of(words)
 
 
@@ -88,7 +104,7 @@ def word_counts(texts: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     """((lang, id, word, n), (size, id, n)): the words of each language with their counts, and what pairs and triples are hot in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words, numbers in Chunks(seed).read(batches):
+        for lang, words, numbers in Chunks(seed).words(batches):
             order = np.argsort(numbers)
             each, first, n = np.unique(numbers[order], return_index=True, return_counts=True)
             real = each != 0
@@ -158,7 +174,7 @@ def routed(texts: DataFrame, seed: int, bits: Broadcast, hot: Broadcast, parts:
     """Blocks of suffixes, counted within their chunk, for each part and number of leading words that route."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, numbers in Chunks(seed).read(batches):
+        for numbers in Chunks(seed).read(batches):
             columns, n, lead, route = suffixes(numbers, bits.value, *hot.value)
             part = (route % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((columns[1], columns[0], lead, part))  # sorted words lie close together, which packs well
