@@ -68,10 +68,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix"
 
 
 def _mix_sizes(rows: DataFrame, weights: tuple[int, ...], seed: str) -> DataFrame:
+    more = [c for c in rows.columns if c == "content"]  # orders rows that are alike else
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights).withColumnRenamed("source", "__source")
     rows = rows.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))))
-    rows = running_sum(rows, ["source"], F.substring("key", 1, 3), [F.col("key"), F.col("id"), F.col("size")], F.col("size"), "before")
+    rows = running_sum(rows, ["source"], F.substring("key", 1, 3), [F.col("key"), F.col("id"), F.col("size"), *map(F.col, more)], F.col("size"), "before")
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "key")
     words = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)).cast("long")
@@ -81,30 +82,35 @@ def _mix_sizes(rows: DataFrame, weights: tuple[int, ...], seed: str) -> DataFram
     rows = rows.withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
     share = F.when((F.col("taken") > 0) & (F.col("target") > 0), F.least(F.lit(1.0), F.col("before") / F.col("target")))
     rows = rows.withColumn("position", training_time(share, F.col("slope")))
-    return rows.select("id", "source", "size", "source_size", "target", "taken", "whole", "extra", "before", "slope", "position")
+    return rows.select("id", "source", "size", *more, "source_size", "target", "taken", "whole", "extra", "before", "slope", "position")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars") -> DataFrame:
     """The rows the mix trains on, in the order of their training times; a document taken k times is k rows.
 
     The last copy of a stream may be cut: such a row keeps its first words, single-spaced, and its length_col, if there is one, is made to fit.
-    Rows alike in id, source and size stand together in their stream. Where it ends among several such rows, each is taken once more with
-    the share of their words that is left, so that targets are met nearly; a single row is cut exactly. Null and empty texts have no words and go;
+    Rows alike in id, source and size stand in the order of a hash of their content; rows alike throughout are numbered, in whatever order,
+    which tells in the result which of them is which no more than before. So reruns agree, however the rows are dealt. Null and empty texts have no words and go;
     null is a source of its own; an empty table stays empty; columns of any other names are kept as they are.
     """
     columns = docs.columns
+    plain = [F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes]
+    content = F.xxhash64(*plain, *[F.col(f"`{c}`").isNull() for c in columns])  # nulls add nothing to a hash
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__all"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"),
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__all"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), content.alias("content"),
     ).where("size > 0")
-    plan = _mix_sizes(written(rows.select("id", "source", "size"), "sizes"), weights, seed)
-    plan = plan.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(
+    plan = _mix_sizes(written(rows.select("id", "source", "size", "content"), "sizes"), weights, seed)
+    plan = plan.groupBy(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("content").alias("__content")).agg(
         F.count("*").alias("alike"), F.sum("extra").alias("extra"), F.min(F.struct("before", "whole", "source_size", "target", "slope")).alias("p"),
     ).where("p.whole > 0 or extra > 0")
-    on = F.col("id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
-    taken = rows.join(plan, on).select("__all", "size", "alike", "extra", "p.*")
-    # multiples of the golden section fill 0 to 1 evenly
-    drawn = F.monotonically_increasing_id() % (1 << 20) * 648056 % (1 << 20) * F.col("alike") * F.col("size") < F.col("extra") * F.lit(1 << 20)
-    taken = taken.withColumn("extra", F.when(F.col("alike") == 1, F.col("extra")).when(drawn, F.col("size")).otherwise(0))
+    plan = written(plan, "plan")
+    on = F.col("id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size")) & (F.col("content") == F.col("__content"))
+    met = lambda some: rows.join(plan.where(some), on).select("__all", "content", "size", "extra", "p.*")
+    taken = met("alike = 1")
+    if plan.where("alike > 1").limit(1).count():
+        several = running_sum(met("alike > 1"), ["content", "size"], F.spark_partition_id(), [F.col("before")], F.col("size"), "ahead")
+        several = several.withColumns({"extra": F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("ahead"))), "before": F.col("before") + F.col("ahead")})
+        taken = taken.unionByName(several.drop("ahead"))
     copies = F.sequence(F.lit(0), F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0) - 1)
     taken = taken.where("whole > 0 or extra > 0").withColumn("copy", F.explode(copies))
     share = F.least(F.lit(1.0), (F.col("copy") * F.col("source_size") + F.col("before")) / F.col("target"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import SLICE_ROWS
+from loomwork.llm.common import SLICE_ROWS, unused
 from loomwork.operators.components import connected_components
 from loomwork.session import written
 
@@ -474,8 +474,9 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, min_words: int =
 
 
 def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the words that found, as repeated_passages gives it, lists as not kept. All rows and columns stay."""
-    spans = found.where("not kept").groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias("__spans"))
+    """docs without the words that found, as repeated_passages gives it, lists as not kept. All rows and columns, of any name, stay."""
+    of, own_spans = unused(docs.columns, "__id"), unused(docs.columns, "__spans")
+    spans = found.where("not kept").groupBy(F.col(f"`{id_col}`").alias(of)).agg(F.sort_array(F.collect_list(F.struct("start_word", "n_words"))).alias(own_spans))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -497,4 +498,5 @@ def without_passages(docs: DataFrame, found: DataFrame, id_col: str = "doc_id",
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    return docs.join(spans, F.col(f"`{id_col}`") == F.col("__id"), "left").withColumn(text_col, cut(F.col(text_col), F.col("__spans"))).select(docs.columns)
+    kept = cut(F.col(f"`{text_col}`"), F.col(own_spans))
+    return docs.join(spans, F.col(f"`{id_col}`") == F.col(of), "left").withColumn(text_col, kept).select([F.col(f"`{c}`") for c in docs.columns])

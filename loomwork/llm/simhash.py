@@ -212,8 +212,8 @@ def one_of_each(docs: DataFrame, radius: int = 2, size: int = 3, seed: int = 42,
     distinct = written(prints.groupBy("fp").agg(F.min("key").alias("least")), "distinct-fingerprints")
     groups = connected_components(link_forest(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    kept = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("__id"), F.col("least.row").alias("__row")).distinct()
-    names = [unused(docs.columns, stem) for stem in ("__id_of", "__row_of")]
+    kept = named.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("id"), F.col("least.row").alias("row")).distinct()
+    names = [unused(docs.columns, stem) for stem in ("__id_of", "__row_of", "__id", "__row")]
     rows = docs.withColumns({names[0]: F.col(f"`{id_col}`"), names[1]: own})
-    met = F.col(names[0]).eqNullSafe(F.col("__id")) & (F.col(names[1]) == F.col("__row"))
-    return rows.join(kept, met, "left_semi").dropDuplicates(names).select([F.col(f"`{c}`") for c in docs.columns])
+    met = F.col(names[0]).eqNullSafe(F.col(names[2])) & (F.col(names[1]) == F.col(names[3]))
+    return rows.join(kept.toDF(*names[2:]), met, "left_semi").dropDuplicates(names[:2]).select([F.col(f"`{c}`") for c in docs.columns])
