@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.operators.predicates import total_order
 from loomwork.operators.scoring import ranked, usage_weight
-from loomwork.session import written
+from loomwork.session import spread, written
 
 # Words that rescue terms leave out.
 RESCUE_STOP_WORDS = ["about", "does", "doing", "have", "mine", "need", "tell", "that", "this", "what", "when", "where", "which", "whose", "with", "your"]
@@ -25,7 +25,7 @@ def words_of(text: Column) -> Column:
 
 def tokens(docs: DataFrame) -> DataFrame:
     """(user_id, doc_id, token, tf, n): the inverted index, n being the document's length; docs(user_id, doc_id, raw)."""
-    words = docs.select("user_id", "doc_id", words_of(F.col("raw")).alias("ws"))
+    words = spread(docs.select("user_id", "doc_id", "raw")).select("user_id", "doc_id", words_of(F.col("raw")).alias("ws"))
     one = words.select("user_id", "doc_id", F.size("ws").cast("long").alias("n"), F.explode("ws").alias("token"))
     return one.groupBy("user_id", "doc_id", "token", "n").agg(F.count("*").alias("tf"))
 
@@ -37,7 +37,7 @@ FIELD_WEIGHTS = {"content": 3.0, "tags": 1.0}
 def field_tokens(docs: DataFrame) -> DataFrame:
     """(user_id, doc_id, field, token, tf, n) of docs(user_id, doc_id, raw, tags); n is the field's length. A null text or list has no tokens."""
     fields = F.array(F.struct(F.lit("content").alias("field"), words_of(F.col("raw")).alias("ws")), F.struct(F.lit("tags").alias("field"), words_of(F.array_join("tags", " ")).alias("ws")))
-    one = docs.select("user_id", "doc_id", F.explode(fields).alias("f"))
+    one = spread(docs.select("user_id", "doc_id", "raw", "tags")).select("user_id", "doc_id", F.explode(fields).alias("f"))
     one = one.select("user_id", "doc_id", "f.field", F.size("f.ws").cast("long").alias("n"), F.explode("f.ws").alias("token"))
     return one.groupBy("user_id", "doc_id", "field", "token", "n").agg(F.count("*").alias("tf"))
 
@@ -57,7 +57,7 @@ def bm25(queries: DataFrame, index: DataFrame, sizes: DataFrame, k: int, fuzzy:
     index as of field_tokens, sizes as of field_sizes. Frequencies and lengths are the user's and the field's own. A term stands for the words
     that fuzzy_terms gives it, each at 1 - edits / the shorter length; of a field's words that answer a term the best counts, a
     field is the weighted sum over terms, and the best field is the document's score. Only index rows of words that some query
-    asks for are joined. index is read several times: give a written one.
+    asks for are joined, and of these only the documents that promising_documents lets through are added up. index is read several times: give a written one.
     """
     asked = queries.select("query_id", "user_id", "term").where(F.length("term") > 0).distinct()
     # fuzzy reading and frequencies are worked out once for a user's term, whatever the number of queries
@@ -76,15 +76,44 @@ def bm25(queries: DataFrame, index: DataFrame, sizes: DataFrame, k: int, fuzzy:
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     words = words.select("user_id", "field", "token", "term", (idf * F.col("near")).alias("w"), "mean")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    found = words.join(held, ["user_id", "field", "token"]).groupBy("user_id", "term", "doc_id", "field").agg(F.max(part).alias("s"))
     weight = F.create_map(*[F.lit(x) for p in FIELD_WEIGHTS.items() for x in p])
-    by_field = asked.join(found, ["user_id", "term"]).groupBy("query_id", "doc_id", "field").agg((F.sum("s") * F.first(weight[F.col("field")])).alias("s"))
+    found = words.join(held, ["user_id", "field", "token"]).groupBy("user_id", "term", "field", "doc_id").agg((F.max(part) * F.first(weight[F.col("field")])).alias("s"))
+    found = written(found, "postings")
+    hopeful = promising_documents(asked, found, k)
+    by_field = asked.join(found, ["user_id", "term"]).join(hopeful, ["query_id", "field", "doc_id"], "left_semi").groupBy("query_id", "doc_id", "field").agg(F.sum("s").alias("s"))
     hits = by_field.groupBy("query_id", "doc_id").agg(F.max("s").alias("s"))
     best = hits.groupBy("query_id").agg(F.max("s").alias("best"))
     rows = hits.join(best, "query_id").select("query_id", "doc_id", F.round(F.col("s") / F.col("best"), 6).alias("score"))
     return ranked(rows, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
+def promising_documents(asked: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """(query_id, field, doc_id): all documents that can be among the k best of asked(query_id, user_id, term), and few others.
+
+    postings(user_id, term, field, doc_id, s). Each list is cut into blocks, a block for each halving of its largest score. The k best of each list
+    give every query a k-th score that is reached for certain. A document whose score is to reach it
+    must stand in a list other than the smallest ones that together cannot, and in a block whose largest score
+    with the largest of all other lists reaches it. Lists and blocks that fail this are not read.
+    """
+    top = postings.groupBy("user_id", "term", "field").agg(F.max("s").alias("most"))
+    level = F.least(F.lit(20), F.floor(F.log2(F.col("most") / F.col("s")))).cast("int")
+    placed = written(postings.join(top, ["user_id", "term", "field"]).withColumn("block", level).drop("most"), "blocks")
+    largest = placed.groupBy("user_id", "term", "field", "block").agg(F.max("s").alias("most"))
+
+    first = ranked(postings, ["user_id", "term", "field"], [F.col("s").desc(), F.col("doc_id")], k).drop("rank")
+    sure = asked.join(first, ["user_id", "term"]).groupBy("query_id", "doc_id", "field").agg(F.sum("s").alias("s")).groupBy("query_id", "doc_id").agg(F.max("s").alias("s"))
+    kth = ranked(sure, ["query_id"], [F.col("s").desc(), F.col("doc_id")], k).where(F.col("rank") == k).select("query_id", F.col("s").alias("kth"))
+
+    lists = asked.join(top, ["user_id", "term"])
+    small = Window.partitionBy("query_id", "field").orderBy("most", "term")  # a query's terms
+    lists = lists.withColumns({"upto": F.sum("most").over(small), "all": F.sum("most").over(Window.partitionBy("query_id", "field"))}).join(kth, "query_id", "left")
+    # scores are compared after rounding to six digits of the best one
+    need = F.coalesce("kth", F.lit(0.0)) - F.col("all") * 2e-6
+    lists = lists.withColumn("need", need).where(F.col("upto") >= F.col("need")).withColumn("others", F.col("all") - F.col("most")).drop("most")
+    blocks = lists.join(largest, ["user_id", "term", "field"]).where(F.col("most") + F.col("others") >= F.col("need"))
+    return blocks.select("query_id", "user_id", "term", "field", "block").join(placed, ["user_id", "term", "field", "block"]).select("query_id", "field", "doc_id").distinct()
+
+
 def keyword_rank(queries: DataFrame, index: DataFrame, k: int = 100, docs: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): documents with all of a query's terms and none of those with a leading minus.
 
@@ -115,29 +144,23 @@ def keyword_rank(queries: DataFrame, index: DataFrame, k: int = 100, docs: DataF
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, token): tokens within 0 edits of terms up to two letters, one of those up to five, two of longer ones.
 
-    Terms and tokens meet by deletion: two words within e edits share a form that deleting up to e letters from each makes, so
-    the vocabulary is joined by equality and checked by the distance.
+    A token is cut into one piece more than edits are allowed, so one piece stands unchanged in the term, shifted by no more letters than
+    edits. A token gives its few pieces; a term, of which there are fewer, gives what may be a piece of a token of each length that it can be close to. They meet by equality and are checked by the distance.
     """
-    def forms(word: Column, edits: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word)))
-        one = F.transform(places, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
-        # a second letter is dropped behind the first, so that each two are dropped once
-        two = F.flatten(F.transform(places, lambda i: F.transform(F.slice(places, i + 1, F.length(word)), lambda j: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1, j - i - 1), F.substr(word, j + 1)))))
-        none = F.array().cast("array<string>")
-        return F.array_distinct(F.concat(F.array(word), F.when(edits >= 1, one).otherwise(none), F.when(edits >= 2, two).otherwise(none)))
-
-    def dealt(words: DataFrame) -> DataFrame:
-        # forms are some fifty times the words: without this, adaptive execution would gather small shuffles of words into one task
-        return words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.columns[0])
-
-    def edits(word: Column) -> Column:
-        return F.when(F.length(word) <= 2, 0).when(F.length(word) <= 5, 1).otherwise(2)
-
-    t = dealt(terms.select("term").distinct()).withColumn("e", edits(F.col("term")))
-    left = t.select("term", "e", F.explode(forms(F.col("term"), F.col("e"))).alias("form"))
-    # a token can be two letters shorter or longer than the term it is close to
-    right = dealt(vocabulary.select("token").distinct()).withColumn("form", F.explode(forms(F.col("token"), F.when(F.length("token") <= 1, 0).when(F.length("token") <= 3, 1).otherwise(2))))
-    met = left.join(right, "form").select("term", "e", "token").distinct()
+    allowed = "case when length(term) <= 2 then 0 when length(term) <= 5 then 1 else 2 end"
+    start, size = "(i * n) div (e + 1)", "((i + 1) * n) div (e + 1) - (i * n) div (e + 1)"
+    pieces = f"transform(sequence(0, e), i -> struct(e, n, i, substring(token, cast({start} as int) + 1, cast({size} as int)) as piece))"
+    # a token can be as many letters shorter or longer than a term as edits are allowed
+    near = {0: "n <= 2", 1: "n between 2 and 6", 2: "n >= 4"}
+    tokens = vocabulary.select("token").distinct().withColumn("n", F.length("token"))
+    right = tokens.select("token", "n", F.explode(F.expr("filter(array(" + ", ".join(f"case when {n} then {e} end" for e, n in near.items()) + "), x -> x is not null)")).alias("e"))
+    right = right.select("token", F.inline(F.expr(pieces)))
+    t = terms.select("term").distinct().withColumns({"e": F.expr(allowed), "m": F.length("term")})
+    t = t.withColumn("n", F.explode(F.expr("sequence(greatest(0, m - e), m + e)"))).withColumn("i", F.explode(F.expr("sequence(0, e)")))
+    t = t.withColumns({"start": F.expr(f"cast({start} as int)"), "size": F.expr(f"cast({size} as int)")})
+    shifts = "transform(filter(sequence(start - e, start + e), s -> s >= 0 and s + size <= m), s -> substring(term, s + 1, size))"
+    left = t.select("term", "e", "n", "i", F.explode(F.array_distinct(F.expr(shifts))).alias("piece"))
+    met = left.join(right, ["e", "n", "i", "piece"]).select("term", "e", "token").distinct()
     return met.where(F.levenshtein("term", "token") <= F.col("e")).select("term", "token")
 
 
