@@ -30,7 +30,7 @@ from loomwork.session import written
 
 LONGEST = 4
 #: Words of a chunk, whose suffixes are counted together before they move.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
 #: A pair or triple is hot if it leads more than one in so many suffixes.
 HOT_SHARE = 4096
 #: Suffixes of a task, at most about so many.
@@ -56,8 +56,8 @@ class Chunks:
         self.seed, self.numbers = seed, {}
 
     def words(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-        """(language, words, their numbers); words take the room of several numbers, so these chunks are smaller."""
-        for lang, texts in self._held(batches, CHUNK_WORDS // 4, lambda lang, words: words):
+        """(language, words, their numbers)"""
+        for lang, texts in self._held(batches, CHUNK_WORDS, lambda lang, words: words):
             words = [w for words in texts for w in words]
             yield lang, words, self.of(lang, words)
 
