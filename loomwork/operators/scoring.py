@@ -225,10 +225,21 @@ def graph_boost(ranked_rows: DataFrame, graph: DataFrame, factor: float = 1.2) -
     return rows.select("query_id", "doc_id", F.round(F.when(both, F.col("score") * factor).otherwise(F.coalesce("score", "graph_score")), 6).alias("score"))
 
 
-def surface_insights(found: DataFrame, near: DataFrame, k: int = 25, least: float = 0.3) -> DataFrame:
-    """found(query_id, doc_id, score) and the k most important of near(query_id, doc_id, similarity, importance) that it lacks, at similarity + 0.3 importance."""
-    new = near.where(F.col("similarity") > least).join(found, ["query_id", "doc_id"], "left_anti")
-    new = ranked(new, ["query_id"], [F.col("importance").desc(), F.col("similarity").desc(), F.col("doc_id")], k)
+def insight_pool(memories: DataFrame, now: str, days: int = 14, least: float = 0.6, k: int = 25, keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """(keys, doc_id, importance): of memories(keys, memory_id, layer, importance, created_at) each key's k most important insights of the last days, newest first among equals."""
+    recent = F.col("created_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")
+    rows = memories.where((F.col("layer") == "INSIGHT") & (F.col("importance") >= least) & recent)
+    best = ranked(rows, list(keys), [F.col("importance").desc(), F.col("created_at").desc(), F.col("memory_id")], k)
+    return best.select(*keys, F.col("memory_id").alias("doc_id"), "importance")
+
+
+def surface_insights(found: DataFrame, near: DataFrame, pool: DataFrame, least: float = 0.3) -> DataFrame:
+    """found(query_id, doc_id, score) with the insights that it lacks, at similarity + 0.3 importance.
+
+    pool(query_id, doc_id, importance) holds those that importance lets in, as of insight_pool; nearness does not add to it: of these, the ones among
+    near(query_id, doc_id, similarity) above `least` are surfaced.
+    """
+    new = near.where(F.col("similarity") > least).join(pool, ["query_id", "doc_id"]).join(found, ["query_id", "doc_id"], "left_anti")
     return found.select("query_id", "doc_id", "score").unionAll(new.select("query_id", "doc_id", F.round(F.col("similarity") + 0.3 * F.col("importance"), 6)))
 
 

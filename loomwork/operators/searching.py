@@ -34,43 +34,35 @@ def tokens(docs: DataFrame) -> DataFrame:
 FIELD_WEIGHTS = {"content": 3.0, "tags": 1.0}
 
 
-def field_tokens(docs: DataFrame) -> DataFrame:
-    """(user_id, doc_id, field, token, tf, n) of docs(user_id, doc_id, raw, tags); n is the field's length. A null text or list has no tokens."""
+def field_words(docs: DataFrame) -> DataFrame:
+    """(user_id, doc_id, field, ws) of docs(user_id, doc_id, raw, tags): each field's words in order. A null text or list, and one without words, has no row."""
     fields = F.array(F.struct(F.lit("content").alias("field"), words_of(F.col("raw")).alias("ws")), F.struct(F.lit("tags").alias("field"), words_of(F.array_join("tags", " ")).alias("ws")))
-    one = spread(docs.select("user_id", "doc_id", "raw", "tags")).select("user_id", "doc_id", F.explode(fields).alias("f"))
-    one = one.select("user_id", "doc_id", "f.field", F.size("f.ws").cast("long").alias("n"), F.explode("f.ws").alias("token"))
-    return one.groupBy("user_id", "doc_id", "field", "token", "n").agg(F.count("*").alias("tf"))
+    one = spread(docs.select("user_id", "doc_id", "raw", "tags")).select("user_id", "doc_id", F.inline(fields))
+    return one.where(F.size("ws") > 0)
 
 
-def field_sizes(docs: DataFrame) -> DataFrame:
-    """(user_id, field, docs, mean): how many documents of a user have the field, and their mean length; one partial aggregate over docs, no index needed."""
-    sizes = docs.select("user_id", F.size(words_of(F.col("raw"))).alias("content"), F.size(words_of(F.array_join("tags", " "))).alias("tags"))
-    some = lambda c: F.when(F.col(c) > 0, F.col(c))
-    both = sizes.groupBy("user_id").agg(*[g(some(c)).alias(f"{c}_{n}") for c in FIELD_WEIGHTS for n, g in (("docs", F.count), ("mean", F.avg))])
-    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}_docs").alias("docs"), F.col(f"{c}_mean").alias("mean")) for c in FIELD_WEIGHTS])
-    return both.select("user_id", F.explode(rows).alias("f")).select("user_id", "f.*")
-
-
-def bm25(queries: DataFrame, index: DataFrame, sizes: DataFrame, k: int, fuzzy: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, fields: DataFrame, k: int, fuzzy: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 of queries(query_id, user_id, term) in their user's documents, over the query's best score.
 
-    index as of field_tokens, sizes as of field_sizes. Frequencies and lengths are the user's and the field's own. A term stands for the words
+    fields as of field_words. Frequencies and lengths are the user's and the field's own. A term stands for the words
     that fuzzy_terms gives it, each at 1 - edits / the shorter length; of a field's words that answer a term the best counts, a
-    field is the weighted sum over terms, and the best field is the document's score. Only index rows of words that some query
-    asks for are joined, and of these only the documents that promising_documents lets through are added up. index is read several times: give a written one.
+    field is the weighted sum over terms, and the best field is the document's score. Only words that some query
+    asks for are counted and shuffled, and of their documents only those that promising_documents lets through are added up. fields is read several times: give a written one.
     """
     asked = queries.select("query_id", "user_id", "term").where(F.length("term") > 0).distinct()
     # fuzzy reading and frequencies are worked out once for a user's term, whatever the number of queries
     terms = asked.select("user_id", "term").distinct()
     if fuzzy:
-        met = written(fuzzy_terms(terms, index), "fuzzy")
+        vocabulary = fields.select(F.explode(F.array_distinct("ws")).alias("token")).distinct()
+        met = written(fuzzy_terms(terms, vocabulary), "fuzzy")
         terms = terms.join(met, "term")
         near = 1 - F.levenshtein("term", "token") / F.least(F.length("term"), F.length("token")).cast("double")
     else:
         terms, near = terms.withColumn("token", F.col("term")), F.lit(1.0)
     terms = terms.select("user_id", "term", "token", near.alias("near"))
-    held = index.join(terms.select("user_id", "token").distinct(), ["user_id", "token"], "left_semi")
-    held = written(held, "held")
+    sizes = fields.groupBy("user_id", "field").agg(F.count("*").alias("docs"), F.avg(F.size("ws")).alias("mean"))
+    held = fields.select("user_id", "doc_id", "field", F.size("ws").cast("long").alias("n"), F.explode("ws").alias("token")).join(terms.select("user_id", "token").distinct(), ["user_id", "token"], "left_semi")
+    held = written(held.groupBy("user_id", "doc_id", "field", "token", "n").agg(F.count("*").alias("tf")), "held")
     df = held.groupBy("user_id", "field", "token").agg(F.count("*").alias("df"))
     words = df.join(sizes, ["user_id", "field"]).join(terms, ["user_id", "token"])
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -97,7 +89,7 @@ def promising_documents(asked: DataFrame, postings: DataFrame, k: int) -> DataFr
     """
     top = postings.groupBy("user_id", "term", "field").agg(F.max("s").alias("most"))
     level = F.least(F.lit(20), F.floor(F.log2(F.col("most") / F.col("s")))).cast("int")
-    placed = written(postings.join(top, ["user_id", "term", "field"]).withColumn("block", level).drop("most"), "blocks")
+    placed = postings.join(top, ["user_id", "term", "field"]).withColumn("block", level).drop("most")
     largest = placed.groupBy("user_id", "term", "field", "block").agg(F.max("s").alias("most"))
 
     first = ranked(postings, ["user_id", "term", "field"], [F.col("s").desc(), F.col("doc_id")], k).drop("rank")
@@ -158,10 +150,11 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     t = terms.select("term").distinct().withColumns({"e": F.expr(allowed), "m": F.length("term")})
     t = t.withColumn("n", F.explode(F.expr("sequence(greatest(0, m - e), m + e)"))).withColumn("i", F.explode(F.expr("sequence(0, e)")))
     t = t.withColumns({"start": F.expr(f"cast({start} as int)"), "size": F.expr(f"cast({size} as int)")})
-    shifts = "transform(filter(sequence(start - e, start + e), s -> s >= 0 and s + size <= m), s -> substring(term, s + 1, size))"
+    # a piece i has at most i edits before it or at most e - i behind it, so it is shifted no more than that, counted from the left or from the right
+    shifts = "transform(filter(sequence(start - e, start + e), s -> s >= 0 and s + size <= m and abs(s - start) <= i and abs(s - start - m + n) <= e - i), s -> substring(term, s + 1, size))"
     left = t.select("term", "e", "n", "i", F.explode(F.array_distinct(F.expr(shifts))).alias("piece"))
     met = left.join(right, ["e", "n", "i", "piece"]).select("term", "e", "token").distinct()
-    return met.where(F.levenshtein("term", "token") <= F.col("e")).select("term", "token")
+    return met.where(F.levenshtein("term", "token", 2).between(0, F.col("e"))).select("term", "token")
 
 
 def lexical_rescue(queries: DataFrame, memories: DataFrame, k: int = 20, index: DataFrame | None = None) -> DataFrame:
@@ -301,35 +294,56 @@ def recall_multi(hits: DataFrame, memories: DataFrame, now: str, limit: int = 10
 IDENTITY_WORDS = ["developer", "building"]
 
 
-def recall_candidates(queries: DataFrame, memories: DataFrame, vectors: DataFrame, graph: DataFrame, now: str, limit: int = 10, depth: int = 50) -> DataFrame:
+def keyed_by_scope(queries: DataFrame, rows: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """Both with `user_id` replaced by what a query searches: its user, or with a scope its user's rows of that scope.
+
+    queries(user_id, scope, ...), rows(user_id, the column `scope` names, ...). A row stands under its user and again under each scope that some query asks
+    for, so any search by user keeps to the scope, and cuts its lists only after it.
+    """
+    key = lambda scope: F.concat_ws("\0", F.col("user_id").cast("string"), scope.cast("string"))
+    wanted = queries.where(F.col("scope").isNotNull()).select("user_id", F.col("scope").alias(scope)).distinct()
+    # all of a user's rows get the key of the empty scope, which none with a scope has
+    whole = rows.withColumn("user_id", key(F.lit("")))
+    part = rows.join(wanted, ["user_id", scope], "left_semi").withColumn("user_id", key(F.concat(F.lit("="), F.col(scope).cast("string"))))
+    return queries.withColumn("user_id", key(F.coalesce(F.concat(F.lit("="), F.col("scope").cast("string")), F.lit("")))).drop("scope"), whole.unionByName(part)
+
+
+def recall_candidates(queries: DataFrame, memories: DataFrame, vectors: DataFrame, graph: DataFrame, now: str, limit: int = 10, depth: int = 50, scope: str | None = None) -> DataFrame:
     """(query_id, memory_id, score, rank): the whole read path, searches included, up to the ranked list that diversify takes.
 
     queries(query_id, user_id, text, q unit vector or null, starts, ends: a soft window or nulls), memories(memory_id, user_id, raw, layer, tags,
     importance, created_at, used_count, last_used_at and the columns of survivors), vectors(memory_id, v unit vector), graph(query_id, doc_id,
     score): what a graph search finds. Only survivors are searched. Vector hits (the max(200, 20 * limit) nearest of the user) keep their
     similarity; keyword hits that are new enter at 1 / (60 + rank), rescued ones at 1 / 61. Then the soft window, use, graph hits, the user's
-    25 most important insights among the 50 nearest, the blend with importance and the moods of query and memory, and the total order.
-    A null text or vector only takes its search away.
+    25 most important insights of the last 14 days among the 50 nearest, the blend with importance and the moods of query and memory, and the total order.
+    A null text or vector only takes its search away. scope names a column of memories: queries then have a column `scope` too, and
+    one with a scope that is not null has all its searches, the graph's hits and the pool of insights, in the rows of that scope only.
     """
     from loomwork.operators.analytics import hours_before
     from loomwork.operators.predicates import survivors
-    from loomwork.operators.scoring import final_blend, graph_boost, polarity, sentiment_penalty, soft_window_boost, surface_insights
+    from loomwork.operators.scoring import final_blend, graph_boost, insight_pool, polarity, sentiment_penalty, soft_window_boost, surface_insights
     from loomwork.operators.vectors import knn
 
     alive = survivors(memories)
-    facts = alive.select(
-        "memory_id", "user_id", "layer", "importance", "created_at", "used_count", "last_used_at", polarity(F.coalesce("raw", F.lit(""))).alias("mood"),
-    )
+    mood = polarity(F.coalesce("raw", F.lit(""))).alias("mood")
+    facts = spread(alive).select("memory_id", "user_id", "layer", "importance", "created_at", "used_count", "last_used_at", "tags", *([scope] if scope else []), mood, words_of(F.col("raw")).alias("words"))
     facts = written(facts, "facts")
-    own = vectors.join(facts.select("memory_id", "user_id", "layer", "importance", "created_at"), "memory_id").withColumnRenamed("memory_id", "vec_id")
+    placed = facts.drop("words", "mood")
+    if scope:
+        asked_keys, placed = keyed_by_scope(queries, placed, scope)
+        placed, queries = written(placed, "by-scope"), asked_keys
+    own = vectors.join(placed.select("memory_id", "user_id", "layer"), "memory_id").withColumnRenamed("memory_id", "vec_id")
+    own = written(own, "own-vectors")
     q = queries.where(F.col("q").isNotNull()).select("query_id", "user_id", "q")
     near = written(knn(q, own.select("vec_id", "user_id", "v"), max(200, 20 * limit)).select("query_id", F.col("vec_id").alias("memory_id"), F.col("similarity").alias("score")), "near")
 
     said = queries.where(F.col("text").isNotNull())
-    index = written(tokens(alive.select("user_id", F.col("memory_id").alias("doc_id"), "raw")), "index")
-    found = keyword_rank(said.select("query_id", "user_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term")), index)
-    rescued = lexical_rescue(said.select("query_id", "user_id", rescue_terms(F.col("text")).alias("terms")), facts, index=index)
-    selves = identity_rescue(said.select("query_id", "user_id", "text"), alive, IDENTITY_WORDS)
+    keywords = said.select("query_id", "user_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("term"))
+    rescues = said.select("query_id", "user_id", rescue_terms(F.col("text")).alias("terms"))
+    index = written(index_of_terms(keywords, rescues, facts, placed), "index")
+    found = keyword_rank(keywords, index.where("tf > 0").drop("word"))
+    rescued = rescued_rows(rescues, index, facts)
+    selves = identity_rescue(said.select("query_id", "user_id", "text"), alive.drop("user_id").join(placed.select("memory_id", "user_id"), "memory_id"), IDENTITY_WORDS)
     prior = lambda df, score, place: df.select("query_id", "memory_id", score.alias("score"), F.lit(place).alias("place"))
     every = prior(near, F.col("score"), 0).unionAll(prior(found.withColumnRenamed("doc_id", "memory_id"), 1.0 / (60 + F.col("rank")), 1))
     every = every.unionAll(prior(rescued.unionByName(selves), F.lit(1.0 / 61), 2))
@@ -340,11 +354,12 @@ def recall_candidates(queries: DataFrame, memories: DataFrame, vectors: DataFram
     days = hours_before(now, F.col("last_used_at")) / 24
     used = usage_weight(soft_window_boost(F.col("score"), F.col("created_at"), F.col("starts"), F.col("ends")), F.col("used_count"), days, F.lit(0))
     rows = written(rows.select("query_id", F.col("memory_id").alias("doc_id"), used.alias("score")), "recalled")
-    linked = graph.join(facts.select(F.col("memory_id").alias("doc_id")), "doc_id", "left_semi")
+    own_query = graph.join(queries.select("query_id", "user_id"), "query_id")
+    linked = own_query.join(placed.select(F.col("memory_id").alias("doc_id"), "user_id"), ["doc_id", "user_id"], "left_semi").select(graph.columns) if scope else graph.join(facts.select(F.col("memory_id").alias("doc_id")), "doc_id", "left_semi")
     boosted = graph_boost(rows, linked)
-    insights = ranked(own.where("layer = 'INSIGHT' and importance >= 0.6"), ["user_id"], [F.col("importance").desc(), F.col("created_at").desc(), F.col("vec_id")], 25).select("vec_id", "importance")
-    closest = knn(q, own.where("layer = 'INSIGHT'").select("vec_id", "user_id", "v"), 50).join(insights, "vec_id")
-    surfaced = surface_insights(boosted, closest.select("query_id", F.col("vec_id").alias("doc_id"), "similarity", "importance"))
+    pool = insight_pool(placed.join(vectors.select("memory_id"), "memory_id", "left_semi"), now)
+    closest = knn(q, own.where("layer = 'INSIGHT'").select("vec_id", "user_id", "v"), 50).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
+    surfaced = surface_insights(boosted, closest, queries.select("query_id", "user_id").join(pool, "user_id").drop("user_id"))
 
     last = surfaced.withColumnRenamed("doc_id", "memory_id").join(facts.select("memory_id", "importance", "created_at", "mood"), "memory_id").join(asked.select("query_id", "asked_mood"), "query_id")
     last = last.join(near.withColumnRenamed("score", "vector_score"), ["query_id", "memory_id"], "left")
@@ -352,6 +367,39 @@ def recall_candidates(queries: DataFrame, memories: DataFrame, vectors: DataFram
     return ranked(last.withColumn("score", F.round(blend, 6)), ["query_id"], total_order(), depth).select("query_id", "memory_id", "score", "rank")
 
 
+def index_of_terms(keywords: DataFrame, rescues: DataFrame, facts: DataFrame, placed: DataFrame) -> DataFrame:
+    """(user_id, doc_id, token, tf, n, word): of the words of all memories those that a keyword is or a rescue term stands in, for both searches.
+
+    A keyword's row has its count tf; a rescue term's (token) has 0 and the word that holds it. facts(memory_id, words) holds each memory's words in order, so that no text is
+    split again.
+    """
+    terms = keywords.select(F.col("term").alias("word")).distinct()
+    pieces = written(rescues.select(F.explode("terms").alias("term")).distinct(), "rescue-terms")
+    # a rescue term stands in a word: they meet by the term's first three letters, of which the vocabulary keeps only those that some term begins with
+    starts = pieces.select("term", F.substring("term", 1, 3).alias("t"))
+    threes = F.transform(F.sequence(F.lit(1), F.length("word") - 2), lambda i: F.substr("word", i, F.lit(3)))
+    vocabulary = facts.select(F.explode("words").alias("word")).where(F.length("word") >= 3).distinct()
+    grams = vocabulary.select("word", F.explode(F.array_distinct(threes)).alias("t"))
+    held = written(grams.join(starts, "t").where(F.contains("word", "term")).select("term", "word"), "held-words")
+    wanted = terms.unionAll(held.select("word")).distinct()
+    met = facts.select("memory_id", F.size("words").cast("long").alias("n"), F.explode("words").alias("word")).join(wanted, "word")
+    counted = written(met.groupBy("memory_id", "word", "n").agg(F.count("*").alias("tf")), "counted")
+    rows = counted.join(terms, "word").select("memory_id", F.col("word").alias("token"), "tf", "n", F.lit(None).cast("string").alias("word"))
+    rows = rows.unionAll(counted.join(held, "word").select("memory_id", F.col("term").alias("token"), F.lit(0).cast("long"), F.lit(0).cast("long"), "word"))
+    return rows.join(placed.select("memory_id", "user_id"), "memory_id").withColumnRenamed("memory_id", "doc_id")
+
+
+def rescued_rows(rescues: DataFrame, index: DataFrame, facts: DataFrame, k: int = 20) -> DataFrame:
+    """(query_id, memory_id, rank): lexical_rescue over an index of index_of_terms."""
+    order = [F.col("importance").desc(), F.col("created_at").desc(), F.col("memory_id")]
+    asked = rescues.select("query_id", "user_id", F.explode("terms").alias("term")).distinct()
+    found = index.where("tf = 0").select("user_id", F.col("token").alias("term"), F.col("doc_id").alias("memory_id")).distinct()
+    found = found.join(facts.select("memory_id", "importance", "created_at"), "memory_id")
+    best = ranked(found, ["user_id", "term"], order, k).drop("rank")
+    rows = asked.join(best, ["user_id", "term"]).select("query_id", "memory_id", "importance", "created_at").distinct()
+    return ranked(rows, ["query_id"], order, k).select("query_id", "memory_id", "rank")
+
+
 def recall_texts(candidates: DataFrame, memories: DataFrame, limit: int = 10) -> DataFrame:
     """(query_id, place, memory_id): the first `limit` of recall_candidates without near copies; only the candidates' texts are read."""
     from loomwork.operators.scoring import diversify

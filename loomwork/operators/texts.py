@@ -43,8 +43,17 @@ LAYER_PATTERNS = {
 }
 
 
-def classify_layer(text: Column, memory_type: Column | None = None) -> Column:
+# People who make a text about a person one about the user.
+CLOSE_PEOPLE = r"\b(wife|husband|daughter|son|friend|colleague)\b"
+
+
+def classify_layer(text: Column, memory_type: Column | None = None, entities: Column | None = None, who: Column | None = None) -> Column:
+    """The layer of a text by patterns; where none is found, by its entities array<struct<type>>: a project or organisation makes it PROJECT, a person with `who` IDENTITY if the text names someone close."""
     out = F.lit("SESSION")
+    if entities is not None:
+        has = lambda *types: F.coalesce(F.exists(entities, lambda e: e["type"].isin(*types)), F.lit(False))
+        close = has("person") & (F.lit(False) if who is None else F.coalesce(who != "", F.lit(False))) & any_of(text, [CLOSE_PEOPLE])
+        out = F.when(has("project", "organization"), "PROJECT").when(close, "IDENTITY").otherwise(out)
     for layer in reversed(LAYER_PATTERNS):
         out = F.when(any_of(text, LAYER_PATTERNS[layer]), layer).otherwise(out)
     return out if memory_type is None else F.when(memory_type == "TASK", "TASK").otherwise(out)

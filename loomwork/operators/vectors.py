@@ -20,8 +20,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """The vector over its length, as doubles; a zero vector stays zero. Done once for a row, so pairs cost a dot product."""
-    norm = F.sqrt(dot(vector, vector))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(F.lit(0.0)))
+    # the length is a lambda's variable, else it would be worked out again for each component
+    norm = F.array(F.sqrt(dot(vector, vector)))
+    return F.get(F.transform(norm, lambda n: F.transform(vector, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))), F.lit(0))
 
 
 def checked(df: DataFrame, column: str, dimensions: int) -> DataFrame:

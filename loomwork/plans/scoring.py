@@ -136,11 +136,17 @@ def graph_boost(spark, d):
     return S.graph_boost(h.where("variant = 'v0'"), h.where("variant = 'v2'"))
 
 
-@query(H + ", f as (select query_id, doc_id, score from hits where variant = 'v0'), n as (select query_id, doc_id, score as sim, cast((doc_id * 53) % 101 as double) / 100 as imp from hits h where variant = 'v3' and score > 0.3::double and not exists (select 1 from f where f.query_id = h.query_id and f.doc_id = h.doc_id)), k as (select *, row_number() over (partition by query_id order by imp desc, sim desc, doc_id) as r from n) select * from f union all select query_id, doc_id, round(sim + 0.3::double * imp, 6) from k where r <= 5")
+@query(
+    view_sql("hits", "memories") + f", f as (select query_id, doc_id, score from hits where variant = 'v0'), n as (select query_id, doc_id, score as sim from hits where variant = 'v3'), k as (select *, row_number() over (partition by user_id order by importance desc, created_at desc, memory_id) as r from memories where layer in ('INSIGHT', 'TASK') and importance >= 0.6 and created_at >= timestamp '{NOW}' - interval 14 day)"
+    ", p as (select memory_id as doc_id, importance from k where r <= 25) select * from f union all select query_id, doc_id, round(sim + 0.3::double * importance, 6) from n join p using (doc_id) where sim > 0.3::double and not exists (select 1 from f where f.query_id = n.query_id and f.doc_id = n.doc_id)"
+)
 def surface_insights(spark, d):
     h = view(spark, d, "hits")
-    near = h.where("variant = 'v3'").select("query_id", "doc_id", F.col("score").alias("similarity"), (((F.col("doc_id") * 53) % 101).cast("double") / 100).alias("importance"))
-    return S.surface_insights(h.where("variant = 'v0'"), near, 5)
+    # the given texts have no layer of insights; tasks stand in for it
+    told = view(spark, d, "memories").withColumn("layer", F.when(F.col("layer") == "TASK", "INSIGHT").otherwise(F.col("layer")))
+    near = h.where("variant = 'v3'").select("query_id", "doc_id", F.col("score").alias("similarity"))
+    pool = near.select("query_id", "doc_id").join(S.insight_pool(told, NOW).drop("user_id"), "doc_id")
+    return S.surface_insights(h.where("variant = 'v0'"), near, pool)
 
 
 @query(M + ", w as (select unnest(tags) as topic, count(*) as n from memories where used_count > 3 group by 1), x as (select topic, 2 - 2.0::double ** (-(n % 40) / 15.0::double) as weight from w), p as (select memory_id, max(weight) as w from (select memory_id, unnest(tags) as topic from memories) join x using (topic) group by 1) select memory_id, round(effective * coalesce(w, 1.0::double), 6) as score from memories left join p using (memory_id)")

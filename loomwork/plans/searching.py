@@ -38,12 +38,12 @@ r as (select query_id, doc_id, round(s / max(s) over (partition by query_id), 6)
 
 def fields(spark, d):
     m = view(spark, d, "memories").select("user_id", F.col("memory_id").alias("doc_id"), "raw", "tags")
-    return written(S.field_tokens(m), "index"), S.field_sizes(m)
+    return written(S.field_words(m), "fields")
 
 
 @query(M + _BM + " select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 10")
 def bm25(spark, d):
-    return S.bm25(asked(spark, d), *fields(spark, d), 10)
+    return S.bm25(asked(spark, d), fields(spark, d), 10)
 
 
 @query(M + _Q + _IDX + ", qn as (select *, row_number() over (partition by query_id order by term) as i from qt), need as (select query_id, user_id, term from qn where i <= 2), ban as (select query_id, user_id, term from qn where i = 3), c as (select query_id, count(*) as need from need group by 1), h as (select need.query_id, doc_id, count(*) as have, sum(tf / (tf + 1.0::double)) as s, max(n) as n from need join idx on idx.user_id = need.user_id and idx.token = need.term group by 1, 2), k as (select h.* from h join c using (query_id) where have = need and not exists (select 1 from ban b join idx i on i.user_id = b.user_id and i.token = b.term where b.query_id = h.query_id and i.doc_id = h.doc_id)), r as (select query_id, doc_id, round(s / (1 + ln(n::double)), 6) as score from k) select query_id, doc_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from r) where rank <= 100")
@@ -200,16 +200,16 @@ def _mood(text: str) -> str:
 _ASK = "case when memory_id % 60 = 0 then 'Who am I? ' when memory_id % 60 = 20 then 'So happy about ' else '' end || array_to_string(string_split(raw, ' ')[3:5], ' ')"
 _WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
 _SEARCH = (
-    M + f", a as (select * from memories where {_SURV}), q as (select memory_id as query_id, user_id, session_id, {_ASK} as text, memory_id % 40 = 0 as soft from memories where memory_id % 20 = 0), v as (select vec_id as memory_id, user_id, layer, importance, created_at, embedding from embeddings join a on vec_id = memory_id),"
-    " qv as (select query_id, user_id, embedding as q from q join embeddings on vec_id = query_id), c as (select query_id, v.*, round(list_cosine_similarity(q::double[], embedding::double[]), 6) as sim from qv join v using (user_id) where query_id <> memory_id), near as (select query_id, memory_id, sim as score from (select *, row_number() over (partition by query_id order by sim desc, memory_id) as r from c) where r <= 200),"
+    M + f", a as (select * replace (case layer when 'TASK' then 'INSIGHT' else layer end as layer) from memories where {_SURV}), q as (select memory_id as query_id, user_id, session_id, {_ASK} as text, memory_id % 40 = 0 as soft, case when memory_id % 40 = 20 then project_id end as scope from memories where memory_id % 20 = 0), v as (select vec_id as memory_id, user_id, layer, importance, created_at, project_id, embedding from embeddings join a on vec_id = memory_id),"
+    " qv as (select query_id, user_id, scope, embedding as q from q join embeddings on vec_id = query_id), c as (select query_id, v.*, round(list_cosine_similarity(q::double[], embedding::double[]), 6) as sim from qv join v using (user_id) where query_id <> memory_id and (scope is null or project_id = scope)), near as (select query_id, memory_id, sim as score from (select *, row_number() over (partition by query_id order by sim desc, memory_id) as r from c) where r <= 200),"
     f" tw as (select memory_id, user_id, {_WORDS.format('raw')} as ws from a), w as (select memory_id, user_id, len(ws) as n, unnest(ws) as token from tw), idx as (select user_id, memory_id, token, count(*) as tf, any_value(n) as n from w group by 1, 2, 3), qt as (select query_id, user_id, unnest(list_distinct({_WORDS.format('text')})) as token from q), need as (select query_id, count(*) as need from qt group by 1),"
-    " kh as (select query_id, memory_id, count(*) as have, sum(tf / (tf + 1.0::double)) as s, max(n) as n from qt join idx using (user_id, token) group by 1, 2), ks as (select query_id, memory_id, round(s / (1 + ln(n::double)), 6) as s from kh join need using (query_id) where have = need), kw as (select * from (select *, row_number() over (partition by query_id order by s desc, memory_id) as rank from ks) where rank <= 100),"
-    f" ra as (select query_id, user_id, {_TERMS.replace('raw', 'text')} as ts from q), rt as (select query_id, user_id, list_filter(ts, lambda x, i: list_position(ts, x) = i)[1:8] as terms from ra), lr as (select query_id, memory_id from (select query_id, memory_id, row_number() over (partition by query_id order by importance desc, created_at desc, memory_id) as r from rt join a using (user_id) where len(list_filter(terms, lambda t: contains(lower(raw), t))) > 0) where r <= 20),"
-    " ir as (select query_id, memory_id from (select query_id, memory_id, row_number() over (partition by query_id order by importance desc, created_at desc, memory_id) as r from q join a using (user_id) where query_id % 60 = 0 and (list_has_any(tags, ['identity', 'work', 'career']) or contains(lower(coalesce(raw, '')), 'developer') or contains(lower(coalesce(raw, '')), 'building'))) where r <= 10),"
+    " kh as (select query_id, memory_id, count(*) as have, sum(tf / (tf + 1.0::double)) as s, max(n) as n from qt join idx using (user_id, token) join (select memory_id, project_id from a) using (memory_id) join (select query_id, scope from q) using (query_id) where scope is null or project_id = scope group by 1, 2), ks as (select query_id, memory_id, round(s / (1 + ln(n::double)), 6) as s from kh join need using (query_id) where have = need), kw as (select * from (select *, row_number() over (partition by query_id order by s desc, memory_id) as rank from ks) where rank <= 100),"
+    f" ra as (select query_id, user_id, scope, {_TERMS.replace('raw', 'text')} as ts from q), rt as (select query_id, user_id, scope, list_filter(ts, lambda x, i: list_position(ts, x) = i)[1:8] as terms from ra), lr as (select query_id, memory_id from (select query_id, memory_id, row_number() over (partition by query_id order by importance desc, created_at desc, memory_id) as r from rt join a using (user_id) where (scope is null or project_id = scope) and len(list_filter(terms, lambda t: contains(lower(raw), t))) > 0) where r <= 20),"
+    " ir as (select query_id, memory_id from (select query_id, memory_id, row_number() over (partition by query_id order by importance desc, created_at desc, memory_id) as r from q join a using (user_id) where query_id % 60 = 0 and (scope is null or project_id = scope) and (list_has_any(tags, ['identity', 'work', 'career']) or contains(lower(coalesce(raw, '')), 'developer') or contains(lower(coalesce(raw, '')), 'building'))) where r <= 10),"
     " u as (select query_id, memory_id, score, 0 as place from near union all select query_id, memory_id, 1.0::double / (60 + rank), 1 from kw union all select query_id, memory_id, 1.0::double / 61, 2 from lr union all select query_id, memory_id, 1.0::double / 61, 2 from ir), f as (select query_id, memory_id, arg_min(score, place) as score from u group by 1, 2),"
     f" us as (select f.query_id, memory_id, f.score * case when soft and created_at between timestamp '{NOW}' - interval 7 day and timestamp '{NOW}' then 1.1::double else 1 end * 0.85::double + case when used_count > 0 and last_used_at is not null then least(1, {_U} / ({_U} + 10)) else 0 end * 0.15::double as score from f join a using (memory_id) join q using (query_id)),"
-    " g as (select query_id, memory_id, 0.5::double as gs from q join a using (user_id, session_id)), b as (select query_id, memory_id, round(case when score is not null and gs is not null then score * 1.2::double else coalesce(score, gs) end, 6) as score from us full join g using (query_id, memory_id)),"
-    " i as (select memory_id from (select *, row_number() over (partition by user_id order by importance desc, created_at desc, memory_id) as r from v where layer = 'INSIGHT' and importance >= 0.6) where r <= 25), cl as (select query_id, memory_id, sim, importance from (select *, row_number() over (partition by query_id order by sim desc, memory_id) as r from c where layer = 'INSIGHT') where r <= 50 and memory_id in (select memory_id from i) and sim > 0.3),"
+    " g as (select query_id, memory_id, 0.5::double as gs from q join a using (user_id, session_id) where scope is null or project_id = scope), b as (select query_id, memory_id, round(case when score is not null and gs is not null then score * 1.2::double else coalesce(score, gs) end, 6) as score from us full join g using (query_id, memory_id)),"
+    f" i as (select query_id, memory_id from (select query_id, memory_id, row_number() over (partition by query_id order by importance desc, created_at desc, memory_id) as r from q join v using (user_id) where layer = 'INSIGHT' and importance >= 0.6 and created_at >= timestamp '{NOW}' - interval 14 day and (scope is null or project_id = scope)) where r <= 25), cl as (select query_id, memory_id, sim, importance from (select *, row_number() over (partition by query_id order by sim desc, memory_id) as r from c where layer = 'INSIGHT') where r <= 50 and (query_id, memory_id) in (select query_id, memory_id from i) and sim > 0.3),"
     " sf as (select * from b union all select query_id, memory_id, round(sim + 0.3::double * importance, 6) from cl where not exists (select 1 from b where b.query_id = cl.query_id and b.memory_id = cl.memory_id)),"
     f" md as (select memory_id, {_mood('raw')} as mood from a), qm as (select query_id, {_mood('text')} as qmood from q), l as (select sf.query_id, sf.memory_id, round((0.85::double * sf.score + 0.15::double * importance) * case when importance < 0.35 then 0.4::double else 1 end * case when qmood = 0 or qmood = mood then 1.0::double when mood = 0 then 0.75::double else 0.15::double end, 6) as score, near.score as vs, importance, created_at from sf join a using (memory_id) join md using (memory_id) join qm using (query_id) left join near on near.query_id = sf.query_id and near.memory_id = sf.memory_id)"
     " select query_id, memory_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, coalesce(vs, -1) desc, importance desc, created_at desc, memory_id) as rank from l) where rank <= 50"
@@ -218,7 +218,8 @@ _SEARCH = (
 
 @query(_SEARCH)
 def recall_candidates(spark, d):
-    m = view(spark, d, "memories")
+    # the given texts have no layer of insights; tasks stand in for it
+    m = view(spark, d, "memories").withColumn("layer", F.when(F.col("layer") == "TASK", "INSIGHT").otherwise(F.col("layer")))
     v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("memory_id"), unit(F.col("embedding")).alias("v"))
     key = F.col("memory_id") % 60
     lead = F.when(key == 0, "Who am I? ").when(key == 20, "So happy about ").otherwise("")
@@ -226,11 +227,11 @@ def recall_candidates(spark, d):
     now = F.lit(NOW).cast("timestamp")
     q = m.where("memory_id % 20 = 0").select(
         "memory_id", F.col("memory_id").alias("query_id"), "user_id", "session_id", F.concat(lead, F.array_join(F.slice(F.split("raw", " "), 3, 3), " ")).alias("text"),
-        soft(now - F.expr("interval 7 days")).alias("starts"), soft(now).alias("ends"),
+        soft(now - F.expr("interval 7 days")).alias("starts"), soft(now).alias("ends"), F.when(F.col("memory_id") % 40 == 20, F.col("project_id")).alias("scope"),
     )
     graph = q.select("query_id", "user_id", "session_id").join(m.select("user_id", "session_id", F.col("memory_id").alias("doc_id")), ["user_id", "session_id"]).select("query_id", "doc_id", F.lit(0.5).alias("score"))
     q = q.join(v.withColumnRenamed("v", "q"), "memory_id", "left").drop("memory_id", "session_id")
-    return S.recall_candidates(q, m, v, graph, NOW)
+    return S.recall_candidates(q, m, v, graph, NOW, scope="project_id")
 
 
 @query(None)

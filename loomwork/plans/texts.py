@@ -32,7 +32,7 @@ def told(spark, d):
 PHRASES = [
     "I prefer tea", "Remind me to call", "The deploy failed", "Actually, that was wrong", "She is allergic to nuts", "We decided to merge", "What is the phone number",
     "what happened day before yesterday", "3 days ago it broke", "last 10 days", "Important: keep in mind", "this week we shipped it", "Explain how to compare", "2 months ago", "plain words",
-    "past month or so", "5 hours ago", "1 year ago", "years ago", "recently", "summary of the last session", "insulin and EpiPen", "my name is Ann", "earlier",
+    "past month or so", "5 hours ago", "1 year ago", "years ago", "recently", "summary of the last session", "insulin and EpiPen", "my name is Ann", "earlier", "a friend came by", "one colleague said so",
 ]
 TOLD = "with told as (select conv_id, turn, role, [" + ", ".join("'" + p.replace("'", "''") + "'" for p in PHRASES) + f"][((conv_id * 7 + turn) % {len(PHRASES)}) + 1] || ' ' || coalesce(text, '') as t from conversations)"
 _LAYER = "case " + " ".join(f"when {_any(ps)} then '{k}'" for k, ps in T.LAYER_PATTERNS.items()) + " else 'SESSION' end"
@@ -45,6 +45,18 @@ def classify_layer(spark, d):
     return told(spark, d).select("conv_id", "turn", T.classify_layer(F.col("t")).alias("layer"))
 
 
+# kinds of entities by the number of the turn, since the given tables have none
+_KINDS = ["project", "person", "place", "organization", "person"]
+_BY_ENTITY = _LAYER.replace(" else 'SESSION' end", f" when kind in ('project', 'organization') then 'PROJECT' when kind = 'person' and coalesce(role <> '', false) and {_sql(T.CLOSE_PEOPLE)} then 'IDENTITY' else 'SESSION' end")
+
+
+@query(f"{TOLD}, e as (select *, {_KINDS}[((conv_id + turn) % 6) + 1] as kind from told) select conv_id, turn, {_BY_ENTITY} as layer from e")
+def classify_layer_by_entities(spark, d):
+    kind = F.get(F.array(*map(F.lit, _KINDS)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(6)).cast("int"))
+    entities = F.when(kind.isNotNull(), F.array(F.struct(kind.alias("type"))))
+    return told(spark, d).select("conv_id", "turn", T.classify_layer(F.col("t"), entities=entities, who=F.col("role")).alias("layer"))
+
+
 @query(f"{TOLD} select conv_id, turn, {_TYPE} as memory_type from told")
 def classify_type(spark, d):
     return told(spark, d).select("conv_id", "turn", T.classify_type(F.col("t")).alias("memory_type"))
