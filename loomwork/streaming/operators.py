@@ -6,11 +6,15 @@ Streams work on event time. The default watermark is ten minutes; rows later tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+
+from loomwork.session import written
 
 WATERMARK = "10 minutes"
 
@@ -270,27 +274,95 @@ def incremental_hashes(texts: DataFrame, watermark: str = WATERMARK) -> DataFram
     return texts.withColumn("hash", content_hash(F.col("raw"))).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["hash"])
 
 
+#: Fixed directions against which held vectors are sliced by angle; each takes three slices of a search at most.
+DIRECTIONS = 2
+
+
+def reach_cells(vector: Column, least: float, directions: int = DIRECTIONS, seed: int = 11) -> Column:
+    """array<struct<cell, own>>: the cells in which a vector as similar as `least` can lie, and which of them is the vector's own.
+
+    A cell is a slice of angles to each of some fixed directions, as wide as the angle that `least` allows. Two vectors differ in
+    their angle to anything by no more than the angle between them, so a pair that reaches `least` meets in one cell: nothing is lost.
+    """
+    width = float(np.arccos(min(1.0, max(-1.0, least)))) + 1e-6
+
+    @F.pandas_udf("array<struct<cell: string, own: boolean>>")
+    def cells(vs):
+        fixed, out = {}, []
+        for v in vs:
+            v = np.asarray(v, float)
+            if len(v) not in fixed:
+                r = np.random.default_rng(seed).normal(size=(len(v), directions))
+                fixed[len(v)] = r / np.linalg.norm(r, axis=0, keepdims=True)
+            angles = np.arccos(np.clip(v @ fixed[len(v)], -1, 1))
+            own = tuple(np.floor(angles / width).astype(int))
+            sides = [range(int(max(0, a - width) // width), int(min(np.pi, a + width) // width) + 1) for a in angles]
+            out.append([{"cell": ".".join(map(str, c)), "own": c == own} for c in product(*sides)])
+        return pd.Series(out)
+
+    return cells(vector)
+
+
+class CellSearch(StatefulProcessor):
+    """Holds the vectors of one user's cell and gives, for each vector that looks in, the most similar of them and of those that came with it."""
+
+    OUT = "new_id long, new_auto boolean, own boolean, held long, old_id long, old_auto boolean, similarity double"
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "id long, v array<double>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows), ignore_index=True).sort_values("memory_id", ignore_index=True)
+        old = list(self.held.get())
+        mine = new[new["own"]]
+        if len(mine):
+            self.held.appendList([(int(i), [float(x) for x in v]) for i, v in zip(mine["memory_id"], mine["v"])])
+        out = pd.DataFrame({"new_id": new["memory_id"], "new_auto": new["auto"].astype(bool), "own": new["own"], "held": len(old), "old_id": None, "old_auto": None, "similarity": None})
+        ids = np.array([r[0] for r in old] + list(mine["memory_id"]), dtype=np.int64)
+        if len(ids):
+            s = np.round(np.vstack(list(new["v"])) @ np.vstack([r[1] for r in old] + list(mine["v"])).T, 6)
+            s[new["memory_id"].to_numpy()[:, None] == ids[None, :]] = -2
+            order = np.argsort(ids, kind="stable")  # of the most similar the smallest id
+            best = order[s[:, order].argmax(axis=1)]
+            autos = [None] * len(old) + [bool(x) for x in mine["auto"]]
+            for i, (k, top) in enumerate(zip(best, s[np.arange(len(new)), best])):
+                if top >= self.least:
+                    out.loc[i, ["old_id", "old_auto", "similarity"]] = [int(ids[k]), autos[k], float(top)]
+        yield out[out["own"] | out["old_id"].notna()].astype({"old_id": "Int64", "old_auto": "boolean", "similarity": "float64"})
+
+    def close(self) -> None:
+        pass
+
+
 def dedup_stream(memories: DataFrame, folder: str, rejected: DataFrame, least: float = 0.8, watermark: str = WATERMARK) -> DataStreamWriter:
     """Near-duplicates of a stream of memories(ts, memory_id, user_id, raw, v unit vector, auto) as they arrive; start() it with a checkpoint of its own.
 
     Contents seen within the watermark are dropped; each other memory's nearest one, among all held before and those beside it, is
-    judged as in dedup.incremental_dedup. folder/held and folder/actions get one subfolder a micro-batch, overwritten when it is
-    run again, so that a restart neither loses nor doubles rows.
+    judged as in dedup.incremental_dedup. Vectors are held in keyed state, by user and cell of reach_cells, so a micro-batch reads the cells
+    that its own vectors reach and no others; the state is in RocksDB, in the stream's checkpoint. folder/actions and folder/held (the ids that
+    came in) get one subfolder a micro-batch, overwritten when it is run again, so that a restart neither loses nor doubles rows. Rows with a null vector are dropped.
     """
     from loomwork.operators.dedup import incremental_dedup
-    from loomwork.operators.vectors import knn
+
+    spark = memories.sparkSession
+    # keyed state of this kind is kept in RocksDB only
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = incremental_hashes(memories.where(F.col("v").isNotNull()), watermark)
+    looks = rows.select("memory_id", "user_id", "v", "auto", F.inline(reach_cells(F.col("v"), least)))
+    found = looks.groupBy("user_id", "cell").transformWithStateInPandas(CellSearch(least), CellSearch.OUT, "Append", "None")
 
     def step(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        columns = ["memory_id", "user_id", "v", "auto"]
-        batch.select(columns).write.mode("overwrite").parquet(f"{folder}/held/batch={n}")
-        held = spark.read.schema(batch.select(columns).schema.add("batch", "long")).option("basePath", f"{folder}/held").parquet(f"{folder}/held").where(F.col("batch") <= n)
-        new = held.where(F.col("batch") == n)
-        best = knn(new.select(F.col("memory_id").alias("query_id"), "user_id", F.col("v").alias("q")), held.select(F.col("memory_id").alias("vec_id"), "user_id", "v"), 1)
-        mate = new.select(F.col("memory_id").alias("vec_id"), F.lit(True).alias("beside"))
-        both = best.join(mate, "vec_id", "left")
-        swap = F.coalesce("beside", F.lit(False)) & (F.col("query_id") < F.col("vec_id"))
-        pairs = both.select(F.when(swap, F.col("vec_id")).otherwise(F.col("query_id")).alias("new_id"), F.when(swap, F.col("query_id")).otherwise(F.col("vec_id")).alias("old_id"), "similarity").distinct()
-        incremental_dedup(pairs, rejected, new.select("memory_id", "auto"), least).write.mode("overwrite").parquet(f"{folder}/actions/batch={n}")
-
-    return incremental_hashes(memories, watermark).writeStream.foreachBatch(step)
+        batch = written(batch, "found")
+        batch.where("own").select(F.col("new_id").alias("memory_id")).write.mode("overwrite").parquet(f"{folder}/held/batch={n}")
+        best = batch.where("old_id is not null").groupBy("new_id", "new_auto").agg(F.min_by(F.struct("old_id", "old_auto", "similarity"), F.struct(-F.col("similarity"), "old_id")).alias("b")).select("new_id", "new_auto", "b.*")
+        # of two that came together the larger id is the new one
+        swap = F.col("old_auto").isNotNull() & (F.col("new_id") < F.col("old_id"))
+        turned = lambda a, b, name: F.when(swap, F.col(b)).otherwise(F.col(a)).alias(name)
+        pairs = best.select(turned("new_id", "old_id", "new_id"), turned("old_id", "new_id", "old_id"), "similarity", turned("new_auto", "old_auto", "auto")).distinct()
+        safety = pairs.select(F.col("new_id").alias("memory_id"), "auto").distinct()
+        incremental_dedup(pairs.drop("auto"), rejected, safety, least).write.mode("overwrite").parquet(f"{folder}/actions/batch={n}")
+
+    return found.writeStream.foreachBatch(step)

@@ -89,6 +89,46 @@ def test_dedup_stream(spark, tmp_path):
     assert len(kept & {1, 3}) == 1 and kept - {1, 3} == {2, 4, 5, 6, 7}
     assert found == [(4, (kept & {1, 3}).pop(), 0.96, "merge"), (5, 2, 0.96, "queue"), (7, 6, 0.96, "merge")]
 
+
+
+def test_dedup_stream_equals_its_batch_twin_over_restarts_and_reads_its_cells_only(spark, tmp_path):
+    import datetime
+
+    import numpy as np
+
+    rng, rows = np.random.default_rng(2), []
+    for i in range(160):
+        v = rng.normal(size=8) if i % 3 else np.array(rows[rng.integers(0, len(rows))][4]) + 0.2 * rng.normal(size=8) if rows else rng.normal(size=8)
+        rows.append((datetime.datetime(2024, 1, 1, 0, i // 4), i, i % 2, f"text {i}", [float(x) for x in v / np.linalg.norm(v)], i % 5 != 0))
+    schema = "ts timestamp, memory_id long, user_id long, raw string, v array<double>, auto boolean"
+    rejected = spark.createDataFrame([(5, 4)], "new_id long, old_id long")
+    for n in range(4):
+        part = rows[n * 40 : (n + 1) * 40]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        O.dedup_stream(stream, f"{tmp_path}/out", rejected, 0.9, "1 hour").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    want = set()
+    for n in range(4):
+        part, before = rows[n * 40 : (n + 1) * 40], rows[: (n + 1) * 40]
+        for r in part:
+            found = sorted((-round(float(np.dot(r[4], o[4])), 6), o[1]) for o in before if o[1] != r[1] and o[2] == r[2])
+            if found and -found[0][0] >= 0.9:
+                s, other = -found[0][0], found[0][1]
+                new, old = (max(r[1], other), min(r[1], other)) if other >= n * 40 else (r[1], other)
+                if (new, old) != (5, 4):
+                    want.add((new, old, "merge" if new % 5 else "queue"))
+    got = {(r.new_id, r.old_id, r.action) for r in spark.read.parquet(f"{tmp_path}/out/actions").collect()}
+    assert want and got == want
+    # what a vector reaches is a part of all cells, and its own is among them
+    cells = spark.createDataFrame([(r[1], r[4]) for r in rows], "id long, v array<double>").select("id", O.reach_cells(F.col("v"), 0.9).alias("cells")).collect()
+    assert all(sum(c.own for c in r.cells) == 1 for r in cells)
+    own = {r.id: next(c.cell for c in r.cells if c.own) for r in cells}
+    reach = {r.id: {c.cell for c in r.cells} for r in cells}
+    pairs = [(a[1], b[1]) for a in rows for b in rows if np.dot(a[4], b[4]) >= 0.9]
+    assert all(own[b] in reach[a] for a, b in pairs)
+    assert sum(own[b] in reach[a] for a in own for b in own) < 0.8 * len(own) ** 2
+
+
 def test_turn_batches(spark, tmp_path):
     turns = [(c, t) for c, n in ((1, 12), (2, 5), (3, 3)) for t in range(n)]
     at = lambda t: F.timestamp_seconds(F.lit(1_700_000_000) + t)
