@@ -501,16 +501,36 @@ def scoped_context(rows: DataFrame, now: str, budget: int) -> DataFrame:
 
 
 # Sections of a context with their tier and order, tiers with their share of the budget.
-SECTIONS = {"lessons": ("critical", 0), "identity": ("critical", 1), "recent": ("relevant", 2), "projects": ("background", 3)}
+SECTIONS = {"lessons": ("critical", 0), "identity": ("critical", 1), "current": ("critical", 2), "current, recent": ("critical", 3), "recent": ("relevant", 4), "projects": ("background", 5)}
 TIER_SHARES = {"critical": 0.4, "relevant": 0.4, "background": 0.2}
 
 
+# Fixed value: what names a project in a text.
+PROJECT_NAME = r"(?:working on|building|project[:\s]+|developing)\s+([a-z][\w\s-]+)"
+
+
+def current_projects(memories: DataFrame, now: str, days: int = 1, least: float = 0.5) -> DataFrame:
+    """(user_id, project): the project that most of a user's good PROJECT memories of the last days are about; of equal ones the first by name.
+
+    memories(user_id, raw, layer, effective, created_at). A memory is about what PROJECT_NAME finds in its text in lower case, else about its first fifty
+    characters. Users without such memories, or whose most frequent name is empty, have no row. Counts are by user and name, so no user is one task's work.
+    """
+    recent = F.col("created_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")
+    text = F.lower(F.coalesce("raw", F.lit("")))
+    found = F.regexp_extract(text, PROJECT_NAME, 1)
+    name = F.when(found != "", F.regexp_replace(found, r"\s+$", "")).otherwise(F.substring(text, 1, 50))
+    counts = memories.where((F.col("layer") == "PROJECT") & (F.col("effective") >= least) & recent).groupBy("user_id", name.alias("name")).agg(F.count("*").alias("n"))
+    best = counts.groupBy("user_id").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("project"))
+    return best.where("project <> ''")
+
+
 def context_sections(memories: DataFrame, accesses: DataFrame, near: DataFrame, now: str, budget: int, least: float = 0.3, stale_days: int = 14, recent_days: int = 7) -> DataFrame:
     """(user_id, memory_id, section, tier, place): what goes into each user's context, tier by tier within its share of the token budget.
 
     memories(user_id, memory_id, raw, effective, layer, memory_type, safety_critical, created_at, superseded_by, consolidated_into),
     accesses(memory_id, ts), near(left_id, right_id): pairs of the same content, by vectors or by words. Weak, replaced and stale memories (old, and
-    not accessed since) are left out; of a near pair the one with the lower score goes, of equal ones the larger id. Within a tier,
+    not accessed since) are left out; of a near pair the one with the lower score goes, of equal ones the larger id. Projects and tasks, older or recent, whose text
+    names the user's current project, as current_projects guesses it from the others, stand in the section `current` of the critical tier, older ones first. Within a tier,
     sections stand in order, then higher scores; one that no longer fits is passed over. A token is four characters.
     """
     time = lambda days: F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")
@@ -520,6 +540,9 @@ def context_sections(memories: DataFrame, accesses: DataFrame, near: DataFrame,
     lesson = F.coalesce(F.col("memory_type").isin("LESSON", "CONSTRAINT"), F.lit(False)) | F.col("safety_critical")
     project = (F.col("layer") == "PROJECT") | F.coalesce(F.col("memory_type") == "TASK", F.lit(False))
     section = F.when(F.col("created_at") >= time(recent_days), "recent").when(lesson, "lessons").when(project, "projects").otherwise("identity")
+    live = live.join(current_projects(live, now), "user_id", "left")
+    about = project & F.coalesce(F.contains(F.lower("raw"), F.col("project")), F.lit(False))
+    section = F.when(about & (section == "projects"), "current").when(about & (section == "recent"), "current, recent").otherwise(section)
     rows = live.select("user_id", "memory_id", "effective", section.alias("section"), F.ceil(F.length("raw") / 4.0).alias("tokens"))
     score = rows.select("memory_id", "effective")
     pairs = near.join(score.withColumnsRenamed({"memory_id": "left_id", "effective": "le"}), "left_id").join(score.withColumnsRenamed({"memory_id": "right_id", "effective": "re"}), "right_id")
@@ -534,6 +557,6 @@ def context_sections(memories: DataFrame, accesses: DataFrame, near: DataFrame,
     kept = [bounded_first_fit(items.where(F.col("tier") == t), ["user_id", "tier"], int(budget * share)) for t, share in TIER_SHARES.items()]
     kept = kept[0].unionByName(kept[1]).unionByName(kept[2]).withColumnRenamed("item", "memory_id")
     named = F.create_map(*[F.lit(x) for name, (_, n) in SECTIONS.items() for x in (n, name)])
-    kept = kept.withColumn("section", named[F.floor(F.col("place") / 2_000_001).cast("int")])
+    kept = kept.withColumn("section", F.split_part(named[F.floor(F.col("place") / 2_000_001).cast("int")], F.lit(","), F.lit(1)))
     at = F.row_number().over(Window.partitionBy("user_id", "tier").orderBy("place", "memory_id"))
     return kept.select("user_id", "memory_id", "section", "tier", at.alias("place"))

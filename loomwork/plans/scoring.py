@@ -278,6 +278,15 @@ def diversify(spark, d):
     return S.diversify(h.select("query_id", "rank", "doc_id", tokens.alias("tokens")), 10)
 
 
+_NAMED = "case when memory_id % 2 = 0 then concat('We are Working on ', project_id, ' now, ', raw) else raw end"
+
+
+@query(M + f", t as (select user_id, lower(coalesce({_NAMED}, '')) as t from memories where layer in ('PROJECT', 'SESSION') and effective >= 0.5 and created_at >= timestamp '{NOW}' - interval 3 day), n as (select user_id, case when regexp_extract(t, '{S.PROJECT_NAME}', 1) <> '' then regexp_replace(regexp_extract(t, '{S.PROJECT_NAME}', 1), '\\s+$', '') else substring(t, 1, 50) end as name from t), c as (select user_id, name, count(*) as n from n group by 1, 2) select user_id, name as project from (select *, row_number() over (partition by user_id order by n desc, name) as r from c) where r = 1 and name <> ''")
+def current_projects(spark, d):
+    m = view(spark, d, "memories").withColumn("raw", F.expr(_NAMED)).withColumn("layer", F.when(F.col("layer") == "SESSION", "PROJECT").otherwise(F.col("layer")))
+    return S.current_projects(m, NOW, 3)
+
+
 @query(None)
 def context_sections(spark, d):
     from loomwork.operators.dedup import text_near_dup

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
+from loomwork.operators.running import running_sum
 from loomwork.session import written
 
 WATERMARK = "10 minutes"
@@ -68,11 +69,16 @@ def access_counters(calls: DataFrame, key: str = "k") -> DataFrame:
     return calls.where(F.col("event_type").isin("view", "click")).groupBy(key).agg(F.count("*").alias("retrievals"), F.max("ts").alias("last"))
 
 
-def rate_limit(calls: DataFrame, key: str = "user_id", limit: int = 3, seconds: int = 60, time: str = "ts", order: str = "event_id") -> DataFrame:
+#: Calls of a key that one task folds; a key with more is split at its pauses.
+HOT_CALLS = 1_000_000
+
+
+def rate_limit(calls: DataFrame, key: str = "user_id", limit: int = 3, seconds: int = 60, time: str = "ts", order: str = "event_id", hot: int = HOT_CALLS) -> DataFrame:
     """(key, order, admitted, remaining, retry_after): sliding-log admission in order of time; rejected calls don't count.
 
     Batch twin: a fold in Python over each key's calls, since whether a call counts depends on those before. The state is the log of
-    admitted times, at most `limit` of them. retry_after: seconds, rounded up, until a rejected call would be admitted; else 0.
+    admitted times, at most `limit` of them. A pause of `seconds` empties the log, so keys with more than `hot` calls are split there, exactly, into
+    parts that are folded apart. retry_after: seconds, rounded up, until a rejected call would be admitted; else 0.
     """
     rows = calls.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("place"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"))
 
@@ -80,17 +86,39 @@ def rate_limit(calls: DataFrame, key: str = "user_id", limit: int = 3, seconds:
         now, log = None, []
         for b in batches:
             out = []
-            for k, place, at in zip(b["key"], b["place"], b["at"]):
-                if k != now:
-                    now, log = k, []
+            for k, part, place, at in zip(b["key"], b["part"], b["place"], b["at"]):
+                if (k, part) != now:
+                    now, log = (k, part), []
                 ok, log = admit(log, at, limit, seconds)
                 out.append((k, place, ok, limit - len(log), 0 if ok else wait(log, at, seconds)))
             yield pd.DataFrame(out, columns=LIMIT_COLUMNS)
 
-    out = rows.repartition("key").sortWithinPartitions("key", "at", "place").mapInPandas(fold, LIMIT_FIELDS)
+    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key")
+    parts = rows.withColumn("part", F.lit(0).cast("long"))
+    if large.limit(1).count():
+        large = written(large, "hot-keys")
+        parts = parts.join(large, "key", "left_anti").unionByName(split_at_pauses(rows.join(large, "key", "left_semi"), seconds))
+    out = parts.repartition("key", "part").sortWithinPartitions("key", "part", "at", "place").mapInPandas(fold, LIMIT_FIELDS)
     return out.withColumnsRenamed({"key": key, "place": order})
 
 
+def split_at_pauses(rows: DataFrame, seconds: int) -> DataFrame:
+    """rows(key, place, at in microseconds) with `part`: how many pauses of `seconds` or more the key had up to there.
+
+    A key's calls are sorted by ranges over many tasks. A range finds its own pauses; the time before its first call, and the pauses before it, come from
+    one row for each key and range.
+    """
+    ranged = rows.repartitionByRange("key", "at", "place").withColumn("range", F.spark_partition_id())
+    ranged = written(ranged, "by-time")
+    ends = ranged.groupBy("key", "range").agg(F.max("at").alias("last"))
+    ends = ends.select("key", "range", F.lag("last").over(Window.partitionBy("key").orderBy("range")).alias("before"))
+    inside = F.lag("at").over(Window.partitionBy("key", "range").orderBy("at", "place"))
+    known = ranged.join(ends, ["key", "range"]).withColumn("gap", F.col("at") - F.coalesce(inside, "before"))
+    known = known.withColumn("pause", F.coalesce(F.col("gap") >= seconds * 1_000_000, F.lit(False)).cast("long"))
+    known = running_sum(known, ["key"], F.col("range"), [F.col("at"), F.col("place")], F.col("pause"), "paused")
+    return known.select("key", "place", "at", (F.col("paused") + F.col("pause")).alias("part"))
+
+
 def admit(log: list[int], at: int, limit: int, seconds: int) -> tuple[bool, list[int]]:
     """Whether a call at this time (microseconds) is admitted, and the log after it."""
     log = [t for t in log if t > at - seconds * 1_000_000]
@@ -203,6 +231,10 @@ def topic_shift_stream(messages: DataFrame, limit: float = 0.4, keep: str = "1 h
         before, last = state.get if state.exists else (None, 0)
         out = []
         for i, at, v in pd.concat(list(frames)).sort_values(["at", "vec_id"])[["vec_id", "at", "v"]].itertuples(index=False):
+            if v is None:  # as in the batch twin: it has no distance, and neither has the message after it
+                out.append((k[0], i, None, True))
+                before, last = None, max(last, int(at))
+                continue
             if before is not None and at - last > keep_ms:
                 before = None
             distance = None if before is None else round(1 - sum(a * b for a, b in zip(v, before)), 6)

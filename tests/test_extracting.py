@@ -95,6 +95,24 @@ def test_context_sections(spark):
     assert wide == {1, 2, 3, 4, 7}
 
 
+def test_context_sections_put_the_current_project_first(spark):
+    at = lambda hours: datetime.datetime(2024, 1, 31) - datetime.timedelta(hours=hours)
+    names = "memory_id long, raw string, effective double, layer string, memory_type string, safety_critical boolean, created_at timestamp, superseded_by long, consolidated_into long"
+    rows = [
+        (1, "Building Apollo Lander, stage two", 0.9, "PROJECT", None, False, at(2), None, None), (2, "we are working on apollo lander.", 0.8, "PROJECT", None, False, at(3), None, None),
+        (3, "Developing gemini", 0.9, "PROJECT", None, False, at(4), None, None), (4, "old notes on Apollo Lander", 0.5, "PROJECT", None, False, at(24 * 10), None, None),
+        (5, "old notes on mercury", 0.5, "PROJECT", None, False, at(24 * 10), None, None), (6, "task: call about apollo lander", 0.7, "SESSION", "TASK", False, at(30), None, None),
+        (7, "apollo lander is nice", 0.7, "SESSION", None, False, at(30), None, None), (8, "project gemini", 0.4, "PROJECT", None, False, at(1), None, None), (9, None, 0.9, "PROJECT", None, False, at(1), None, None),
+    ]
+    m = spark.createDataFrame(rows, names).withColumn("user_id", F.lit("u"))
+    assert [tuple(r) for r in scoring.current_projects(m, NOW).collect()] == [("u", "apollo lander")]
+    nothing = spark.createDataFrame([], "memory_id long, ts timestamp"), spark.createDataFrame([], "left_id long, right_id long")
+    found = {r.memory_id: (r.section, r.tier, r.place) for r in scoring.context_sections(m.where("raw is not null"), *nothing, NOW, 5000).collect()}
+    assert {i: found[i] for i in (4, 1, 2, 6)} == {4: ("current", "critical", 1), 1: ("current", "critical", 2), 2: ("current", "critical", 3), 6: ("current", "critical", 4)}
+    assert found[5][:2] == ("projects", "background") and {found[i][:2] for i in (3, 7, 8)} == {("recent", "relevant")}
+    assert scoring.current_projects(m.limit(0), NOW).count() == 0
+
+
 def test_formation_guard(spark):
     turns = spark.createDataFrame([(1, 0, "assistant"), (1, 1, "user"), (1, 2, "assistant")], "conv_id long, turn long, role string")
     facts = spark.createDataFrame([(1, 1, "User likes tea", [0]), (2, 1, "User likes tea", [2]), (3, 1, "3 blocked", [1]), (4, 1, "User likes tea", []), (5, 9, "The user naps", [4]), (6, 1, None, None)], "fact_id long, conv_id long, content string, cites array<long>")

@@ -46,6 +46,29 @@ def test_rate_limit_against_a_loop(calls):
         assert rows[r.user_id, r.event_id][0] == ok
 
 
+@pytest.mark.parametrize("hot", [0, 40])
+def test_rate_limit_splits_hot_keys_at_pauses(spark, hot):
+    import random
+
+    rng, at, rows = random.Random(3), 1_700_000_000, []
+    for i in range(900):
+        at += rng.choice([0, 1, 2, 5, 20, 60, 61, 300])
+        rows.append((i, 1 if i % 30 else i, at))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, s long").select("event_id", "user_id", F.timestamp_seconds("s").alias("ts")).repartition(3)
+    shape = lambda x: sorted(map(tuple, x.collect()))
+    assert shape(O.rate_limit(df, limit=2, hot=hot)) == shape(O.rate_limit(df, limit=2))
+    parts = O.split_at_pauses(df.select(F.col("user_id").alias("key"), F.col("event_id").alias("place"), F.unix_micros("ts").alias("at")).where("key = 1"), 60)
+    assert parts.select("part").distinct().count() == 1 + sum(b - a >= 60 for a, b in zip(*(lambda t: (t, t[1:]))([s for _, u, s in rows if u == 1])))
+    assert parts.repartition(4, "key", "part").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_topic_shift_stream_with_null_vectors(spark, tmp_path):
+    rows = [(1, i, None if i in (2, 5) else [1.0, float(i)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "user_id long, vec_id long, embedding array<double>").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id")))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    same(run(spark, O.topic_shift_stream(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 0.1), "nullshifts"), O.topic_shift(df, 0.1), ["user_id", "vec_id", "distance", "shifted"])
+
+
 def test_gap_markers(spark, calls, stream):
     batch = timelines.gap_markers(calls, ["user_id"], longest=20000)
     same(run(spark, O.gap_markers_stream(stream, longest=20000), "gaps"), batch, ["user_id", "event_id", "gap_seconds"])
