@@ -223,29 +223,50 @@ def backlog_state(similarity: Column, hours: Column, auto: Column) -> Column:
     return F.when((similarity >= 0.93) & (hours > 24) & auto, "backlog").when(hours > 14 * 24, "stale").otherwise("open")
 
 
+#: Rows of a word in a user that one task joins; a word with more is dealt by texts.
+WORD_ROWS = 20_000
+
+
 def text_near_dup(df: DataFrame, jaccard: float = 0.7, contained: float = 0.8, agree: int = 3) -> DataFrame:
     """(left_id, right_id): texts(user_id, memory_id, words array) of a user that share enough words.
 
-    Word Jaccard above `jaccard`, or `contained` of the smaller set in the larger. Equal word sets are one; pairs meet over the
-    words that are rare in their user: a smaller set of n words that has `need` of them in the other has `agree` of any
-    n - need + agree there (all of need, if that is less). Only pairs that agree in so many have their words compared, so that few word lists move.
+    Word Jaccard above `jaccard`, or `contained` of the smaller set in the larger. Equal word sets are one. The pairs of near_word_sets
+    have their words compared.
     """
-    sets = df.groupBy("user_id", F.sort_array(F.array_distinct("words")).alias("ws")).agg(F.min("memory_id").alias("id")).where(F.size("ws") > 0)
-    one = sets.select("user_id", "id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    order = one.groupBy("user_id", "w").agg(F.count("*").alias("df"))
-    placed = one.join(order, ["user_id", "w"]).groupBy("user_id", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("by"))
-    need = F.least(F.ceil(F.lit(contained) * F.col("n") - 1e-9), F.floor(F.lit(2 * jaccard / (1 + jaccard)) * F.col("n")) + 1)
-    least = F.least(F.lit(agree), need)
-    probes = placed.select("user_id", F.col("id").alias("a"), F.col("n").alias("na"), least.alias("least"), F.explode(F.slice("by", F.lit(1), (F.col("n") - need + least).cast("int"))).alias("x"))
-    probes = probes.select("user_id", "a", "na", "least", F.col("x.w").alias("w"))
-    met = probes.join(one.select("user_id", "w", F.col("id").alias("b"), F.col("n").alias("nb")), ["user_id", "w"]).where("a <> b and (na < nb or (na = nb and a < b))")
-    met = met.groupBy("a", "b", "least").agg(F.count("*").alias("c")).where("c >= least").select("a", "b")
+    sets = written(df.groupBy("user_id", F.sort_array(F.array_distinct("words")).alias("ws")).agg(F.min("memory_id").alias("id")).where(F.size("ws") > 0), "word-sets")
+    met = near_word_sets(sets, jaccard, contained, agree)
     full = met.join(sets.select(F.col("id").alias("a"), F.col("ws").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("ws").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     ok = (both / (F.size("sa") + F.size("sb") - both) > jaccard) | (both >= contained * F.least(F.size("sa"), F.size("sb")))
     return full.where(ok).select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))
 
 
+def near_word_sets(sets: DataFrame, jaccard: float, contained: float, agree: int = 3) -> DataFrame:
+    """(a, b): of sets(user_id, id, ws) all pairs of a user, the smaller one first, that can share enough words, and few others.
+
+    Each set's words stand in order from the rarest of its user. A smaller set of n words that has `need` of them in the other has `agree` of its first
+    n - need + agree there (all of need, if that is less). What the pair shares besides stands behind these in both, so the words that are left in either
+    bound it. Words are joined by equality; a word that many sets of a user have is dealt by the sets that hold it.
+    """
+    one = sets.select("user_id", "id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    order = one.groupBy("user_id", "w").agg(F.count("*").alias("df"))
+    # a word of one set alone comes first in it and joins nothing: its number is enough
+    shared = one.join(order.where("df > 1"), ["user_id", "w"]).groupBy("user_id", "id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("by"))
+    placed = written(shared.withColumn("alone", F.col("n") - F.size("by")), "placed-words")
+    need = F.least(F.ceil(F.lit(contained) * F.col("n") - 1e-9), F.floor(F.lit(2 * jaccard / (1 + jaccard)) * F.col("n")) + 1).cast("int")
+    least = F.least(F.lit(agree), need)
+    first = F.col("n") - need + least
+    salts = F.expr(f"(x.df + {WORD_ROWS - 1}) div {WORD_ROWS}")
+    probes = placed.withColumns({"need": need, "least": least, "first": first}).where("first > alone")
+    probes = probes.select("user_id", F.col("id").alias("a"), F.col("n").alias("na"), "need", "least", "first", F.explode(F.slice("by", F.lit(1), F.col("first") - F.col("alone"))).alias("x"))
+    probes = probes.select("user_id", "a", "na", "need", "least", "first", F.col("x.w").alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    held = placed.select("user_id", F.col("id").alias("b"), F.col("n").alias("nb"), "alone", F.posexplode("by").alias("at", "x"))
+    held = held.select("user_id", "b", "nb", (F.col("nb") - F.col("alone") - F.col("at") - 1).alias("behind"), F.col("x.w").alias("w"), F.pmod(F.xxhash64("b"), salts).alias("salt"))
+    met = probes.join(held, ["user_id", "w", "salt"]).where("a <> b and (na < nb or (na = nb and a < b))")
+    met = met.groupBy("a", "b", "na", "need", "least", "first").agg(F.count("*").alias("c"), F.min("behind").alias("behind"))
+    return met.where("c >= least and c + least(na - first, behind) >= need").select("a", "b")
+
+
 def lineage(events: DataFrame) -> DataFrame:
     """(memory_id, final_id, steps): where each absorbed row ended up, along merges that were not rolled back.
 

@@ -8,7 +8,7 @@ from loomwork.operators import dedup as D
 from loomwork.operators import vectors as X
 from loomwork.operators.scoring import ranked
 from loomwork.plans.registry import query
-from loomwork.session import written
+from loomwork.session import spread, written
 from loomwork.sources.views import NOW, view, view_sql
 
 M, V = view_sql("memories"), view_sql("vectors")
@@ -228,7 +228,7 @@ def pending_decision(spark, d):
 
 @query(M + ", x as (select user_id, min(memory_id) as id, ws from (select user_id, memory_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(raw), '[^a-z]+'), lambda w: length(w) > 0))) as ws from memories) where len(ws) > 0 group by user_id, ws), p as (select a.id as l, b.id as r, len(list_intersect(a.ws, b.ws)) as c, len(a.ws) as na, len(b.ws) as nb from x a join x b on a.user_id = b.user_id and a.id < b.id) select l as left_id, r as right_id from p where c / (na + nb - c) > 0.7::double or c >= 0.8::double * least(na, nb)")
 def text_near_dup(spark, d):
-    m = view(spark, d, "memories")
+    m = spread(view(spark, d, "memories").select("user_id", "memory_id", "raw"))
     return D.text_near_dup(m.select("user_id", "memory_id", F.array_remove(F.split(F.lower("raw"), "[^a-z]+"), "").alias("words")))
 
 
