@@ -6,12 +6,19 @@ import hashlib
 import io
 import re
 import struct
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomwork.llm.common import map_texts
+from loomwork.llm.common import SLICE_ROWS, map_texts
+from loomwork.session import shared_dir
 
 _HEADER = re.compile(rb"(P[1-6])" + rb"(?:\s|#[^\n]*\n)+(\d+)" + rb"(?:\s|#[^\n]*\n)+(\d+)(?:(?:\s|#[^\n]*\n)+(\d+))?")
 
@@ -124,37 +131,61 @@ def npy_tile(gray: np.ndarray, side: int = 16) -> bytes:
     return out.getvalue()
 
 
-def text_media(docs: DataFrame, unit: int = 576, width: int = 24, with_files: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text's UTF-8 bytes, padded with 255 to a positive multiple of unit, stored as a PGM image of width samples a row.
+_FILES = "n_bytes long, media binary, tile binary"
+_FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string, tile_side int"
 
-    (id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, tile_sha256[, media, tile]): the hashes of
-    the payload are those of the image decoded again; feature is its difference hash, tile its NPY tile, which is made for every row. A null or empty
-    text is `unit` bytes of padding. Equal texts give equal rows but for the id; texts of any length are worked whole.
+
+def write_media(docs: DataFrame, folder: str, unit: int = 576, width: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes (id, n_bytes, media, tile) to a Parquet table, and returns it reread: each text's UTF-8 bytes, padded with 255 to a positive
+    multiple of unit, as a PGM image of width samples a row, and its NPY tile, as bytes that np.load reads.
+
+    A row stands for two files: files of a few hundred bytes each would be as many as documents. A null or empty text is `unit` bytes of padding;
+    texts of any length are stored whole; repeated rows are stored as often; an empty table is an empty one.
     """
 
     def start():
         def work(text: str) -> list[tuple]:
             data = text.encode("utf-8", "replace")
             payload = data + b"\xff" * (-len(data) % unit if data else unit)
-            stored = encode_netpbm(np.frombuffer(payload, np.uint8).reshape(-1, width))
-            samples = decode(stored)
-            read = samples.tobytes()
-            gray = to_gray(samples)
-            tile = npy_tile(gray)
-            row = (len(data), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(gray), hashlib.sha256(tile).hexdigest())
-            return [row + (stored, tile) if with_files else row]
+            samples = np.frombuffer(payload, np.uint8).reshape(-1, width)
+            return [(len(data), encode_netpbm(samples), npy_tile(samples))]
 
         return work
 
-    fields = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
-    return map_texts(docs, id_col, text_col, fields + ", media binary, tile binary" * with_files, start)
+    map_texts(docs, id_col, text_col, _FILES, start).write.parquet(folder)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.sparkSession.read.schema(f"`{id_col}` {kind}, {_FILES}").parquet(folder)
 
 
-def write_media(docs: DataFrame, folder: str, unit: int = 576, width: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes text_media's rows with the image and NPY tile of each, as bytes that np.load reads, to a Parquet table, and returns it.
+def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, tile_sha256, tile_side) of write_media's table.
+
+    All but n_bytes comes from the stored bytes: payload is the image decoded, feature its difference hash, and the tile is read by np.load.
+    """
+    out = T.StructType([T.StructField(id_col, media.schema[id_col].dataType), *T.StructType.fromDDL(_FEATURES).fields])
+    arrow = to_arrow_schema(out)
+
+    def features(n: int, stored: bytes, tile: bytes) -> tuple:
+        samples = decode(stored)
+        read = samples.tobytes()
+        small = np.load(io.BytesIO(tile), allow_pickle=False)
+        return n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(to_gray(samples)), hashlib.sha256(tile).hexdigest(), small.shape[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                rows = [features(*(part.column(c)[i].as_py() for c in (1, 2, 3))) for i in range(part.num_rows)]
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))], schema=arrow)
+
+    return media.select(F.col(f"`{id_col}`"), "n_bytes", "media", "tile").mapInArrow(run, out)
+
+
+def text_media(docs: DataFrame, folder: str | None = None, unit: int = 576, width: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """media_features of write_media: the texts stored in a folder, by default a new one in the shared scratch folder, reread, and measured.
 
-    A row stands for a file: tiles of a few hundred bytes each would be as many files as documents.
+    Equal texts give equal rows but for the id. Further columns, of any name, are not read.
     """
-    media = text_media(docs, unit, width, True, id_col, text_col)
-    media.write.parquet(folder)
-    return docs.sparkSession.read.schema(media.schema).parquet(folder)
+    folder = folder or f"{shared_dir(docs.sparkSession)}/loomwork/media-{uuid.uuid4().hex}"
+    return media_features(write_media(docs, folder, unit, width, id_col, text_col), id_col)

@@ -216,8 +216,9 @@ def op9_sql() -> str:
             f"tree{level} as (select t.host, t.raw, t.segs, case when len(segs) < {level} then t.made else t.made || case when w.host is null then [segs[{level}]] else ['*'] end end as made from {last} t left join wide{level} w on t.host = w.host and t.made = w.made)"
         )
         last = f"tree{level}"
-    drawn = lambda k: f"coalesce((b{k} + {url_filter.STRENGTH}::double * purity) / (n{k} + {url_filter.STRENGTH}::double), purity)"
-    pulls = "".join(f"p{k} as (select * replace ({drawn(k)} as purity) from p{k - 1}),\n" for k in range(1, depth + 2))
+    weight = f"({url_filter.STRENGTH}::double + domains)"
+    drawn = lambda k: f"coalesce((b{k} + {weight} * purity) / (n{k} + {weight}), purity)"
+    pulls = "".join(f"p{k} as (select * replace ({drawn(k)} as purity) from p{k - 1 if k else 'start'}),\n" for k in range(depth + 2))
     return rf"""
 with urls as (
   select page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -241,11 +242,12 @@ apart as (select *, coalesce((rate - rate0 > {url_filter.Z} * sqrt(p * (1 - p) *
 branches as (select *, sum(a) over (partition by host, parent order by rate, node rows unbounded preceding) as branch from apart),
 shares as (select host, parent, node, sum(bad) over b as b, sum(labelled) over b as n from branches window b as (partition by host, parent, branch)),
 held as (select host, template, {", ".join(f"max(b) filter (level = {k}) as b{k}, max(n) filter (level = {k}) as n{k}" for k in range(1, depth + 2))} from steps join shares using (host, parent, node) group by host, template),
-prior as (select coalesce(sum(bad) / sum(labelled), 0) as prior from counted),
-everywhere as (select template, sum(bad) as all_bad, sum(labelled) as all_labelled from counted group by template),
-p0 as (
-  select c.host, c.template, h.* exclude (host, template), (all_bad + {url_filter.STRENGTH}::double * prior) / (all_labelled + {url_filter.STRENGTH}::double) as purity
-  from counted c join everywhere e on c.template = e.template cross join prior left join held h on c.host = h.host and c.template = h.template),
+named as (select *, array_to_string(string_split(host, '.')[-2:], '.') as domain from counted where labelled > 0),
+everywhere as (select template, round(sum(share), 9) as bad_domains, count(*) as domains from (select template, domain, sum(bad) / sum(labelled) as share from named group by template, domain) group by template),
+roots as (select host, sum(bad) as b0, sum(labelled) as n0 from counted group by host),
+pstart as (
+  select c.host, c.template, h.* exclude (host, template), b0, n0, coalesce(domains, 0) as domains, (coalesce(bad_domains, 0) + {url_filter.STRENGTH * url_filter.PRIOR}::double) / (coalesce(domains, 0) + {url_filter.STRENGTH}::double) as purity
+  from counted c join roots r on c.host = r.host left join everywhere e on c.template = e.template left join held h on c.host = h.host and c.template = h.template),
 {pulls}pure as (select host, template, purity from p{depth + 1})
 select page_id, host, path, rule, coalesce(ruled, case when purity >= {url_filter.REJECT_FROM} then 'block' else 'allow' end) as verdict, template
 from rows join tree using (host, raw) join pure using (host, template)

@@ -2,9 +2,10 @@
 
 A url's path is generalised segment by segment: one with a digit, or at a place of the tree where more than `most_children`
 different segments follow, becomes a wildcard. Children of one node whose labelled shares of bad pages don't differ
-significantly are merged into a branch. A template's purity starts at the share that it has over all hosts, smoothed towards that of all
-labelled pages, and is drawn at each node on its way down the host's tree towards the share of the node's branch; a template
-whose purity of bad pages is high is rejected.
+significantly are merged into a branch. A template's purity starts at the mean of its shares over domains, each counted once and smoothed towards
+a half: what is bad on one domain alone is no ground to reject it on another, six that agree are. From there it is drawn, first at the host's root
+and then at each node on its way down the host's tree, towards the share of the node's branch, the less the more domains stand behind
+its start. A template whose purity of bad pages is high is rejected.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ RULES = [
 MOST_CHILDREN = 64
 DEPTH = 4
 STRENGTH = 4.0
+PRIOR = 0.5
 REJECT_FROM = 0.8
 Z = 1.96
 
@@ -93,10 +95,17 @@ def branches(nodes: DataFrame, z: float = Z) -> DataFrame:
     return rows.select("host", "parent", "node", F.sum("bad").over(branch).alias("b"), F.sum("labelled").over(branch).alias("n"))
 
 
+def domain_of(host: Column) -> Column:
+    """The last two labels of a host; a host with fewer is its own domain."""
+    return F.substring_index(host, ".", -2)
+
+
 def template_purity(counted: DataFrame, depth: int = DEPTH, strength: float = STRENGTH, z: float = Z) -> DataFrame:
     """(host, template, purity) from (host, template, nodes, labelled, bad), a row for each template of a host."""
-    total = counted.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("prior"))  # a single row
-    everywhere = counted.groupBy("template").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
+    share = F.sum("bad") / F.sum("labelled")
+    labelled = counted.where("labelled > 0").withColumn("domain", domain_of(F.col("host")))
+    everywhere = labelled.groupBy("template", "domain").agg(share.alias("share")).groupBy("template").agg(F.round(F.sum("share"), 9).alias("bad_domains"), F.count("*").alias("domains"))
+    roots = counted.groupBy("host").agg(F.sum("bad").alias("b0"), F.sum("labelled").alias("n0"))
     level = F.explode(F.sequence(F.lit(1), F.size("nodes")))
     steps = counted.where("size(nodes) > 0").withColumn("level", level)
     prefix = lambda n: F.array_join(F.slice("nodes", 1, n), "/")
@@ -105,10 +114,11 @@ def template_purity(counted: DataFrame, depth: int = DEPTH, strength: float = ST
     held = steps.select("host", "template", "level", "parent", "node").join(branches(nodes, z), ["host", "parent", "node"])
     at = lambda k, c: F.max(F.when(F.col("level") == k, F.col(c))).alias(f"{c}{k}")
     held = held.groupBy("host", "template").agg(*[at(k, c) for k in range(1, depth + 2) for c in "bn"])
-    rows = counted.select("host", "template").join(held, ["host", "template"], "left").join(everywhere, "template").crossJoin(F.broadcast(total))
-    rows = rows.withColumn("purity", (F.col("all_bad") + strength * F.coalesce("prior", F.lit(0.0))) / (F.col("all_labelled") + strength))
-    for k in range(1, depth + 2):
-        drawn = (F.col(f"b{k}") + strength * F.col("purity")) / (F.col(f"n{k}") + strength)
+    rows = counted.select("host", "template").join(held, ["host", "template"], "left").join(everywhere, "template", "left").join(roots, "host")
+    domains = F.coalesce("domains", F.lit(0))
+    rows = rows.withColumn("purity", (F.coalesce("bad_domains", F.lit(0.0)) + strength * PRIOR) / (domains + strength))
+    for k in range(depth + 2):
+        drawn = (F.col(f"b{k}") + (strength + domains) * F.col("purity")) / (F.col(f"n{k}") + strength + domains)
         rows = rows.withColumn("purity", F.coalesce(drawn, F.col("purity")))
     return rows.select("host", "template", "purity")
 
