@@ -127,28 +127,40 @@ def enrich_text(memories: DataFrame, entities: DataFrame, now: str, most: int =
     return rows.select("memory_id", F.concat(F.when(prefix == "", "").otherwise(F.concat(prefix, F.lit("\n\n"))), F.coalesce("raw", F.lit(""))).alias("enriched"))
 
 
-# Phrases before a capability with their confidence, before a preference with its strength, and words of categories.
-_END = r"(?:\.|,|\z)"
+# Phrases of a capability with their confidence, of a preference with its strength, and words of categories. In them a dot is
+# any character of a line, and $ the end of the text; the engines read both differently, see of_line.
 CAPABILITIES = [
-    (r"successfully\s+([^\n]{5,80}?)", 0.8), (r"(?:built|created|developed|implemented|deployed|shipped|launched)\s+([^\n]{5,80}?)", 0.7),
-    (r"(?:fixed|resolved|debugged|patched)\s+([^\n]{5,80}?)", 0.7), (r"(?:configured|set up|integrated)\s+([^\n]{5,80}?)", 0.6),
-    (r"(?:migrated|upgraded|optimized)\s+([^\n]{5,80}?)", 0.7), (r"(?:proficient|skilled|experienced|expert)\s+(?:in|with|at)\s+([^\n]{3,80}?)", 0.9),
-]
+    (r"successfully\s+(.{5,80}?)(?:\.|,|$)", 0.8),
+    (r"(?:built|created|developed|implemented|deployed|shipped|launched)\s+(.{5,80}?)(?:\.|,|$)", 0.7),
+    (r"(?:fixed|resolved|debugged|patched)\s+(.{5,80}?)(?:\.|,|$)", 0.7),
+    (r"(?:configured|set up|integrated)\s+(.{5,80}?)(?:\.|,|$)", 0.6),
+    (r"(?:migrated|upgraded|optimized)\s+(.{5,80}?)(?:\.|,|$)", 0.7),
+    (r"(?:proficient|skilled|experienced|expert)\s+(?:in|with|at)\s+(.{3,80}?)(?:\.|,|$)", 0.9),
+]
 PREFERENCES = [
-    (r"\bi\s+prefer\s+([^\n]{3,100}?)", "strong"), (r"\balways\s+(?:use|uses?)\s+([^\n]{3,80}?)", "strong"), (r"\bnever\s+(?:use|uses?)\s+([^\n]{3,80}?)", "strong"),
-    (r"\bi?\s*(?:don't|doesn't|do not)\s+like\s+([^\n]{3,80}?)", "moderate"), (r"\bi?\s*(?:like|enjoy)\s+([^\n]{3,80}?)", "moderate"),
-    (r"\bfavorite\s+(?:\w+\s+)?is\s+([^\n]{3,80}?)", "strong"), (r"\busually\s+([^\n]{3,80}?)", "weak"),
-]
+    (r"\bi\s+prefer\s+(.{3,100}?)(?:\.|,|$)", "strong"),
+    (r"\balways\s+(?:use|uses?)\s+(.{3,80}?)(?:\.|,|$)", "strong"),
+    (r"\bnever\s+(?:use|uses?)\s+(.{3,80}?)(?:\.|,|$)", "strong"),
+    (r"\bi?\s*(?:don't|doesn't|do not)\s+like\s+(.{3,80}?)(?:\.|,|$)", "moderate"),
+    (r"\bi?\s*(?:like|enjoy)\s+(.{3,80}?)(?:\.|,|$)", "moderate"),
+    (r"\bfavorite\s+(?:\w+\s+)?is\s+(.{3,80}?)(?:\.|,|$)", "strong"),
+    (r"\busually\s+(.{3,80}?)(?:\.|,|$)", "weak"),
+]
 CATEGORIES = [
     ("tooling", r"\b(code|programming|language|framework|library|tool|editor|ide)\b"), ("interface", r"\b(ui|ux|design|theme|dark|light|color|font)\b"),
     ("food", r"\b(coffee|tea|food|drink|meal)\b"), ("communication", r"\b(communicate|email|slack|message|call|meeting)\b"),
     ("workflow", r"\b(deploy|ci|cd|pipeline|workflow|process)\b"),
 ]
-CAPABILITIES, PREFERENCES = [(p + _END, c) for p, c in CAPABILITIES], [(p + _END, s) for p, s in PREFERENCES]
+
+
+def of_line(pattern: str) -> str:
+    """A pattern of phrases for Java's engine and the oracle's: their dots leave out different line ends, and Java's $ stands before a last line end too."""
+    return pattern.replace("(.{", r"([^\n]{").replace("$)", r"\z)")
 
 
 def _phrases(text: Column, rules: list[tuple[str, object]], names: tuple[str, str]) -> Column:
     """array of (phrase, value) for the rules that match, in order; of phrases alike in lower case the first."""
+    rules = [(of_line(p), v) for p, v in rules]
     found = [(F.trim(F.regexp_extract(text, _java(p), 1)), matches(text, p), v) for p, v in rules]
     rows = F.array_compact(F.array(*[F.when(hit, F.struct(got.alias(names[0]), F.lit(v).alias(names[1]))) for got, hit, v in found]))
     low = F.transform(rows, lambda r: F.lower(r[names[0]]))

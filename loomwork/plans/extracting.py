@@ -126,6 +126,7 @@ def enrich_text(spark, d):
 
 
 def _phrases_sql(rules, extra: str = "") -> str:
+    rules = [(X.of_line(p), v) for p, v in rules]
     parts = ", ".join(f"case when {_hit(p, 'raw')} then {{'a': trim(regexp_extract(raw, {_q(p)}, 1, 'i')), 'b': {_q(v) if isinstance(v, str) else str(v) + '::double'}, 'i': {i}}} end" for i, (p, v) in enumerate(rules))
     return MEM + f", s as (select memory_id, raw, memory_type, list_filter([{parts}], lambda x: x is not null) as f from m), u as (select memory_id, unnest(f) as x from s), g as (select memory_id, x.a as a, x.b as b, row_number() over (partition by memory_id, lower(x.a) order by x.i) as r from u)"
 

@@ -147,6 +147,26 @@ def resolve_names(spark, d):
     return S.resolve_names(spark.read.parquet(f"{d}/customer.parquet").select(form.alias("name")), profiles)
 
 
+_NEAR = (
+    "with n as (select c_custkey as k, case when c_custkey % 40 = 0 then c_name else md5(c_name) end as name from customer where c_custkey % 20 = 0), p as (select c_custkey as profile_id, c_name, embedding as v from customer join embeddings on vec_id = c_custkey where c_custkey % 20 <> 0),"
+    " e as (select name, c_custkey as profile_id from n join customer on c_name = name), s as (select name, profile_id, round(list_cosine_similarity(q.embedding::double[], p.v::double[]), 6) as similarity from n join embeddings q on q.vec_id = n.k cross join p), b as (select *, row_number() over (partition by name order by similarity desc, profile_id) as r from s)"
+    " select name, profile_id, 'exact' as how from e union all select name, profile_id, 'vector' from b where r = 1 and similarity >= 0.3::double and name not in (select name from e)"
+)
+
+
+@query(_NEAR)
+def resolve_names_by_vector(spark, d):
+    """Names that only their vectors resolve, beside some that are exact; names of every twentieth customer are the query set."""
+    profiles, _ = _people(spark, d)
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("k"), "c_name")
+    v = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("k"), unit(F.col("embedding")).alias("v"))
+    names = c.where("k % 20 = 0").select("k", F.when(F.col("k") % 40 == 0, F.col("c_name")).otherwise(F.md5("c_name")).alias("name"))
+    asked = names.join(v, "k").select(F.col("k").alias("query_id"), F.lit(0).alias("user_id"), F.col("v").alias("q"))
+    near = knn(asked, c.where("k % 20 <> 0").join(v, "k").select(F.col("k").alias("vec_id"), F.lit(0).alias("user_id"), "v"), 1)
+    near = near.join(names.withColumnRenamed("k", "query_id"), "query_id").select("name", F.col("vec_id").alias("profile_id"), "similarity")
+    return S.resolve_names(names.select("name"), profiles, near, 0.3)
+
+
 @query(M + ", h as (select h.query_id, h.doc_id as source_id, case when variant in ('v0', 'v1') then 0 else 1 end as level, score from (" + H.removeprefix("with hits as ").strip() + ") h), l as (select * from h where source_id in (select memory_id from memories where deleted_at is null and not user_hidden)), b as (select query_id, source_id, max((level, score)) as m from l group by 1, 2) select query_id, source_id, m[1]::int as level, m[2] as score, rank::int as rank from (select *, row_number() over (partition by query_id order by m[2] desc, source_id) as rank from b) where rank <= 10")
 def search_levels(spark, d):
     h = view(spark, d, "hits").select("query_id", F.col("doc_id").alias("source_id"), F.when(F.col("variant").isin("v0", "v1"), 0).otherwise(1).alias("level"), "score")
