@@ -20,9 +20,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwork.llm.common import SLICE_ROWS, unused
 from loomwork.operators.components import connected_components
+from loomwork.operators.running import global_rank
 from loomwork.session import written
 
 SHINGLE = 5
@@ -441,8 +443,13 @@ def repeated_passages(docs: DataFrame, threshold: float = 0.8, min_words: int =
     down to min_run words, where they hold an anchor in both. kept is true for a cluster's first paragraph, by id and place, and for
     a passage that no earlier document has; a run is cut into passages where this changes, and those not kept can be
     removed. Null and empty texts have none. Rows that repeat an id are one
-    document. An empty table gives an empty one. The id is cast to long; rows with a null id are left out.
+    document. An empty table gives an empty one. Ids of any type that can be sorted are kept as they are; rows with a null id are left out.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        ids = written(global_rank(docs.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct(), [F.col("id")], "number"), "numbers")
+        numbered = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id").select("number", "text")
+        found = repeated_passages(numbered, threshold, min_words, min_run, "number", "text")
+        return found.join(ids, "number").select(F.col("id").alias(id_col), *found.columns[1:])
     known = docs.where(F.col(f"`{id_col}`").isNotNull())
     units = written(text_units(known, min_words, id_col, text_col), "units")
     lines = units.where(F.size("bands") > 0)

@@ -279,3 +279,18 @@ def test_stages_take_columns_of_any_name(spark):
     cut = passage_dedup.without_passages(docs, passage_dedup.repeated_passages(docs))
     assert cut.columns == docs.columns and sum("w3 w4" in r.text for r in cut.collect()) == 1
     assert mixing.mixed_documents(docs).columns == docs.columns
+
+
+def test_passages_keep_ids_of_any_type(spark):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    line, run = prose(40), prose(60)
+    rows = [(i, f"{prose(30)}\n{line if i % 2 else prose(20)}\n{prose(9)} {run if i % 3 == 0 else ''} {prose(9)}") for i in range(12)] + [(None, line)]
+    by_number = passage_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    named = spark.createDataFrame([(None if i is None else f"doc-{i:02d}", t) for i, t in rows], "doc_id string, text string")
+    by_name = passage_dedup.repeated_passages(named)
+    shape = lambda df, of: sorted((of(r[0]), r[1], r[2], r[3], r[5]) for r in df.collect())
+    want = shape(by_number, lambda i: f"doc-{i:02d}")
+    assert want and shape(by_name, str) == want and by_name.columns == by_number.columns
+    cut = passage_dedup.without_passages(named, by_name)
+    assert sum(run in r.text for r in cut.collect()) == 1 and cut.count() == len(rows)
