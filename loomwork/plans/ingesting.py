@@ -111,12 +111,33 @@ def chunk_markdown(spark, d):
     return found.withColumn("day", F.col("day").cast("string"))
 
 
-@query(None)
+def _sentences(t: str) -> str:
+    # the oracle's engine has no look behind: the white space behind an end mark becomes a character that no text has
+    return f"list_filter(string_split(regexp_replace({t}, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')"
+
+
+def _packed(parts: str, size: int, joint: str) -> str:
+    """A fold over lists of one part: each is joined to the last of those before, if that stays within the size."""
+    one = f"list_transform({parts}, lambda x: [x])"
+    return f"case when len({parts}) = 0 then [] else list_reduce({one}, lambda a, b: case when length(a[-1]) + 1 + length(b[1]) <= {size} then list_append(a[:-2], a[-1] || {joint} || b[1]) else list_concat(a, b) end) end"
+
+
+_CHUNKS = (
+    "with p as (select doc_id, unnest(list_filter(regexp_split_to_array(text, '\\n+'), lambda x: trim(x) <> '')) as p, generate_subscripts(list_filter(regexp_split_to_array(text, '\\n+'), lambda x: trim(x) <> ''), 1) as i from documents),"
+    f" s as (select doc_id, i, case when length(p) <= 3500 then [p] else {_sentences('p')} end as s from p), f as (select doc_id, i, {_packed('s', 3500, chr(39) + ' ' + chr(39))} as f from s), g as (select doc_id, flatten(list(f order by i)) as g from f group by doc_id), c as (select doc_id, {_packed('g', 3500, 'chr(10)')} as c from g)"
+    " select doc_id, generate_subscripts(c, 1)::int - 1 as chunk, unnest(c) as text from c"
+)
+
+
+@query(_CHUNKS)
 def chunk_text(spark, d):
     return I.chunk_text(docs(spark, d))
 
 
-@query(None)
+@query(
+    f"with s as (select doc_id, {_sentences('text')} as s from documents), f as (select doc_id, {_packed('s', 1500, chr(39) + ' ' + chr(39))} as c from s), u as (select doc_id, c, generate_subscripts(c, 1) as i, unnest(c) as x from f)"
+    " select doc_id, i::int - 1 as chunk, case when i = 1 then x else right(c[i - 1], 200) || ' ' || x end as text from u"
+)
 def chunk_overlap(spark, d):
     return I.chunk_overlap(docs(spark, d))
 

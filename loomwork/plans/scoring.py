@@ -271,7 +271,16 @@ def first_mention(spark, d):
     return spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", S.asks_for_first(F.col("text")).alias("first_mention"))
 
 
-@query(None)
+_DIVERSE = (
+    H + ", h as (select query_id, rank, doc_id, list_transform(range(0, 10), lambda i: 'w' || ((doc_id % 12) + i)) as tokens from hits where variant = 'v0' and rank <= 30), f as (with recursive r as ("
+    "select query_id, 0::bigint as rank, []::varchar[][] as heads, []::bigint[] as kept, []::bigint[] as held from (select distinct query_id from h) union all"
+    " select query_id, next_rank, case when old then heads else list_append(heads, tokens) end, case when old then kept else list_append(kept, doc_id) end, case when old then list_append(held, doc_id) else held end"
+    " from (select r.*, h.rank::bigint as next_rank, h.doc_id, h.tokens, len(list_filter(r.heads, lambda x: len(list_intersect(x, h.tokens)) >= 0.9::double * greatest(1, len(list_distinct(list_concat(x, h.tokens)))))) > 0 as old from r join h on h.query_id = r.query_id and h.rank = r.rank + 1)"
+    ") select * from r), l as (select query_id, arg_max(list_concat(kept, held), rank)[1:10] as ids from f group by 1) select query_id, generate_subscripts(ids, 1)::int as place, unnest(ids) as doc_id from l"
+)
+
+
+@query(_DIVERSE)
 def diversify(spark, d):
     h = view(spark, d, "hits").where("variant = 'v0' and rank <= 30")
     tokens = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), ((F.col("doc_id") % 12) + i).cast("string")))

@@ -126,3 +126,21 @@ def test_global_rank_needs_no_single_task(spark):
     assert [r.id for r in sorted(out.collect(), key=lambda r: r["rank"])] == want
     assert "SinglePartition" not in out._jdf.queryExecution().toString()
     assert running.global_rank(df.limit(0), [running.F.col("id")]).count() == 0
+
+
+def test_similarities_switch_to_cells_only_for_large_users(spark, placed):
+    _, _, q, v = placed
+    few = {tuple(r) for r in vectors.similarities(q, v, least=0.9).collect()}
+    assert few == {tuple(r) for r in vectors.similarities(q, v, least=0.9, block=40).collect()} and few
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    from loomwork.session import scratch, written
+
+    kept = written(spark.range(5), "kept")
+    with scratch(spark):
+        inside = written(spark.range(7), "inside")
+        assert inside.count() == 7
+    assert kept.count() == 5
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(inside.inputFiles()[0])
