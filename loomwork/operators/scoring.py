@@ -411,6 +411,10 @@ LAYER_SHARES = {"IDENTITY": (0.44, 800), "PROJECT": (0.33, 600), "SESSION": (0.2
 SCOPED_SHARES = {"critical": (0.2, 0.1), "task": (0.5,), "background": (0.2, 0.1)}
 
 
+#: Rows of an agent of its own that a context takes.
+AGENT_ROWS = 20
+
+
 def load_context(memories: DataFrame, requests: DataFrame, now: str, budget: int | None = None, session_days: int = 7) -> DataFrame:
     """(user_id, memory_id, layer, tokens, kept, reason): every candidate of each user's context, and why one was evicted.
 
@@ -421,6 +425,9 @@ def load_context(memories: DataFrame, requests: DataFrame, now: str, budget: int
     reserve keep all of them. Then the others, each that still fits, by effective score, confidence, priority, pin, newest, id. A token is
     four characters, a null text has none. All candidates count, however many: sums take the rows that always stay, and the fold
     sees at most the first (budget + reserve) / size rows of a size.
+
+    Where requests have an agent_id, and memories an agent_id and a subject_type, the agent's own live rows, the AGENT_ROWS best by effective score, priority and
+    newest, stand beside these as layer AGENT, whoever's they are and whatever they cost.
     """
     live = memories.where(F.col("deleted_at").isNull() & F.col("superseded_by").isNull() & F.coalesce("searchable", F.lit(True)) & ~F.coalesce("user_hidden", F.lit(False)))
     recent = F.col("created_at") >= F.lit(now).cast("timestamp") - F.expr(f"interval {session_days} days")
@@ -466,7 +473,12 @@ def load_context(memories: DataFrame, requests: DataFrame, now: str, budget: int
     out = rows.join(taken, [*keys, "item"], "left").join(opening, keys)
     kept = (F.col("phase") == 0) | F.coalesce("fits", F.lit(False)) | ((F.col("tokens") == 0) & (F.col("open") | (F.col("phase") == 1)))
     reason = F.when(~kept, F.concat(F.lower("layer"), F.lit("_budget")))
-    return out.select("user_id", F.col("item").alias("memory_id"), "layer", "tokens", kept.alias("kept"), reason.alias("reason"))
+    out = out.select("user_id", F.col("item").alias("memory_id"), "layer", "tokens", kept.alias("kept"), reason.alias("reason"))
+    if "agent_id" not in requests.columns:
+        return out
+    own = live.where(F.col("subject_type") == "AGENT").drop("user_id").join(requests.select("user_id", "agent_id"), "agent_id")
+    own = ranked(own, ["user_id"], [F.desc_nulls_last("effective"), F.asc_nulls_last("priority"), F.desc("created_at"), F.col("memory_id")], AGENT_ROWS)
+    return out.unionByName(own.select("user_id", "memory_id", F.lit("AGENT").alias("layer"), tokens.alias("tokens"), F.lit(True).alias("kept"), F.lit(None).cast("string").alias("reason")))
 
 
 def scoped_context(rows: DataFrame, now: str, budget: int) -> DataFrame:

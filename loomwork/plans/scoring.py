@@ -198,6 +198,9 @@ def context_first_fit(spark, d):
     return S.bounded_first_fit(m, ["user_id"], 600).select("user_id", "item")
 
 
+_LIVE_ROW = "m.deleted_at is null and m.superseded_by is null and m.searchable and not m.user_hidden"
+
+
 @query(M + """, asked as (select user_id, min(project_id) as asked from memories group by 1),
 c as (select m.user_id, layer, memory_id, ceil(length(coalesce(raw, '')) / 4.0::double)::bigint as tokens, case layer when 'IDENTITY' then 800 when 'PROJECT' then 600 else 400 end as room, case when safety_critical or (priority = 1 and layer <> 'IDENTITY') then 0 when priority = 1 then 1 else 2 end as phase, effective, confidence, priority, user_pinned, created_at from memories m join asked using (user_id)
  where deleted_at is null and superseded_by is null and searchable and not user_hidden and (layer = 'IDENTITY' or (layer = 'PROJECT' and project_id = asked) or (layer = 'SESSION' and created_at >= timestamp '""" + NOW + """' - interval 7 day))),
@@ -205,10 +208,13 @@ o as (select *, row_number() over (partition by user_id, layer order by phase, e
 f as (with recursive r as (select user_id, layer, 0::bigint as n, 0::bigint as memory_id, 0::bigint as used, 0::bigint as held, true as kept from (select distinct user_id, layer from o)
  union all select r.user_id, r.layer, r.n + 1, o.memory_id, case when phase = 0 or (phase = 1 and r.held + tokens <= 200) or r.used + tokens <= room then r.used + tokens else r.used end, case when phase = 1 and r.held + tokens <= 200 then r.held + tokens else r.held end, phase = 0 or (phase = 1 and r.held + tokens <= 200) or r.used + tokens <= room
  from r join o on o.user_id = r.user_id and o.layer = r.layer and o.n = r.n + 1) select * from r where n > 0)
-select o.user_id, o.memory_id, o.layer, tokens, kept, case when not kept then lower(o.layer) || '_budget' end as reason from o join f using (memory_id)""")
+select o.user_id, o.memory_id, o.layer, tokens, kept, case when not kept then lower(o.layer) || '_budget' end as reason from o join f using (memory_id)
+union all select user_id, memory_id, 'AGENT', ceil(length(coalesce(raw, '')) / 4.0::double)::bigint, true, null from (select a.user_id, m.memory_id, m.raw, row_number() over (partition by a.user_id order by m.effective desc, m.priority, m.created_at desc, m.memory_id) as r
+from (select user_id, min(agent_id) as agent_id from memories group by 1) a join memories m on m.agent_id = a.agent_id where m.memory_id % 3 = 0 and """ + _LIVE_ROW + ") where r <= 20")
 def load_context(spark, d):
-    m = view(spark, d, "memories")
-    return S.load_context(m, m.groupBy("user_id").agg(F.min("project_id").alias("project_id")), NOW)
+    # the given texts have no subject; every third is an agent's
+    m = view(spark, d, "memories").withColumn("subject_type", F.when(F.col("memory_id") % 3 == 0, "AGENT").otherwise("USER"))
+    return S.load_context(m, m.groupBy("user_id").agg(F.min("project_id").alias("project_id"), F.min("agent_id").alias("agent_id")), NOW)
 
 
 def _fit(name: str, source: str, order: str, room: str) -> str:
