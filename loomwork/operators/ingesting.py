@@ -179,14 +179,58 @@ def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def table_problems(df: DataFrame, required: tuple[str, ...] = (), values: dict[str, tuple[str, ...]] | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
-    """(column_name, problem, n): how many rows break a rule, one row a rule, zeros too, in one pass over the table.
+# What the columns of the memory table may hold, which may not be null, and what they refer to (table, key).
+MEMORY_VALUES = {
+    "layer": ("IDENTITY", "PROJECT", "SESSION", "TASK", "INSIGHT"),
+    "memory_type": ("CONSTRAINT", "PREFERENCE", "FACT", "TASK", "EVENT", "LESSON", "TASK_OUTCOME", "SELF_ASSESSMENT", "DECISION", "OUTCOME", "GOAL", "TEMPORAL_GAP", "FACT_KEY"),
+    "subject_type": ("USER", "AGENT", "ENTITY"),
+    "source": ("DREAM_CYCLE", "EXPLICIT_STATEMENT", "AGENT_OBSERVATION", "AGENT_REFLECTION", "CORRECTION", "PATTERN_DETECTED", "SYSTEM", "GIT_HISTORY", "HISTORICAL"),
+    "importance_hint": ("LOW", "MEDIUM", "HIGH", "CRITICAL"),
+    "embedding_status": ("PENDING", "COMPLETE", "FAILED", "DUPLICATE"),
+    "durability": ("UNCLASSIFIED", "DURABLE", "EPHEMERAL"),
+    "visibility": ("PRIVATE", "TEAM", "PUBLIC"),
+    "temporal_anchor_source": ("EXPLICIT_CALLER", "INFERRED_FROM_CONTENT", "FALLBACK_RECORDED_AT"),
+}
+MEMORY_REQUIRED = ("memory_id", "user_id", "raw", "layer", "created_at")
+MEMORY_RELATIONS = {
+    "user_id": ("users", "user_id"), "project_id": ("projects", "project_id"), "session_id": ("sessions", "session_id"), "cluster_id": ("clusters", "cluster_id"),
+    "superseded_by": ("memories", "memory_id"), "consolidated_into": ("memories", "memory_id"),
+}
+
+
+def table_problems(
+    df: DataFrame, required: tuple[str, ...] = (), values: dict[str, tuple[str, ...]] | None = None, sizes: dict[str, int] | None = None, relations: dict[str, tuple[DataFrame, str]] | None = None
+) -> DataFrame:
+    """(column_name, problem, n): how many rows break a rule, one row a rule, zeros too, in one pass over the table and a join for each relation.
 
     required: columns that may not be null. values: what an enum column may hold; null is left to `required`. sizes: the length that a vector must have.
+    relations: the table and key in which a column's values must be found, nulls aside; the rows that share a value are counted as one before they are joined.
     An empty table breaks no rule.
     """
     rules = [(c, "is null", F.col(c).isNull()) for c in required]
     rules += [(c, "unknown value", ~F.col(c).isin(*v)) for c, v in (values or {}).items()]
     rules += [(c, "wrong size", F.col(c).isNotNull() & (F.size(c) != n)) for c, n in (sizes or {}).items()]
     counts = df.agg(*[F.count(F.when(bad, 1)).alias(f"n{i}") for i, (_, _, bad) in enumerate(rules)])
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("problem"), F.col(f"n{i}").alias("n")) for i, (c, p, _) in enumerate(rules)])))
+    out = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(p).alias("problem"), F.col(f"n{i}").alias("n")) for i, (c, p, _) in enumerate(rules)]))) if rules else None
+    for column, (table, key) in (relations or {}).items():
+        used = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows"))
+        lost = used.join(table.select(F.col(key).alias("value")).distinct(), "value", "left_anti").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n"))
+        row = lost.select(F.lit(column).alias("column_name"), F.lit("not found").alias("problem"), F.col("n").cast("long").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def memory_problems(memories: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """table_problems by the rules of the memory table, as far as the columns and the tables (by name, `memories` itself aside) are there."""
+    have = set(memories.columns)
+    known = tables | {"memories": memories}
+    relations = {c: (known[t], key) for c, (t, key) in MEMORY_RELATIONS.items() if c in have and t in known}
+    return table_problems(memories, tuple(c for c in MEMORY_REQUIRED if c in have), {c: v for c, v in MEMORY_VALUES.items() if c in have}, relations=relations)
+
+
+def checked_memories(memories: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """memories, once memory_problems finds none; else an error that names the broken rules. The rules are some twenty rows."""
+    found = memory_problems(memories, tables).where("n > 0").orderBy("column_name", "problem").collect()
+    if found:
+        raise ValueError("; ".join(f"{r.column_name} {r.problem}: {r.n} rows" for r in found))
+    return memories

@@ -229,3 +229,23 @@ def table_problems(spark, d):
     one = I.load_table(spark, f"{d}/documents.parquet", "doc_id long, text string, lang string")
     two = I.load_table(spark, f"{d}/embeddings.parquet", "embedding array<float>")
     return I.table_problems(one, ("text", "doc_id"), {"lang": ("en", "fr", "de")}).unionAll(I.table_problems(two, sizes={"embedding": 64}))
+
+
+def _rule(column: str, problem: str, bad: str) -> str:
+    return f"select '{column}' as column_name, '{problem}' as problem, count(*) filter ({bad}) as n from t"
+
+
+_KEPT = ("layer", "memory_type", "embedding_status")
+_PROBLEMS = (
+    M + ", t as (select * replace (case when memory_id % 50 = 7 then null else created_at end as created_at) from memories) "
+    + " union all ".join([_rule(c, "is null", f"{c} is null") for c in I.MEMORY_REQUIRED] + [_rule(c, "unknown value", f"{c} not in {I.MEMORY_VALUES[c]}") for c in _KEPT])
+    + " union all " + " union all ".join([_rule("user_id", "not found", "user_id is not null and user_id not in (select user_id from memories where memory_id % 4 = 1 and user_id is not null)")]
+    + [_rule(c, "not found", f"{c} is not null and {c} not in (select memory_id from memories)") for c in ("superseded_by", "consolidated_into")])
+)
+
+
+@query(_PROBLEMS)
+def memory_problems(spark, d):
+    m = view(spark, d, "memories")
+    broken = m.withColumn("created_at", F.when(F.col("memory_id") % 50 == 7, None).otherwise(F.col("created_at")))
+    return I.memory_problems(broken, {"users": m.where("memory_id % 4 = 1").select("user_id")})

@@ -261,3 +261,14 @@ def test_reports_of_empty_and_null_rows(spark):
     assert analytics.consolidation_stats(rows).first() == ("u", 1, 1, 0, 0, 0, 0)
     for report in (behaviour.work_history, behaviour.portable_trust, analytics.embedding_status, analytics.sync_status, analytics.consolidation_stats):
         assert report(rows.limit(0)).count() == 0
+
+
+def test_memories_are_checked_before_they_are_used(spark):
+    fields = "memory_id long, user_id string, raw string, layer string, memory_type string, created_at string, superseded_by long"
+    good = spark.createDataFrame([(1, "u", "a", "TASK", None, "x", None), (2, "u", "b", "IDENTITY", "FACT", "x", 1)], fields)
+    users = spark.createDataFrame([("u",)], "user_id string")
+    assert ingesting.checked_memories(good, {"users": users}).count() == 2
+    bad = good.unionAll(spark.createDataFrame([(3, "v", None, "TASKS", "fact", "x", 9), (4, "v", "c", "TASK", None, "x", None)], fields))
+    with pytest.raises(ValueError, match="layer unknown value: 1 rows; memory_type unknown value: 1 rows; raw is null: 1 rows; superseded_by not found: 1 rows; user_id not found: 2 rows"):
+        ingesting.checked_memories(bad, {"users": users})
+    assert not ingesting.memory_problems(good.limit(0), {}).where("n > 0").count()
