@@ -181,6 +181,7 @@ def insight_feedback(spark, d):
     c = view(spark, d, "calls")
     items = c.select(F.col("user_id").alias("item"), F.concat(F.lit("kind"), F.col("user_id") % 4).alias("kind")).distinct()
     reaction = F.when(F.col("event_type") == "error", "dismissed").when(F.col("event_type") == "click", "acted").when(F.col("event_type") == "view", "useful")
+    # a role, not a sample: items that had no feedback of their own take half of their kind's
     feedback = c.where("user_id % 3 = 0").select(F.col("user_id").alias("item"), reaction.alias("reaction")).where("reaction is not null")
     return A.insight_feedback(items, feedback)
 

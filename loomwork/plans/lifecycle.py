@@ -71,6 +71,7 @@ def recurring_patterns(spark, d):
 def pattern_candidates(spark, d):
     v = view(spark, d, "vectors")
     groups = L.leader_groups(links(spark, d), v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("place")), 3)
+    # a role, not a sample: rows that a known pattern came from
     return L.pattern_candidates(groups, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("source_id")))
 
 
