@@ -169,7 +169,8 @@ def lexical_rescue(queries: DataFrame, memories: DataFrame, k: int = 20, index:
     order = [F.col("importance").desc(), F.col("created_at").desc(), F.col("memory_id")]
     facts = ["importance", "created_at"]
     if index is None:
-        held = written(memories.select("user_id", "memory_id", *facts, F.explode(F.array_distinct(words_of(F.col("raw")))).alias("word")), "words")
+        texts = spread(memories.select("user_id", "memory_id", *facts, "raw"))
+        held = written(texts.select("user_id", "memory_id", *facts, F.explode(F.array_distinct(words_of(F.col("raw")))).alias("word")), "words")
     else:
         held = index.select("user_id", F.col("doc_id").alias("memory_id"), F.col("token").alias("word"))
     asked = queries.select("query_id", "user_id", F.explode("terms").alias("term")).distinct()
