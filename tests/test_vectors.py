@@ -82,6 +82,26 @@ def test_probes_find_what_is_near(spark):
     assert all(abs(found[k] - want[k]) < 2e-6 for k in want if k in found)
 
 
+def test_probes_move_no_pairs(spark):
+    rows = unit_rows(5, 2, [150, 90], centres=10, spread=0.3)
+    asked = [r for r in rows if r[0] % 5 == 0]
+    q, v = spark.createDataFrame(asked, "query_id long, user_id long, q array<double>"), spark.createDataFrame(rows, "vec_id long, user_id long, v array<double>")
+    shape = {"dimensions": 16, "tables": 3, "bits": 4, "probes": 3}
+    met = {(r.query_id, r.vec_id): r.probe for r in vectors.ann_probes(q, v, **shape).collect()}
+    want = {}
+    for a, b, s in plain_pairs(rows, asked):
+        if (a, b) in met:
+            want.setdefault(a, []).append((-s, b))
+    got = {}
+    for r in vectors.knn_by_probes(q, v, 4, **shape, block=16).collect():
+        got.setdefault(r.query_id, []).append((-r.similarity, r.vec_id))
+    assert {k: sorted(x) for k, x in got.items()} == {k: sorted(x)[:4] for k, x in want.items()}
+    counts = {r.probe: r.pairs for r in vectors.candidate_counts(q, v, **shape, block=16).collect()}
+    assert counts == {p: list(met.values()).count(p) for p in set(met.values())}
+    every = spark.createDataFrame([(a[0], r[0]) for a in asked for r in rows], "query_id long, vec_id long")
+    assert {(r.query_id, r.vec_id): r.probe for r in vectors.probed(every, q, v, **shape).where("probe is not null").collect()} == met
+
+
 def loop(n, links, least):
     near = {i: set() for i in range(n)}
     for a, b in links:
