@@ -238,11 +238,17 @@ def team_capabilities(rows: DataFrame, keywords: DataFrame, k: int = 50, per_hit
 def similar_tasks(queries: DataFrame, tasks: DataFrame, k: int = 5, words: int = 3, similarity: float = 0.5) -> DataFrame:
     """(query_id, task_id, similarity, rank): tasks of the query's domain whose reason has the query's first words, at a fixed similarity, newest first.
 
-    The fallback of a vector search on tasks: queries(query_id, domain, text), tasks(task_id, domain, reason, created_at).
+    The fallback of a vector search on tasks: queries(query_id, domain, text), tasks(task_id, domain, reason, created_at). Only different phrases of
+    a domain meet its different reasons, of which the k newest tasks can be among a phrase's k newest.
     """
-    phrase = F.lower(F.array_join(F.slice(F.split("text", " "), 1, words), " "))
-    rows = queries.select("query_id", "domain", phrase.alias("phrase")).join(tasks.withColumn("low", F.lower("reason")), "domain").where(F.contains("low", F.col("phrase")))
-    return ranked(rows, ["query_id"], [F.col("created_at").desc(), F.col("task_id")], k).select("query_id", "task_id", F.lit(similarity).alias("similarity"), "rank")
+    low = F.lower("reason").alias("low")
+    newest = [F.col("created_at").desc(), F.col("task_id")]
+    asked = queries.select("query_id", "domain", F.lower(F.array_join(F.slice(F.split("text", " "), 1, words), " ")).alias("phrase"))
+    phrases = asked.select("domain", "phrase").distinct()
+    held = ranked(tasks.select("domain", low, "created_at", "task_id"), ["domain", "low"], newest, k, "newest")
+    rows = phrases.join(held, "domain").where(F.contains("low", F.col("phrase")))
+    best = ranked(rows, ["domain", "phrase"], newest, k).select("domain", "phrase", "task_id", F.lit(similarity).alias("similarity"), "rank")
+    return asked.join(best, ["domain", "phrase"]).select("query_id", "task_id", "similarity", "rank")
 
 
 def similar_tasks_by_vector(queries: DataFrame, tasks: DataFrame, k: int = 5) -> DataFrame:
