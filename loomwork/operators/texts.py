@@ -288,9 +288,16 @@ def insight_salience(insights: DataFrame, terms: DataFrame, now: str, k: int = 3
     days = hours_before(now, F.col("created_at")) / 24
     factor = F.col("confidence") * F.greatest(F.lit(0.1), 1 - days / 14) * F.greatest(F.lit(0.1), 1 - 0.2 * F.col("shown"))
     hit = F.when(F.contains("low", F.col("term")), 0.3).otherwise(0.0) + F.when(F.array_contains("tags", F.col("term")), 0.2).otherwise(0.0)
-    rows = terms.join(low, "user_id").groupBy("query_id", "memory_id").agg(F.round(F.sum(hit * factor), 6).alias("salience")).where(F.col("salience") >= least)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("salience").desc(), "memory_id"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    # a user's queries with the same terms have the same insights, which are sought once
+    sets = terms.groupBy("query_id", "user_id").agg(F.sort_array(F.collect_list("term")).alias("set"))
+    asked = sets.select("user_id", "set").distinct()
+    # a text is searched once for each of a user's terms
+    hits = terms.select("user_id", "term").distinct().join(low, "user_id").select("user_id", "memory_id", "term", (hit * factor).alias("s")).where("s > 0")
+    rows = asked.select("user_id", "set", F.explode("set").alias("term")).join(hits, ["user_id", "term"])
+    rows = rows.groupBy("user_id", "set", "memory_id").agg(F.round(F.sum("s"), 6).alias("salience")).where(F.col("salience") >= least)
+    rank = F.row_number().over(Window.partitionBy("user_id", "set").orderBy(F.col("salience").desc(), "memory_id"))
+    best = rows.withColumn("rank", rank).where(F.col("rank") <= k)
+    return sets.join(best, ["user_id", "set"]).select("query_id", "memory_id", "salience", "rank")
 
 
 # Month names by their first three letters, week days from Sunday.
