@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from loomwork.operators import behaviour, graphs, searching, texts
+from loomwork.operators import behaviour, dedup, graphs, searching, texts
 
 
 def rows_made(out):
@@ -79,3 +79,27 @@ def test_tasks_of_equal_phrases(spark):
     out = behaviour.similar_tasks(asked, tasks, 2)
     assert rows_made(out) < N * Q / 20
     assert {(r.query_id, r.task_id, r.similarity, r["rank"]) for r in out.collect()} == {(q, N - 2 * i, 0.5, i) for q in range(Q) for i in (1, 2)}
+
+
+def test_names_with_common_beginnings(spark):
+    """Names that differ in their last digits only, as numbered ones do, don't meet all of one another."""
+    people = spark.range(600).select(F.col("id").alias("profile_id"), F.format_string("Customer#%09d", F.col("id") * 7).alias("profile_name"))
+    own = F.concat(F.substring("profile_name", 1, 9), F.substring("profile_name", 11, 100))
+    out = searching.trigram_match(people.select(own.alias("name")), people)
+    plain = {}
+
+    def pieces(t):
+        t = "  " + t.lower() + " "
+        return {t[i : i + 3] for i in range(len(t) - 2)}
+
+    held = [(i, pieces(f"Customer#{i * 7:09d}")) for i in range(600)]
+    for i in range(600):
+        name = f"Customer#{i * 7:08d}"
+        x = pieces(name)
+        plain[name] = min((-round(len(x & g) / len(x | g), 6), p) for p, g in held)
+    assert {r.name: (-r.similarity, r.profile_id) for r in out.collect()} == plain
+    wrong = F.concat(F.substring("profile_name", 1, 9), F.lit("y"), F.substring("profile_name", 11, 100))
+    found = dedup._one_edit(people.select(wrong.alias("name")), people, 0.75)
+    assert {tuple(r) for r in found.collect()} == {(f"Customer#y{i * 7:08d}", i, round(1 - 1 / 18, 6)) for i in range(600)}
+    out = dedup.edit_ratio(people.select(wrong.alias("name")), people)
+    assert rows_made(dedup._one_edit(people.select(wrong.alias("name")), people, 0.75)) < 600 * 60 and out.count() == 600
