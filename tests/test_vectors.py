@@ -102,6 +102,16 @@ def test_probes_move_no_pairs(spark):
     assert {(r.query_id, r.vec_id): r.probe for r in vectors.probed(every, q, v, **shape).where("probe is not null").collect()} == met
 
 
+def test_models_are_searched_within_a_bound(spark, monkeypatch):
+    from loomwork.plans import deduping
+
+    bounds, search = [], vectors.similarities
+    monkeypatch.setattr(vectors, "similarities", lambda *a, **k: bounds.append((k.get("least"), k.get("k"))) or search(*a, **k))
+    found = deduping.knn_multi_model(spark, "/root/testdata/sf0.001")
+    assert bounds and all(b != (None, None) for b in bounds)
+    assert found.groupBy("query_id", "model_id").count().where("count > 5").isEmpty() and not found.isEmpty()
+
+
 def loop(n, links, least):
     near = {i: set() for i in range(n)}
     for a, b in links:
