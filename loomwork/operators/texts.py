@@ -5,18 +5,55 @@ Patterns mean what they mean in ASCII: a word is letters, digits and underscores
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside of its brackets, up to a bracket that closes more than it holds."""
+    depth, cuts, end = 0, [], len(pattern)
+    for m in re.finditer(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|.", pattern, re.S):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if depth < 0:
+            end = m.start()
+            break
+        if m[0] == "|" and not depth:
+            cuts.append(m.start())
+    return [pattern[i:j] for i, j in zip([0, *[c + 1 for c in cuts]], [*cuts, end], strict=True)]
+
+
+def _starts_a_word(pattern: str) -> bool:
+    """Whether what a pattern matches surely begins with a letter or digit of ASCII; False where that is not plain to see."""
+    if pattern[:1] == "(":
+        inner = pattern[3:] if pattern.startswith("(?:") else pattern[1:]
+        every = _alternatives(inner)
+        behind = inner[len("|".join(every)) + 1 :]
+        return not inner.startswith("?") and behind[:1] not in ("?", "*", "{") and all(map(_starts_a_word, every))
+    return bool(re.match(r"[A-Za-z0-9](?![?*{])", pattern))
+
+
+def java(pattern: str) -> str:
+    """The pattern for Java's engine, letters in either case; \\b is an edge of an ASCII word.
+
+    Before a letter an edge is a place without a word before it. That is one look back instead of four looks around at each place of a text.
+    """
+    edge = lambda m: "(?<![A-Za-z0-9_])" if _starts_a_word(pattern[m.end() :]) else _EDGE
+    return "(?i)" + re.sub(r"\\b", edge, pattern)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Whether the pattern, whose \\b is an edge of an ASCII word, is found, letters in either case."""
-    return F.coalesce(text, F.lit("")).rlike("(?i)" + pattern.replace(r"\b", _EDGE))
+    return F.coalesce(text, F.lit("")).rlike(java(pattern))
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns is found; an edge that all begin with is looked for once at each place, not once for each pattern."""
+    if all(p.startswith(r"\b") and len(_alternatives(p)) == 1 for p in patterns):
+        return matches(text, r"\b(?:" + "|".join(p[2:] for p in patterns) + ")")
     return matches(text, "|".join(f"(?:{p})" for p in patterns))
 
 
