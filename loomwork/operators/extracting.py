@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.operators.analytics import at, count_if
 from loomwork.operators.scoring import ranked
-from loomwork.operators.texts import _EDGE, CORRECTION_SIGNS, EXPLICIT_SIGNS, PREFERENCE_SIGNS, any_of, matches
-
-
-def _java(pattern: str) -> str:
-    return "(?i)" + pattern.replace(r"\b", _EDGE)
+from loomwork.operators.texts import CORRECTION_SIGNS, EXPLICIT_SIGNS, PREFERENCE_SIGNS, any_of, java, matches
 
 
 def _found(text: Column, pattern: str) -> Column:
     """The first match, null without one."""
-    return F.nullif(F.regexp_extract(text, _java(pattern), 0), F.lit(""))
+    return F.nullif(F.regexp_extract(text, java(pattern), 0), F.lit(""))
 
 
 def _sentence(text: Column, pattern: str) -> Column:
     """The run without . ! ? around the start of the first match."""
-    before = F.regexp_extract(text, "(?s)" + _java(f"^(.*?)(?:{pattern})"), 1)
+    before = F.regexp_extract(text, "(?s)" + java(f"^(.*?)(?:{pattern})"), 1)
     rest = F.substring(text, F.length(before) + 1, F.length(text))
     return F.trim(F.concat(F.regexp_extract(before, r"([^.!?]*)\z", 1), F.regexp_extract(rest, r"^([^.!?]*)", 1)))
 
@@ -158,13 +156,19 @@ def of_line(pattern: str) -> str:
     return pattern.replace("(.{", r"([^\n]{").replace("$)", r"\z)")
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that f names several times: Spark would work it out anew at each."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _phrases(text: Column, rules: list[tuple[str, object]], names: tuple[str, str]) -> Column:
     """array of (phrase, value) for the rules that match, in order; of phrases alike in lower case the first."""
-    rules = [(of_line(p), v) for p, v in rules]
-    found = [(F.trim(F.regexp_extract(text, _java(p), 1)), matches(text, p), v) for p, v in rules]
-    rows = F.array_compact(F.array(*[F.when(hit, F.struct(got.alias(names[0]), F.lit(v).alias(names[1]))) for got, hit, v in found]))
-    low = F.transform(rows, lambda r: F.lower(r[names[0]]))
-    return F.filter(rows, lambda r, i: F.array_position(low, F.lower(r[names[0]])) == i + 1)
+    found = [(F.trim(F.regexp_extract(text, java(of_line(p)), 1)), matches(text, of_line(p)), v) for p, v in rules]
+    every = F.array_compact(F.array(*[F.when(hit, F.struct(got.alias(names[0]), F.lit(v).alias(names[1]))) for got, hit, v in found]))
+    low = lambda rows: F.transform(rows, lambda r: F.lower(r[names[0]]))
+    # one pass for what stands before the phrases spares most texts the rules
+    some = any_of(text, [p.partition("(.{")[0] for p, _ in rules])
+    return once(F.when(some, every).otherwise(F.array().cast(f"array<struct<{names[0]}:string,{names[1]}:{'string' if isinstance(rules[0][1], str) else 'double'}>>")), lambda rows: F.filter(rows, lambda r, i: ~F.array_contains(F.slice(low(rows), F.lit(1), i), F.lower(r[names[0]]))))
 
 
 def capability_signals(text: Column) -> Column:
@@ -181,7 +185,7 @@ def preference_signals(text: Column, memory_type: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     found = _phrases(text, PREFERENCES, ("preference", "strength"))
     own = F.array(F.struct(F.substring(text, 1, 150).alias("preference"), F.lit("moderate").alias("strength")))
-    return F.when((F.size(found) == 0) & F.coalesce(memory_type == "PREFERENCE", F.lit(False)), own).otherwise(found)
+    return once(found, lambda rows: F.when((F.size(rows) == 0) & F.coalesce(memory_type == "PREFERENCE", F.lit(False)), own).otherwise(rows))
 
 
 # Words that put a memory under a heading of its project's state, and an issue's severity.

@@ -144,7 +144,9 @@ _CATEGORY = "case " + " ".join(f"when {_hit(p, 'raw')} then '{n}'" for n, p in X
 )
 def preference_signals(spark, d):
     m = memories(spark, d)
-    return m.select("memory_id", X.preference_category(F.col("raw")).alias("category"), F.inline(X.preference_signals(F.col("raw"), F.col("memory_type"))))
+    found = m.select("memory_id", "raw", F.inline(X.preference_signals(F.col("raw"), F.col("memory_type"))))
+    # categories are sought in the texts that have a preference only
+    return found.select("memory_id", X.preference_category(F.col("raw")).alias("category"), "preference", "strength")
 
 
 _LABELS = MEM + ", l as (select project_id, memory_id, raw, unnest(case when layer = 'INSIGHT' then ['insight'] else list_filter([" + ", ".join(f"case when {_hit(p, 'raw')} then '{n}' end" for n, p in X.STATE_SIGNS.items()) + "], lambda x: x is not null) end) as label from m), z as (select project_id, memory_id, label, case when label = 'issue' then case " + " ".join(f"when {_hit(p, 'raw')} then '{n}'" for n, p in X.SEVERITY) + " else 'low' end end as severity from l)"
