@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwork.operators.dedup import content_hash
 from loomwork.operators.predicates import scope_filter, time_range
+from loomwork.session import written
 
 
 def pack_parts(parts: Column, size: int, joint: str) -> Column:
@@ -129,14 +130,34 @@ def trajectory_feedback(memories: DataFrame, used: DataFrame, unused: DataFrame)
     return rows.select("memory_id", (F.col("used_count") + F.coalesce("u", F.lit(0))).alias("used_count"), (F.col("unused_count") + F.coalesce("x", F.lit(0))).alias("unused_count"))
 
 
+#: Lists into which the pools of a user or an agent are dealt, so that none is one row of all.
+POOL_BLOCKS = 64
+
+
 def visible_pools(sessions: DataFrame, pools: DataFrame, grants: DataFrame) -> DataFrame:
     """(session_id, pool_id): a user's global pools, shared ones granted to the session, private ones it made or its agent was granted; not archived."""
-    live = pools.where("not archived")
-    one = sessions.join(live.where("kind = 'GLOBAL'").select("user_id", "pool_id"), "user_id").select("session_id", "pool_id")
-    granted = sessions.join(grants.where("grantee_kind = 'session'").select(F.col("grantee").alias("session_id"), "pool_id"), "session_id").join(live.where("kind = 'SHARED'").select("pool_id"), "pool_id", "left_semi").select("session_id", "pool_id")
-    made = sessions.join(live.where("kind = 'PRIVATE'").select(F.col("created_by").alias("session_id"), "pool_id"), "session_id").select("session_id", "pool_id")
-    agent = sessions.join(grants.where("grantee_kind = 'agent'").select(F.col("grantee").alias("agent"), "pool_id"), "agent").join(live.where("kind = 'PRIVATE'").select("pool_id"), "pool_id", "left_semi").select("session_id", "pool_id")
-    return one.unionByName(granted).unionByName(made).unionByName(agent).distinct()
+    live = pools.where("not archived").select("pool_id", "user_id", "created_by", "kind").distinct()
+    live = written(live.join(live.groupBy("pool_id").agg((F.count("*") == 1).alias("alone")), "pool_id"), "pools")
+    s = sessions.select("session_id", "user_id", "agent").distinct()
+    s = written(s.join(s.groupBy("session_id").agg((F.count("*") == 1).alias("single")), "session_id"), "sessions")
+    private = live.where("kind = 'PRIVATE'").select("pool_id", "alone").distinct()
+    by_agent = written(grants.where("grantee_kind = 'agent'").select(F.col("grantee").alias("agent"), "pool_id").distinct().join(private, "pool_id"), "agent-grants")
+    by_user = live.where("kind = 'GLOBAL'").select("user_id", "pool_id", "alone")
+
+    # nearly all pairs are of a session and a pool of one row each, which meet in one way only: by the user, or by the agent. They need not be told apart
+    def plain(key: str, seen: DataFrame) -> DataFrame:
+        lists = seen.where("alone").groupBy(key, F.pmod(F.xxhash64("pool_id"), F.lit(POOL_BLOCKS)).alias("block")).agg(F.collect_list("pool_id").alias("pools"))
+        dealt = s.where("single").select("session_id", key).repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")), "session_id")
+        return dealt.join(lists.drop("block"), key).select("session_id", F.explode("pools").alias("pool_id"))
+
+    def other(key: str, seen: DataFrame) -> DataFrame:
+        both = [s.where("not single").join(seen, key), s.where("single").join(seen.where("not alone"), key)]
+        return both[0].select("session_id", "pool_id").unionAll(both[1].select("session_id", "pool_id"))
+
+    granted = s.join(grants.where("grantee_kind = 'session'").select(F.col("grantee").alias("session_id"), "pool_id"), "session_id").join(live.where("kind = 'SHARED'").select("pool_id"), "pool_id", "left_semi").select("session_id", "pool_id")
+    made = s.join(live.where("kind = 'PRIVATE'").select(F.col("created_by").alias("session_id"), "pool_id"), "session_id").join(by_agent.select("agent", "pool_id"), ["agent", "pool_id"], "left_anti").select("session_id", "pool_id")
+    few = other("user_id", by_user).unionAll(other("agent", by_agent)).unionByName(granted).unionByName(made).distinct()
+    return plain("user_id", by_user).unionByName(plain("agent", by_agent)).unionByName(few)
 
 
 def import_rows(df: DataFrame, kinds: list[str]) -> tuple[DataFrame, DataFrame]:
