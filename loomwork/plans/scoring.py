@@ -304,9 +304,9 @@ def current_projects(spark, d):
 
 @query(None)
 def context_sections(spark, d):
-    from loomwork.operators.dedup import text_near_dup
+    from loomwork.operators.dedup import text_near_dup, word_set_members
 
     m = view(spark, d, "memories")
     accesses = view(spark, d, "calls").select(F.col("k").alias("memory_id"), "ts")
     words = m.select("user_id", "memory_id", F.split(F.lower("raw"), r"\W+").alias("words"))
-    return S.context_sections(m, accesses, text_near_dup(words), NOW, 2000)
+    return S.context_sections(m, accesses, text_near_dup(words), NOW, 2000, members=word_set_members(words))
