@@ -43,3 +43,15 @@ def test_edit_ratio_shuffles_its_names(spark, plans, people):
     out = dedup.edit_ratio(session.written(people.select(wrong.alias("name")), "asked"), people)
     assert {(r.name.lstrip("vwxyz")[-2:], r.profile_id) for r in out.collect()} == {(f"{i:02}", i) for i in range(40)}
     assert len(plans) > 5 and not broadcast_keys(plans)
+
+
+def test_resolve_names_shuffles_its_names(spark, plans, people):
+    from loomwork.operators import searching
+
+    n = F.expr("substring(profile_name, 9, 10)")
+    asked = people.select(F.expr("case profile_id % 4 when 0 then profile_name when 1 then concat('Who is ', profile_name, '?') when 2 then concat(substring(profile_name, 1, 9), substring(profile_name, 11, 9)) else concat('xusy', substring(profile_name, 5, 4), 'z', substring(profile_name, 10, 9)) end").alias("name"), n.alias("n"))
+    out = searching.resolve_names(session.written(asked.select("name"), "asked"), people)
+    rows = out.collect()
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(rows) == 40 and {r.how for r in rows} >= {"exact", "trigram"}
+    assert not broadcast_keys(plans)
