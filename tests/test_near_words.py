@@ -46,3 +46,28 @@ def test_chunks_of_counts_change_nothing(spark, monkeypatch):
     parts = dedup._near_sets(left, right)
     want = {(i, j) for i in range(80) for j in range(80) if i != j and (len(ws[i]), i) < (len(ws[j]), j) and len(set(ws[i]) & set(ws[j])) >= max(1, len(ws[i]) // 2)}
     assert want <= {tuple(x) for x in whole.to_numpy()} and {tuple(x) for x in whole.to_numpy()} == {tuple(x) for x in parts.to_numpy()}
+
+
+def test_pairs_are_told_where_they_meet(spark):
+    from tests.test_shared_answers import rows_made
+
+    df = spark.createDataFrame([(u, i, w) for u, i, w in sets(150)], "user_id string, memory_id long, words array<string>")
+    out = dedup.text_near_dup(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # one join, with the users' numbers of blocks: words of pairs are not fetched
+    assert plan.count("Join") == 1 and "array_intersect" not in plan
+    assert rows_made(out) <= 210
+
+
+def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    real, seeds = F.xxhash64, []
+
+    def poor(*c):
+        if len(c) == 2 and c[1]._jc.toString() == "0":
+            seeds.append(0)
+            return F.length(c[0]).cast("long") + (1 << 40)
+        return real(*c)
+
+    monkeypatch.setattr(F, "xxhash64", poor)
+    df = spark.createDataFrame([("u", 1, ["aa", "bb", "cc"]), ("u", 2, ["dd", "ee", "ff"]), ("u", 3, ["aa", "bb", "cc", "gg"])], "user_id string, memory_id long, words array<string>")
+    assert [tuple(r) for r in dedup.text_near_dup(df).collect()] == [(1, 3)] and seeds
