@@ -308,5 +308,6 @@ def context_sections(spark, d):
 
     m = view(spark, d, "memories")
     accesses = view(spark, d, "calls").select(F.col("k").alias("memory_id"), "ts")
-    words = m.select("user_id", "memory_id", F.split(F.lower("raw"), r"\W+").alias("words"))
+    # pairs of rows that are left out anyway are not sought
+    words = S.context_rows(m, accesses, NOW).select("user_id", "memory_id", F.split(F.lower("raw"), r"\W+").alias("words"))
     return S.context_sections(m, accesses, text_near_dup(words), NOW, 2000, members=word_set_members(words))

@@ -42,3 +42,17 @@ def test_ids_stand_for_all_members(spark):
     accesses = spark.createDataFrame([], "memory_id long, ts timestamp")
     # 1 is gone itself, yet its copies 2 and 3 meet each other and 4
     assert {r.memory_id for r in scoring.context_sections(m, accesses, near, "2024-01-31 00:00:00", 1000, members=members).collect()} == {3, 5}
+
+
+def test_near_pairs_are_sought_among_rows_in_use(spark, tmp_path, monkeypatch):
+    from loomwork.operators import dedup
+
+    # all texts are alike; one row in two is too weak, replaced or stale
+    docs = spark.range(1, 201).selectExpr("id as doc_id", "concat('a b c d e f g h i ', id) as text", "'en' as lang", "'s' as source", "0L as n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    shutil.copy(f"{DATA}/events.parquet", tmp_path)
+    asked = []
+    real = dedup.text_near_dup
+    monkeypatch.setattr(dedup, "text_near_dup", lambda df: asked.append(df.count()) or real(df))
+    found = registry.queries()["context_sections"](spark, str(tmp_path)).collect()
+    assert len(found) == 1 and asked[0] <= 140
